@@ -68,11 +68,12 @@ def har_backtest(tl: Timeline, initial_days: int = 90, min_rows: int = 23, stric
 
     def s(w):
         out = {f"_t{p}": R.prev(C(f"_s{p}"), w, cut) for p in prods}
-        out |= {f"_l{i}": R.prev(C(c), w, cut) for i, c in enumerate(REGRESSORS)}
+        # the row of the day before holds the regressors of the forecast
+        out |= {f"_l{i}": R.prev(C(c), w) for i, c in enumerate(REGRESSORS)}
         return out
 
     names = tuple(f"_t{p}" for p in prods) + tuple(f"_l{i}" for i in range(3))
-    lagged = summed.apply(Recipe(names, (s,), tuple(f"_s{p}" for p in prods), cut), keep=keep)
+    lagged = summed.apply(Recipe(names, (s,), tuple([*(f"_s{p}" for p in prods), *REGRESSORS]), cut), keep=keep)
 
     def solve(*v):
         a, b, last = np.zeros((4, 4)), np.array(v[10:14]), np.array([1.0, *v[14:17]])
