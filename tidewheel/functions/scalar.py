@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def metric_name(name: Column) -> Column:
-    """Characters a metric store refuses become underscores."""
-    return F.regexp_replace(name, r"[^\w\-. /]", "_")
+    """Drop characters a metric store refuses."""
+    return F.regexp_replace(name, r"[^a-zA-Z0-9_\-.\s:/]", "")
 
 
 def config_name(**parts: Column) -> Column:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel.functions.rolling import clean
 from tidewheel.timeline import Timeline
@@ -49,20 +52,55 @@ def fill(tl: Timeline, cols: Sequence[str], order: Sequence[str] = ("ffill", "bf
     """Infinities to null, then the fills in the given order, then 0.
 
     A backward fill shows future values to the first rows; leave it out
-    (``order=("ffill",)``) for a causal table.
+    (``order=("ffill",)``) for a causal table.  Wide tables would need two window
+    expressions per column; here each chunk reports its first and last known
+    values, those small rows are carried per column, and a second pass fills.
     """
-    cols = list(cols)
-    cur = tl.extend(**{c: clean(C(c)) for c in cols if dict(tl.df.dtypes)[c] == "double"})
-    rest = [c for c in cur.df.columns if c not in cols]
-    kinds = {"ffill": "last", "bfill": "first_after"}
-    # both fills read the same chunks: a value is the first of the two that is known
-    specs = {f"_{o}_{c}": (kinds[o], c) for o in order for c in cols}
-    done = cur.running(keep=[*rest, *cols], **specs)
-    picked = [
-        F.coalesce(*(C(f"_{o}_{c}") for o in order), *([F.lit(0).cast(done.df.schema[c].dataType)] if zero else [])).alias(c)
-        for c in cols
-    ]
-    return done.with_df(done.df.select(*rest, *picked))
+    cols, by = list(cols), list(tl.by)
+    keys = [*by, "_t"]
+    types = {c: tl.df.schema[c].dataType for c in cols}
+    rest = [c for c in tl.df.columns if c not in cols]
+    base = tl.with_df(
+        tl.df.select(*rest, *(clean(C(c).cast("double")).alias(c) for c in cols))
+    ).chunked()
+    edge = T.StructType(
+        [base.schema[k] for k in keys] + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("lo", "hi")]
+    )
+
+    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("rn")[cols]
+        row = {k: pdf[k].iloc[0] for k in keys}
+        pick = lambda f: [None if np.isnan(x) else float(x) for x in f.to_numpy(dtype=float)]
+        return pd.DataFrame([{**row, "lo": pick(v.bfill().iloc[0]), "hi": pick(v.ffill().iloc[-1])}])
+
+    per = base.select(*keys, "rn", *cols).groupBy(*keys).applyInPandas(edges, edge)
+    long = per.select(*keys, F.posexplode(F.arrays_zip("lo", "hi")).alias("pos", "e"))
+    w = Window.partitionBy(*by, "pos").orderBy("_t")
+    before = F.last("e.hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("e.lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    carry = (
+        long.select(*keys, "pos", before.alias("b"), after.alias("a"))
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "b", "a"))).alias("_c"))
+        .select(*keys, C("_c.b").alias("_before"), C("_c.a").alias("_after"))
+    )
+    full = base.join(carry, keys)
+    out = T.StructType([base.schema[c] for c in [*rest, *cols]])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn", ignore_index=True)
+        v = pdf[cols]
+        edge_of = {
+            "ffill": dict(zip(cols, np.array(pdf["_before"].iloc[0], dtype=float))),
+            "bfill": dict(zip(cols, np.array(pdf["_after"].iloc[0], dtype=float))),
+        }
+        for o in order:
+            v = getattr(v, o)().fillna({c: x for c, x in edge_of[o].items() if not np.isnan(x)})
+        return pd.concat([pdf[rest], v.fillna(0.0) if zero else v], axis=1)
+
+    filled = full.groupBy(*keys).applyInPandas(run, out)
+    restored = [F.nanvl(C(c), F.lit(None)).cast(types[c]).alias(c) for c in cols]
+    return tl.with_df(filled.select(*rest, *restored))
 
 
 def recode(label: str, mapping: dict[int, int]) -> Column:
