@@ -1,0 +1,371 @@
+"""Queries: splits, overfitting, models, importance and streams."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from tidewheel.catalog import (
+    CHUNK_ROWS, DAILY, ONE, PART, SQL, TICKS, C, daily, final, lag, lead, one, query, roll, shape, six_places, ticks,
+)
+from tidewheel.catalog_bars import bar_sql
+from tidewheel.catalog_indicators import DAY, MACD, crossing, pct
+from tidewheel.catalog_labels import _FIX, CUSUM, fixed
+from tidewheel.operators import features as X
+from tidewheel.operators import indicators as I
+from tidewheel.operators import labels as L
+from tidewheel.operators import signals as G
+from tidewheel.operators import stats as S
+from tidewheel.plans import ml, overfit, pipeline, splits
+from tidewheel.sources import views
+from tidewheel.storage import materialize, shared_dir
+from tidewheel.streaming import live
+from tidewheel.timeline import Timeline
+
+SPLIT_KEYS = ("symbol", "seq", "role")
+LAB = f"lb AS MATERIALIZED (SELECT *, event_end_time AS t1, count(*) OVER (PARTITION BY symbol) AS n_rows FROM ({_FIX}) AS f)"
+
+
+def labelled(spark, sf) -> Timeline:
+    """Fixed-horizon labels; their row numbers start at 1 and have no gap."""
+    df = fixed(spark, sf).withColumnRenamed("event_end_time", "t1")
+    return Timeline(materialize(df, "labels"), ("symbol",), ("ts", "seq"), CHUNK_ROWS, True)
+
+
+FOLD = "CASE WHEN rn - 1 < (n_rows % 4) * (n_rows // 4 + 1) THEN (rn - 1) // (n_rows // 4 + 1) ELSE n_rows % 4 + (rn - 1 - (n_rows % 4) * (n_rows // 4 + 1)) // (n_rows // 4) END"
+PURGED = f"""SELECT a.symbol, a.seq, a.rn, a.label, f.fold, CASE WHEN a.fold = f.fold THEN 'test' ELSE 'train' END AS role FROM (SELECT *, {FOLD} AS fold FROM lb) AS a JOIN
+  (SELECT g.*, (SELECT count(*) FROM lb x WHERE x.symbol = g.symbol AND x.ts < g.latest) + 1 + floor(g.n * 0.01) AS resume FROM (SELECT symbol, fold, min(ts) AS start, max(t1) AS latest, any_value(n_rows) AS n FROM (SELECT *, {FOLD} AS fold FROM lb) AS q GROUP BY 1, 2) AS g) AS f USING (symbol)
+  WHERE a.fold = f.fold OR a.t1 < f.start OR a.rn >= f.resume"""
+
+
+@query("purged_folds", final(PURGED, (TICKS, LAB), SPLIT_KEYS, i=["fold"]))
+def _pk(spark, sf):
+    return shape(splits.purged_folds(labelled(spark, sf), 4, "t1", 0.01), SPLIT_KEYS, i=["fold"])
+
+
+GRP = "gr AS MATERIALIZED (SELECT *, least((epoch_us(ts) - min(epoch_us(ts)) OVER p) * 6 // greatest(max(epoch_us(ts)) OVER p - min(epoch_us(ts)) OVER p, 1), 5) AS grp FROM lb WINDOW p AS (PARTITION BY symbol))"
+
+
+@query("time_groups", final("SELECT * FROM gr", (TICKS, LAB, GRP), i=["grp"]))
+def _tg(spark, sf):
+    return shape(splits.time_groups(labelled(spark, sf).df, 6), i=["grp"])
+
+
+COMB = "cb AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a, b) - 1 AS split, a, b FROM (SELECT x.k AS a, y.k AS b FROM (SELECT unnest(range(0, 6)) AS k) AS x JOIN (SELECT unnest(range(0, 6)) AS k) AS y ON x.k < y.k) AS q)"
+
+
+@query("combinatorial_splits", final("SELECT s.symbol, cb.split, cb.a, cb.b FROM cb CROSS JOIN (SELECT DISTINCT symbol FROM ticks) AS s", (TICKS, COMB), ("symbol",), i=["split", "a", "b"]))
+def _cs(spark, sf):
+    plan = splits.combinatorial_splits(spark, 6, 2).select("split", C("test")[0].alias("a"), C("test")[1].alias("b"))
+    keys = views.ticks(spark, sf).select("symbol").distinct()
+    return shape(keys.join(F.broadcast(plan)), ("symbol",), i=["split", "a", "b"])
+
+
+_rng = "rg AS MATERIALIZED (SELECT symbol, grp, min(ts) AS lo, max(ts) AS hi FROM gr GROUP BY 1, 2)"
+_span = "sp AS MATERIALIZED (SELECT symbol, date_diff('microsecond', min(ts), max(ts)) * 0.01 AS pause FROM gr GROUP BY 1)"
+
+
+def _hit(strict):
+    enclose = " OR (g.ts < r.lo AND g.t1 > r.hi)" if strict else ""
+    return f"EXISTS (SELECT 1 FROM rg r WHERE r.symbol = g.symbol AND (r.grp = c.a OR r.grp = c.b) AND (g.ts BETWEEN r.lo AND r.hi OR g.t1 BETWEEN r.lo AND r.hi{enclose} OR (g.ts > r.hi AND date_diff('microsecond', r.hi, g.ts) <= s.pause)))"
+
+
+CPCV = "SELECT symbol, seq, split, role FROM (SELECT g.symbol, g.seq, c.split, CASE WHEN g.grp = c.a OR g.grp = c.b THEN 'test' WHEN NOT {hit} THEN 'train' END AS role FROM gr g CROSS JOIN cb c JOIN sp s ON s.symbol = g.symbol) AS q WHERE role IS NOT NULL"
+
+
+def grouped(spark, sf):
+    return splits.time_groups(labelled(spark, sf).df, 6), splits.combinatorial_splits(spark, 6, 2)
+
+
+@query("purged_splits", final(CPCV.format(hit=_hit(True)), (TICKS, LAB, GRP, COMB, _rng, _span), SPLIT_KEYS, i=["split"]))
+def _ps(spark, sf):
+    g, plan = grouped(spark, sf)
+    return shape(splits.purged_splits(g, plan, embargo=0.01), SPLIT_KEYS, i=["split"])
+
+
+@query("purged_splits_end_points", final(CPCV.format(hit=_hit(False)), (TICKS, LAB, GRP, COMB, _rng, _span), SPLIT_KEYS, i=["split"]))
+def _ps2(spark, sf):
+    g, plan = grouped(spark, sf)
+    return shape(splits.purged_splits(g, plan, embargo=0.01, strict=False), SPLIT_KEYS, i=["split"])
+
+
+@query("backtest_paths", final(
+    "SELECT g.symbol, g.seq, p.path, p.split FROM gr g JOIN (SELECT split, grp, row_number() OVER (PARTITION BY grp ORDER BY split) - 1 AS path FROM (SELECT split, a AS grp FROM cb UNION ALL SELECT split, b FROM cb) AS u) AS p USING (grp)",
+    (TICKS, LAB, GRP, COMB), i=["path", "split"]))
+def _paths(spark, sf):
+    g, _plan = grouped(spark, sf)
+    return shape(g.join(F.broadcast(splits.backtest_paths(spark, 6, 2)), "grp"), i=["path", "split"])
+
+
+@query("partition_paths")
+def _paths2(spark, sf):
+    g, _plan = grouped(spark, sf)
+    return shape(g.join(F.broadcast(splits.backtest_paths(spark, 6, 2, "partition")), "grp"), i=["path", "split"])
+
+
+WF = "SELECT symbol, seq, rn, floor((rn - cut - 1) / 100) AS block, greatest(1, cut + floor((rn - cut - 1) / 100) * 100 - 500 + 1) AS train_from, cut + floor((rn - cut - 1) / 100) * 100 AS train_to FROM (SELECT *, floor(count(*) OVER (PARTITION BY symbol) * 0.7) AS cut FROM ticks) AS q WHERE rn > cut"
+
+
+@query("walk_forward_blocks", final(WF, i=["block", "train_from", "train_to"]))
+def _wf(spark, sf):
+    return shape(splits.walk_forward_blocks(ticks(spark, sf), 0.3, 100, 500), i=["block", "train_from", "train_to"])
+
+
+SEG = "SELECT symbol, seq, dense_rank() OVER (PARTITION BY symbol ORDER BY isle) - 1 AS segment, TIMESTAMP '2000-01-01' + to_minutes(CAST(rn - min(rn) OVER (PARTITION BY symbol, isle) AS BIGINT)) AS clock FROM (SELECT *, rn - row_number() OVER (PARTITION BY symbol ORDER BY rn) AS isle FROM ticks WHERE volume > 30) AS q"
+
+
+@query("training_segments", final(SEG, (TICKS,), ("symbol", "seq", "clock"), i=["segment"]))
+def _seg(spark, sf):
+    df = ticks(spark, sf).df.where(C("Volume") > 30)
+    return shape(splits.training_segments(df, ["symbol"], chunk_rows=CHUNK_ROWS), ("symbol", "seq", "clock"), i=["segment"])
+
+
+# ------------------------------------------------------------- parameter grid, PBO
+GRID = [(i, s, l, p) for i, (s, l, p) in enumerate((s, l, p) for s in (10, 20) for l in (50, 100) for p in (0.01, 0.02))]
+
+
+def grid_returns(spark, sf):
+    grid = spark.createDataFrame(GRID, "config int, short int, long int, stop double")
+    tl = daily(spark, sf)
+    return G.cross_grid(tl.with_df(tl.df.where(C("symbol") == "N")), grid)
+
+
+_gv = ", ".join(f"({i}, {s}, {l}, {p})" for i, s, l, p in GRID)
+GRIDQ = f"""cg(config, short, long, stop) AS (VALUES {_gv}),
+ma AS MATERIALIZED (SELECT *, {pct} AS r, {roll('avg', 'close', 10)} AS m10, {roll('avg', 'close', 20)} AS m20, {roll('avg', 'close', 50)} AS m50, {roll('avg', 'close', 100)} AS m100 FROM bars WHERE symbol = 'N'),
+mx AS MATERIALIZED (SELECT ma.*, config, stop, CASE WHEN short = 10 THEN m10 ELSE m20 END AS a, CASE WHEN long = 50 THEN m50 ELSE m100 END AS b FROM ma CROSS JOIN cg),
+sd AS MATERIALIZED (SELECT *, CASE WHEN a > b AND lag(a) OVER p < lag(b) OVER p THEN 1 WHEN a < b AND lag(a) OVER p > lag(b) OVER p THEN -1 END AS x FROM mx WINDOW p AS (PARTITION BY config ORDER BY rn)),
+hd AS MATERIALIZED (SELECT *, last_value(x IGNORE NULLS) OVER p AS side, last_value(CASE WHEN x IS NOT NULL THEN close END IGNORE NULLS) OVER p AS entry, last_value(CASE WHEN x IS NOT NULL THEN rn END IGNORE NULLS) OVER p AS frm FROM sd WINDOW p AS (PARTITION BY config ORDER BY rn)),
+so AS MATERIALIZED (SELECT *, coalesce(last_value(CASE WHEN side * (close / entry - 1) <= -stop THEN rn END IGNORE NULLS) OVER p >= frm, false) AS out FROM hd WINDOW p AS (PARTITION BY config ORDER BY rn)),
+pm AS MATERIALIZED (SELECT config, ts, rn, coalesce(lag(CASE WHEN out THEN 0 ELSE coalesce(side, 0) END) OVER p * r, 0) AS ret FROM so WINDOW p AS (PARTITION BY config ORDER BY rn))"""
+
+
+@query("performance_matrix", final("SELECT * FROM pm", (DAILY, GRIDQ), ("ts",), ["ret"], ["config"]))
+def _pm(spark, sf):
+    return shape(grid_returns(spark, sf), ("ts",), ["ret"], ["config"])
+
+
+@query("grid_sharpe", final("SELECT config, avg(ret) / stddev_samp(ret) * sqrt(365) AS sharpe FROM pm GROUP BY 1", (DAILY, GRIDQ), (), ["sharpe"], ["config"]))
+def _gs(spark, sf):
+    return shape(S.path_sharpe(grid_returns(spark, sf), ["config"], periods=365), (), ["sharpe"], ["config"])
+
+
+@query("best_config", final("SELECT arg_max(config, s) AS best FROM (SELECT config, round(avg(ret) / stddev_samp(ret), 12) AS s FROM pm GROUP BY 1) AS q", (DAILY, GRIDQ), (), i=["best"]))
+def _bc(spark, sf):
+    score = S.path_sharpe(grid_returns(spark, sf), ["config"], periods=1)
+    return shape(overfit.best_config(score.withColumn("sharpe", F.round("sharpe", 12)), "sharpe"), (), i=["best"])
+
+
+def perf(spark, sf) -> Timeline:
+    df = materialize(grid_returns(spark, sf).select("config", "ts", "ret", "rn"), "performance")
+    return Timeline(df, ("config",), ("ts",), CHUNK_ROWS, True)
+
+
+PBO = """bk AS MATERIALIZED (SELECT config, (rn - 1) // (n // 8) AS blk, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM (SELECT *, count(*) OVER (PARTITION BY config) AS n FROM pm) AS z WHERE (rn - 1) // (n // 8) < 8 GROUP BY 1, 2),
+ch AS MATERIALIZED (SELECT m AS choice, (m >> b) & 1 AS ins, b AS blk FROM range(256) AS r(m), range(8) AS t(b) WHERE bit_count(CAST(m AS INT)) = 4),
+sc AS MATERIALIZED (SELECT choice, config, ins, round((sum(s) / sum(n)) / sqrt((sum(q) - sum(s) * sum(s) / sum(n)) / (sum(n) - 1)), 12) AS sharpe FROM ch JOIN bk USING (blk) GROUP BY 1, 2, 3),
+om AS MATERIALIZED (SELECT choice, best, (9 - rk) / 9.0 AS omega FROM (SELECT choice, config AS best, row_number() OVER (PARTITION BY choice ORDER BY o DESC, config) AS rk, row_number() OVER (PARTITION BY choice ORDER BY i DESC, config) AS ri FROM (SELECT choice, config, coalesce(max(sharpe) FILTER (ins = 1), 0) AS i, coalesce(max(sharpe) FILTER (ins = 0), 0) AS o FROM sc GROUP BY 1, 2) AS q) AS w WHERE ri = 1)"""
+
+
+@query("symmetric_cv", final("SELECT * FROM om", (DAILY, GRIDQ, PBO), (), ["omega"], ["choice", "best"]))
+def _cscv(spark, sf):
+    return shape(overfit.symmetric_cv(perf(spark, sf), 8), (), ["omega"], ["choice", "best"])
+
+
+@query("overfitting_probability", final("SELECT avg(CASE WHEN omega < 0.5 THEN 1.0 ELSE 0.0 END) AS pbo, count(*) AS choices FROM om", (DAILY, GRIDQ, PBO), (), ["pbo"], ["choices"]))
+def _pbo(spark, sf):
+    return shape(overfit.overfitting_probability(overfit.symmetric_cv(perf(spark, sf), 8)), (), ["pbo"], ["choices"])
+
+
+@query("forecast_direction", final(f"SELECT symbol, ts, CASE WHEN close > p THEN 1 ELSE 0 END AS true_dir, CASE WHEN f > p THEN 1 ELSE 0 END AS pred_dir FROM (SELECT *, {lag('close')} AS p, open AS f FROM bars) AS q WHERE p IS NOT NULL", (DAILY,), DAY, i=["true_dir", "pred_dir"]))
+def _fd(spark, sf):
+    return shape(ml.forecast_direction(daily(spark, sf), "Close", "Open"), DAY, i=["true_dir", "pred_dir"])
+
+
+@query("meta_decision", final("SELECT symbol, seq, CASE WHEN close > 140 AND volume > 40 THEN 1 ELSE 0 END AS final FROM ticks", i=["final"]))
+def _md(spark, sf):
+    df = views.ticks(spark, sf).withColumns({"pred": (C("Close") > 140).cast("int"), "meta_pred": (C("Volume") > 40).cast("int")})
+    return shape(ml.meta_decision(df), i=["final"])
+
+
+# ---------------------------------------------------------------------- models
+FEATS = ["ret", "gap", "vol", "z"]
+
+
+def model_table(spark, sf) -> Timeline:
+    """Daily candles with four features, the direction of the next close and its end."""
+
+    def s1(w):
+        return {"ret": C("Close") / F.lag("Close").over(w) - 1, "gap": C("Open") / F.lag("Close").over(w) - 1,
+                "nxt": F.lead("Close").over(w), "t1": F.lead("ts").over(w)}
+
+    tl = daily(spark, sf).compute(s1, back=1, fwd=1)
+    tl = tl.apply(I.rolling_std("Close", 10, "vol"), I.rolling_z_score("Close", 20, "z"))
+    df = tl.df.where(C("nxt").isNotNull()).na.drop(subset=FEATS)
+    df = df.withColumn("label", (C("nxt") > C("Close")).cast("int")).select("symbol", "ts", "seq", "label", "t1", *FEATS)
+    done = Timeline.build(df, chunk_rows=CHUNK_ROWS)
+    return done.settle()
+
+
+def forest():
+    return ml.scaled_pipeline(FEATS, ml.random_forest(trees=5, depth=3))
+
+
+@query("cross_validation")
+def _cv(spark, sf):
+    rows = splits.purged_folds(model_table(spark, sf), 3, "t1", 0.01)
+    pred, scores = ml.cross_validate(rows, range(3), forest, ["symbol", "ts"])
+    return shape(scores, (), ["f1_weighted"], ["fold"])
+
+
+@query("out_of_fold_predictions")
+def _oof(spark, sf):
+    rows = splits.purged_folds(model_table(spark, sf), 3, "t1", 0.01)
+    pred = ml.out_of_fold(rows, range(3), lambda: ml.scaled_pipeline(FEATS, ml.boosted_trees(rounds=3)), ["symbol", "ts", "label"])
+    return shape(pred.withColumn("p1", C("prob")[1]), DAY, ["p1"], ["fold", "label", "pred"])
+
+
+@query("combinatorial_cv")
+def _ccv(spark, sf):
+    tl = model_table(spark, sf)
+    g = splits.time_groups(tl.df, 4)
+    rows = splits.purged_splits(g, splits.combinatorial_splits(spark, 4, 2), embargo=0.01)
+    _j, scores, _s = ml.combinatorial_cv(rows, splits.backtest_paths(spark, 4, 2), range(6), forest, ["symbol", "ts"])
+    return shape(scores, (), ["f1_weighted"], ["path"])
+
+
+@query("walk_forward")
+def _wfm(spark, sf):
+    tl = model_table(spark, sf)
+    blocks = splits.walk_forward_blocks(tl, 0.3, 400)
+    n = (blocks.agg(F.max("block")).first()[0] or 0) + 1
+    pred = ml.walk_forward(tl, blocks, int(n), lambda: ml.scaled_pipeline(FEATS, ml.random_forest(weight="weight", trees=5, depth=3)), ["symbol", "ts"])
+    return shape(pred, DAY, i=["block", "label", "pred"])
+
+
+@query("meta_labelling")
+def _meta(spark, sf):
+    rows = materialize(splits.purged_folds(model_table(spark, sf), 3, "t1", 0.01), "folds")
+    second = lambda: ml.scaled_pipeline(FEATS, ml.random_forest("meta_label", trees=5, depth=3))
+    _d, rep = ml.meta_label_run(rows, range(3), forest, second, ["symbol", "ts"], FEATS)
+    return shape(rep, ("model", "row"), ["precision", "recall", "f1"], ["support"])
+
+
+@query("impurity_importance")
+def _mdi(spark, sf):
+    return shape(ml.impurity_importance(model_table(spark, sf).df, FEATS, trees=5), ("feature",), ["importance"])
+
+
+@query("permutation_importance")
+def _mda(spark, sf):
+    rows = splits.purged_folds(model_table(spark, sf), 3, "t1", 0.01)
+    return shape(ml.permutation_importance(rows, range(3), FEATS, ml.random_forest(trees=5, depth=3), ["symbol", "ts"]), ("feature",), ["importance"])
+
+
+@query("single_feature_importance")
+def _sfi(spark, sf):
+    rows = splits.purged_folds(model_table(spark, sf), 2, "t1", 0.01)
+    return shape(ml.single_feature_importance(rows, range(2), FEATS, ml.random_forest(trees=3, depth=3), ["symbol", "ts"]), ("feature",), ["importance"])
+
+
+@query("orthogonal_importance")
+def _ortho(spark, sf):
+    return shape(ml.orthogonal_importance(model_table(spark, sf).df, FEATS, trees=5), ("component",), ["importance", "explained_variance"])
+
+
+@query("population_scaling", final(f"SELECT symbol, seq, (close - avg(close) OVER ()) / stddev_pop(close) OVER () AS close FROM ticks", d=["close"]))
+def _scale(spark, sf):
+    df = views.ticks(spark, sf)
+    return shape(ml.population_scale(df, df, ["Close"]), d=["Close"])
+
+
+@query("label_indexer", "SELECT event_id AS seq, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS BIGINT) AS code FROM events")
+def _ix(spark, sf):
+    df = views.table(spark, sf, "events").select(C("event_id").alias("seq"), "event_type")
+    return ml.label_indexer("event_type", "code").fit(df).transform(df).select("seq", C("code").cast("bigint").alias("code"))
+
+
+@query("reversal_workflow")
+def _flow(spark, sf):
+    """Volume bars, features, reversal labels, purged folds, a model per fold."""
+    steps = pipeline.reversal_steps(1000, features=("RSI", "MACD", "run", "lag_return"))
+    make = lambda: ml.scaled_pipeline(steps.feature_names, ml.random_forest(weight="weight", trees=5, depth=3))
+    _rows, _pred, scores = pipeline.run_cv(steps, one(spark, sf), make)
+    return shape(scores, (), ["f1_weighted"], ["fold"])
+
+
+@query("barrier_workflow")
+def _flow2(spark, sf):
+    """Dollar bars, features, event labels with uniqueness weights, combinatorial splits."""
+    steps = pipeline.barrier_steps(200_000, 0.05, 0.05, 1, 0.0, features=("RSI", "MACD", "run"))
+    make = lambda: ml.scaled_pipeline(steps.feature_names, ml.random_forest(weight="weight", trees=3, depth=3))
+    _j, scores, _s = pipeline.run_combinatorial(steps, one(spark, sf), make, 4, 2)
+    return shape(scores, (), ["f1_weighted"], ["path"])
+
+
+# --------------------------------------------------------------------- streams
+def tick_stream(spark, sf):
+    """The tick table as a file stream; ticks are watermarked candles."""
+    raw = spark.read.parquet(f"{sf}/events.parquet")
+    stream = spark.readStream.schema(raw.schema).parquet(f"{sf}/events.parquet*")
+    price = C("value") + 100
+    volume = F.get_json_object("props", "$.k").cast("double")
+    return live.candle_stream(
+        stream.select(
+            C("event_type").alias("symbol"), "ts", C("event_id").alias("seq"),
+            *(price.alias(c) for c in ("Open", "High", "Low", "Close")),
+            volume.alias("Volume"), (price * volume).alias("volume_usdt"), F.lit(1).cast("bigint").alias("trade_count"),
+        )
+    )
+
+
+def drain(spark, stream, mode="append"):
+    """Run a stream over the available files into a table and read it back."""
+    out = f"{shared_dir(spark)}/stream-{id(stream)}-{abs(hash(str(stream.schema)))}"
+    q = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+_vb = bar_sql((TICKS,), "ticks", "b.volume", 500)
+_SB = ["open", "high", "low", "close", "volume"]
+
+
+@query("stream_volume_bars", final(_vb[1], _vb[0], ("symbol", "bar_id", "ts"), _SB, ["trade_count"]))
+def _svb(spark, sf):
+    got = drain(spark, live.threshold_bars(tick_stream(spark, sf), "Volume", 500)).where(C("kind") == "bar")
+    got = got.withColumn("ts", C("ts").cast("timestamp_ntz"))
+    return shape(got, ("symbol", "bar_id", "ts"), ["Open", "High", "Low", "Close", "Volume"], ["trade_count"])
+
+
+@query("stream_cusum_events", final("SELECT b.symbol, b.seq, 1 AS one FROM dv b JOIN e USING (symbol, rn) WHERE e.c = 1", (TICKS, *CUSUM), i=["one"]))
+def _sce(spark, sf):
+    got = drain(spark, live.cusum_events(tick_stream(spark, sf), 60)).where(C("kind") == "event")
+    return shape(got.withColumn("one", F.lit(1)), i=["one"])
+
+
+@query("stream_macd_signals", final(
+    f"SELECT symbol, seq, l AS macd, g AS macd_signal, {crossing('l', 'g', False)} AS action FROM (SELECT t.*, e.f - e.s AS l, e.g FROM ticks t JOIN e USING (symbol, rn)) AS q QUALIFY rn >= 35",
+    (TICKS, MACD.replace("{0}", "ticks")), d=["macd", "macd_signal"], i=["action"]))
+def _sms(spark, sf):
+    got = drain(spark, live.macd_signals(tick_stream(spark, sf))).where(C("kind") == "signal")
+    code = F.when(C("action") == "BUY", 1).when(C("action") == "SELL", -1).otherwise(0)
+    return shape(got.withColumn("action", code), d=["macd", "macd_signal"], i=["action"])
+
+
+@query("stream_imbalance_bars")
+def _sib(spark, sf):
+    got = drain(spark, live.imbalance_bars(tick_stream(spark, sf), 5)).where(C("kind") == "bar")
+    return shape(got, d=["threshold", "cum_imbalance"], i=["size"])
+
+
+@query("stream_time_bars")
+def _stb(spark, sf):
+    """Bars whose end the watermark has passed (the last one stays open)."""
+    got = drain(spark, live.time_bars(tick_stream(spark, sf)))
+    got = got.withColumn("bucket", C("bucket").cast("timestamp_ntz"))
+    return shape(got, ("symbol", "bucket"), ["Open", "High", "Low", "Close", "Volume"], ["trade_count"])

@@ -28,7 +28,7 @@ RET = f"rt AS MATERIALIZED (SELECT *, {pct} AS r FROM ticks)"
 
 def returns(spark, sf):
     tl = ticks(spark, sf).apply(I.pct_change(out="r"), keep=["ts", "seq", "Close", "Volume"])
-    return tl.with_df(materialize(tl.df, "returns"))
+    return tl.settle()
 
 
 def changes(spark, sf):

@@ -8,7 +8,6 @@ from tidewheel.functions import rolling as R
 from tidewheel.operators import fills
 from tidewheel.operators import indicators as I
 from tidewheel.operators.recursive import kama, smoothed_features, volume_price_trend
-from tidewheel.storage import materialize
 from tidewheel.timeline import Recipe, Timeline
 
 C = F.col
@@ -105,11 +104,19 @@ def create_features(tl: Timeline, fill: str | None = "reference", volume: bool |
     use exact carries.
     """
     volume = ("Volume" in tl.df.columns) if volume is None else volume
-    base = list(tl.df.columns)
-    cur = tl.apply(*_bounded(volume), keep=base)
-    bounded_cols = [c for c in cur.df.columns if not (c.startswith("_p") or c == "_bbp_pct")]
-    cur = cur.with_df(cur.df.withColumnRenamed("_pClose", "pct_change").select(*dict.fromkeys([*bounded_cols, "pct_change"])))
+    base, keys = list(tl.df.columns), [*tl.by, "rn"]
+    # long memories on the narrowest possible series
+    slim = tl.settle(base).narrow("Close", *(["Volume"] if volume else []))
+    long = kama(slim, out="KAMA")
+    extra = ["KAMA", "run"]
+    if volume:
+        long = volume_price_trend(long, out="VPT")
+        extra.append("VPT")
+    long = long.apply(I.pct_change("Close", 1, "pct_change", 0.0))
+    long = run_length(long, "pct_change", "run", ["pct_change", *(c for c in extra if c != "run")])
+    cur = tl.with_df(tl.df.join(long.df, keys))
     cur = smoothed_features(cur, keep=list(cur.df.columns))
+    cur = cur.apply(*_bounded(volume), keep=list(cur.df.columns))
     close = C("Close")
     cur = cur.extend(
         BB_Width_pct=F.try_divide(C("BB_Upper_pct") - C("BB_Lower_pct"), C("returns_roll_mean")),
@@ -118,28 +125,19 @@ def create_features(tl: Timeline, fill: str | None = "reference", volume: bool |
         DCP=F.try_divide(close - C("_dcl"), C("_dcu") - C("_dcl")),
         **{f"above_ema_{e}": F.when(close > C(f"_ema_{e}"), 1).otherwise(0) for e in EMA_SPANS},
     )
-    cur = cur.with_df(materialize(cur.df.drop(*(c for c in cur.df.columns if c.startswith("_"))), "features"))
-    keep = list(cur.df.columns)
-    cur = kama(cur, out="KAMA", keep=keep)
-    keep.append("KAMA")
-    if volume:
-        cur = volume_price_trend(cur, out="VPT", keep=keep)
-        keep.append("VPT")
-    cur = run_length(cur, "pct_change", "run", keep)
     cols = feature_columns(volume)
-    cur = cur.with_df(cur.df.select(*dict.fromkeys([*tl.by, "rn", *base, *cols])))
+    cur = cur.with_df(cur.df.select(*dict.fromkeys([*keys, *base, *cols])))
     if fill is None:
         return cur
     order = {"reference": ("ffill", "bfill"), "causal": ("ffill",), "older": ("bfill", "ffill")}[fill]
-    ready = cur.with_df(materialize(cur.df, "features"))
-    return fills.fill(ready, cols, order, zero=fill != "older")
+    return fills.fill(cur.settle(), cols, order, zero=fill != "older")
 
 
 def small_features(tl: Timeline) -> Timeline:
     """Compact set filled backward, then forward."""
     cur = tl.apply(*I.compact_features(), keep=[*tl.order, "Close"])
     cols = ["rsi", "momentum", "volatility", "lagged_return", "sma_ratio", "bb_width"]
-    ready = cur.with_df(materialize(cur.df, "features"))
+    ready = cur.settle()
     return fills.fill(ready, cols, ("bfill", "ffill"), zero=False)
 
 

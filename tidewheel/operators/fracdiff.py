@@ -69,7 +69,7 @@ def minimum_order(
     one job: the differenced columns are melted to (key, order, feature) series.
     """
     cols = list(cols)
-    base = tl.with_df(materialize(tl.df.select(*tl.by, "rn", *tl.order, *cols), "orders"))
+    base = tl.settle([*tl.order, *cols])
     tests = []
     for d in np.linspace(0, 1, steps):
         diff = frac_diff(base, cols, float(d), thres)

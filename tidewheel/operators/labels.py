@@ -400,7 +400,7 @@ def oscillator_target(
 
     keep = list(tl.df.columns)
     ready = tl.apply(Recipe(("_x",), (base, osc, final), ("High", "Low"), 36), keep=keep)
-    ready = ready.with_df(materialize(ready.df, "oscillator"))
+    ready = ready.settle()
     tops = peaks(ready, "_x", peak_threshold, peak_distance).select(*tl.by, "rn", F.lit(1).alias("_top"))
     lows = peaks(ready.extend(_x=-C("_x")), "_x", peak_threshold, peak_distance)
     lows = lows.select(*tl.by, "rn", F.lit(-1).alias("_low"))

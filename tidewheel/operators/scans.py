@@ -114,6 +114,7 @@ def affine(tl: Timeline, m: str, b: str, out: str, keep: Sequence[str] | None =
     """y[t] = m[t] * y[t-1] + b[t], started at 0; ``m`` and ``b`` must not be null."""
     keep = list(tl.df.columns) if keep is None else list(keep)
     by = tl.by
+    tl = tl.settle([*keep, m, b])
     base = tl.chunked([m, b])
     schema = T.StructType(
         [
@@ -372,6 +373,7 @@ def reset_scan(
     a null limit never fires.
     """
     by = tl.by
+    tl = tl.settle([*keep, step, limit])
     base = tl.chunked([step, limit])
     schema = T.StructType(
         [
@@ -455,6 +457,7 @@ def guess_and_verify(
     few rounds over few chunks suffice.  Only a count reaches the driver.
     """
     by = tl.by
+    tl = tl.settle([*cols, *keep])
     keys = [*by, "_t"]
     begin = list(initial)
     halo = tl.halo(cols, back=warm_up)

@@ -11,11 +11,12 @@ C = F.col
 
 
 def _sharpe(n: Column, s: Column, q: Column) -> Column:
+    """Mean over deviation to 12 places: the order of summation must not decide ties."""
     mean = s / n
     var = F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))
     sd = F.sqrt(var)
     flat = F.when(mean == 0, F.lit(0.0)).otherwise(F.signum(mean) * float("inf"))
-    return F.coalesce(F.when(sd == 0, flat).otherwise(mean / sd), F.lit(0.0))
+    return F.coalesce(F.when(sd == 0, flat).otherwise(F.round(mean / sd, 12)), F.lit(0.0))
 
 
 def block_moments(tl: Timeline, blocks: int, ret: str = "ret", config: str = "config") -> DataFrame:

@@ -46,7 +46,7 @@ class Steps:
 def bar_series(bars: DataFrame, by: Sequence[str], chunk_rows: int) -> Timeline:
     """Closed bars as a series: bar numbers are gapless, so no new numbering is needed."""
     named = bars.withColumns({"rn": C("bar_id") + 1, "seq": C("bar_id")})
-    return Timeline(materialize(named, "bars"), tuple(by), ("ts", "seq"), chunk_rows)
+    return Timeline(materialize(named, "bars"), tuple(by), ("ts", "seq"), chunk_rows, True)
 
 
 def reversal_steps(volume_threshold: float, tau: float = 0.35, features: Sequence[str] = ()) -> Steps:
@@ -77,7 +77,7 @@ def barrier_steps(dollar_threshold: float, profit: float, loss: float, days: int
 
     def labels(series: Timeline) -> DataFrame:
         vol = L.daily_volatility(series)
-        vol = vol.with_df(materialize(vol.df, "volatility"))
+        vol = vol.settle()
         t1 = L.vertical_barrier(series, days)
         events = L.barrier_events(vol, "daily_vol", min_ret, t1, profit, loss)
         found = materialize(L.event_bins(series, events), "events")

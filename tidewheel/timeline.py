@@ -16,7 +16,7 @@ by a range shuffle (balanced whatever the skew) and cut into chunks of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -54,6 +54,7 @@ class Timeline:
     by: tuple[str, ...] = ("symbol",)
     order: tuple[str, ...] = ("ts", "seq")
     chunk_rows: int = DEFAULT_CHUNK_ROWS
+    settled: bool = False
 
     # ---------------------------------------------------------------- building
     @staticmethod
@@ -92,15 +93,31 @@ class Timeline:
             .withColumn("rn", F.col("_mid") + F.col("_shift") + 1)
             .drop("_mid", "_pid", "_shift")
         )
-        return Timeline(numbered, by, order, chunk_rows)
+        return Timeline(numbered, by, order, chunk_rows, True)
 
-    def with_df(self, df: DataFrame) -> "Timeline":
+    def with_df(self, df: DataFrame, settled: bool = False) -> "Timeline":
         """Same numbering, other columns (``df`` keeps ``by`` and ``rn``)."""
-        return Timeline(df, self.by, self.order, self.chunk_rows)
+        return Timeline(df, self.by, self.order, self.chunk_rows, settled)
 
     def extend(self, **cols: Column) -> "Timeline":
         """Add row-wise columns."""
-        return self.with_df(self.df.withColumns(cols))
+        return self.with_df(self.df.withColumns(cols), self.settled)
+
+    def narrow(self, *cols: str) -> "Timeline":
+        """Only keys, row number and these columns."""
+        return self.with_df(self.df.select(*self._keep(cols)), self.settled)
+
+    def settle(self, cols: Iterable[str] | None = None) -> "Timeline":
+        """Write a derived series once before an operator that reads it more than once.
+
+        Without this every two-pass step would run all earlier steps twice, and a
+        chain of them would double each time.  A series that is a scan with
+        row-wise columns is left alone.
+        """
+        if self.settled:
+            return self if cols is None else self.narrow(*cols)
+        keep = self.df if cols is None else self.df.select(*self._keep(cols))
+        return self.with_df(materialize(keep, "series"), True)
 
     # ------------------------------------------------------------------ pieces
     @property
@@ -215,7 +232,7 @@ class Timeline:
         over that table (rows / chunk_rows), and a window finishes the chunk.
         """
         keep = list(self.df.columns) if keep is None else list(keep)
-        base = self.chunked([*keep, *(c for _, c in specs.values())])
+        base = self.settle([*keep, *(c for _, c in specs.values())]).chunked()
         keys = [*self.by, "_t"]
         per = base.groupBy(*keys).agg(*(_total(k, c).alias(f"_a_{o}") for o, (k, c) in specs.items()))
         prev = Window.partitionBy(*self.by).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
