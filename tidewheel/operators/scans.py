@@ -104,9 +104,11 @@ def tree_prefix(
     return entries
 
 
-def chunk_count(tl: Timeline) -> int:
-    top = tl.df.agg(F.max("rn").alias("n")).first()["n"] or 0
-    return -(-int(top) // tl.chunk_rows)
+def chunk_count(tl: Timeline, least: str | None = None) -> tuple[int, float]:
+    """Chunks of the longest key and the least value of a column, from one aggregate row."""
+    low = F.min(least) if least else F.lit(0.0)
+    row = tl.df.agg(F.max("rn").alias("n"), low.alias("low")).first()
+    return -(-int(row["n"] or 0) // tl.chunk_rows), float(row["low"] or 0.0)
 
 
 # ----------------------------------------------------------------- affine scan
@@ -148,7 +150,7 @@ def affine(tl: Timeline, m: str, b: str, out: str, keep: Sequence[str] | None =
 
     summaries = materialize(base.groupBy(*by, "_t").applyInPandas(summarise, schema), "affine")
     entries = tree_prefix(
-        summaries, by, chunk_count(tl), {"m": "double", "b": "double"}, compose, walk, [0.0]
+        summaries, by, chunk_count(tl)[0], {"m": "double", "b": "double"}, compose, walk, [0.0]
     )
     rows = tl.chunked([*keep, m, b]).join(entries, [*by, "_t"])
     cols = list(dict.fromkeys([*by, "rn", *keep]))
@@ -218,15 +220,27 @@ FN_COLS = {
 }
 
 
-def _prune(theta_u, theta_v):
-    """Keep rows that some entry value can reach first (records of either side)."""
-    if len(theta_u) == 0:
-        return np.zeros(0, dtype=np.int64)
-    best_u = np.minimum.accumulate(np.concatenate(([np.inf], theta_u)))[:-1]
-    best_v = np.maximum.accumulate(np.concatenate(([-np.inf], theta_v)))[:-1]
-    live = (theta_u < best_u) | (theta_v > best_v)
-    always = (best_u == -np.inf) | (best_v == np.inf)
-    return np.flatnonzero(live & ~always)
+def _prune(fn: dict, floor: float) -> dict:
+    """Drop rows no entry value reaches first and merge neighbours with equal ends.
+
+    ``floor`` is the least upper-side value an entry can have: once it fires, no
+    later row is first.  With short bars a few steps per chunk are left.
+    """
+    tu, tv = np.minimum.accumulate(fn["theta_u"]), np.maximum.accumulate(fn["theta_v"])
+    if len(tu) == 0:
+        return fn
+    best_u, best_v = np.concatenate(([np.inf], tu[:-1])), np.concatenate(([-np.inf], tv[:-1]))
+    live = ((tu < best_u) | (tv > best_v)) & (best_u > floor) & (best_v < np.inf)
+    ends = ("exit_u", "exit_v", "exit_open", "exit_n")
+    kept = {c: np.asarray(fn[c])[live] for c in ends}
+    last = np.ones(int(live.sum()), dtype=bool)
+    last[:-1] = np.any([kept[c][1:] != kept[c][:-1] for c in ends], axis=0)
+    return {
+        "theta_u": tu[live][last],
+        "theta_v": tv[live][last],
+        **{c: kept[c][last] for c in ends},
+        "through": fn["through"],
+    }
 
 
 def _evaluate(fn: dict, u, v, opened, count):
@@ -251,7 +265,7 @@ def _evaluate(fn: dict, u, v, opened, count):
     return out_u, out_v, out_o, out_n
 
 
-def _compose_two(f: dict, g: dict) -> dict:
+def _compose_two(f: dict, g: dict, floor: float) -> dict:
     """First ``f``, then ``g``."""
     eu, ev, eo, en = _evaluate(g, f["exit_u"], f["exit_v"], f["exit_open"], f["exit_n"])
     lo, p, hi, q = f["through"]
@@ -260,20 +274,20 @@ def _compose_two(f: dict, g: dict) -> dict:
     tv = np.concatenate([np.asarray(f["theta_v"], float), np.where(hi <= gv, np.inf, gv - q)])
     cat = lambda a, c: np.concatenate([a, np.asarray(g[c], float)])
     eu, ev, eo, en = cat(eu, "exit_u"), cat(ev, "exit_v"), cat(eo, "exit_open"), cat(en, "exit_n")
-    live = _prune(tu, tv)
     glo, gp, ghi, gq = g["through"]
-    return {
-        "theta_u": tu[live],
-        "theta_v": tv[live],
-        "exit_u": eu[live],
-        "exit_v": ev[live],
-        "exit_open": eo[live],
-        "exit_n": en[live],
+    both = {
+        "theta_u": tu,
+        "theta_v": tv,
+        "exit_u": eu,
+        "exit_v": ev,
+        "exit_open": eo,
+        "exit_n": en,
         "through": [max(glo, lo + gp), p + gp, min(ghi, hi + gq), q + gq],
     }
+    return _prune(both, floor)
 
 
-def _chunk_function(step: np.ndarray, limit: np.ndarray, rn: np.ndarray, two_sided: bool, clamp: bool) -> dict:
+def _chunk_function(step: np.ndarray, limit: np.ndarray, rn: np.ndarray, two_sided: bool, clamp: bool, floor: float) -> dict:
     """Transfer function of one chunk for increments ``step`` and per-row thresholds ``limit``."""
     n = len(step)
     limit = np.where(limit > 0, limit, np.inf) if two_sided and not clamp else limit
@@ -314,16 +328,16 @@ def _chunk_function(step: np.ndarray, limit: np.ndarray, rn: np.ndarray, two_sid
             ex_u[i], ex_v[i], ex_o[i], ex_n[i] = ex_u[j + 1], ex_v[j + 1], ex_o[j + 1], ex_n[j + 1] + 1
         else:
             ex_u[i], ex_v[i], ex_o[i] = end_u[i], end_v[i], rn[i]
-    live = _prune(tu, tv)
-    return {
-        "theta_u": tu[live],
-        "theta_v": tv[live],
-        "exit_u": ex_u[live + 1],
-        "exit_v": ex_v[live + 1],
-        "exit_open": ex_o[live + 1],
-        "exit_n": ex_n[live + 1] + 1,
+    whole = {
+        "theta_u": tu,
+        "theta_v": tv,
+        "exit_u": ex_u[1:],
+        "exit_v": ex_v[1:],
+        "exit_open": ex_o[1:],
+        "exit_n": ex_n[1:] + 1,
         "through": through,
     }
+    return _prune(whole, floor)
 
 
 def _drift_end(cum: np.ndarray, before: np.ndarray, extreme) -> np.ndarray:
@@ -374,6 +388,9 @@ def reset_scan(
     """
     by = tl.by
     tl = tl.settle([*keep, step, limit])
+    n_chunks, low = chunk_count(tl, step)
+    # a sum of non-negative steps, or one clamped at zero, never enters a chunk below zero
+    floor = 0.0 if clamp or (low >= 0 and not two_sided) else -np.inf
     base = tl.chunked([step, limit])
     schema = T.StructType(
         [
@@ -393,13 +410,13 @@ def reset_scan(
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn", ignore_index=True)
-        fn = _chunk_function(*arrays(pdf), two_sided, clamp)
+        fn = _chunk_function(*arrays(pdf), two_sided, clamp, floor)
         return pd.DataFrame([{**_key_values(pdf, by), "_t": int(pdf["_t"].iloc[0]), **fn}])
 
     def compose(fs: list[dict]) -> dict:
         whole = fs[0]
         for f in fs[1:]:
-            whole = _compose_two(whole, f)
+            whole = _compose_two(whole, f, floor)
         return whole
 
     def walk(fs: list[dict], start: Sequence[float]) -> list[list[float]]:
@@ -411,7 +428,7 @@ def reset_scan(
 
     summaries = materialize(base.groupBy(*by, "_t").applyInPandas(summarise, schema), "steps")
     entries = tree_prefix(
-        summaries, by, chunk_count(tl), FN_COLS, compose, walk, [0.0, 0.0, 1.0, 0.0]
+        summaries, by, n_chunks, FN_COLS, compose, walk, [0.0, 0.0, 1.0, 0.0]
     )
     rows = tl.chunked([*keep, step, limit]).join(entries, [*by, "_t"])
     cols = list(dict.fromkeys([*by, "rn", *keep]))
