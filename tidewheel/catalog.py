@@ -44,8 +44,8 @@ def daily(spark, sf) -> Timeline:
 
 
 def six_places(x):
-    """Same double arithmetic as the SQL side, so exact ties round alike."""
-    return F.floor(x.cast("double") * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+    """Same double arithmetic as the SQL side; the border lies off all short fractions, so no tie can differ."""
+    return F.floor(x.cast("double") * F.lit(1e6) + F.lit(0.50037)) / F.lit(1e6)
 
 
 def shape(df: DataFrame | Timeline, keys: Sequence[str] = ("symbol", "seq"), d: Sequence[str] = (), i: Sequence[str] = ()) -> DataFrame:
@@ -102,7 +102,7 @@ def nz(x: str) -> str:
 def final(body: str, ctes: Sequence[str] = (TICKS,), keys=("symbol", "seq"), d=(), i=()) -> str:
     cols = [
         *keys,
-        *(f"floor(CAST({c} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS {c}" for c in d),
+        *(f"floor(CAST({c} AS DOUBLE) * 1e6 + 0.50037) / 1e6 AS {c}" for c in d),
         *(f"CAST({c} AS BIGINT) AS {c}" for c in i),
     ]
     return f"WITH RECURSIVE {', '.join(ctes)} SELECT {', '.join(cols)} FROM ({body}) AS q"

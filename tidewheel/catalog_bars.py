@@ -407,13 +407,21 @@ def _asof(name, sql_op, **kw):
         return shape(got, ("trade_id",), ["last_close"], ["tick"])
 
 
+@query("overlap_anti_join", f"WITH {TICKS} SELECT t.symbol, t.seq FROM ticks t WHERE NOT EXISTS (SELECT 1 FROM ticks r WHERE r.symbol = t.symbol AND r.volume > 97 AND r.ts - INTERVAL 30 MINUTE <= t.ts + INTERVAL 1 HOUR AND r.ts + INTERVAL 2 HOUR >= t.ts)")
+def _oaj(spark, sf):
+    t = views.ticks(spark, sf)
+    rows = t.select("symbol", "seq", "ts", (C("ts") + F.expr("interval 1 hour")).alias("t1"))
+    ranges = t.where(C("Volume") > 97).select("symbol", (C("ts") - F.expr("interval 30 minutes")).alias("lo"), (C("ts") + F.expr("interval 2 hours")).alias("hi"))
+    return J.filter_by_overlap(rows, ranges, chunk_rows=CHUNK_ROWS).select("symbol", "seq")
+
+
 _asof("asof_backward", "<=")
 _asof("asof_backward_strict", "<", strict=True)
 _asof("asof_forward", ">=", direction="forward")
 _asof("asof_forward_strict", ">", direction="forward", strict=True)
 
 
-@query("transaction_log", "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 100 + value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS quantity, floor((100 + value) * CAST(json_extract_string(props, '$.k') AS DOUBLE) * 1e6 + 0.5) / 1e6 AS value, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS strategy FROM events WHERE event_type = 'purchase'")
+@query("transaction_log", "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 100 + value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS quantity, floor((100 + value) * CAST(json_extract_string(props, '$.k') AS DOUBLE) * 1e6 + 0.50037) / 1e6 AS value, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS strategy FROM events WHERE event_type = 'purchase'")
 def _tlog(spark, sf):
     from tidewheel.catalog import six_places
 

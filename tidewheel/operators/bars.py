@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions import rolling as R
+from tidewheel.lookup import attach
 from tidewheel.operators.recursive import reach
 from tidewheel.operators.scans import guess_and_verify, reset_scan
 from tidewheel.timeline import Recipe, Timeline
@@ -42,7 +43,8 @@ def closed_bars(assigned: DataFrame, by: Sequence[str], bar: str = "bar_id") ->
     )
 
 
-def _assign(tl: Timeline, metric: Column, threshold: Column | float, keep=OHLCV) -> Timeline:
+def assign_bars(tl: Timeline, metric: Column, threshold: Column | float, keep=OHLCV) -> Timeline:
+    """Row-level bar numbers for any metric and a fixed or per-row threshold."""
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     ready = tl.extend(_step=metric.cast("double"), _limit=limit.cast("double"))
     return reset_scan(ready, "_step", "_limit", keep)
@@ -50,15 +52,15 @@ def _assign(tl: Timeline, metric: Column, threshold: Column | float, keep=OHLCV)
 
 def assign_threshold_bars(tl: Timeline, metric: str, threshold: float, keep=OHLCV) -> Timeline:
     """Row-level bar numbers: a bar closes when its sum of ``metric`` reaches the threshold."""
-    return _assign(tl, C(metric), threshold, keep)
+    return assign_bars(tl, C(metric), threshold, keep)
 
 
 def volume_bars(tl: Timeline, threshold: float) -> DataFrame:
-    return closed_bars(_assign(tl, C("Volume"), threshold).df, tl.by)
+    return closed_bars(assign_bars(tl, C("Volume"), threshold).df, tl.by)
 
 
 def dollar_bars(tl: Timeline, threshold: float) -> DataFrame:
-    return closed_bars(_assign(tl, C("volume_usdt"), threshold).df, tl.by)
+    return closed_bars(assign_bars(tl, C("volume_usdt"), threshold).df, tl.by)
 
 
 def price_change_bars(tl: Timeline, threshold: float) -> DataFrame:
@@ -72,7 +74,7 @@ def price_change_bars(tl: Timeline, threshold: float) -> DataFrame:
         ),
         keep=OHLCV,
     )
-    return closed_bars(_assign(pre, C("_move"), threshold).df, tl.by)
+    return closed_bars(assign_bars(pre, C("_move"), threshold).df, tl.by)
 
 
 def extended_volume_bars(tl: Timeline, threshold: float, open_from: str = "Open") -> DataFrame:
@@ -86,7 +88,7 @@ def extended_volume_bars(tl: Timeline, threshold: float, open_from: str = "Open"
         Recipe(("_prev",), (lambda w: {"_prev": R.prev(C("Close"), w)},), ("Close",), 1),
         keep=OHLCV,
     )
-    rows = _assign(pre, C("Volume"), threshold, [*OHLCV, "_prev"]).df
+    rows = assign_bars(pre, C("Volume"), threshold, [*OHLCV, "_prev"]).df
     inside = F.when(C("rn") > C("bar_open"), F.log(C("Close") / C("_prev")))
     out = (
         rows.withColumn("_ret", inside)
@@ -245,8 +247,8 @@ def volume_imbalance(
     signed = tick_signs(tl, keep=OHLCV)
     smoothed = _mean_sign(signed, span_tick_imbalance)
     if initial_bar_volume is None:
-        totals = smoothed.df.groupBy(*tl.by).agg((F.sum(volume) / 100).alias("_init"))
-        smoothed = smoothed.with_df(smoothed.df.join(totals, list(tl.by)))
+        totals = tl.df.groupBy(*tl.by).agg((F.sum(volume) / 100).alias("_init"))
+        smoothed = smoothed.with_df(attach(smoothed.df, totals, tl.by))
     else:
         smoothed = smoothed.extend(_init=F.lit(float(initial_bar_volume)))
     alpha = 2.0 / (span_bar_volume + 1)
@@ -346,9 +348,9 @@ def threshold_sweep(tl: Timeline, metric: str, steps: int, low_of_mean: float =
         *tl.by,
         F.posexplode(linspace(C("_m") * low_of_mean, C("_x") * high_of_max, steps)).alias("step", "threshold"),
     )
-    rows = tl.df.join(grid, list(tl.by))
+    rows = attach(tl.df, grid, tl.by)
     swept = Timeline(rows, (*tl.by, "step"), tl.order, tl.chunk_rows)
-    done = _assign(swept, C(metric), C("threshold"), [*OHLCV, "threshold"])
+    done = assign_bars(swept, C(metric), C("threshold"), [*OHLCV, "threshold"])
     return (
         done.df.groupBy(*tl.by, "step", "bar_id")
         .agg(F.first("threshold").alias("threshold"), *bar_aggregates(), F.max("closes").alias("_closed"))

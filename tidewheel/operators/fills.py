@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.functions.rolling import clean
+from tidewheel.lookup import attach
 from tidewheel.timeline import Timeline
 
 C = F.col
@@ -129,7 +130,7 @@ def calendar_features(df: DataFrame, ts: str = "ts") -> DataFrame:
 def cap_outliers(df: DataFrame, by: Sequence[str], x: str, low: float = 0.01, high: float = 0.99, accuracy: int = 10_000) -> DataFrame:
     """Clip to approximate quantiles per key (sketch aggregate, joined back)."""
     q = df.groupBy(*by).agg(F.percentile_approx(x, [low, high], accuracy).alias("_q"))
-    return df.join(q, list(by)).withColumn(
+    return attach(df, q, by).withColumn(
         x, F.least(F.greatest(C(x), C("_q")[0]), C("_q")[1])
     ).drop("_q")
 
@@ -143,7 +144,7 @@ def scale(df: DataFrame, by: Sequence[str], cols: Sequence[str], kind: str = "st
         else:
             aggs += [F.min(c).alias(f"_a_{c}"), (F.max(c) - F.min(c)).alias(f"_b_{c}")]
     stats = df.groupBy(*by).agg(*aggs)
-    got = df.join(stats, list(by)) if by else df.join(F.broadcast(stats))
+    got = attach(df, stats, by) if by else df.join(F.broadcast(stats))
     done = got.withColumns(
         {c: (C(c) - C(f"_a_{c}")) / F.when(C(f"_b_{c}") == 0, F.lit(1.0)).otherwise(C(f"_b_{c}")) for c in cols}
     )
@@ -152,18 +153,20 @@ def scale(df: DataFrame, by: Sequence[str], cols: Sequence[str], kind: str = "st
 
 def head_tail(tl: Timeline, tail_share: float) -> DataFrame:
     """Positional split: the last ``tail_share`` of every key is ``test``, the rest ``train``."""
+    tl = tl.settle()
     n = tl.rows_per_key()
     cut = F.floor(C("n_rows") * F.lit(1.0 - tail_share))
     role = F.when(C("rn") <= cut, "train").otherwise("test")
-    return tl.df.join(n, list(tl.by)).withColumn("role", role).drop("n_rows")
+    return attach(tl.df, n, tl.by).withColumn("role", role).drop("n_rows")
 
 
 def three_way(tl: Timeline, train: float, validation: float) -> DataFrame:
     """Chronological train / validation / test roles."""
+    tl = tl.settle()
     n = tl.rows_per_key()
     a, b = F.floor(C("n_rows") * F.lit(train)), F.floor(C("n_rows") * F.lit(train + validation))
     role = F.when(C("rn") <= a, "train").when(C("rn") <= b, "validation").otherwise("test")
-    return tl.df.join(n, list(tl.by)).withColumn("role", role).drop("n_rows")
+    return attach(tl.df, n, tl.by).withColumn("role", role).drop("n_rows")
 
 
 def latest(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:

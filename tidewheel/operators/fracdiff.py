@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.lookup import attach
 from tidewheel.operators import stats
 from tidewheel.storage import materialize
 from tidewheel.timeline import Timeline
@@ -36,11 +37,12 @@ def frac_diff(tl: Timeline, cols: Sequence[str], d: float, thres: float = 1e-5)
     The filter is a convolution over chunk plus halo.
     """
     cols = list(cols)
+    tl = tl.settle([*tl.order, *cols])
     weights = ffd_weights(d, thres)
     width = len(weights) - 1
     ready = tl.running(keep=[*tl.order, *cols], **{f"_f_{c}": ("last", c) for c in cols})
     first = tl.df.groupBy(*tl.by).agg(*(F.min(F.when(C(c).isNotNull(), C("rn"))).alias(f"_s_{c}") for c in cols))
-    ready = ready.with_df(ready.df.join(first, list(tl.by)))
+    ready = ready.with_df(attach(ready.df, first, tl.by))
 
     def fn(pdf: pd.DataFrame) -> dict:
         out = {}
@@ -73,10 +75,10 @@ def minimum_order(
     tests = []
     for d in np.linspace(0, 1, steps):
         diff = frac_diff(base, cols, float(d), thres)
-        rows = diff.df.na.drop()
+        rows = materialize(diff.df.na.drop(), "orders")
         shift = rows.groupBy(*tl.by).agg(F.min("rn").alias("_lo"))
         long = stats.melt(
-            rows.join(shift, list(tl.by)).withColumn("rn", C("rn") - C("_lo") + 1), [*tl.by, "rn"], cols
+            attach(rows, shift, tl.by).withColumn("rn", C("rn") - C("_lo") + 1), [*tl.by, "rn"], cols
         )
         series = Timeline(long, (*tl.by, "feature"), ("rn",), tl.chunk_rows)
         tests.append(stats.adf(series, "value").withColumn("d", F.lit(round(float(d), 10))))

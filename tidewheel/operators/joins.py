@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.lookup import attach, bounded
 from tidewheel.timeline import DEFAULT_CHUNK_ROWS, Timeline
 
-MAX_BROADCAST_ROWS = 100_000
-
 
 def asof_join(
     left: DataFrame,
@@ -83,14 +82,6 @@ def anti_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.join(right.select(*keys), list(keys), "left_anti")
 
 
-def bounded(small: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side after counting it; larger sides are refused."""
-    n = small.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"side has more than {limit} rows; it may not be broadcast")
-    return F.broadcast(small)
-
-
 def overlaps(start: Column, end: Column, lo: Column, hi: Column, enclosing: bool = True) -> Column:
     """Interval [start, end] touches [lo, hi]; without ``enclosing`` only an end point inside counts."""
     if enclosing:
@@ -98,6 +89,32 @@ def overlaps(start: Column, end: Column, lo: Column, hi: Column, enclosing: bool
     return ((start >= lo) & (start <= hi)) | ((end >= lo) & (end <= hi))
 
 
+def filter_by_overlap(
+    rows: DataFrame, ranges: DataFrame, by: Sequence[str] = ("symbol",), start: str = "ts", end: str = "t1",
+    lo: str = "lo", hi: str = "hi", keep: str = "outside", chunk_rows: int = DEFAULT_CHUNK_ROWS,
+) -> DataFrame:
+    """Rows whose [start, end] touches no range of their key (or only those that touch one).
+
+    A row touches a range exactly when, of the ranges that begin by its end, the
+    latest end is not before its start.  That is a running maximum over both
+    sides laid out by time: no pairs are formed, however many ranges overlap.
+    """
+    if keep not in ("outside", "inside"):
+        raise ValueError(f"unknown side: {keep}")
+    none = F.lit(None)
+    lrow = F.struct(*rows.columns)
+    a = rows.select(
+        *by, F.col(end).alias("_at"), F.lit(1).alias("_side"), lrow.alias("_row"), none.cast(ranges.schema[hi].dataType).alias("_hi")
+    )
+    b = ranges.select(
+        *by, F.col(lo).alias("_at"), F.lit(0).alias("_side"), none.cast(rows.select(lrow.alias("x")).schema["x"].dataType).alias("_row"), F.col(hi).alias("_hi")
+    )
+    tl = Timeline.build(a.unionByName(b), by, ("_at", "_side"), chunk_rows)
+    done = tl.running(keep=["_row"], _top=("max", "_hi")).df.where(F.col("_row").isNotNull())
+    touches = F.coalesce(F.col("_top") >= F.col("_row")[start], F.lit(False))
+    return done.where(touches if keep == "inside" else ~touches).select("_row.*")
+
+
 def with_grid(df: DataFrame, grid: DataFrame) -> DataFrame:
     """Every row for every entry of a counted parameter grid."""
     return df.join(bounded(grid, 10_000), how="cross")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.functions import rolling as R
+from tidewheel.lookup import attach
 from tidewheel.operators.joins import asof_join
 from tidewheel.operators.recursive import reach
 from tidewheel.operators.scans import first_hit, reset_scan
@@ -220,6 +221,7 @@ def barrier_events(
     to the end of the series and are dropped if nothing is touched.
     """
     by = tl.by
+    tl = tl.settle([*tl.order, price, target])
     filled = tl.running(keep=[*tl.order, price], trgt=("last", target)).df
     n = tl.rows_per_key()
     unit = C("trgt") if scale_by_target else F.lit(1.0)
@@ -227,9 +229,8 @@ def barrier_events(
     next_up = F.lit(1.0) + profit * unit
     next_dn = F.lit(1.0) - loss * unit
     events = (
-        filled.where(C("trgt") > min_ret)
+        attach(filled.where(C("trgt") > min_ret), n, by)
         .join(ends, [*by, "rn"], "left")
-        .join(n, list(by))
         .select(
             *by, *tl.order, price, "trgt", "t1", "t1_rn",
             C("rn").alias("start_rn"),

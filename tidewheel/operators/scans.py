@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tidewheel.storage import materialize
 from tidewheel.timeline import Timeline
 
-FAN_IN = 64
+FAN_IN = 16
 
 
 def _key_fields(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:

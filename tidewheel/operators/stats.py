@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import rolling as R
 from tidewheel.functions import tails
+from tidewheel.lookup import attach
 from tidewheel.timeline import Recipe, Timeline
 
 C = F.col
@@ -32,20 +33,52 @@ def scalar(fn, *cols: Column) -> Column:
 # ------------------------------------------------------------------- summaries
 def describe(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """Count, mean, deviation, minimum, exact quartiles, maximum."""
-    return df.groupBy(*by).agg(
+    plain = df.groupBy(*by).agg(
         F.count(x).alias("n"),
         F.avg(x).alias("mean"),
         F.stddev_samp(x).alias("std"),
         F.min(x).alias("min"),
-        *(F.percentile(x, q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)),
         F.max(x).alias("max"),
     )
+    quart = quantiles(df, by, x, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return plain.join(quart, list(by)).select(*by, "n", "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+def quantiles(df: DataFrame, by: Sequence[str], x: str, wanted: dict[str, float], chunk_rows: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles without holding a key's values in one task.
+
+    Values are counted per distinct value first; a balanced layout by value gives
+    each its range of ranks, and the one or two values around every wanted rank
+    are picked out.
+    """
+    kw = {} if chunk_rows is None else {"chunk_rows": chunk_rows}
+    by = list(by)
+    counts = df.where(C(x).isNotNull()).groupBy(*by, C(x).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    tl = Timeline.build(counts, by, ("_v",), **kw)
+    n = tl.df.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    ranked = attach(tl.running(keep=["_v", "_n"], _hi=("sum", "_n")).df, n, by)
+    low = C("_hi") - C("_n")
+    picks = []
+    for name, q in wanted.items():
+        pos = (C("_all") - 1) * F.lit(float(q))
+        for part, rank in (("f", F.floor(pos)), ("c", F.ceil(pos))):
+            picks.append(F.max(F.when((rank >= low) & (rank < C("_hi")), C("_v"))).alias(f"_{part}_{name}"))
+    got = ranked.groupBy(*by).agg(F.first("_all").alias("_all"), *picks)
+
+    def between(name: str, q: float) -> Column:
+        pos = (C("_all") - 1) * F.lit(float(q))
+        return C(f"_f_{name}") + (C(f"_c_{name}") - C(f"_f_{name}")) * (pos - F.floor(pos))
+
+    return got.select(*by, *(between(k, q).alias(k) for k, q in wanted.items()))
 
 
 def threshold_levels(df: DataFrame, by: Sequence[str], x: str, exact: bool = True) -> DataFrame:
     """Mean, 75 % and 90 % quantile.  ``exact=False`` uses the mergeable sketch for huge keys."""
-    q = F.percentile if exact else F.percentile_approx
-    return df.groupBy(*by).agg(F.avg(x).alias("mean"), q(x, 0.75).alias("q75"), q(x, 0.9).alias("q90"))
+    if not exact:
+        q = F.percentile_approx
+        return df.groupBy(*by).agg(F.avg(x).alias("mean"), q(x, 0.75).alias("q75"), q(x, 0.9).alias("q90"))
+    mean = df.groupBy(*by).agg(F.avg(x).alias("mean"))
+    return mean.join(quantiles(df, by, x, {"q75": 0.75, "q90": 0.9}), list(by))
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -77,8 +110,8 @@ def ecdf(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """
     counts = df.where(C(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_n"))
     tl = Timeline.build(counts, by, (x,))
-    n = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    run = tl.running(keep=[x], _upto=("sum", "_n")).df.join(n, list(by))
+    n = tl.df.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    run = attach(tl.running(keep=[x], _upto=("sum", "_n")).df, n, by)
     return run.select(*by, x, (C("_upto") / C("_all")).alias("ecdf"))
 
 
@@ -171,8 +204,9 @@ def autocovariances(tl: Timeline, x: str, lags: int) -> DataFrame:
     Lag products are row-wise in one chunked pass; the mean is one row per key.
     """
     by = list(tl.by)
+    tl = tl.settle([x])
     mean = tl.df.groupBy(*by).agg(F.avg(x).alias("_m"))
-    centred = tl.with_df(tl.df.select(*by, "rn", x).join(mean, by).withColumn("_x", C(x) - C("_m")))
+    centred = tl.with_df(attach(tl.df, mean, by).withColumn("_x", C(x) - C("_m")))
 
     def s(w):
         return {f"_p{k}": C("_x") * R.prev(C("_x"), w, k) for k in range(1, lags + 1)}
@@ -229,10 +263,11 @@ def _durbin_levinson(rho) -> list[float]:
 def levene(tl: Timeline, x: str) -> DataFrame:
     """Median-centred variance test between the first and second half of each key."""
     by = list(tl.by)
+    tl = tl.settle([x])
     n = tl.rows_per_key()
-    half = tl.df.join(n, by).withColumn("_h", F.when(C("rn") <= F.floor(C("n_rows") / 2), 1).otherwise(2))
-    med = half.groupBy(*by, "_h").agg(F.percentile(x, 0.5).alias("_med"))
-    dev = half.join(med, [*by, "_h"]).withColumn("_z", F.abs(C(x) - C("_med")))
+    half = attach(tl.df, n, by).withColumn("_h", F.when(C("rn") <= F.floor(C("n_rows") / 2), 1).otherwise(2))
+    med = quantiles(half, [*by, "_h"], x, {"_med": 0.5}, tl.chunk_rows)
+    dev = attach(half, med, [*by, "_h"]).withColumn("_z", F.abs(C(x) - C("_med")))
     part = dev.groupBy(*by, "_h").agg(
         F.count("_z").alias("_n"), F.avg("_z").alias("_m"), F.var_pop("_z").alias("_v")
     )
@@ -567,10 +602,11 @@ def weighted_tau(df: DataFrame, by: Sequence[str], x: str, y: str, limit: int =
     def tau(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([_weighted_tau(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(xs, ys)])
 
-    got = df.where(C(x).isNotNull() & C(y).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.collect_list(F.struct(C(x).alias("x"), C(y).alias("y"))).alias("_l")
-    )
-    got = got.withColumn("_l", F.when(C("_n") > limit, F.raise_error(F.lit("ranking too long"))).otherwise(C("_l")))
+    known = df.where(C(x).isNotNull() & C(y).isNotNull()).select(*by, C(x).alias("x"), C(y).alias("y"))
+    longest = known.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if longest > limit:
+        raise ValueError(f"a ranking of {longest} features is longer than {limit}")
+    got = known.groupBy(*by).agg(F.collect_list(F.struct("x", "y")).alias("_l"))
     return got.select(*by, tau("_l.x", "_l.y").alias("weighted_tau"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions import rolling as R
+from tidewheel.lookup import attach
 from tidewheel.operators.bars import calendar_bars, day
 from tidewheel.operators.stats import scalar
 from tidewheel.timeline import Recipe, Timeline
@@ -51,12 +52,12 @@ def har_backtest(tl: Timeline, initial_days: int = 90, min_rows: int = 23, stric
     target is already known on the forecast day; with ``strict=False`` the row of
     the day before, whose target is the forecast day itself, is used too.
     """
-    full = har_table(tl, rv)
+    full = har_table(tl, rv).settle()
     rows = full.df.na.drop(subset=[*REGRESSORS, "rv_daily_next", rv])
     start = rows.groupBy(*tl.by).agg(F.min(ts).alias("_t0"), F.min("rn").alias("_lo"))
     # the complete rows are consecutive, so renumbering by a shift is enough
     base = full.with_df(
-        rows.join(start, list(tl.by)).withColumn("rn", C("rn") - C("_lo") + 1).drop("_lo")
+        attach(rows, start, tl.by).withColumn("rn", C("rn") - C("_lo") + 1).drop("_lo")
     )
     x = [F.lit(1.0), *(C(c) for c in REGRESSORS)]
     y = C("rv_daily_next")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions import rolling as R
+from tidewheel.lookup import attach
+from tidewheel.storage import materialize
 from tidewheel.timeline import Recipe, Timeline
 
 C = F.col
@@ -96,9 +98,10 @@ def sample_weights(tl: Timeline, events: DataFrame, price: str = "Close", out: s
 
     moves = tl.apply(Recipe(("_lr",), (s,), (price,), 1), keep=[]).df
     moves = moves.select(*by, C("rn").alias("start_rn"), "_lr")
-    raw = average_uniqueness(tl, events).join(moves, [*by, "start_rn"]).withColumn("_w", C("uniqueness") * C("_lr"))
+    raw = average_uniqueness(tl, events).join(moves, [*by, "start_rn"])
+    raw = materialize(raw.withColumn("_w", C("uniqueness") * C("_lr")), "weights")
     totals = raw.groupBy(*by).agg(F.sum("_w").alias("_sum"))
-    return raw.join(totals, list(by)).withColumn(out, F.try_divide(C("_w"), C("_sum"))).drop("_lr", "_w", "_sum")
+    return attach(raw, totals, by).withColumn(out, F.try_divide(C("_w"), C("_sum"))).drop("_lr", "_w", "_sum")
 
 
 def concurrency_summary(df: DataFrame, group: Sequence[str], x: str = "concurrency") -> DataFrame:
@@ -111,9 +114,9 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """n / (classes * class count) per row."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     whole = per.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    # one row, joined by a constant: the number of classes bounds the other side
+    # one row broadcast against the class counts
     table = per.join(F.broadcast(whole)).select(label, (C("_n") / (C("_k") * C("_nc"))).alias(out))
-    return df.join(table, label)
+    return attach(df, table, [label])
 
 
 def positive_weight(label: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.lookup import attach
 from tidewheel.timeline import Timeline
 
 C = F.col
@@ -24,13 +25,14 @@ def block_moments(tl: Timeline, blocks: int, ret: str = "ret", config: str = "co
 
     ``tl`` is numbered per config.  After this no step touches the raw returns.
     """
-    n = tl.df.groupBy(config).agg(F.max("rn").alias("_n"))
     if blocks % 2:
         raise ValueError("the number of blocks must be even")
+    tl = tl.settle()
+    n = tl.df.groupBy(config).agg(F.max("rn").alias("_n"))
     shortest = n.agg(F.min("_n")).first()[0] or 0
     if shortest < blocks:
         raise ValueError(f"{shortest} periods are fewer than {blocks} blocks")
-    got = tl.df.join(n, config).withColumn("block", F.expr(f"(rn - 1) div (_n div {blocks})").cast("int"))
+    got = attach(tl.df, n, [config]).withColumn("block", F.expr(f"(rn - 1) div (_n div {blocks})").cast("int"))
     return got.where(C("block") < blocks).groupBy("block", config).agg(
         F.count(ret).alias("n"), F.sum(ret).alias("s"), F.sum(C(ret) * C(ret)).alias("q")
     )

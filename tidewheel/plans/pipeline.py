@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.lookup import attach
 from tidewheel.operators import bars as B
 from tidewheel.operators import features as X
 from tidewheel.operators import indicators as I
@@ -113,7 +114,7 @@ def sweep(tl: Timeline, grid: DataFrame, metric: str, threshold: Column, min_bar
     """Threshold bars for every grid row (``param_id`` first) with both-way guard on the bar count."""
     rows = with_grid(tl.df, grid)
     keyed = Timeline(rows, (*tl.by, "param_id"), tl.order, tl.chunk_rows)
-    done = B._assign(keyed, C(metric), threshold)
-    bars = B.closed_bars(done.df, keyed.by)
+    done = B.assign_bars(keyed, C(metric), threshold)
+    bars = materialize(B.closed_bars(done.df, keyed.by), "bars")
     enough = bars.groupBy(*keyed.by).agg(F.count(F.lit(1)).alias("n_bars")).where(C("n_bars") >= min_bars)
-    return bars.join(enough, list(keyed.by))
+    return attach(bars, enough, keyed.by)

@@ -13,11 +13,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.operators.joins import bounded
+from tidewheel.lookup import attach
+from tidewheel.storage import materialize
 from tidewheel.timeline import Timeline
 
 C = F.col
-MAX_SPLITS = 100_000
 
 
 def fold_number(n_splits: int, rn: str = "rn", n: str = "n_rows") -> Column:
@@ -37,18 +37,19 @@ def purged_folds(tl: Timeline, n_splits: int, t1: str = "t1", embargo: float = 0
     test end, plus the embargo rows.
     """
     by = list(tl.by)
+    tl = tl.settle()
     n = tl.rows_per_key()
-    rows = tl.df.join(n, by).withColumn("_f", fold_number(n_splits))
+    rows = attach(tl.df, n, by).withColumn("_f", fold_number(n_splits))
     per = rows.groupBy(*by, C("_f").alias("fold")).agg(
         F.min("rn").alias("_lo"), F.max("rn").alias("_hi"),
         F.min(ts).alias("_start"), F.max(t1).alias("_latest"), F.first("n_rows").alias("_n"),
     )
-    folds = bounded(per, MAX_SPLITS)
+    per = materialize(per, "folds")
     after = (
-        tl.df.select(*by, ts).join(folds, by)
+        attach(tl.df.select(*by, ts), per, by)
         .groupBy(*by, "fold").agg((F.count_if(C(ts) < C("_latest")) + 1).alias("_after"))
     )
-    table = bounded(per.join(after, [*by, "fold"]), MAX_SPLITS)
+    table = per.join(after, [*by, "fold"])
     skip = F.floor(C("_n") * F.lit(float(embargo)))
     ends_before = C(t1) <= C("_start") if inclusive else C(t1) < C("_start")
     role = F.when(C("rn").between(C("_lo"), C("_hi")), "test").when(
@@ -56,7 +57,7 @@ def purged_folds(tl: Timeline, n_splits: int, t1: str = "t1", embargo: float = 0
     )
     both = ends_before & C("rn").between(C("_lo"), C("_hi"))
     roles = F.array_compact(F.array(role, F.when(both, "train")))
-    out = tl.df.join(table, by).withColumn("role", F.explode(roles))
+    out = attach(tl.df, table, by).withColumn("role", F.explode(roles))
     return out.drop("_lo", "_hi", "_start", "_latest", "_n", "_after")
 
 
@@ -64,7 +65,7 @@ def time_groups(df: DataFrame, n_groups: int, by: Sequence[str] = ("symbol",), t
     """Equal time slices per key; the last one is closed on the right; slices may be empty."""
     us = F.unix_micros(C(ts).cast("timestamp"))
     span = df.groupBy(*by).agg(F.min(us).alias("_a"), F.max(us).alias("_b"))
-    got = df.join(span, list(by)).withColumn("_u", us)
+    got = attach(df, span, by).withColumn("_u", us)
     g = F.when(C("_b") == C("_a"), F.lit(0)).otherwise(
         F.expr(f"least((_u - _a) * {n_groups} div greatest(_b - _a, 1L), {n_groups - 1}L)")
     )
@@ -106,7 +107,7 @@ def purged_splits(
         .withColumn("_pause", pause)
         .drop("_a", "_b")
     )
-    got = df.join(bounded(table, MAX_SPLITS), by)
+    got = attach(df, table, by)
     start, end = C(ts), C(t1)
 
     def hit(r):
@@ -174,9 +175,10 @@ def _cover(groups: frozenset, sets: list, rng: random.Random) -> list | None:
 
 def walk_forward_blocks(tl: Timeline, test_share: float, refit_every: int, window: int | None = None) -> DataFrame:
     """Test rows with their refit block and the row range each block trains on."""
+    tl = tl.settle()
     n = tl.rows_per_key()
     cut = F.floor(C("n_rows") * F.lit(1.0 - test_share))
-    got = tl.df.join(n, list(tl.by)).withColumn("_cut", cut).where(C("rn") > C("_cut"))
+    got = attach(tl.df, n, tl.by).withColumn("_cut", cut).where(C("rn") > C("_cut"))
     block = F.floor((C("rn") - C("_cut") - 1) / refit_every)
     end = C("_cut") + C("block") * refit_every
     low = F.lit(1).cast("bigint") if window is None else F.greatest(F.lit(1), end - window + 1)

@@ -83,10 +83,13 @@ class Timeline:
             F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")
         )
         before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-        shift = counts.select(
-            "_pid",
-            *by,
-            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        shift = materialize(
+            counts.select(
+                "_pid",
+                *by,
+                (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+            ),
+            "offsets",
         )
         numbered = (
             placed.join(shift, ["_pid", *by])
