@@ -140,3 +140,38 @@ def test_report_without_predictions(spark):
     rep = stats.classification_report(df.withColumn("k", F.lit(1)), ["k"], "y", "p").toPandas().set_index("row")
     assert rep.loc["1", "precision"] == 1 and rep.loc["1", "recall"] == 0.5
     assert rep.loc["accuracy", "f1"] == pytest.approx(2 / 3)
+
+
+def test_release_deletes_only_own_tables(spark, tmp_path):
+    import os
+
+    from tidewheel import storage
+
+    kept = list(storage._WRITTEN)
+    storage._WRITTEN.clear()
+    df = storage.materialize(spark.range(3), "probe")
+    path = storage._WRITTEN[0]
+    assert df.count() == 3 and os.path.exists(path)
+    assert storage.release(spark) == 1 and not os.path.exists(path)
+    storage._WRITTEN.extend(kept)
+
+
+def test_large_small_side_is_salted(spark):
+    from tidewheel.lookup import attach
+
+    big = spark.range(1000).withColumn("k", F.when(F.col("id") < 900, 0).otherwise(F.col("id")))
+    small = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = attach(big, small, ["k"], limit=10, salts=4)
+    assert got.count() == 1000 and got.where("k = 0").agg(F.min("n")).first()[0] == 900
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+
+
+def test_no_ordered_window_on_a_bare_key(spark):
+    """Windows over rows are keyed by (key, chunk); filters and columns reach the scan."""
+    from tidewheel.operators import indicators
+
+    tl = Timeline.build(candles(spark, walk(200, "A")), chunk_rows=50)
+    plan = tl.apply(indicators.sma(), indicators.bollinger(), keep=["Close"]).df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert "Volume" not in plan

@@ -26,34 +26,34 @@ def simple(name, recipes, d, body, on="daily", i=()):
 
     @query(name, sql)
     def run(spark, sf):
-        return shape(src(spark, sf).apply(*recipes), keys, d, i)
+        return shape(src(spark, sf).apply(*recipes()), keys, d, i)
 
 
 pct = f"(close / {lag('close')} - 1)"
-simple("pct_change", [I.pct_change(), I.pct_change("Close", 3, "pct_3")], ["pct_change", "pct_3"],
+simple("pct_change", lambda: [I.pct_change(), I.pct_change("Close", 3, "pct_3")], ["pct_change", "pct_3"],
        f"{pct} AS pct_change, close / {lag('close', 3)} - 1 AS pct_3", "ticks")
-simple("price_difference", [I.price_difference()], ["price_difference"], f"coalesce({pct}, 0) AS price_difference", "ticks")
-simple("sma", [I.sma("Close", 20, "sma")], ["sma"], f"{roll('avg', 'close', 20)} AS sma", "ticks")
-simple("rolling_std", [I.rolling_std("Close", 20, "std"), I.rolling_sum("Volume", 10, "vsum")], ["std", "vsum"],
+simple("price_difference", lambda: [I.price_difference()], ["price_difference"], f"coalesce({pct}, 0) AS price_difference", "ticks")
+simple("sma", lambda: [I.sma("Close", 20, "sma")], ["sma"], f"{roll('avg', 'close', 20)} AS sma", "ticks")
+simple("rolling_std", lambda: [I.rolling_std("Close", 20, "std"), I.rolling_sum("Volume", 10, "vsum")], ["std", "vsum"],
        f"{roll('stddev_samp', 'close', 20)} AS std, {roll('sum', 'volume', 10)} AS vsum", "ticks")
-simple("momentum", [I.momentum()], ["momentum"], f"close - {lag('close', 10)} AS momentum", "ticks")
-simple("roc", [I.roc()], ["roc"], f"(close - {lag('close', 10)}) / {lag('close', 10)} * 100 AS roc", "ticks")
-simple("zscore", [I.rolling_z_score()], ["zscore"],
+simple("momentum", lambda: [I.momentum()], ["momentum"], f"close - {lag('close', 10)} AS momentum", "ticks")
+simple("roc", lambda: [I.roc()], ["roc"], f"(close - {lag('close', 10)}) / {lag('close', 10)} * 100 AS roc", "ticks")
+simple("zscore", lambda: [I.rolling_z_score()], ["zscore"],
        f"(close - {roll('avg', 'close', 20)}) / {nz(roll('stddev_pop', 'close', 20))} AS zscore", "ticks")
 TR = f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"
-simple("true_range", [I.true_range()], ["true_range"], f"{TR} AS true_range")
-simple("awesome_oscillator", [I.awesome_oscillator()], ["ao"],
+simple("true_range", lambda: [I.true_range()], ["true_range"], f"{TR} AS true_range")
+simple("awesome_oscillator", lambda: [I.awesome_oscillator()], ["ao"],
        f"{roll('avg', '((high+low)/2)', 5)} - {roll('avg', '((high+low)/2)', 34)} AS ao")
-simple("williams_r", [I.williams_r()], ["willr"],
+simple("williams_r", lambda: [I.williams_r()], ["willr"],
        f"-100 * ({roll('max', 'high', 14)} - close) / {nz(roll('max', 'high', 14) + ' - ' + roll('min', 'low', 14))} AS willr")
-simple("donchian", [I.donchian()], ["dc_upper", "dc_lower"],
+simple("donchian", lambda: [I.donchian()], ["dc_upper", "dc_lower"],
        f"{roll('max', 'high', 20)} AS dc_upper, {roll('min', 'low', 20)} AS dc_lower")
-simple("volume_oscillator", [I.volume_oscillator()], ["vo"],
+simple("volume_oscillator", lambda: [I.volume_oscillator()], ["vo"],
        f"100 * ({roll('avg', 'volume', 14)} - {roll('avg', 'volume', 28)}) / {nz(roll('avg', 'volume', 28))} AS vo")
 MFM = f"(((close - low) - (high - close)) / {nz('high - low')} * volume)"
-simple("chaikin_money_flow", [I.chaikin_money_flow()], ["cmf"],
+simple("chaikin_money_flow", lambda: [I.chaikin_money_flow()], ["cmf"],
        f"{roll('sum', MFM, 20)} / {nz(roll('sum', 'volume', 20))} AS cmf")
-simple("stochastic_series", [I.stochastic_series("Close", 14, "stoch")], ["stoch"],
+simple("stochastic_series", lambda: [I.stochastic_series("Close", 14, "stoch")], ["stoch"],
        f"100 * (close - {roll('min', 'close', 14)}) / {nz(roll('max', 'close', 14) + ' - ' + roll('min', 'close', 14))} AS stoch", "ticks")
 
 
@@ -65,40 +65,40 @@ def staged(name, recipes, d, inner, outer, on="daily", i=()):
 
     @query(name, sql)
     def run(spark, sf):
-        return shape(src(spark, sf).apply(*recipes), keys, d, i)
+        return shape(src(spark, sf).apply(*recipes()), keys, d, i)
 
 
-staged("bollinger", [I.bollinger()], ["bbp", "bb_upper", "bb_lower"],
+staged("bollinger", lambda: [I.bollinger()], ["bbp", "bb_upper", "bb_lower"],
        f"{roll('avg', 'close', 20)} + 2 * {roll('stddev_samp', 'close', 20)} AS bb_upper, {roll('avg', 'close', 20)} - 2 * {roll('stddev_samp', 'close', 20)} AS bb_lower",
        f"(close - bb_lower) / {nz('bb_upper - bb_lower')} AS bbp, bb_upper, bb_lower", "ticks")
-staged("stochastic", [I.stochastic()], ["stoch_k", "stoch_d"],
+staged("stochastic", lambda: [I.stochastic()], ["stoch_k", "stoch_d"],
        f"100 * ((close - {roll('min', 'low', 14)}) / {nz(roll('max', 'high', 14) + ' - ' + roll('min', 'low', 14))}) AS k",
        f"k AS stoch_k, {roll('avg', 'k', 3)} AS stoch_d")
-staged("rsi", [I.rsi()], ["rsi"],
+staged("rsi", lambda: [I.rsi()], ["rsi"],
        f"CASE WHEN close > {lag('close')} THEN close - {lag('close')} ELSE 0 END AS g, CASE WHEN close < {lag('close')} THEN {lag('close')} - close ELSE 0 END AS l",
        f"CASE WHEN {roll('avg', 'l', 14)} = 0 AND {roll('avg', 'g', 14)} > 0 THEN 100 ELSE 100 - 100 / (1 + {roll('avg', 'g', 14)} / nullif({roll('avg', 'l', 14)}, 0)) END AS rsi", "ticks")
 TP = "((high + low + close) / 3)"
-staged("money_flow_index", [I.money_flow_index()], ["mfi"],
+staged("money_flow_index", lambda: [I.money_flow_index()], ["mfi"],
        f"CASE WHEN {TP} > {lag(TP)} THEN {TP} * volume ELSE 0 END AS p, CASE WHEN {TP} < {lag(TP)} THEN {TP} * volume ELSE 0 END AS m",
        f"CASE WHEN sum(m) {over(14)} = 0 AND sum(p) {over(14)} <> 0 THEN 100 ELSE 100 - 100 / (1 + sum(p) {over(14)} / nullif(sum(m) {over(14)}, 0)) END AS mfi")
-staged("ultimate_oscillator", [I.ultimate_oscillator()], ["uo"],
+staged("ultimate_oscillator", lambda: [I.ultimate_oscillator()], ["uo"],
        f"close - least(low, coalesce({lag('close')}, close)) AS bp, {TR} AS tr",
        "100 * (4 * {0} + 2 * {1} + {2}) / 7 AS uo".format(*(f"({roll('sum', 'bp', n)} / {nz(roll('sum', 'tr', n))})" for n in (7, 14, 28))))
-staged("vortex", [I.vortex()], ["vi_plus", "vi_minus"],
+staged("vortex", lambda: [I.vortex()], ["vi_plus", "vi_minus"],
        f"abs(high - {lag('low')}) AS vp, abs(low - {lag('high')}) AS vm, {TR} AS tr",
        f"{roll('sum', 'vp', 14)} / {nz(roll('sum', 'tr', 14))} AS vi_plus, {roll('sum', 'vm', 14)} / {nz(roll('sum', 'tr', 14))} AS vi_minus")
-staged("cci", [I.cci()], ["cci"],
+staged("cci", lambda: [I.cci()], ["cci"],
        f"{TP} AS tp, list({TP}) {over(20)} AS l, {roll('avg', TP, 20)} AS m",
        f"CASE WHEN m IS NOT NULL THEN (tp - m) / {nz('0.015 * list_sum(list_transform(l, lambda x: abs(x - m))) / 20')} END AS cci")
-staged("aroon", [I.aroon()], ["aroon_up", "aroon_down"],
+staged("aroon", lambda: [I.aroon()], ["aroon_up", "aroon_down"],
        f"list(high) {over(14)} AS lh, list(low) {over(14)} AS ll",
        "CASE WHEN len(lh) = 14 THEN 100.0 * list_position(lh, list_max(lh)) / 14 END AS aroon_up, CASE WHEN len(ll) = 14 THEN 100.0 * list_position(ll, list_min(ll)) / 14 END AS aroon_down")
 
 _lags = [(c, k) for k in range(1, 6) for c in ("open", "high", "low", "close")]
-staged("lag_block", [I.lag_block()], [f"{c}_pct_lag_{k}" for c, k in _lags],
+staged("lag_block", lambda: [I.lag_block()], [f"{c}_pct_lag_{k}" for c, k in _lags],
        ", ".join(f"coalesce({c} / {lag(c)} - 1, 0) AS p_{c}" for c in ("open", "high", "low", "close")),
        ", ".join(f"{lag('p_' + c, k)} AS {c}_pct_lag_{k}" for c, k in _lags))
-staged("return_stats", [I.return_stats()], ["returns_roll_sum", "returns_roll_mean", "returns_roll_std", "returns_z_score"],
+staged("return_stats", lambda: [I.return_stats()], ["returns_roll_sum", "returns_roll_mean", "returns_roll_std", "returns_z_score"],
        f"coalesce({pct}, 0) AS r",
        f"{roll('sum', 'r', 20)} AS returns_roll_sum, {roll('avg', 'r', 20)} AS returns_roll_mean, {roll('stddev_samp', 'r', 20)} AS returns_roll_std, (r - {roll('avg', 'r', 20)}) / {nz(roll('stddev_pop', 'r', 20))} AS returns_z_score")
 

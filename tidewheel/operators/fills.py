@@ -78,7 +78,8 @@ def fill(tl: Timeline, cols: Sequence[str], order: Sequence[str] = ("ffill", "bf
     long = per.select(*keys, F.posexplode(F.arrays_zip("lo", "hi")).alias("pos", "e"))
     w = Window.partitionBy(*by, "pos").orderBy("_t")
     before = F.last("e.hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("e.lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    down = Window.partitionBy(*by, "pos").orderBy(F.desc("_t"))
+    after = F.last("e.lo", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))
     carry = (
         long.select(*keys, "pos", before.alias("b"), after.alias("a"))
         .groupBy(*keys)

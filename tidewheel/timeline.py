@@ -66,6 +66,8 @@ class Timeline:
     ) -> "Timeline":
         """Number the rows of every key in order without a one-task window.
 
+        Keys must not be null and ``order`` must be unique within a key.
+
         A range shuffle sorts the table; within it ``monotonically_increasing_id``
         is partition * 2^33 + position, so counts per (partition, key) and their
         prefix give the row number.  Both passes must see the same placement,
@@ -239,7 +241,8 @@ class Timeline:
         keys = [*self.by, "_t"]
         per = base.groupBy(*keys).agg(*(_total(k, c).alias(f"_a_{o}") for o, (k, c) in specs.items()))
         prev = Window.partitionBy(*self.by).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-        nxt = Window.partitionBy(*self.by).orderBy("_t").rowsBetween(1, Window.unboundedFollowing)
+        # looking ahead is a running last in descending order: an open-ended frame is rescanned per row
+        nxt = Window.partitionBy(*self.by).orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, -1)
         carry = per.select(
             *keys,
             *(
@@ -249,7 +252,8 @@ class Timeline:
         )
         w = self.window()
         upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        frm = w.rowsBetween(0, Window.unboundedFollowing)
+        down = Window.partitionBy(*self.by, "_t").orderBy(F.desc("rn"))
+        frm = down.rowsBetween(Window.unboundedPreceding, 0)
         joined = base.join(carry, keys)
         res = joined.withColumns(
             {o: _finish(k, F.col(c), F.col(f"_c_{o}"), upto, frm) for o, (k, c) in specs.items()}
@@ -273,7 +277,7 @@ def _prefix(kind: str, a: Column, prev: WindowSpec, nxt: WindowSpec) -> Column:
     if kind == "last":
         return F.last(a, ignorenulls=True).over(prev)
     if kind == "first_after":
-        return F.first(a, ignorenulls=True).over(nxt)
+        return F.last(a, ignorenulls=True).over(nxt)
     if kind in ("sum", "count"):
         return F.sum(a).over(prev)
     return {"max": F.max, "min": F.min}[kind](a).over(prev)
@@ -283,7 +287,7 @@ def _finish(kind: str, x: Column, carry: Column, upto: WindowSpec, frm: WindowSp
     if kind == "last":
         return F.coalesce(F.last(x, ignorenulls=True).over(upto), carry)
     if kind == "first_after":
-        return F.coalesce(F.first(x, ignorenulls=True).over(frm), carry)
+        return F.coalesce(F.last(x, ignorenulls=True).over(frm), carry)
     if kind == "sum":
         local = F.sum(x).over(upto)
         return F.coalesce(local + carry, local, carry)
