@@ -160,8 +160,8 @@ def trade_log(stream: DataFrame, path: str, checkpoint: str):
 def refit_every(stream: DataFrame, rows: int, refit: Callable[[DataFrame, int], None], checkpoint: str):
     """Call ``refit(batch, rows seen)`` in the micro-batches in which the row count passes a multiple of ``rows``.
 
-    The count is derived from the sink's own batches and kept by the caller's
-    ``refit``; a restart resumes at the checkpoint.
+    The stream resumes at its checkpoint after a restart; the row count starts
+    again at 0, which shifts the cadence but loses no rows.
     """
     seen = {"n": 0}
 
