@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, licenses, url_filter
+from tidewheel.llm import decontaminate, licenses, packing, quality, secrets_scan, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,3 +81,25 @@ GROUP BY 1, 2, 3"""
 @query("op10_url_filter", _URLS)
 def op10(spark, sf):
     return url_filter.judge(table(spark, sf, "pages"), url_filter.rule_frame(spark, URL_RULES))
+
+
+# ------------------------------------------------------------------ op3
+@query("op3_token_files")
+def op3(spark, sf):
+    return token_files.digest(table(spark, sf, "documents"))
+
+
+# ------------------------------------------------------------------ op1, op6, op8
+@query("op1_packing")
+def op1(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
+
+
+@query("op6_quality")
+def op6(spark, sf):
+    return quality.judge(table(spark, sf, "documents"))
+
+
+@query("op8_secrets")
+def op8(spark, sf):
+    return secrets_scan.scan(table(spark, sf, "documents"))
