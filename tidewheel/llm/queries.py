@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, licenses, packing, quality, secrets_scan, token_files, url_filter
+from tidewheel.llm import decontaminate, licenses, packing, quality, repeats, secrets_scan, shared_files, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -103,3 +103,26 @@ def op6(spark, sf):
 @query("op8_secrets")
 def op8(spark, sf):
     return secrets_scan.scan(table(spark, sf, "documents"))
+
+
+# ------------------------------------------------------------------ op7, op9
+_WARC = """WITH
+p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS keeper FROM d),
+b AS (SELECT *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_sum(list_transform(range(0, 5), lambda j:
+        CAST((((instr('0123456789abcdef', substr(hex, CAST((5 * i + j) // 4 + 1 AS BIGINT), 1)) - 1) >> CAST(3 - (5 * i + j) % 4 AS INTEGER)) & 1) AS BIGINT) << CAST(4 - j AS INTEGER))) AS BIGINT) + 1, 1)) AS digits FROM k)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string(digits, '') AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM b"""
+
+
+@query("op7_warc", _WARC)
+def op7(spark, sf):
+    index = warc.write(table(spark, sf, "pages"), shared_files.folder(spark, "warc"))
+    return warc.read(index)
+
+
+@query("op9_repeats")
+def op9(spark, sf):
+    return repeats.remove(table(spark, sf, "documents")).drop("kept")
