@@ -13,23 +13,25 @@ import contextlib
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel import storage
 from tidewheel.llm import shared_files
 
 BLOCK_ROWS = 4096
+GROUP_BYTES = 2 << 20
 
 
-def addressed(df: DataFrame, columns: list, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``columns`` and the row's ``block``; a table that does not come from files is written first."""
-    names = [F.col(c) if isinstance(c, str) else c for c in columns]
+def addressed(df: DataFrame, columns: list[Column], block_rows: int = BLOCK_ROWS, more: list[Column] | None = None) -> DataFrame:
+    """``columns``, the row's ``block`` and ``more`` columns of ``_metadata``; a table that is no plain file scan is written first."""
     address = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / block_rows)).alias("block")
     try:
-        return df.select(*names, address)
+        out = df.select(*columns, address, *(more or []))
+        out.schema  # noqa: B018  analysed now
+        return out
     except AnalysisException:
-        return storage.materialize(df.select(*names), "rows").select("*", address)
+        return storage.materialize(df.select(*columns), "rows").select("*", address, *(more or []))
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -128,23 +130,61 @@ def answers(asked: DataFrame, buckets: int, label: str) -> str:
     return folder
 
 
-def answer(folder: str, block: int) -> np.ndarray:
-    """Sorted distinct values found for one block."""
+def answer_rows(folder: str, block: int, columns: list[str]) -> list[dict]:
+    """Rows of one block's answers."""
     from pyarrow import fs
     from pyarrow import parquet
 
     files, path = shared_files.file_system(folder)
     place = f"{path}/block={block}"
     if files.get_file_info(place).type == fs.FileType.NotFound:
-        return np.empty(0, np.uint64)
-    parts = []
+        return []
+    out = []
     for info in files.get_file_info(fs.FileSelector(place)):
         if info.path.endswith(".parquet"):
             with files.open_input_file(info.path) as f:
-                parts += [from_planes(v, np.uint64) for v in parquet.ParquetFile(f).read(columns=["found"])["found"].to_pylist()]
+                out += parquet.ParquetFile(f).read(columns=columns).to_pylist()
+    return out
+
+
+def answer(folder: str, block: int) -> np.ndarray:
+    """Sorted distinct values found for one block."""
+    parts = [from_planes(r["found"], np.uint64) for r in answer_rows(folder, block, ["found"])]
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
+class Answers:
+    """The answers of the block that is read just now."""
+
+    def __init__(self, *folders: str):
+        self.folders, self.block, self.held = folders, None, []
+
+    def of(self, block: int) -> list[np.ndarray]:
+        if block != self.block:
+            self.block, self.held = block, [answer(f, block) for f in self.folders]
+        return self.held
+
+
+def text_groups(batches, most: int = GROUP_BYTES):
+    """(block, (batch, first row, end row), bytes, offsets) for runs of rows of one block; texts stay whole.
+
+    The first two columns of the batches are block and text.
+    """
+    for batch in batches:
+        block = batch.column(0).to_numpy(zero_copy_only=False)
+        text = batch.column(1).cast(pa.large_binary())
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        raw = text.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
+        row = 0
+        while row < len(block):
+            end = row + 1
+            while end < len(block) and block[end] == block[row] and offsets[end + 1] - offsets[row] <= most:
+                end += 1
+            yield int(block[row]), (batch, row, end), data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+            row = end
+
+
 def member(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
         return np.zeros(len(values), bool)

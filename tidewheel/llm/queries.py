@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, licenses, packing, quality, repeats, secrets_scan, shared_files, token_files, url_filter, warc
+from tidewheel.llm import decontaminate, licenses, near_dups, packing, quality, repeats, secrets_scan, shared_files, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,3 +126,9 @@ def op7(spark, sf):
 @query("op9_repeats")
 def op9(spark, sf):
     return repeats.remove(table(spark, sf, "documents")).drop("kept")
+
+
+# ------------------------------------------------------------------ op5
+@query("op5_near_dups")
+def op5(spark, sf):
+    return near_dups.classes(table(spark, sf, "documents"))

@@ -27,46 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import blocks
+from tidewheel.llm.hashing import namer
 
 #: fixed: a perfect difference set modulo 307; every non-zero residue is exactly one difference
 MODULUS = 307
 COVER = (0, 1, 3, 44, 56, 61, 67, 75, 82, 91, 95, 124, 160, 178, 200, 210, 237, 262)
-GROUP_BYTES = 2 << 20
 FLUSH = 1 << 20
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
-
-class Namer:
-    """Hashes of byte strings at given places, from running sums of weighted bytes."""
-
-    def __init__(self, which: int):
-        self.base = _MULTIPLIERS[which]
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.bytes = np.random.default_rng(which).integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            for name, factor in (("powers", self.base), ("inverses", self.inverse)):
-                steps = np.full(n, factor, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps))
-
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.bytes[data] * self.powers[: len(data)], out=out[1:])
-        return out
-
-    def names(self, sums: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-        x = (sums[at + length] - sums[at]) * self.inverses[at]
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(32))
-
-
-@functools.cache
-def namer(which: int) -> Namer:
-    return Namer(which)
 
 
 @functools.cache
@@ -140,42 +106,17 @@ class Group:
 
 
 def _groups(batches, length: int):
-    """(block, keys, Group) for runs of rows of one block, about GROUP_BYTES each; texts stay whole."""
-    for batch in batches:
-        block = batch.column(0).to_numpy(zero_copy_only=False)
-        text = batch.column(1).cast(pa.large_binary()).combine_chunks() if isinstance(batch, pa.Table) else batch.column(1).cast(pa.large_binary())
-        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-        raw = text.buffers()[2]
-        data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
-        row = 0
-        while row < len(block):
-            end = row + 1
-            while end < len(block) and block[end] == block[row] and offsets[end + 1] - offsets[row] <= GROUP_BYTES:
-                end += 1
-            at = offsets[row : end + 1] - offsets[row]
-            # texts without bytes would share a start with the next one
-            full = np.flatnonzero(np.diff(at) > 0)
-            yield int(block[row]), (batch, row, end), Group(data[offsets[row] : offsets[end]], at[:-1][full], at[1:][full], length), at
-            row = end
-
-
-class _Answers:
-    """The answers of the block that is read just now."""
-
-    def __init__(self, *folders: str):
-        self.folders, self.block, self.held = folders, None, []
-
-    def of(self, block: int) -> list[np.ndarray]:
-        if block != self.block:
-            self.block, self.held = block, [blocks.answer(f, block) for f in self.folders]
-        return self.held
+    """(block, rows of the batch, Group, byte offsets) for runs of whole texts of one block."""
+    for block, place, data, at in blocks.text_groups(batches):
+        full = np.flatnonzero(np.diff(at) > 0)  # texts without bytes would share a start with the next one
+        yield block, place, Group(data, at[:-1][full], at[1:][full], length), at
 
 
 def _asking(produce, folders: list[str], length: int, buckets: int):
     """A task that sends what ``produce(group, *answers)`` gives: (names, second names, which are asked)."""
 
     def task(batches):
-        known, held, block, size = _Answers(*folders), [], None, 0
+        known, held, block, size = blocks.Answers(*folders), [], None, 0
         for at, _, group, _ in _groups(batches, length):
             if held and (at != block or size > FLUSH):
                 yield from blocks.questions(block, *(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
@@ -236,7 +177,7 @@ def remove(docs: DataFrame, length: int = 400, passes: int = 2, id_col: str = "d
     rest = [blocks.answers(bare.mapInArrow(_asking(merged(n), [one, two], length, many), blocks.QUESTION), many, "suffixes") for n in range(passes)]
 
     def cut(batches):
-        known = _Answers(one, two, *rest)
+        known = blocks.Answers(one, two, *rest)
         for block, (batch, row, end), group, at in _groups(batches, length):
             ones, twos, *others = known.of(block)
             gone = np.zeros(len(group.data), bool)
