@@ -82,7 +82,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str =
     else:
         sizes = sorted(r["size"] for r in found.select("size").distinct().collect())
         rows = _hits_by_join(rows.withColumn(tag, F.monotonically_increasing_id()), found, sizes, tag, w, hits)
-    return rows.select(*docs.columns, F.size(w).cast("long").alias(n_words), _union(F.col(hits)).cast("long").alias(n_hit), hits)
+    # one value per row: a later filter on n_hit must not be pushed below and repeat the scan inside its lambdas
+    found = F.struct(F.size(w).cast("long").alias("n_words"), _union(F.col(hits)).cast("long").alias("n_hit"), F.col(hits).alias("hits"))
+    out = native.once(rows.select(*docs.columns, found.alias(tag)), tag, w)
+    return out.select(*docs.columns, F.col(w)["n_words"].alias(n_words), F.col(w)["n_hit"].alias(n_hit), F.col(w)["hits"].alias(hits))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = 50_000) -> DataFrame:
@@ -107,10 +110,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str
     """
     marked = scan(docs, benchmark, width, text_col)
     n_words, n_hit, hits = marked.columns[-3:]
-    (piece,) = native.fresh(marked, "pieces")
-    kept = marked.where(F.col(n_hit) <= F.col(n_words) * F.lit(drop_share))
+    places, piece, under = native.fresh(marked, "places", "pieces", "under")
+    kept = native.once(marked, hits, places).where(F.col(n_hit) <= F.col(n_words) * F.lit(drop_share))
     # every word with the separators before it; what follows the last word is the final piece
-    kept = kept.withColumn(piece, F.when(F.col(n_hit) > 0, F.regexp_extract_all(text_col, F.lit(PIECE), F.lit(0))))
-    under = F.transform(F.sequence(F.lit(1), F.size(piece)), lambda i: F.exists(hits, lambda h: (i >= h["at"]) & (i < h["at"] + h["size"])))
-    rest = F.array_join(F.zip_with(piece, under, lambda p, hit: F.when(~hit, p).otherwise("")), "")
+    own = F.when(F.col(n_hit) > 0, F.regexp_extract_all(text_col, F.lit(PIECE), F.lit(0)))
+    gone = F.array_distinct(F.flatten(F.transform(places, lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1))))
+    kept = native.once(native.once(kept, own, piece), F.map_from_arrays(gone, gone), under)
+    kept = kept.withColumn(piece, F.filter(piece, lambda p, i: ~F.map_contains_key(F.col(under), i + 1)))
+    rest = F.array_join(piece, "")
     return kept.withColumn(text_col, F.when(F.col(n_hit) > 0, rest).otherwise(F.col(text_col))).select(*docs.columns)

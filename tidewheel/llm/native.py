@@ -37,3 +37,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def starts(n: Column, length: int) -> Column:
     """1, 2, … up to the last place where ``length`` words begin; empty if there is none."""
     return F.when(n >= length, F.sequence(F.lit(1), n - length + 1)).otherwise(F.array().cast("array<int>"))
+
+
+def once(df: DataFrame, value: Column | str, name: str) -> DataFrame:
+    """``df`` with a column that is computed once per row: a generator keeps the optimizer from copying it into lambdas."""
+    return df.select("*", F.inline(F.array(F.struct((F.col(value) if isinstance(value, str) else value).alias(name)))))
