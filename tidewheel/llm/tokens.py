@@ -6,8 +6,12 @@ turn.  Each worker keeps the ids of words it has met (at most ``limit``), and th
 
 from __future__ import annotations
 
-import numpy as np
+import sys
+from array import array
 
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("token ids are laid out for little-endian machines with 32-bit integers")
+_UINT32 = "I"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
@@ -22,7 +26,7 @@ class WordIds(dict):
 
     LONGEST = 64
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -32,11 +36,11 @@ class WordIds(dict):
         self.marks = {m: self._ids(m) for m in (b",", b".")}
 
     def _ids(self, word: bytes) -> bytes:
-        return np.array(self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array(_UINT32, self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         if word.isalpha() and word.islower() and len(word) <= self.LONGEST:  # plain a-z: the vocabulary's own splitter leaves it whole
-            ids = np.array([t.id for t in self.model.tokenize(word.decode())], dtype="<u4").tobytes()
+            ids = array(_UINT32, [t.id for t in self.model.tokenize(word.decode())]).tobytes()
         elif word[-1:] in self.marks and word[-2:-1].isalnum():  # a mark after a letter or digit is a token run of its own
             return self[word[:-1]] + self.marks[word[-1:]]
         else:
