@@ -50,6 +50,8 @@ def forgetting(spark: SparkSession):
 
 def planes(values: np.ndarray) -> bytes:
     """Bytes of sorted integers, all first bytes first: the high ones repeat and compress well."""
+    if not len(values):
+        return b""
     return np.ascontiguousarray(values[:, None].view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 

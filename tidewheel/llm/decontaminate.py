@@ -43,7 +43,10 @@ def _hits_in_row(hashes: dict[int, list[int]], windows: dict[int, list[str]], w:
 
 def _hits_by_join(docs: DataFrame, found: DataFrame, sizes: list[int], tag: str, w: str, hits: str) -> DataFrame:
     """The same places for a benchmark of any size: (tag, hits) of documents that have some."""
-    places = F.concat(*(F.transform(native.starts(F.size(w), k), lambda i, k=k: F.struct(i.alias("at"), F.lit(k).alias("size"), F.xxhash64(F.slice(F.col(w), i, k)).alias("hash"))) for k in sizes))
+    def at(size: int) -> Column:
+        return F.transform(native.starts(F.size(w), size), lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.slice(F.col(w), i, size)).alias("hash")))
+
+    places = F.concat(*(at(k) for k in sizes))
     rows = docs.select(tag, F.explode(places).alias("p")).select(tag, "p.*", F.pmod("p.at", F.lit(SALTS)).alias("salt"))
     salted = found.select("hash", "size", "words", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     hit = rows.join(salted, ["hash", "size", "salt"]).groupBy(tag).agg(F.collect_list(F.struct("at", "size", "words")).alias(hits))

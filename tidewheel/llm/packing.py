@@ -55,29 +55,24 @@ def _fractional(demand: np.ndarray, capacity: int, rounds: int, rate: float, sla
     price = np.zeros(capacity + 1)
     price[lengths] = lengths / capacity  # what full sequences of any make-up are worth alike
     amount: dict[tuple[int, ...], float] = {}
-    covered = np.zeros(capacity + 1)
     for _ in range(rounds):
         best, take = _knapsack(price, capacity)
         worth = price[lengths] + best[capacity - lengths]
-        used = np.zeros(capacity + 1)
-        for length in lengths[worth >= (1 - slack) * best[capacity]][::-1].tolist():
-            if covered[length] >= demand[length]:
+        room = demand / rounds  # a round may cover this much of each length
+        for length in lengths[worth >= (1 - slack) * worth.max()][::-1].tolist():
+            if room[length] <= 0:
                 continue
             config = tuple(sorted([length, *_trace(take, capacity - length)], reverse=True))
             parts = Counter(config)
             if any(n > demand[x] for x, n in parts.items()):
                 continue
-            step = min(max(demand[x] - used[x], 0) / n for x, n in parts.items())
-            if step <= 0:
-                continue
-            amount[config] = amount.get(config, 0.0) + step
-            for x, n in parts.items():
-                used[x] += step * n
-        if not used.any():
-            price[lengths] *= 1 + rate * (covered[lengths] < demand[lengths])
-            continue
-        covered += used
-        price[lengths] *= np.exp(-rate * used[lengths] / demand[lengths])
+            step = min(room[x] / n for x, n in parts.items())
+            if step > 0:
+                amount[config] = amount.get(config, 0.0) + step
+                for x, n in parts.items():
+                    room[x] -= step * n
+        missed = room[lengths] * rounds / demand[lengths]  # 1: not covered at all in this round
+        price[lengths] *= np.exp(rate * (missed - missed.mean()))
     return amount
 
 
@@ -127,7 +122,7 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = 4, rate: float
         full = sorted(amount.items(), key=lambda x: (-sum(x[0]), -x[1], x[0]))
         for config, share in full:
             parts = Counter(config)
-            n = min(min(int(left[x]) // k for x, k in parts.items()), max(1, int(np.ceil(share))))
+            n = min(min(int(left[x]) // k for x, k in parts.items()), int(share))
             if n > 0 and sum(config) >= capacity * 0.995:
                 bins[config] += n
                 placed += n

@@ -18,9 +18,9 @@ PIECES = "piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
 #: bands: characters per token (low, high), most byte-fallback tokens, bits of token entropy per doubling of length (low)
 BANDS = {
-    "latin": (1.3, 9.0, 0.10, 0.35),
-    "cjk": (0.4, 3.0, 0.60, 0.35),
-    "other": (0.5, 9.0, 0.60, 0.35),
+    "latin": (1.3, 9.0, 0.10, 0.25),
+    "cjk": (0.4, 3.0, 0.60, 0.25),
+    "other": (0.5, 9.0, 0.60, 0.25),
 }
 LANGUAGE_BANDS = {"en": "latin", "de": "latin", "fr": "latin", "es": "latin", "it": "latin", "pt": "latin", "nl": "latin", "zh": "cjk", "ja": "cjk", "ko": "cjk"}
 
