@@ -166,3 +166,24 @@ def test_sweep_matches_single(spark, data, chunk):
     f = frames()[0]
     for k, T in enumerate(np.linspace(f["Volume"].mean(), 4 * f["Volume"].max(), 4)):
         assert len(got[(got.symbol == "A") & (got.step == k)]) == len(seq_bars(f["Volume"], T))
+
+
+@pytest.mark.parametrize("chunk", [7, 256, 4096, 100_000])
+def test_chunks_do_not_change_fractional_bars(spark, chunk):
+    rng = np.random.default_rng(11)
+    n = 700
+    df = pd.DataFrame({"symbol": "A", "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), unit="s"), "seq": np.arange(n)})
+    df["lots"] = rng.integers(0, 30, n) / 100.0
+    df["move"] = rng.integers(-9, 10, n) / 100.0
+    df["h"] = 0.5
+    tl = Timeline.build(spark.createDataFrame(df), chunk_rows=chunk)
+    one = reset_scan(tl, "lots", "h", []).df.toPandas().sort_values("rn")
+    want, bar, total = [], 0, 0.0
+    for x in df["lots"]:
+        want.append(bar)
+        total += x
+        if total >= 0.5:
+            bar, total = bar + 1, 0.0
+    assert one["bar_id"].tolist() == want
+    both = reset_scan(tl, "move", "h", [], two_sided=True).df.where("closes").toPandas()
+    assert sorted(both["rn"]) == seq_two_sided(df["move"], df["h"])

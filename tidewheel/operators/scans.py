@@ -347,27 +347,62 @@ def _drift_end(cum: np.ndarray, before: np.ndarray, extreme) -> np.ndarray:
 
 
 def _replay(step, limit, rn, entry, two_sided: bool, clamp: bool):
-    """Sequential pass of one chunk from its exact entry state."""
+    """Sequential pass of one chunk from an entry state: arrays per row and the state (u, v, opened, count) at the end.
+
+    Sums are added row by row in order, as a plain loop would, so a chunk border changes no digit.  Without ``clamp``
+    the pass jumps from close to close over blocks about as long as the bar before.
+    """
     u, v, opened, count = entry
     n = len(step)
     bar, first, level, fired = np.empty(n), np.empty(n), np.empty(n), np.zeros(n, dtype=bool)
-    for i, (x, lim) in enumerate(zip(step.tolist(), limit.tolist())):
-        u += x
-        v += x
-        if clamp:
-            u, v = max(0.0, u), min(0.0, v)
-            hit = u >= lim or v <= -lim
-        elif two_sided:
-            hit = lim > 0 and (u >= lim or u <= -lim)
+    if clamp:
+        for i, (x, lim) in enumerate(zip(step.tolist(), limit.tolist())):
+            u, v = max(0.0, u + x), min(0.0, v + x)
+            bar[i], first[i], level[i] = count, opened, u
+            if u >= lim or v <= -lim:
+                fired[i] = True
+                u = v = 0.0
+                count += 1
+                opened = rn[i] + 1
+        return bar, first, level, fired, (u, v, opened, count)
+    i, begin, width = 0, 0, 64
+    while i < n:
+        end = min(n, i + width)
+        sums = np.cumsum(np.concatenate(([u], step[i:end])))[1:]
+        lim = limit[i:end]
+        hit = (lim > 0) & (np.abs(sums) >= lim) if two_sided else sums >= lim
+        k = int(hit.argmax())
+        closed = bool(hit[k])
+        stop = i + k + 1 if closed else end
+        bar[i:stop], first[i:stop], level[i:stop] = count, opened, sums[: stop - i]
+        if closed:
+            fired[stop - 1] = True
+            u, count, opened = 0.0, count + 1, rn[stop - 1] + 1
+            width, begin = max(16, 2 * (stop - begin)), stop
         else:
-            hit = u >= lim
-        bar[i], first[i], level[i] = count, opened, u
-        if hit:
-            fired[i] = True
-            u = v = 0.0
-            count += 1
-            opened = rn[i] + 1
-    return bar, first, level, fired
+            u, width = float(sums[-1]), min(2 * width, 1 << 16)
+        i = stop
+    return bar, first, level, fired, (u, u, opened, count)
+
+
+def _until_borders_agree(states: DataFrame, rows: DataFrame, again: Callable, schema: T.StructType, by: Sequence[str]) -> DataFrame:
+    """Run chunks again from the end of the chunk before until no entry differs from it.
+
+    ``states`` has ``entry`` and ``exit`` per chunk and may have more columns of ``schema``; ``again`` gets the rows of a
+    chunk with ``_want``, the entry to use.  At least one more chunk per key is right after every round.
+    """
+    keys = [*by, "_t"]
+    order = Window.partitionBy(*by).orderBy("_t")
+    values = [c for c in schema.names if c not in keys]
+    while True:
+        want = states.select(*keys, "entry", F.lag("exit").over(order).alias("_want")).where(
+            F.col("_want").isNotNull() & ~F.col("_want").eqNullSafe(F.col("entry"))
+        )
+        if want.isEmpty():
+            return states
+        fixed = rows.join(want.select(*keys, "_want"), keys).groupBy(*keys).applyInPandas(again, schema)
+        merged = states.join(fixed.select(*keys, F.struct(*values).alias("_new")), keys, "left")
+        states = materialize(merged.select(*keys, *(F.coalesce(f"_new.{c}", c).alias(c) for c in values)), "states")
 
 
 def reset_scan(
@@ -430,7 +465,31 @@ def reset_scan(
     entries = tree_prefix(
         summaries, by, n_chunks, FN_COLS, compose, walk, [0.0, 0.0, 1.0, 0.0]
     )
-    rows = tl.chunked([*keep, step, limit]).join(entries, [*by, "_t"])
+    # the tree adds in another order than a row-by-row sum, so its entries may be off by a last digit: the real
+    # end of every chunk is compared with the entry of the next, and bar numbers are counted, not carried as sums
+    states = T.StructType(
+        [
+            *_key_fields(base, by),
+            T.StructField("_t", T.LongType()),
+            T.StructField("entry", T.ArrayType(T.DoubleType())),
+            T.StructField("exit", T.ArrayType(T.DoubleType())),
+            T.StructField("fires", T.LongType()),
+        ]
+    )
+
+    def run(pdf: pd.DataFrame, entry: Sequence[float]) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn", ignore_index=True)
+        entry = [float(x) for x in entry[:3]]
+        *_, (u, v, opened, count) = _replay(*arrays(pdf), [*entry, 0], two_sided, clamp)
+        state = {"entry": entry, "exit": [float(u), float(v), float(opened)], "fires": int(count)}
+        return pd.DataFrame([{**_key_values(pdf, by), "_t": int(pdf["_t"].iloc[0]), **state}])
+
+    chunks = tl.chunked([step, limit])
+    first = chunks.join(entries, [*by, "_t"]).groupBy(*by, "_t").applyInPandas(lambda pdf: run(pdf, pdf["entry"].iloc[0]), states)
+    exact = _until_borders_agree(materialize(first, "states"), chunks, lambda pdf: run(pdf, pdf["_want"].iloc[0]), states, by)
+    earlier = Window.partitionBy(*by).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    exact = exact.select(*by, "_t", "entry", F.coalesce(F.sum("fires").over(earlier), F.lit(0)).alias("_bars"))
+    rows = tl.chunked([*keep, step, limit]).join(exact, [*by, "_t"])
     cols = list(dict.fromkeys([*by, "rn", *keep]))
     final = T.StructType(
         [
@@ -444,9 +503,9 @@ def reset_scan(
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn", ignore_index=True)
-        bar, first, level, fired = _replay(*arrays(pdf), list(pdf["entry"].iloc[0]), two_sided, clamp)
+        bar, first, level, fired, _ = _replay(*arrays(pdf), [*pdf["entry"].iloc[0], 0], two_sided, clamp)
         res = pdf[cols].copy()
-        res["bar_id"], res["bar_open"] = bar.astype("int64"), first.astype("int64")
+        res["bar_id"], res["bar_open"] = bar.astype("int64") + int(pdf["_bars"].iloc[0]), first.astype("int64")
         res["level"], res["closes"] = level, fired
         return res
 
@@ -509,28 +568,7 @@ def guess_and_verify(
         )
 
     states = materialize(halo.groupBy(*keys).applyInPandas(guess, schema), "states")
-    order = Window.partitionBy(*by).orderBy("_t")
-    rows = tl.chunked(cols)
-    while True:
-        want = states.select(*keys, "entry", F.lag("exit").over(order).alias("_want")).where(
-            F.col("_want").isNotNull() & ~F.col("_want").eqNullSafe(F.col("entry"))
-        )
-        if want.isEmpty():
-            break
-        fixed = (
-            rows.join(want.select(*keys, "_want"), keys)
-            .groupBy(*keys)
-            .applyInPandas(again, schema)
-        )
-        merged = states.join(fixed.select(*keys, F.struct("entry", "exit").alias("_new")), keys, "left")
-        states = materialize(
-            merged.select(
-                *keys,
-                F.coalesce("_new.entry", "entry").alias("entry"),
-                F.coalesce("_new.exit", "exit").alias("exit"),
-            ),
-            "states",
-        )
+    states = _until_borders_agree(states, tl.chunked(cols), again, schema, by)
     full = tl.chunked([*cols, *keep]).join(states.select(*keys, "entry"), keys)
     names = list(dict.fromkeys([*by, "rn", *keep]))
     final = T.StructType(
