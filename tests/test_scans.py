@@ -187,3 +187,12 @@ def test_chunks_do_not_change_fractional_bars(spark, chunk):
     assert one["bar_id"].tolist() == want
     both = reset_scan(tl, "move", "h", [], two_sided=True).df.where("closes").toPandas()
     assert sorted(both["rn"]) == seq_two_sided(df["move"], df["h"])
+
+
+def test_null_keys_raise_and_equal_times_are_stable(spark):
+    df = pd.DataFrame({"symbol": ["A", "A", None], "ts": pd.Timestamp("2024-01-01"), "seq": [1, 1, 2], "x": [1.0, 2.0, 3.0]})
+    with pytest.raises(ValueError, match="1 rows"):
+        Timeline.build(spark.createDataFrame(df))
+    even = spark.createDataFrame(df[df.symbol.notna()])
+    runs = [sorted((r.x, r.rn) for r in Timeline.build(d).df.collect()) for d in (even, even.orderBy("x"), even.orderBy("x", ascending=False))]
+    assert runs[0] == runs[1] == runs[2] and [r for _, r in sorted(runs[0])] in ([1, 2], [2, 1])

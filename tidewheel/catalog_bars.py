@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidewheel.catalog import (
@@ -49,6 +51,18 @@ bars_query("dollar_bars", (TICKS,), "ticks", "b.volume_usdt", 50000, lambda s, f
 PCT = f"px AS MATERIALIZED (SELECT *, coalesce(abs({pct}), 0) AS mv FROM ticks)"
 bars_query("price_change_bars", (TICKS, PCT), "px", "b.mv", 1.7, lambda s, f: B.price_change_bars(ticks(s, f), 1.7))
 
+# fractional metrics over many chunk borders: a last digit decides some closes
+_LOTS = "lots AS MATERIALIZED (SELECT * REPLACE (volume * CAST(0.01 AS DOUBLE) AS volume) FROM ticks)"
+
+
+def small_chunks(spark, sf):
+    return replace(ticks(spark, sf), chunk_rows=256)
+
+
+bars_query("volume_bars_fractional", (TICKS, _LOTS), "lots", "b.volume", 2.5,
+           lambda s, f: B.volume_bars(small_chunks(s, f).extend(Volume=C("Volume") * F.lit(0.01)), 2.5))
+bars_query("price_change_bars_small", (TICKS, PCT), "px", "b.mv", 0.37, lambda s, f: B.price_change_bars(small_chunks(s, f), 0.37))
+
 _ctes, _ = bar_sql((TICKS,), "ticks", "b.volume", 500)
 _ext = """SELECT symbol, CAST(n AS BIGINT) AS bar_id, min(ts) AS open_time, max(ts) AS close_time, arg_min(open, rn) AS open_price, max(high) AS high, min(low) AS low,
   arg_max(close, rn) AS close_price, sum(volume) AS total_volume, CASE WHEN count(r) > 1 THEN stddev_samp(r) ELSE 0 END AS intra_bar_std, arg_max(close, rn) / arg_min(open, rn) - 1 AS bar_return, max(c) AS c
@@ -119,7 +133,7 @@ def _tib2(spark, sf):
     return _imb(spark, sf, B.tick_imbalance(ticks(spark, sf), "dynamic_runs", window_run_length=12))
 
 
-def dyn_sql(ctes, x, size0, inside):
+def dyn_sql(ctes, x, size0, inside, closed_only=False):
     """State: mean sign m, bar mean z, sum cum, closed flag c, size so far k."""
     m = f"CASE WHEN b.rn = 1 THEN b.sg ELSE {ema('e.m', 'b.sg', 20)} END"
     z = f"CASE WHEN e.c = 1 THEN {1 - 2 / 21!r} * e.z + {2 / 21!r} * e.k ELSE e.z END"
@@ -127,6 +141,8 @@ def dyn_sql(ctes, x, size0, inside):
     hit = lambda z, m, cum: f"CASE WHEN abs({z} * {m}) > 0 AND abs({cum}) >= abs({z} * {m}) THEN 1 ELSE 0 END"
     rec = recursion("e", "si", {"m": "b.sg", "z": size0, "cum": x, "k": inside, "c": hit(size0, "b.sg", x)},
                     {"m": m, "z": z, "cum": cum, "k": k, "c": hit(f"({z})", f"({m})", cum)})
+    if closed_only:
+        return final("SELECT symbol, seq, abs(z * m) AS threshold, cum AS cum_imbalance, k AS size FROM si b JOIN e USING (symbol, rn) WHERE c = 1", (*ctes, rec), d=ROW_D, i=["size"])
     return final("SELECT symbol, seq, abs(z * m) AS threshold, cum AS cum_imbalance, c AS closes FROM si b JOIN e USING (symbol, rn)", (*ctes, rec), d=ROW_D, i=["closes"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewheel.catalog import (
     CHUNK_ROWS, DAILY, ONE, PART, SQL, TICKS, C, daily, final, lag, lead, one, query, roll, shape, six_places, ticks,
 )
-from tidewheel.catalog_bars import bar_sql
+from tidewheel.catalog_bars import SIGNS, bar_sql, dyn_sql
 from tidewheel.catalog_indicators import DAY, MACD, crossing, pct
 from tidewheel.catalog_labels import _FIX, CUSUM, fixed
 from tidewheel.operators import features as X
@@ -357,13 +357,18 @@ def _sms(spark, sf):
     return shape(got.withColumn("action", code), d=["macd", "macd_signal"], i=["action"])
 
 
-@query("stream_imbalance_bars")
+@query("stream_imbalance_bars", dyn_sql((TICKS, SIGNS), "b.sg", "5", "1", closed_only=True))
 def _sib(spark, sf):
     got = drain(spark, live.imbalance_bars(tick_stream(spark, sf), 5)).where(C("kind") == "bar")
     return shape(got, d=["threshold", "cum_imbalance"], i=["size"])
 
 
-@query("stream_time_bars")
+_TB = """SELECT symbol, date_trunc('day', ts) AS bucket, arg_min(open, (ts, seq)) AS open, max(high) AS high, min(low) AS low, arg_max(close, (ts, seq)) AS close,
+  sum(volume) AS volume, sum(trade_count) AS trade_count FROM ticks GROUP BY 1, 2
+  HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)"""
+
+
+@query("stream_time_bars", final(_TB, keys=("symbol", "bucket"), d=_SB, i=["trade_count"]))
 def _stb(spark, sf):
     """Bars whose end the watermark has passed (the last one stays open)."""
     got = drain(spark, live.time_bars(tick_stream(spark, sf)))

@@ -30,13 +30,27 @@ def epoch_time(unix: str = "unix") -> Column:
     return F.when(micro, F.timestamp_micros(unix)).otherwise(F.timestamp_millis(unix)).cast("timestamp_ntz")
 
 
-def read_klines(spark: SparkSession, path: str | Sequence[str], symbol: str | None = None) -> DataFrame:
-    """Header-less candle files; lines that do not fit the schema are dropped."""
-    raw = (
-        spark.read.schema(KLINE_SCHEMA).option("mode", "DROPMALFORMED")
-        .option("ignoreCorruptFiles", "true").csv(path)
+def kline_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """All lines of header-less candle files with their file; ``_bad`` holds the text of lines that do not fit the schema.
+
+    A file that cannot be read at all (such as a broken archive) fails the job.
+    """
+    raw = spark.read.schema(f"{KLINE_SCHEMA}, _bad STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
+    return raw.select("*", C("_metadata.file_name").alias("_file"))
+
+
+def kline_quality(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Good and bad lines per file."""
+    bad = C("_bad").isNotNull() | C("unix").isNull()
+    return kline_lines(spark, path).groupBy(C("_file").alias("file")).agg(
+        F.count(F.when(~bad, 1)).alias("n_good"), F.count(F.when(bad, 1)).alias("n_bad")
     )
-    named = F.lit(symbol) if symbol else F.regexp_extract(C("_metadata.file_name"), "^([A-Za-z0-9]+)", 1)
+
+
+def read_klines(spark: SparkSession, path: str | Sequence[str], symbol: str | None = None) -> DataFrame:
+    """Header-less candle files; lines that do not fit the schema are left out, ``kline_quality`` counts them."""
+    raw = kline_lines(spark, path).where(C("_bad").isNull()).withColumnRenamed("_file", "_name")
+    named = F.lit(symbol) if symbol else F.regexp_extract("_name", "^([A-Za-z0-9]+)", 1)
     return raw.where(C("unix").isNotNull()).select(
         named.alias("symbol"),
         epoch_time().alias("ts"),

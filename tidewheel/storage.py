@@ -16,18 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _WRITTEN: list[str] = []
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables; only a local session may fall back to /tmp."""
+    """Folder for intermediate tables; only a local session may fall back to a folder of its own under /tmp."""
     configured = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_CONF} to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set(_CONF, own)
-    return own
+    session = spark.sparkContext.applicationId
+    if session not in _OWN:
+        _OWN[session] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _OWN[session]
 
 
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:

@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -66,7 +68,8 @@ class Timeline:
     ) -> "Timeline":
         """Number the rows of every key in order without a one-task window.
 
-        Keys must not be null and ``order`` must be unique within a key.
+        A null key raises.  Rows of a key that are equal in ``order`` are numbered
+        by a hash of the whole row, so repeated runs agree.
 
         A range shuffle sorts the table; within it ``monotonically_increasing_id``
         is partition * 2^33 + position, so counts per (partition, key) and their
@@ -75,9 +78,10 @@ class Timeline:
         (#partitions + #keys) rows.
         """
         by, order = tuple(by), tuple(order)
+        tie = F.xxhash64(*(c for c, t in df.dtypes if "map<" not in t))
         placed = materialize(
             df.repartitionByRange(*by, *order)
-            .sortWithinPartitions(*by, *order)
+            .sortWithinPartitions(*by, *order, tie)
             .withColumn("_mid", F.monotonically_increasing_id()),
             "timeline",
         ).withColumn("_pid", F.shiftright("_mid", 33))
@@ -90,11 +94,15 @@ class Timeline:
                 "_pid",
                 *by,
                 (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+                "_n",
             ),
             "offsets",
         )
+        nameless = shift.where(reduce(or_, (F.col(k).isNull() for k in by))).agg(F.sum("_n")).head()[0]
+        if nameless:
+            raise ValueError(f"{nameless} rows have a null among the keys {list(by)}")
         numbered = (
-            placed.join(shift, ["_pid", *by])
+            placed.join(shift.drop("_n"), ["_pid", *by])
             .withColumn("rn", F.col("_mid") + F.col("_shift") + 1)
             .drop("_mid", "_pid", "_shift")
         )
