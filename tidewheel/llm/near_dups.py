@@ -27,6 +27,7 @@ from tidewheel.llm import blocks, shared_files
 from tidewheel.llm.hashing import mix, namer
 
 SALTS = 8
+BROADCAST_ROWS = 100_000
 #: shingle hashes keep 48 bits
 SHORT = np.uint64(16)
 #: share of the weight that the inverse document frequency decides
@@ -247,19 +248,26 @@ def _verify(pairs: DataFrame, features: DataFrame, threshold: float, documents:
     return storage.materialize(both.select("a", "b", "n1", "e1", "n2", "e2").mapInPandas(check, "a string, b string"), "links")
 
 
+def _light(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table marked for broadcast if it has at most ``rows`` rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def components(links: DataFrame, most: int = 40) -> DataFrame:
     """(node, label) of all nodes in ``links`` (a, b); the label is the least node of the component.
 
     Each pass takes the least label of the neighbours and then the label's own label, so long chains halve.
     """
-    edges = storage.materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
+    edges = storage.materialize(links.select("a", "b").union(links.select("b", "a")), "edges")
+    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
     labels = storage.materialize(labels, "labels")
     for _ in range(most):
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        step = step.join(jump, "new").select("node", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("moved"))
+        known = _light(labels)
+        seen = edges.join(known.select(F.col("node").alias("b"), F.col("label").alias("near")), "b")
+        near = seen.groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        step = near.join(known, "node").select("node", "label", F.least("label", "near").alias("new"))
+        step = step.join(known.select(F.col("node").alias("new"), F.col("label").alias("far")), "new")
+        step = step.select("node", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("moved"))
         step = storage.materialize(step, "labels")
         labels = step.select("node", "label")
         if not step.where("moved").limit(1).count():
@@ -272,13 +280,16 @@ def _hubs(members: DataFrame, turn: int) -> DataFrame:
     pick = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label"))
     hubs = members.groupBy("band", "value").agg(pick.alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     hubs = storage.materialize(hubs.select("band", "value", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")), "hubs")
-    hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(hubs, ["band", "value", "salt"])
+    if hubs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = members.join(F.broadcast(hubs), ["band", "value"])
+    else:
+        hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(hubs, ["band", "value", "salt"])
     met = met.where("label <> hub_label").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     return met.distinct()
 
 
-def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, class_id (the class's least id) and kept (true for one row of each class).
 
     Null texts and texts without words are in a class of their own and kept.  A text of fewer than ``size`` words is one
@@ -311,7 +322,7 @@ def _classes(spark: SparkSession, addressed: DataFrame, size, threshold, bands,
     members = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     labels, links, tried = None, None, None
     for turn in range(rounds):
-        now = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        now = members.withColumn("label", F.col("node")) if labels is None else members.join(_light(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
         pairs = _hubs(now, turn)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -321,22 +332,24 @@ def _classes(spark: SparkSession, addressed: DataFrame, size, threshold, bands,
         tried = pairs if tried is None else tried.union(pairs)
         found = _verify(pairs, likely, threshold, documents)
         if not found.limit(1).count():
-            continue
+            break
         links = found if links is None else links.union(found)
         labels = components(links)
     if labels is None:
         labels = nodes.select("node", F.col("node").alias("label")).limit(0)
-    named = nodes.select("key", "node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = nodes.select("key", "node", "first").join(_light(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("first").alias("stays"))
-    by_key = storage.materialize(named.select("key", "label").join(least, "label").select("key", "stays"), "classes")
+    by_key = storage.materialize(named.select("key", "label").join(_light(least), "label").select("key", "stays"), "classes")
     # equal texts may be a third of all rows: the join is salted, and rows without a key never meet in one task
-    spread = by_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     slim = features.select("tag", "id", F.coalesce("key", F.encode("tag", "utf-8")).alias("key"), F.pmod(F.xxhash64("tag"), F.lit(SALTS)).cast("int").alias("salt"))
-    joined = slim.join(spread, ["key", "salt"], "left")
+    if by_key.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = slim.join(F.broadcast(by_key), "key", "left")
+    else:
+        joined = slim.join(by_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"], "left")
     return joined.select("tag", "id", F.when(F.col("stays").isNull(), F.col("id")).otherwise(F.col("stays.id")).alias("class_id"), F.coalesce(F.col("stays.tag") == F.col("tag"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
     """The rows of ``docs`` without all but one of each class, columns unchanged."""
     addressed = _addressed(docs, [F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")])
     gone = storage.materialize(_classes(docs.sparkSession, addressed.drop("row"), size, threshold, bands, rows, rounds).where("not kept").select("tag"), "copies")
