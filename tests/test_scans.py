@@ -171,7 +171,7 @@ def test_sweep_matches_single(spark, data, chunk):
 @pytest.mark.parametrize("chunk", [7, 256, 4096, 100_000])
 def test_chunks_do_not_change_fractional_bars(spark, chunk):
     rng = np.random.default_rng(11)
-    n = 700
+    n = 300
     df = pd.DataFrame({"symbol": "A", "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), unit="s"), "seq": np.arange(n)})
     df["lots"] = rng.integers(0, 30, n) / 100.0
     df["move"] = rng.integers(-9, 10, n) / 100.0
