@@ -333,48 +333,49 @@ def _clock(spark, sf):
 
 
 # --------------------------------------------------------- joins and set operations
-PAIR_K = ("symbol", "ts")
-_even = "SELECT symbol, ts, close AS a FROM ticks WHERE seq % 2 = 0"
-_third = "SELECT symbol, ts, volume AS b FROM ticks WHERE seq % 3 = 0"
+PAIR_K = ("k",)
+_orders = "SELECT o_orderkey AS k, CAST(o_totalprice AS DOUBLE) AS a FROM orders"
+_lines = "SELECT l_orderkey AS k, CAST(l_extendedprice AS DOUBLE) AS b FROM lineitem"
 
 
 def pair(spark, sf):
-    t = views.ticks(spark, sf)
-    return (t.where(C("seq") % 2 == 0).select("symbol", "ts", C("Close").alias("a")),
-            t.where(C("seq") % 3 == 0).select("symbol", "ts", C("Volume").alias("b")))
+    """Whole tables: orders and their lines; some orders have none."""
+    left, right = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "lineitem"))
+    return (left.select(C("o_orderkey").alias("k"), C("o_totalprice").cast("double").alias("a")),
+            right.select(C("l_orderkey").alias("k"), C("l_extendedprice").cast("double").alias("b")))
 
 
-@query("inner_join", final(f"SELECT symbol, ts, a, b FROM ({_even}) x JOIN ({_third}) y USING (symbol, ts)", keys=PAIR_K, d=["a", "b"]))
+@query("inner_join", final(f"SELECT k, a, b FROM ({_orders}) x JOIN ({_lines}) y USING (k)", keys=PAIR_K, d=["a", "b"]))
 def _inner(spark, sf):
     return shape(J.inner_on(*pair(spark, sf), PAIR_K), PAIR_K, ["a", "b"])
 
 
-@query("left_join", final(f"SELECT symbol, ts, a, b FROM ({_even}) x LEFT JOIN ({_third}) y USING (symbol, ts)", keys=PAIR_K, d=["a", "b"]))
+@query("left_join", final(f"SELECT k, a, b FROM ({_orders}) x LEFT JOIN ({_lines}) y USING (k)", keys=PAIR_K, d=["a", "b"]))
 def _left(spark, sf):
     return shape(J.left_on(*pair(spark, sf), PAIR_K), PAIR_K, ["a", "b"])
 
 
-@query("outer_join", final(f"SELECT symbol, ts, a, b FROM ({_even}) x FULL JOIN ({_third}) y USING (symbol, ts)", keys=PAIR_K, d=["a", "b"]))
+@query("outer_join", final(f"SELECT k, a, b FROM ({_orders}) x FULL JOIN ({_lines}) y USING (k)", keys=PAIR_K, d=["a", "b"]))
 def _outer(spark, sf):
     return shape(J.outer_on(*pair(spark, sf), PAIR_K), PAIR_K, ["a", "b"])
 
 
-@query("semi_join", final(f"SELECT symbol, ts, a FROM ({_even}) x SEMI JOIN ({_third}) y USING (symbol, ts)", keys=PAIR_K, d=["a"]))
+@query("semi_join", final(f"SELECT k, a FROM ({_orders}) x SEMI JOIN ({_lines}) y USING (k)", keys=PAIR_K, d=["a"]))
 def _semi(spark, sf):
     return shape(J.semi_on(*pair(spark, sf), PAIR_K), PAIR_K, ["a"])
 
 
-@query("anti_join", final(f"SELECT symbol, ts, a FROM ({_even}) x ANTI JOIN ({_third}) y USING (symbol, ts)", keys=PAIR_K, d=["a"]))
+@query("anti_join", final(f"SELECT k, a FROM ({_orders}) x ANTI JOIN ({_lines}) y USING (k)", keys=PAIR_K, d=["a"]))
 def _anti(spark, sf):
     return shape(J.anti_on(*pair(spark, sf), PAIR_K), PAIR_K, ["a"])
 
 
 def key_sets(spark, sf):
     a, b = pair(spark, sf)
-    return a.select("symbol", "ts"), b.select("symbol", "ts")
+    return a.select("k"), b.select("k")
 
 
-_ks = f"WITH {TICKS} SELECT symbol, ts FROM ({_even}) x {{op}} SELECT symbol, ts FROM ({_third}) y"
+_ks = f"SELECT k FROM ({_orders}) x {{op}} SELECT k FROM ({_lines}) y"
 
 
 @query("union_all", _ks.format(op="UNION ALL"))
