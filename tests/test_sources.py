@@ -99,8 +99,12 @@ def test_refit_and_trade_log(spark, tmp_path):
     raw = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(src)
     live.refit_every(raw, 20, lambda b, n: calls.append(n), str(tmp_path / "cp1")).awaitTermination()
     assert calls == [20, 40]
+    spark.range(40, 55).coalesce(1).write.mode("append").parquet(src)
+    spark.range(55, 61).coalesce(1).write.mode("append").parquet(src)
+    live.refit_every(raw, 20, lambda b, n: calls.append(n), str(tmp_path / "cp1")).awaitTermination()  # started anew
+    assert calls == [20, 40, 61]
     live.trade_log(raw, str(tmp_path / "log"), str(tmp_path / "cp2")).awaitTermination()
-    assert spark.read.option("header", "true").csv(str(tmp_path / "log")).count() == 40
+    assert spark.read.option("header", "true").csv(str(tmp_path / "log")).count() == 61
 
 
 @pytest.fixture(scope="module")

@@ -160,15 +160,16 @@ def trade_log(stream: DataFrame, path: str, checkpoint: str):
 def refit_every(stream: DataFrame, rows: int, refit: Callable[[DataFrame, int], None], checkpoint: str):
     """Call ``refit(batch, rows seen)`` in the micro-batches in which the row count passes a multiple of ``rows``.
 
-    The stream resumes at its checkpoint after a restart; the row count starts
-    again at 0, which shifts the cadence but loses no rows.
+    The stream resumes at its checkpoint after a restart.  The row count after each
+    micro-batch is a table beside the checkpoint, so a restart or a repeated batch
+    keeps the cadence.
     """
-    seen = {"n": 0}
 
-    def each(batch: DataFrame, _epoch: int) -> None:
-        n = batch.count()
-        before, seen["n"] = seen["n"], seen["n"] + n
-        if before // rows != seen["n"] // rows:
-            refit(batch, seen["n"])
+    def each(batch: DataFrame, epoch: int) -> None:
+        spark, n = batch.sparkSession, batch.count()
+        before = spark.read.schema("n bigint").parquet(f"{checkpoint}-rows/{epoch - 1}").head()["n"] if epoch else 0
+        spark.range(1).select(F.lit(before + n).cast("bigint").alias("n")).write.mode("overwrite").parquet(f"{checkpoint}-rows/{epoch}")
+        if before // rows != (before + n) // rows:
+            refit(batch, before + n)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
