@@ -38,6 +38,11 @@ def create(uri: str, name: str):
     return f"{uri}/{full}", files.open_output_stream(f"{path}/{full}")
 
 
+def tasks(spark: SparkSession, size: int | None, each: int) -> int:
+    """Number of tasks that read ``size`` units, at most about ``each`` in a task."""
+    return max(spark.sparkContext.defaultParallelism, (size or 0) // each + 1)
+
+
 def runs(places: list[tuple[int, int]], gap: int = 1 << 16, most: int = 8 << 20) -> list[tuple[int, int]]:
     """Coalesce sorted (offset, length) into (first, last) index ranges, each read at once: small gaps, bounded size."""
     out: list[tuple[int, int]] = []

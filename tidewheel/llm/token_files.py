@@ -20,7 +20,7 @@ from tidewheel import storage
 from tidewheel.llm import shared_files, tokens
 
 BUCKET_KEYS = 50_000
-READ_IDS = 4 << 20
+READ_IDS = 1 << 20
 
 
 # ------------------------------------------------------------------ minimal perfect hash
@@ -174,10 +174,11 @@ def look_up(keys: DataFrame, index: DataFrame) -> DataFrame:
     return asked.repartition("bucket").sortWithinPartitions("index_file").mapInPandas(find, schema)
 
 
-def read(places: DataFrame, reduce, schema: str) -> DataFrame:
+def read(places: DataFrame, ids: int, reduce, schema: str) -> DataFrame:
     """Read the ids at the places and return ``reduce(place columns, list of uint32 arrays)`` as a table.
 
-    Places are dealt out by file and region and sorted, so each task makes a few sequential range reads.
+    Places are dealt out by file and region and sorted, so each task makes a few sequential range reads; ``ids`` tells
+    how many ids they have in all.
     """
 
     def task(batches):
@@ -188,7 +189,9 @@ def read(places: DataFrame, reduce, schema: str) -> DataFrame:
                 yield reduce(part, arrays)
 
     region = F.floor(F.col("at") / READ_IDS)
-    return places.withColumn("region", region).repartition("file", "region").sortWithinPartitions("file", "at").drop("region").mapInPandas(task, schema)
+    # rows of places are small and what they stand for is not: the number of tasks follows the ids to read
+    tasks = shared_files.tasks(places.sparkSession, ids, READ_IDS)
+    return places.withColumn("region", region).repartition(tasks, "file", "region").sortWithinPartitions("file", "at").drop("region").mapInPandas(task, schema)
 
 
 def shard_starts(catalog: DataFrame) -> DataFrame:
@@ -211,4 +214,5 @@ def digest(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, id_c
         return pd.DataFrame({"id": part["id"], "start": part["base"] + part["at"], "n_tokens": [len(a) for a in arrays], "ids_crc32": [zlib.crc32(a.tobytes()) for a in arrays]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return read(places, crc, f"id {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    ids = catalog.agg(F.sum("n_tokens")).head()[0]
+    return read(places, ids, crc, f"id {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)

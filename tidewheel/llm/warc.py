@@ -22,7 +22,7 @@ from tidewheel import storage
 from tidewheel.llm import shared_files
 
 SALTS = 16
-REGION = 32 << 20
+REGION = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
 
@@ -127,7 +127,9 @@ def read(index: DataFrame, id_col: str = "page_id") -> DataFrame:
                 yield pd.DataFrame(out, columns=["key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     places = index.select("file", "offset", "length").withColumn("region", F.floor(F.col("offset") / REGION))
-    places = places.repartition("file", "region").sortWithinPartitions("file", "offset").drop("region")
+    # rows of the index are small and what they stand for is not: the number of tasks follows the bytes to read
+    tasks = shared_files.tasks(index.sparkSession, index.agg(F.sum("length")).head()[0], REGION)
+    places = places.repartition(tasks, "file", "region").sortWithinPartitions("file", "offset").drop("region")
     found = places.mapInPandas(task, "key string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     key = F.when(F.col("key") != "null", F.col("key")).cast(kind)
     return found.select(key.alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
