@@ -209,6 +209,51 @@ def test_near_dups(spark, none):
     assert sorted((r.doc_id, r.kept) for r in twice) == sorted([(i, k) for i in range(3) for k in (True, False)])
 
 
+def jaccard_classes(texts, size=5, threshold=0.8):
+    """Least row of each text's component, over all pairs."""
+    sets = [{tuple(t.split()[i : i + size]) for i in range(len(t.split()) - size + 1)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("few", [16, 2])
+def test_near_dups_in_mixed_buckets(spark, monkeypatch, few):
+    """Texts that share three quarters meet in buckets of many classes, where hubs alone leave pairs untested."""
+    r = random.Random(11)
+    word = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    common, texts = word(150), []
+    for _ in range(40):
+        own = word(50)
+        texts += [" ".join(common + own), " ".join(common + own[:-4] + word(4))]
+    slide = word(600)
+    texts += [" ".join(common + slide[i * 8 : i * 8 + 60]) for i in range(30)]
+    monkeypatch.setattr(near_dups, "FEW", few)
+    monkeypatch.setattr(near_dups, "CELL", 8)
+    got = near_dups.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands=6, rows=1).collect()
+    assert [c for _, c in sorted((x.doc_id, x.class_id) for x in got)] == jaccard_classes(texts)
+
+
+def test_prefixes_of_similar_texts_meet():
+    r, g = random.Random(3), np.random.default_rng(3)
+    for _ in range(300):
+        names = np.unique(g.integers(0, 2**48, r.randint(4, 60), dtype=np.uint64))
+        levels, times = g.integers(8, 80, len(names)).astype(np.uint8), g.integers(1, 4, len(names)).astype(np.uint16)
+        sides = []
+        for _ in range(2):
+            held = g.random(len(names)) < 0.92
+            held[0] = True
+            sides.append((names[held], np.maximum(times[held] - (g.random(held.sum()) < 0.05), 1).astype("<u2"), levels[held]))
+        packed = [(near_dups.blocks.planes(n), t.tobytes() + v.tobytes()) for n, t, v in sides]
+        if near_dups.similarity(*packed[0], *packed[1], 1000) >= 0.8:
+            a, b = (near_dups.prefix(n, near_dups.weights(t, v, 1000), v, 0.8) for n, t, v in sides)
+            assert np.intersect1d(a, b).size
+
+
 @pytest.mark.parametrize("most", [100_000, 0])
 def test_url_filter(spark, most):
     urls = [None, "", "nothing", "http://example.org", "http://Sub.Example.ORG/en/12?x#y", "https://a.example.org/es/#f", "x://org/?q", "ftp://b.com/de/x/fr/", "a://b://c.com/fr/", "http://org./", "http://a..org/x", "http://com/fr/"]

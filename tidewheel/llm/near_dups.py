@@ -7,7 +7,9 @@
    a uniform b give t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1); the sample is (shingle, t) at the least a.
 3. Equal texts become one node.  Every node is paired with a hub of each band bucket; pairs are verified by weighted
    Jaccard similarity of the whole shingle sets, or the plain one, so that weights never lose a near copy.  Further rounds
-   take other hubs in buckets that still hold more than one class.  A bucket never emits all its pairs.
+   take other hubs in buckets that still hold more than one class.  Then every pair of one bucket and of different classes
+   is settled: small buckets emit their pairs; the members of large ones meet by the rare shingles of which similar texts
+   must share one (prefix filter, exact), and where these are frequent too, by an exact comparison in cells.
 4. Classes are the connected components, found by label passing over written tables.
 """
 
@@ -28,6 +30,10 @@ from tidewheel.llm.hashing import mix, namer
 
 SALTS = 8
 BROADCAST_ROWS = 100_000
+#: members of a bucket that emits all its pairs
+FEW = 16
+#: members of one side of a compared cell
+CELL = 64
 #: shingle hashes keep 48 bits
 SHORT = np.uint64(16)
 #: share of the weight that the inverse document frequency decides
@@ -275,20 +281,120 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
+def _meet(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows joined with their group; a long list of groups is joined with salt, as one group may hold most rows."""
+    if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), keys)
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(groups, [*keys, "salt"]).drop("salt")
+
+
 def _hubs(members: DataFrame, turn: int) -> DataFrame:
     """Pairs of every node with the hub of each bucket that holds more than one class."""
-    pick = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label"))
+    pick = F.min(F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("order"), "node", "label"))
     hubs = members.groupBy("band", "value").agg(pick.alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     hubs = storage.materialize(hubs.select("band", "value", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")), "hubs")
-    if hubs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        met = members.join(F.broadcast(hubs), ["band", "value"])
-    else:
-        hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(hubs, ["band", "value", "salt"])
+    met = _meet(members, hubs, ["band", "value"])
     met = met.where("label <> hub_label").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     return met.distinct()
 
 
+def _mixed(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups that hold more than one class, with their size."""
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return storage.materialize(sizes.where("low <> high").drop("low", "high"), "mixed")
+
+
+def _all_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Every pair of different classes within small groups."""
+    held = members.groupBy(*keys).agg(F.collect_list(F.struct("node", "label")).alias("held"))
+    held = held.select("held", F.explode("held").alias("x")).select("x", F.explode(F.expr("filter(held, y -> y.node > x.node and y.label <> x.label)")).alias("y"))
+    return held.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def prefix(names: np.ndarray, weight: np.ndarray, levels: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest shingles of a text; two texts that are similar by either measure share one of them.
+
+    What follows the prefix weighs less than the threshold's share of the text, which a similar text would have to share.
+    Shingles of one text only are left out: nothing can share them.
+    """
+    order = np.lexsort((names, levels))
+    n = 0
+    for w in (weight[order], np.ones(len(order))):
+        rest = w.sum() - np.cumsum(w)
+        n = max(n, int(np.count_nonzero(rest >= (threshold - 1e-6) * w.sum())) + 1)
+    chosen = order[:n]
+    return names[chosen[levels[chosen] > 0]]
+
+
+def _rare(members: DataFrame, features: DataFrame, threshold: float, documents: int) -> DataFrame:
+    """(token, node, label): the prefix of each member."""
+
+    def emit(batches):
+        for p in batches:
+            out = []
+            for blob, extra in zip(p["names"], p["extra"], strict=True):
+                names = blocks.from_planes(blob, np.uint64)
+                levels = np.frombuffer(extra[2 * len(names) :], np.uint8)
+                out.append(prefix(names, weights(np.frombuffer(extra[: 2 * len(names)], "<u2"), levels, documents), levels, threshold).view(np.int64))
+            counts = [len(x) for x in out]
+            yield pd.DataFrame({"token": np.concatenate(out), "node": np.repeat(p["node"].to_numpy(), counts), "label": np.repeat(p["label"].to_numpy(), counts)})
+
+    both = members.join(features.select(F.col("tag").alias("node"), "names", "extra"), "node")
+    return storage.materialize(both.select("node", "label", "names", "extra").mapInPandas(emit, "token long, node string, label string"), "prefixes")
+
+
+def _cells(members: DataFrame, features: DataFrame, threshold: float, documents: int) -> DataFrame:
+    """Links among all pairs of different classes in large buckets, compared block by block.
+
+    The most common class of a bucket is dealt over blocks of its own, which are never compared with each other.
+    """
+    sizes = members.groupBy("band", "value", "label").agg(F.count("*").alias("n"))
+    parts = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).where("n > main.n")
+    parts = storage.materialize(parts.select("band", "value", F.col("main.label").alias("main"), F.expr(f"int(ceil(main.n / {CELL}))").alias("g"), F.expr(f"int(ceil((n - main.n) / {CELL}))").alias("h")), "parts")
+    met = _meet(members, parts, ["band", "value"])
+    block = F.when(F.col("label") == F.col("main"), F.pmod(F.xxhash64("node"), F.col("g"))).otherwise(F.col("g") + F.pmod(F.xxhash64("node"), F.col("h"))).cast("int")
+    met = met.withColumn("block", block)
+    other = F.when(F.col("block") < F.col("g"), F.sequence("g", F.expr("g + h - 1"))).otherwise(F.sequence(F.lit(0), F.expr("g + h - 1")))
+    met = met.withColumn("other", F.explode(other)).select("node", "label", "block", F.xxhash64("band", "value", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") == F.col("other")).alias("own"))
+
+    def check(p):
+        rows = list(zip(p["node"], p["label"], p["block"], p["names"], p["extra"], strict=True))
+        own, found = bool(p["own"].iloc[0]), []
+        for i, x in enumerate(rows):
+            for y in rows[:i]:
+                if x[1] != y[1] and (own or x[2] != y[2]) and similarity(x[3], x[4], y[3], y[4], documents) >= threshold - 1e-9:
+                    found.append((min(x[0], y[0]), max(x[0], y[0])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=object)
+
+    body = features.select(F.col("tag").alias("node"), "names", "extra")
+    return storage.materialize(met.join(body, "node").groupBy("cell").applyInPandas(check, "a string, b string"), "links")
+
+
+def _rest(members: DataFrame, features: DataFrame, tried: DataFrame | None, threshold: float, documents: int) -> list[DataFrame]:
+    """Links among all pairs that share a bucket, are of different classes and have not met through a hub."""
+    keys = ["band", "value"]
+    members = storage.materialize(members, "members")
+    mixed = _mixed(members, keys)
+    pairs = _all_pairs(_meet(members, mixed.where(F.col("n") <= FEW), keys), keys)
+    large = mixed.where(F.col("n") > FEW)
+    links = []
+    if large.limit(1).count():
+        inside = storage.materialize(_meet(members, large, keys).drop("n"), "inside")
+        rare = _rare(inside.select("node", "label").distinct(), features, threshold, documents)
+        shared = _mixed(rare, ["token"])
+        pairs = pairs.union(_all_pairs(_meet(rare, shared.where(F.col("n") <= FEW), ["token"]), ["token"]))
+        # a pair that only frequent shingles bring together: both texts hold one
+        frequent = shared.where(F.col("n") > FEW)
+        if frequent.limit(1).count():
+            hard = storage.materialize(_meet(rare, frequent, ["token"]).select("node").distinct(), "hard")
+            links.append(_cells(storage.materialize(inside.join(_light(hard), "node"), "inside"), features, threshold, documents))
+    pairs = pairs.distinct()
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    return [*links, _verify(storage.materialize(pairs, "pairs"), features, threshold, documents)]
+
+
 def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, class_id (the class's least id) and kept (true for one row of each class).
 
@@ -321,9 +427,12 @@ def _classes(spark: SparkSession, addressed: DataFrame, size, threshold, bands,
     nodes = storage.materialize(nodes, "nodes")
     members = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     labels, links, tried = None, None, None
+
+    def labelled():
+        return members.withColumn("label", F.col("node")) if labels is None else members.join(_light(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
     for turn in range(rounds):
-        now = members.withColumn("label", F.col("node")) if labels is None else members.join(_light(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs = _hubs(now, turn)
+        pairs = _hubs(labelled(), turn)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = storage.materialize(pairs, "pairs")
@@ -332,9 +441,14 @@ def _classes(spark: SparkSession, addressed: DataFrame, size, threshold, bands,
         tried = pairs if tried is None else tried.union(pairs)
         found = _verify(pairs, likely, threshold, documents)
         if not found.limit(1).count():
-            break
+            continue
         links = found if links is None else links.union(found)
         labels = components(links)
+    if tried is not None:
+        found = functools.reduce(DataFrame.union, _rest(labelled(), likely, tried, threshold, documents))
+        if found.limit(1).count():
+            links = found if links is None else links.union(found)
+            labels = components(links)
     if labels is None:
         labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     named = nodes.select("key", "node", "first").join(_light(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
