@@ -238,6 +238,18 @@ def test_near_dups_in_mixed_buckets(spark, monkeypatch, few):
     assert [c for _, c in sorted((x.doc_id, x.class_id) for x in got)] == jaccard_classes(texts)
 
 
+def test_near_dups_that_repeat_a_passage(spark):
+    """Copies of plain similarity over 0.9 whose weights differ: one of them repeats a passage 60 times."""
+    r = random.Random(12)
+    word = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        body, passage = word(200), word(10)
+        texts += [" ".join(body + passage), " ".join(body + passage * 60)]
+    got = near_dups.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [c for _, c in sorted((x.doc_id, x.class_id) for x in got)] == [i - i % 2 for i in range(80)]
+
+
 def test_prefixes_of_similar_texts_meet():
     r, g = random.Random(3), np.random.default_rng(3)
     for _ in range(300):

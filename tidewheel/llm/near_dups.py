@@ -5,6 +5,8 @@
 2. A text whose shingles are not, for the threshold's share, in other texts too has no partner and is settled.  The rest
    get ``bands`` x ``rows`` consistent weighted samples: for each shingle with weight w, Gamma(2, 1) variates r and c and
    a uniform b give t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1); the sample is (shingle, t) at the least a.
+   As many bands of plain samples (the shingle of the least hash) stand beside them, as those collide with the plain
+   similarity and the weighted ones only with the weighted.
 3. Equal texts become one node.  Every node is paired with a hub of each band bucket; pairs are verified by weighted
    Jaccard similarity of the whole shingle sets, or the plain one, so that weights never lose a near copy.  Further rounds
    take other hubs in buckets that still hold more than one class.  Then every pair of one bucket and of different classes
@@ -187,6 +189,14 @@ def samples(owner_start: np.ndarray, names: np.ndarray, weight: np.ndarray, hash
     return out
 
 
+def plain_samples(owner_start: np.ndarray, names: np.ndarray, hashes: int, skip: int) -> np.ndarray:
+    """Samples with all weights equal, by other hashes than the first ``skip``: the least hash of each text's shingles."""
+    out = np.empty((len(owner_start), hashes), np.uint64)
+    for k in range(hashes):
+        out[:, k] = np.minimum.reduceat(mix(names + np.uint64((0x9E3779B97F4A7C15 * (skip + k + 1)) & 0xFFFFFFFFFFFFFFFF)), owner_start)
+    return out
+
+
 def _feature_task(folder: str, size: int, bands: int, rows: int, threshold: float, documents: int):
     def task(batches):
         block_known, last = None, None
@@ -211,8 +221,8 @@ def _feature_task(folder: str, size: int, bands: int, rows: int, threshold: floa
             stop = np.append(start[1:], len(owner))
             key, band, blob, extra = [None] * n, [None] * n, [None] * n, [None] * n
             if len(texts):
-                values = samples(start, names, weight, bands * rows).reshape(len(texts), bands, rows)
-                merged = np.zeros((len(texts), bands), np.uint64)
+                values = np.hstack([samples(start, names, weight, bands * rows), plain_samples(start, names, bands * rows, bands * rows)]).reshape(len(texts), 2 * bands, rows)
+                merged = np.zeros((len(texts), 2 * bands), np.uint64)
                 for k in range(rows):
                     merged = mix(merged * np.uint64(31) + values[:, :, k])
                 merged = merged.view(np.int64)
