@@ -114,3 +114,100 @@ def repeats(texts, length=400):
         spans = int((np.diff(np.concatenate([[0], gone[:-1].astype(int)])) == 1).sum())
         out.append((len(d), int(gone[:-1].sum()), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def lines(docs, least=10):
+    """op12: [(doc_id, text)] -> (doc_id, n_lines, n_dropped, kept_sha256) per row."""
+    def key(line):
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+
+    def rank(doc):
+        return (doc is not None, doc or 0)
+
+    holders = {}
+    for doc, text in docs:
+        for line in (text or "").split("\n"):
+            holders.setdefault(key(line), set()).add(rank(doc))
+    out = []
+    for doc, text in docs:
+        split = (text or "").split("\n")
+        kept = [x for x in split if len(key(x)) < least or len(holders[key(x)]) < 2 or rank(doc) == min(holders[key(x)])]
+        out.append((doc, len(split), len(split) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return out
+
+
+def hard_negatives(rows, positives=5, negatives=10):
+    """op11: [(id, vector, label)] -> rows, one pair after the other."""
+    import math
+
+    sound = [(i, [math.floor(256 * x) for x in v], (y + 1) % 10 if i % 7 == 0 else y) for i, v, y in rows
+             if i is not None and v is not None and y is not None and all(x is not None and math.isfinite(x) for x in v)]
+    anchors = {(i, tuple(v), y) for i, v, y in sound if i % 100 == 0}
+    out = []
+    for i, v, y in anchors:
+        scored = [(-sum(a * b for a, b in zip(v, w, strict=True)), j, z == y) for j, w, z in sound if j != i and len(w) == len(v)]
+        for p, pid in sorted({(s, j) for s, j, same in scored if same})[:positives]:
+            fits = sorted({(s, j) for s, j, same in scored if not same and 30 * -p <= 100 * -s <= 90 * -p})[:negatives]
+            out += [(i, pid, rank, j, -p, -s) for rank, (s, j) in enumerate(fits, 1)]
+    return out
+
+
+def alignment(texts):
+    """op13 per text, whole texts through either library, every pair by itself."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    shown = {ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0]: chr(c).encode() for c in range(128)}
+    for c in range(128, 0x800):
+        for mark, byte in zip(ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0], chr(c).encode(), strict=True):
+            shown[mark] = bytes([byte])
+    for lead in range(0x10000, 0x110000, 0x10000):
+        for mark, byte in zip(ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(lead))[0][0], chr(lead).encode(), strict=True):
+            shown[mark] = bytes([byte])
+    for c in range(0x800, 0x10000, 64):
+        if not 0xD800 <= c < 0xE000:
+            for mark, byte in zip(ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0], chr(c).encode(), strict=True):
+                shown[mark] = bytes([byte])
+
+    def cuts(parts):
+        at, out = 0, []
+        for p in parts:
+            at += len(p)
+            out.append(at)
+        return out
+
+    made = []
+    for text in texts:
+        data = (" " + (text or "")).encode()
+        ai = a.encode(" " + (text or ""), add_special_tokens=False).ids
+        bi = b.encode(text or "")
+        ab = [b"".join(shown[c] for c in a.id_to_token(i)) for i in ai]
+        bb = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in bi]
+        if not text or b"".join(ab) != data or b"".join(bb) != data:
+            made.append(None)
+            continue
+        ae, be = cuts(ab), cuts(bb)
+        both = sorted(set(ae) & set(be))
+        groups, before = [], 0
+        for cut in both:
+            groups.append(([i for i, e in zip(ai, ae, strict=True) if before < e <= cut], [i for i, e in zip(bi, be, strict=True) if before < e <= cut]))
+            before = cut
+        made.append((len(ai), len(bi), groups))
+    count = Counter(pair for m in made if m for pair in {(x, y) for g in m[2] for x in g[0] for y in g[1]})
+    best = {}
+    for (x, _), n in count.items():
+        best[x] = max(best.get(x, 0), n)
+    out = []
+    for m in made:
+        if not m:
+            out.append((0, 0, 0, 0, 0, 0, ""))
+            continue
+        pairs = [(x, y) for g in m[2] for x in g[0] for y in g[1]]
+        text = ";".join(f"{','.join(map(str, g[0]))}|{','.join(map(str, g[1]))}" for g in m[2])
+        out.append((m[0], m[1], len(m[2]), len(pairs), sum(count[p] == best[p[0]] for p in pairs), sum(count[p] for p in pairs), hashlib.sha256(text.encode()).hexdigest()))
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import decontaminate, licenses, near_dups, packing, quality, repeats, secrets_scan, shared_files, token_files, url_filter, warc
+from tidewheel.llm import align, decontaminate, hard_negatives, licenses, line_dedup, near_dups, packing, quality, repeats, secrets_scan, shared_files, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,3 +132,47 @@ def op9(spark, sf):
 @query("op5_near_dups")
 def op5(spark, sf):
     return near_dups.classes(table(spark, sf, "documents"))
+
+
+# ------------------------------------------------------------------ op11
+_NEGATIVES = """WITH
+e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS place
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 10"""
+
+
+@query("op11_hard_negatives", _NEGATIVES)
+def op11(spark, sf):
+    number = F.col("vec_id")
+    label = F.when(number % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.mine(table(spark, sf, "embeddings"), number % 100 == 0, label)
+
+
+# ------------------------------------------------------------------ op12
+_LINES = f"""WITH
+l AS (SELECT doc_id, i, t[i] AS line, {_LOWER.format("trim(t[i], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))")} AS key
+      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents), LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i)),
+k AS (SELECT key, min(doc_id) AS keeper FROM l WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT doc_id, i, line, coalesce(doc_id <> keeper, false) AS gone FROM l LEFT JOIN k USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY 1"""
+
+
+@query("op12_line_dedup", _LINES)
+def op12(spark, sf):
+    cleaned = line_dedup.clean(table(spark, sf, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# ------------------------------------------------------------------ op13
+@query("op13_token_alignment")
+def op13(spark, sf):
+    return align.score(table(spark, sf, "documents"))
