@@ -193,10 +193,11 @@ def alignment(texts):
             continue
         ae, be = cuts(ab), cuts(bb)
         both = sorted(set(ae) & set(be))
-        groups, before = [], 0
+        groups, i, j = [], 0, 0
         for cut in both:
-            groups.append(([i for i, e in zip(ai, ae, strict=True) if before < e <= cut], [i for i, e in zip(bi, be, strict=True) if before < e <= cut]))
-            before = cut
+            p, q = ae.index(cut, i) + 1, be.index(cut, j) + 1
+            groups.append((ai[i:p], bi[j:q]))
+            i, j = p, q
         made.append((len(ai), len(bi), groups))
     count = Counter(pair for m in made if m for pair in {(x, y) for g in m[2] for x in g[0] for y in g[1]})
     best = {}

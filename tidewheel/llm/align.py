@@ -1,9 +1,9 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies stand for the same bytes.
 
 A text is cut before single spaces between words, where neither vocabulary ever joins tokens, so the parts are encoded
-once per worker (a cache bounded by bytes).  In a part the character offsets of one library and the spans of the other
-one's proto give coarse cuts; where a character is split over tokens or a byte stands for itself, the decoded bytes of
-the tokens refine them.  Byte offsets where both have a cut close a group; all tokens of a group are linked.
+once per worker (a cache bounded by bytes), new ones together.  The character offsets of either library give coarse cuts
+(the installed library has replaced the immutable proto by a mapping of the same spans); where a character is split over
+tokens or a byte stands for itself, the decoded bytes of the tokens refine them.  Byte offsets where both have a cut close a group; all tokens of a group are linked.
 
 Links per document are written once, as sorted id pairs with multiplicity.  Documents per pair are counted over
 blocks of rows: a block tells each distinct pair once, the totals come back to the block's own folder, and
@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel import storage
-from tidewheel.llm import blocks, shared_files, tokens
+from tidewheel.llm import blocks, shared_files, tokens, worker
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 BLOCK_ROWS = 65_536
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 128 << 20
 PART_CHARS = 1 << 19
+MOST_LINKS = 64
 #: a single space between two characters that are no white space
 CUT = re.compile(r" (?<=\S )(?=\S)")
 
@@ -41,59 +42,31 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-def ends(spans: list[tuple[int, int]], lengths: list[int]) -> list[int]:
-    """Byte end of every token: coarse spans where they join end to start, decoded lengths in between."""
-    out, at, last = [], 0, len(spans) - 1
-    for i, (first, end) in enumerate(spans):
-        if first == at and end > at and (i == last or spans[i + 1][0] == end):
-            at = end
-        else:
-            at += lengths[i]
-        out.append(at)
-    return out
+def ends(first: np.ndarray, end: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Byte end of every token from character spans and decoded lengths.
 
-
-class Part:
-    """Alignment of one part: token counts, groups as text, linked id pairs and how often each is linked."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "text", "pairs", "times")
-
-    def __init__(self, a: list[int], a_ends: list[int], b: list[int], b_ends: list[int], width: int):
-        links: dict[int, int] = {}
-        texts, i, j = [], 0, 0
-        self.n_links = 0
-        while i < len(a):
-            p, q = i + 1, j + 1
-            while a_ends[p - 1] != b_ends[q - 1]:
-                if a_ends[p - 1] < b_ends[q - 1]:
-                    p += 1
-                else:
-                    q += 1
-            left, right = a[i:p], b[j:q]
-            texts.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            self.n_links += len(left) * len(right)
-            if len(left) * len(right) > 16:  # distinct ids only: a long group does not multiply out
-                often = Counter(right)
-                for x, n in Counter(left).items():
-                    for y, m in often.items():
-                        links[x * width + y] = links.get(x * width + y, 0) + n * m
-            else:
-                for x in left:
-                    for y in right:
-                        links[x * width + y] = links.get(x * width + y, 0) + 1
-            i, j = p, q
-        self.n_a, self.n_b, self.n_groups, self.text = len(a), len(b), len(texts), ";".join(texts).encode()
-        self.pairs, self.times = np.array(list(links), "<u8").tobytes(), np.array(list(links.values()), "<i8").tobytes()
+    A token whose span is not empty and ends where the next one starts ends at that character (``place`` gives its byte).
+    Others share a character with a neighbour: their decoded bytes count on from the last such cut.
+    """
+    n = len(first)
+    coarse = end > first
+    coarse[:-1] &= end[:-1] == first[1:]
+    total = np.cumsum(lengths)
+    at = np.maximum.accumulate(np.where(coarse, np.arange(n), -1))
+    known = at >= 0
+    return np.where(known, place[end[at]] + total - total[at], total)
 
 
-class Aligner(dict):
-    """part -> its ``Part``, None where the bytes of a vocabulary's tokens are not those of the text."""
+class Aligner:
+    """``now``: part -> (n_a, n_b, n_groups, n_links, groups as text, linked pairs, multiplicities), None where the bytes of a
+    vocabulary's tokens are not those of the text.  Multiplicities are None where every pair stands for one link."""
 
     def __init__(self, byte_level: str, pieces: str):
         import sentencepiece
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.now: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True  # names of special tokens inside texts are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
@@ -101,55 +74,118 @@ class Aligner(dict):
         names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
         self.a_bytes = [n.encode() if i in special else bytes(alphabet[c] for c in n) for i, n in enumerate(names)]
         self.width = self.b.vocab_size()
-        pieces_ = [self.b.id_to_piece(i) for i in range(self.width)]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces_)]
-        if any("▁" in p.lstrip("▁") for p in pieces_):
+        names = [self.b.id_to_piece(i) for i in range(self.width)]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        if any("▁" in p.lstrip("▁") for p in names):
             raise ValueError("a piece joins words; texts cannot be cut between words")
+        self.a_lengths, self.b_lengths = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.kind = "<u4" if self.width * len(self.a_bytes) < 1 << 32 else "<u8"
         self.held = 0
 
-    def _align(self, part: str, encoding, proto) -> Part | None:
-        data = b" " + part.encode()
-        a = encoding.ids
-        b, b_spans = [], []
-        for piece in proto.pieces:  # spans leave out the space that the library puts in front
-            first = piece.begin
-            b.append(piece.id)
-            b_spans.append((first + 1 if first else 0, piece.end + 1))
-        a_made, b_made = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_made) != data or b"".join(b_made) != data:
+    def _encode(self, text: str):
+        """(ids, byte ends) of either vocabulary over a space and the text, None if a decoded byte differs."""
+        data = b" " + text.encode()
+        a = self.a.encode(" " + text, add_special_tokens=False)
+        b = self.b.encode(text, return_type="offset_mapping")
+        a_ids, b_ids, b_offsets = a.ids, b["ids"], b["offsets"]
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != data or b"".join(map(self.b_bytes.__getitem__, b_ids)) != data:
             return None
-        a_spans = encoding.offsets
-        if len(data) > len(part) + 1:  # characters to bytes
-            codes = np.frombuffer(part.encode("utf-32-le"), "<u4")
-            place = np.concatenate([[0, 1], 1 + np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))]).tolist()
-            a_spans = [(place[x], place[y]) for x, y in a_spans]
-        a_ends, b_ends = ends(a_spans, list(map(len, a_made))), ends(b_spans, list(map(len, b_made)))
-        return Part(a, a_ends, b, b_ends, self.width)
-
-    def learn(self, parts) -> None:
-        """Align parts that are not known yet, as one batch for either library; the cache starts anew when it is full."""
-        if self.held > CACHE_BYTES:
-            self.clear()
-            self.held = 0
-        new = [p for p in parts if p not in self]
-        if not new:
+        codes = np.frombuffer((" " + text).encode("utf-32-le"), "<u4")
+        place = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
+        a_ids, b_ids = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        a_spans = np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(a_ids)).reshape(-1, 2)
+        b_spans = np.fromiter(chain.from_iterable(b_offsets), np.int64, 2 * len(b_ids)).reshape(-1, 2) + 1  # they leave out the space in front
+        return (a_ids, ends(a_spans[:, 0], a_spans[:, 1], place, self.a_lengths[a_ids]),
+                b_ids, ends(b_spans[:, 0], b_spans[:, 1], place, self.b_lengths[b_ids]))
+
+    def _align(self, parts: list[str]) -> None:
+        """Align parts as one text; a part whose bytes differ is found by halving."""
+        made = self._encode(" ".join(parts))
+        stops = np.cumsum([len(p.encode()) + 1 for p in parts])
+        if made is None:
+            if len(parts) == 1:
+                self._hold(parts[0], None)
+            else:
+                self._align(parts[: len(parts) // 2])
+                self._align(parts[len(parts) // 2 :])
             return
-        a = self.a.encode_batch([" " + p for p in new], add_special_tokens=False)
-        b = self.b.encode(new, return_type="proto", num_threads=1)
-        for part, x, y in zip(new, a, b, strict=True):
-            made = self[part] = self._align(part, x, y)
-            self.held += 400 + len(part) + (len(made.text) + 2 * len(made.pairs) if made else 0)
-
+        a, a_ends, b, b_ends = made
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        if not np.isin(stops, cuts, assume_unique=True).all():
+            raise ValueError("a token reaches over a cut between words")
+        # groups as ranges of tokens, parts as ranges of groups and of tokens
+        a_to, b_to = np.searchsorted(a_ends, cuts, "right"), np.searchsorted(b_ends, cuts, "right")
+        a_n, b_n = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
+        last = np.searchsorted(cuts, stops)
+        a_names, b_names = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        texts, i, j = [], 0, 0
+        for p, q in zip(a_to.tolist(), b_to.tolist(), strict=True):
+            if p - i == 1 and q - j == 1:
+                texts.append(f"{a_names[i]}|{b_names[j]}")
+            else:
+                texts.append(f"{','.join(a_names[i:p])}|{','.join(b_names[j:q])}")
+            i, j = p, q
+        # pairs of a group: each first id beside all second ids; groups that would multiply out are counted by distinct ids
+        n_links = a_n * b_n
+        plain = np.where(n_links <= MOST_LINKS, b_n, 0)
+        each = np.repeat(plain, a_n)
+        start = np.repeat(b_to - b_n, a_n)
+        to = np.cumsum(each)
+        second = np.arange(to[-1]) - np.repeat(to - each, each) + np.repeat(start, each)
+        pairs = (np.repeat(a, each) * self.width + b[second]).astype(self.kind).tobytes()
+        size = np.dtype(self.kind).itemsize
+        # per part: numbers up to its end, then differences
+        a_at, b_at, g_at = a_to[last], b_to[last], last + 1
+        l_at, p_at = np.cumsum(n_links)[last], np.cumsum(a_n * plain)[last]
+        numbers = [np.diff(x, prepend=0).tolist() for x in (a_at, b_at, g_at, l_at)]
+        large: dict[int, list[int]] = {}
+        for g in np.flatnonzero(plain < b_n).tolist():
+            large.setdefault(int(np.searchsorted(last, g)), []).append(g)
+        g, p = 0, 0
+        for k, (part, g_to, p_to, *n) in enumerate(zip(parts, g_at.tolist(), p_at.tolist(), *numbers, strict=True)):
+            here, times = pairs[p * size : p_to * size], None
+            if k in large:
+                counted: dict[int, int] = dict(Counter(np.frombuffer(here, self.kind).tolist()))
+                for q in large[k]:
+                    often = Counter(b[b_to[q] - b_n[q] : b_to[q]].tolist())
+                    for x, m in Counter(a[a_to[q] - a_n[q] : a_to[q]].tolist()).items():
+                        for y, o in often.items():
+                            counted[x * self.width + y] = counted.get(x * self.width + y, 0) + m * o
+                here, times = np.array(list(counted), self.kind).tobytes(), np.array(list(counted.values()), "<i8").tobytes()
+            text = ";".join(texts[g:g_to]).encode()
+            self._hold(part, (*n, text, here, times))
+            g, p = g_to, p_to
+
+    def _hold(self, part: str, made: tuple | None) -> None:
+        self.now[part] = made
+        self.held += 330 + len(part) + (len(made[4]) + len(made[5]) if made else 0)
 
-_WORKER: dict[tuple[str, str], Aligner] = {}
+    def learn(self, parts) -> None:
+        """Put parts into ``now``; those not known are aligned as one text for either library.
+
+        When ``now`` is full it becomes ``old``, from where parts that come again move back: frequent ones stay.
+        """
+        if self.held > CACHE_BYTES // 2:
+            self.now, self.old, self.held = {}, self.now, 0
+        now, old, new = self.now, self.old, []
+        for p in parts:
+            if p not in now:
+                if p in old:
+                    self._hold(p, old[p])
+                else:
+                    new.append(p)
+        joined = [p for p in new if not (p[0].isspace() or p[-1].isspace())]  # a space beside white space is no cut
+        if joined:
+            self._align(joined)
+        if len(joined) < len(new):
+            for p in new:
+                if p[0].isspace() or p[-1].isspace():
+                    self._align([p])
 
 
 def aligner(byte_level: str, pieces: str) -> Aligner:
     """The cache of this worker process."""
-    key = (byte_level, pieces)
-    if key not in _WORKER:
-        _WORKER[key] = Aligner(byte_level, pieces)
-    return _WORKER[key]
+    return worker.keep(("aligner", byte_level, pieces), lambda: Aligner(byte_level, pieces))
 
 
 def stretches(text: str, size: int = PART_CHARS):
@@ -180,19 +216,21 @@ def links(text: str, known: Aligner) -> tuple | None:
     pairs, times, before = np.empty(0, "<u8"), np.empty(0, "<i8"), b""
     for run in stretches(text):
         words = CUT.split(run)
-        number: dict[str, int] = {}
-        order = array("q", [number.setdefault(w, len(number)) for w in words])
-        known.learn(number)
-        parts = [known[w] for w in number]
+        often = Counter(words)
+        known.learn(often)
+        parts = list(map(known.now.__getitem__, often))
         if None in parts:
             return None
-        often = np.bincount(np.frombuffer(order, "<i8"), minlength=len(parts))
-        sums += often @ np.array([(p.n_a, p.n_b, p.n_groups, p.n_links) for p in parts], np.int64)
-        texts = [p.text for p in parts]
-        digest.update(before + b";".join(map(texts.__getitem__, order)))
+        n = np.fromiter(often.values(), np.int64, len(often))
+        sums += n @ np.array([p[:4] for p in parts], np.int64)
+        now = known.now
+        digest.update(before + b";".join([now[w][4] for w in words]))
         before = b";"
-        here = np.frombuffer(b"".join([p.pairs for p in parts]), "<u8")
-        each = np.frombuffer(b"".join([p.times for p in parts]), "<i8") * np.repeat(often, [len(p.pairs) // 8 for p in parts])
+        size = np.dtype(known.kind).itemsize
+        here = np.frombuffer(b"".join([p[5] for p in parts]), known.kind).astype("<u8")
+        each = np.repeat(n, [len(p[5]) // size for p in parts])
+        if any(p[6] for p in parts):
+            each = each * np.concatenate([np.frombuffer(p[6], "<i8") if p[6] else np.ones(len(p[5]) // size, np.int64) for p in parts])
         pairs, times = merged(np.concatenate([pairs, here]), np.concatenate([times, each]))
     return (*sums.tolist(), digest.hexdigest(), pairs, times)
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.llm import worker
+
 WINDOW = 8
 PIECES = "piece_bpe_32k.model"
 #: fixed: characters that count as symbols
@@ -54,13 +56,8 @@ class Fertility(dict):
         return len(ids), int(((ids >= self.low) & (ids <= self.high)).sum()), float(-(share * np.log2(share)).sum())
 
 
-_WORKER: dict[str, Fertility] = {}
-
-
 def fertility(path: str) -> Fertility:
-    if path not in _WORKER:
-        _WORKER[path] = Fertility(path)
-    return _WORKER[path]
+    return worker.keep(("fertility", path), lambda: Fertility(path))
 
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:

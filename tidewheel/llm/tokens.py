@@ -9,6 +9,8 @@ from __future__ import annotations
 import sys
 from array import array
 
+from tidewheel.llm import worker
+
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("token ids are laid out for little-endian machines with 32-bit integers")
 _UINT32 = "I"
@@ -61,11 +63,6 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, data.split()))
 
 
-_WORKER: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """The cache of this worker process."""
-    if path not in _WORKER:
-        _WORKER[path] = WordIds(path)
-    return _WORKER[path]
+    return worker.keep(("word ids", path), lambda: WordIds(path))
