@@ -125,7 +125,8 @@ def op7(spark, sf):
 
 @query("op9_repeats")
 def op9(spark, sf):
-    return repeats.remove(table(spark, sf, "documents")).drop("kept")
+    found = repeats.remove(table(spark, sf, "documents")).drop("kept")
+    return found.withColumn("repeated", F.col("n_removed") > 0)
 
 
 # ------------------------------------------------------------------ op5
