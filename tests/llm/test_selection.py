@@ -123,9 +123,9 @@ def test_alignment_of_a_table(spark):
 def test_alignment_with_small_caches_and_stretches(spark, monkeypatch):
     known = align.Aligner(align.tokens.vocabulary_path(align.BYTE_LEVEL), align.tokens.vocabulary_path(align.PIECES))
     text = " ".join(random.Random(3).choice(["élan", "von", "the\n", "", "日本", "x, y"]) for _ in range(4000))
-    whole = align.links(text, known)
+    whole = align.text_links(text, known)
     monkeypatch.setattr(align, "CACHE_BYTES", 1)
     assert len(list(stretches(text, 50))) > 50 and " ".join(stretches(text, 50)) == text
     monkeypatch.setattr(align, "stretches", lambda t: stretches(t, 50))
-    again = align.links(text, known)
+    again = align.text_links(text, known)
     assert whole[:5] == again[:5] and (whole[5] == again[5]).all() and (whole[6] == again[6]).all()

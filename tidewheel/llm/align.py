@@ -28,7 +28,7 @@ from tidewheel.llm import blocks, shared_files, tokens, worker
 BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 BLOCK_ROWS = 65_536
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 160 << 20
 PART_CHARS = 1 << 19
 MOST_LINKS = 64
 #: a single space between two characters that are no white space
@@ -58,8 +58,8 @@ def ends(first: np.ndarray, end: np.ndarray, place: np.ndarray, lengths: np.ndar
 
 
 class Aligner:
-    """``now``: part -> (n_a, n_b, n_groups, n_links, groups as text, linked pairs, multiplicities), None where the bytes of a
-    vocabulary's tokens are not those of the text.  Multiplicities are None where every pair stands for one link."""
+    """``now``: part -> (n_a, groups as text, linked pairs, multiplicities), None where the bytes of a vocabulary's tokens
+    are not those of the text.  A group's text ends in ";".  Multiplicities are None where every pair stands for one link."""
 
     def __init__(self, byte_level: str, pieces: str):
         import sentencepiece
@@ -79,6 +79,9 @@ class Aligner:
         if any("▁" in p.lstrip("▁") for p in names):
             raise ValueError("a piece joins words; texts cannot be cut between words")
         self.a_lengths, self.b_lengths = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        a_names, b_names = ([b"%d" % i for i in range(n)] for n in (len(self.a_bytes), self.width))
+        self.marked = [n + mark for names, mark in ((a_names, b","), (a_names, b"|"), (b_names, b","), (b_names, b";")) for n in names]
+        self.counted = False  # whether any part has multiplicities
         self.kind = "<u4" if self.width * len(self.a_bytes) < 1 << 32 else "<u8"
         self.held = 0
 
@@ -100,7 +103,8 @@ class Aligner:
 
     def _align(self, parts: list[str]) -> None:
         """Align parts as one text; a part whose bytes differ is found by halving."""
-        made = self._encode(" ".join(parts))
+        data = " ".join(parts)
+        made = self._encode(data)
         stops = np.cumsum([len(p.encode()) + 1 for p in parts])
         if made is None:
             if len(parts) == 1:
@@ -117,14 +121,14 @@ class Aligner:
         a_to, b_to = np.searchsorted(a_ends, cuts, "right"), np.searchsorted(b_ends, cuts, "right")
         a_n, b_n = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
         last = np.searchsorted(cuts, stops)
-        a_names, b_names = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        texts, i, j = [], 0, 0
-        for p, q in zip(a_to.tolist(), b_to.tolist(), strict=True):
-            if p - i == 1 and q - j == 1:
-                texts.append(f"{a_names[i]}|{b_names[j]}")
-            else:
-                texts.append(f"{','.join(a_names[i:p])}|{','.join(b_names[j:q])}")
-            i, j = p, q
+        # ids with the mark that follows each, in order of groups: first ids, then second ids
+        n, m = len(self.a_bytes), self.width
+        codes = np.empty(len(a) + len(b), np.int64)
+        a_mark, b_mark = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_mark[a_to - 1], b_mark[b_to - 1] = n, m
+        codes[np.arange(len(a)) + np.repeat(b_to - b_n, a_n)] = a + a_mark
+        codes[np.arange(len(b)) + np.repeat(a_to, b_n)] = b + b_mark + 2 * n
+        names = list(map(self.marked.__getitem__, codes.tolist()))
         # pairs of a group: each first id beside all second ids; groups that would multiply out are counted by distinct ids
         n_links = a_n * b_n
         plain = np.where(n_links <= MOST_LINKS, b_n, 0)
@@ -134,16 +138,14 @@ class Aligner:
         second = np.arange(to[-1]) - np.repeat(to - each, each) + np.repeat(start, each)
         pairs = (np.repeat(a, each) * self.width + b[second]).astype(self.kind).tobytes()
         size = np.dtype(self.kind).itemsize
-        # per part: numbers up to its end, then differences
-        a_at, b_at, g_at = a_to[last], b_to[last], last + 1
-        l_at, p_at = np.cumsum(n_links)[last], np.cumsum(a_n * plain)[last]
-        numbers = [np.diff(x, prepend=0).tolist() for x in (a_at, b_at, g_at, l_at)]
+        a_at, p_at = a_to[last], np.cumsum(a_n * plain)[last] * size
         large: dict[int, list[int]] = {}
         for g in np.flatnonzero(plain < b_n).tolist():
             large.setdefault(int(np.searchsorted(last, g)), []).append(g)
-        g, p = 0, 0
-        for k, (part, g_to, p_to, *n) in enumerate(zip(parts, g_at.tolist(), p_at.tolist(), *numbers, strict=True)):
-            here, times = pairs[p * size : p_to * size], None
+            self.counted = True
+        t, p = 0, 0
+        for k, (part, n_a, t_to, p_to) in enumerate(zip(parts, np.diff(a_at, prepend=0).tolist(), (a_at + b_to[last]).tolist(), p_at.tolist(), strict=True)):
+            here, times = pairs[p:p_to], None
             if k in large:
                 counted: dict[int, int] = dict(Counter(np.frombuffer(here, self.kind).tolist()))
                 for q in large[k]:
@@ -152,13 +154,13 @@ class Aligner:
                         for y, o in often.items():
                             counted[x * self.width + y] = counted.get(x * self.width + y, 0) + m * o
                 here, times = np.array(list(counted), self.kind).tobytes(), np.array(list(counted.values()), "<i8").tobytes()
-            text = ";".join(texts[g:g_to]).encode()
-            self._hold(part, (*n, text, here, times))
-            g, p = g_to, p_to
+            self.now[part] = (n_a, b"".join(names[t:t_to]), here, times)
+            t, p = t_to, p_to
+        self.held += 300 * len(parts) + len(data) + 6 * len(codes) + len(pairs)
 
     def _hold(self, part: str, made: tuple | None) -> None:
         self.now[part] = made
-        self.held += 330 + len(part) + (len(made[4]) + len(made[5]) if made else 0)
+        self.held += 300 + len(part) + (len(made[1]) + len(made[2]) if made else 0)
 
     def learn(self, parts) -> None:
         """Put parts into ``now``; those not known are aligned as one text for either library.
@@ -210,29 +212,48 @@ def merged(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return pairs[first], np.add.reduceat(times, first)
 
 
-def links(text: str, known: Aligner) -> tuple | None:
-    """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of a whole text, None if it has no tokens."""
-    sums, digest = np.zeros(4, np.int64), hashlib.sha256()
-    pairs, times, before = np.empty(0, "<u8"), np.empty(0, "<i8"), b""
-    for run in stretches(text):
-        words = CUT.split(run)
-        often = Counter(words)
-        known.learn(often)
-        parts = list(map(known.now.__getitem__, often))
+def links(runs, known: Aligner) -> tuple | None:
+    """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of a whole text, None if it has no tokens.
+
+    ``runs`` are the parts of one stretch after the other, known when they come.
+    """
+    n_a = n_groups = n_commas = 0
+    digest, before = hashlib.sha256(), b""
+    pairs, times = np.empty(0, "<u8"), np.empty(0, "<i8")
+    size, now = np.dtype(known.kind).itemsize, None
+    for words in runs:
+        often, now = Counter(words), known.now
+        parts = list(map(now.__getitem__, often))
         if None in parts:
             return None
         n = np.fromiter(often.values(), np.int64, len(often))
-        sums += n @ np.array([p[:4] for p in parts], np.int64)
-        now = known.now
-        digest.update(before + b";".join([now[w][4] for w in words]))
+        n_a += int(n @ np.fromiter([p[0] for p in parts], np.int64, len(parts)))
+        text = b"".join([now[w][1] for w in words])
+        n_groups, n_commas = n_groups + text.count(b"|"), n_commas + text.count(b",")
+        digest.update(before)
+        digest.update(memoryview(text)[:-1])
         before = b";"
-        size = np.dtype(known.kind).itemsize
-        here = np.frombuffer(b"".join([p[5] for p in parts]), known.kind).astype("<u8")
-        each = np.repeat(n, [len(p[5]) // size for p in parts])
-        if any(p[6] for p in parts):
-            each = each * np.concatenate([np.frombuffer(p[6], "<i8") if p[6] else np.ones(len(p[5]) // size, np.int64) for p in parts])
-        pairs, times = merged(np.concatenate([pairs, here]), np.concatenate([times, each]))
-    return (*sums.tolist(), digest.hexdigest(), pairs, times)
+        here = np.frombuffer(b"".join([p[2] for p in parts]), known.kind).astype("<u8")
+        each = np.repeat(n, [len(p[2]) // size for p in parts])
+        if known.counted and any(p[3] for p in parts):
+            each = each * np.concatenate([np.frombuffer(p[3], "<i8") if p[3] else np.ones(len(p[2]) // size, np.int64) for p in parts])
+        if len(pairs):
+            here, each = np.concatenate([pairs, here]), np.concatenate([times, each])
+        pairs, times = merged(here, each)
+    # a group has one id more than commas on either side
+    return n_a, n_commas + 2 * n_groups - n_a, n_groups, int(times.sum()), digest.hexdigest(), pairs, times
+
+
+def text_links(text: str, known: Aligner) -> tuple | None:
+    """:func:`links` of a text of any length; its stretches are learned one by one."""
+
+    def runs():
+        for run in stretches(text):
+            words = CUT.split(run)
+            known.learn(set(words))
+            yield words
+
+    return links(runs(), known)
 
 
 def alignments(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_level: str | None = None, pieces: str | None = None) -> DataFrame:
@@ -254,15 +275,18 @@ def alignments(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", by
                 except UnicodeDecodeError:
                     texts.append("")
             rows, start = [], 0
-            while start < len(texts):  # one batch for the libraries over a run of short texts
+            while start < len(texts):  # one text for the libraries over a run of short texts
                 end, size = start, 0
                 while end < len(texts) and (end == start or size + len(texts[end]) <= PART_CHARS):
                     size += len(texts[end])
                     end += 1
-                if size <= PART_CHARS:
-                    known.learn(dict.fromkeys(w for t in texts[start:end] if t for w in CUT.split(t)))
-                for t in texts[start:end]:
-                    rows.append((t and links(t, known)) or (0, 0, 0, 0, "", np.empty(0, "<u8"), np.empty(0, "<i8")))
+                if size > PART_CHARS:
+                    made = [text_links(t, known) for t in texts[start:end]]
+                else:
+                    split = [CUT.split(t) if t else None for t in texts[start:end]]
+                    known.learn(set().union(*filter(None, split)))
+                    made = [words and links([words], known) for words in split]
+                rows += [m or (0, 0, 0, 0, "", np.empty(0, "<u8"), np.empty(0, "<i8")) for m in made]
                 start = end
                 if size > PART_CHARS or len(rows) >= 512 or start == len(texts):
                     done = start - len(rows)
