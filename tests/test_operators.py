@@ -333,3 +333,37 @@ def test_unit_root_direction(spark):
     beta, rss, *_ = np.linalg.lstsq(X, d[1:], rcond=None)
     se = math.sqrt(rss[0] / (398 - 3) * np.linalg.inv(X.T @ X)[0, 0])
     assert got.loc["walk", "adf"] == pytest.approx(beta[0] / se, rel=1e-6)
+
+
+@pytest.mark.parametrize("chunk_rows", [64, 1000, 5000])
+def test_exponential_means_remember_through_long_gaps(spark, chunk_rows):
+    """Runs of nulls over many chunks, sparse values, and a key without any value: chunks agree with one long scan."""
+    frames = []
+    for symbol, seed in (("A", 1), ("B", 2), ("C", 3)):
+        f = walk(4000, symbol, seed)
+        r = np.random.default_rng(seed)
+        lost = np.zeros(4000, bool)
+        lost[900:2600] = True
+        lost[2700:3900] = r.random(1200) < 0.97 if symbol == "A" else False
+        if symbol == "B":
+            lost[:50] = True
+        if symbol == "C":
+            lost[:] = True
+        f.loc[lost, ["High", "Low", "Close"]] = np.nan
+        frames.append(f)
+    tl = Timeline.build(candles(spark, *frames), chunk_rows=chunk_rows)
+    whole = Timeline.build(candles(spark, *frames), chunk_rows=10_000)
+    many = [
+        (lambda t: recursive.ewm(t, "Close", {"a": 5, "b": 60}, keep=[]), ["a", "b"]),
+        (lambda t: recursive.macd(t, keep=[]), ["macd", "macd_signal", "macd_hist"]),
+        (lambda t: recursive.adx(t, keep=[]), ["adx", "dmp", "dmn"]),
+        (lambda t: recursive.schaff_trend_cycle(t, keep=[]), ["stc", "stc_stoch"]),
+    ]
+    for make, names in many:
+        got, want = (make(t).df.orderBy("symbol", "rn").select("symbol", "rn", *names).toPandas() for t in (tl, whole))
+        assert got["rn"].tolist() == want["rn"].tolist()
+        for n in names:
+            np.testing.assert_allclose(got[n].astype(float), want[n].astype(float), rtol=1e-9, atol=1e-9, err_msg=n)
+    plain = pd.concat(frames).groupby("symbol")["Close"].transform(lambda x: x.ewm(span=60, adjust=False).mean())
+    got = recursive.ewm(tl, "Close", {"b": 60}, keep=["seq"]).df.orderBy("symbol", "rn").toPandas()
+    np.testing.assert_allclose(got["b"].astype(float), plain.to_numpy(), rtol=1e-12)

@@ -1,5 +1,7 @@
 """Files, batch job, streams and model layer."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,24 +73,43 @@ def test_asof_ties_and_offsets(spark):
     assert go(direction="forward", strict=True) == {1: None, 2: None, 3: "w", 4: None}
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    """Several files in time order: the stream over micro-batches gives the batch bars; a repeated old row is late."""
-    f = walk(400, "A", 8)
+def run_stream(spark, tmp_path, f, pieces, made, per_trigger=1):
+    """Bars of ``made`` over files written one after the other; the progress of the query comes along."""
     src = str(tmp_path / "in")
-    for i in range(0, 400, 100):
-        candles(spark, f.iloc[i : i + 100]).coalesce(1).write.mode("append").parquet(src)
-    late = f.iloc[:1].assign(seq=9999, ts=f["ts"].iloc[10])
-    candles(spark, late).coalesce(1).write.mode("append").parquet(src)
-    schema = candles(spark, f).schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    made = live.threshold_bars(live.candle_stream(raw, "10 days"), "Volume", 700)
-    q = made.writeStream.format("memory").queryName("vb").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    for piece in pieces:
+        candles(spark, piece).coalesce(1).write.mode("append").parquet(src)
+    raw = spark.readStream.schema(candles(spark, f).schema).option("maxFilesPerTrigger", per_trigger).parquet(src)
+    name = f"out_{abs(hash(str(tmp_path)))}"
+    q = made(raw).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    got = spark.sql("select * from vb").toPandas()
-    assert (got["kind"] == "late").sum() == 1
-    want = bars.volume_bars(Timeline.build(candles(spark, f)), 700).orderBy("bar_id").toPandas()
-    g = got[got.kind == "bar"].sort_values("bar_id")
-    assert g["Close"].tolist() == want["Close"].tolist() and g["High"].tolist() == want["High"].tolist()
+    return spark.sql(f"select * from {name}").toPandas(), q.recentProgress
+
+
+def heartbeat(f, days):
+    return f.iloc[-1:].assign(symbol=None, ts=f["ts"].iloc[-1] + pd.Timedelta(days=days))
+
+
+def test_stream_in_disorder_equals_batch(spark, tmp_path):
+    """Rows out of order within and across micro-batches, inside the delay: bars are those of the ordered series."""
+    f = pd.concat([walk(400, "A", 8), walk(300, "B", 9)])
+    rng = np.random.default_rng(1)
+    disorder = f.iloc[np.argsort(f["ts"].to_numpy().astype("datetime64[s]").astype(int) + rng.integers(0, 3000, len(f)))]
+    pieces = [disorder.iloc[i : i + 120] for i in range(0, len(f), 120)] + [disorder.iloc[:50], heartbeat(f, 2)]
+    got, _ = run_stream(spark, tmp_path, f, pieces, lambda raw: live.threshold_bars(live.candle_stream(raw, "60 minutes"), "Volume", 700, "10 minutes"))
+    want = bars.volume_bars(Timeline.build(candles(spark, f)), 700).toPandas().sort_values(["symbol", "bar_id"])
+    got = got.sort_values(["symbol", "bar_id"])
+    for c in ("symbol", "bar_id", "ts", "Open", "High", "Low", "Close", "Volume", "trade_count"):
+        assert got[c].tolist() == want[c].tolist(), c
+
+
+def test_stream_drops_and_counts_rows_behind_the_watermark(spark, tmp_path):
+    f = walk(400, "A", 8)
+    old = f.iloc[[3]].assign(seq=9999, Close=1e6, ts=f["ts"].iloc[3] + pd.Timedelta(seconds=1))
+    pieces = [f.iloc[:200], f.iloc[200:300], pd.concat([old, f.iloc[300:]]), heartbeat(f, 1)]
+    got, progress = run_stream(spark, tmp_path, f, pieces, lambda raw: live.cusum_events(live.candle_stream(raw, "30 minutes"), 6))
+    assert sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"]) == 1
+    assert 9999 not in set(got["seq"]) and len(got) > 3
+    assert (got["ts"] <= f["ts"].iloc[-1]).all()
 
 
 def test_refit_and_trade_log(spark, tmp_path):
@@ -118,17 +139,37 @@ def table(spark):
 
 
 def test_models(spark, table):
-    rows = splits.purged_folds(table, 3, "t1", 0.01)
+    folds = splits.fold_set(table, 3, "t1", 0.01)
     make = lambda: ml.scaled_pipeline(["good", "noise"], ml.random_forest(trees=5, depth=3))
-    pred, scores = ml.cross_validate(rows, range(3), make, ["symbol", "ts"])
+    pred, scores = ml.cross_validate(folds, make, ["symbol", "ts"])
     assert pred.count() == 600
+    report = {r.row: r.support for r in ml.pooled_report(pred).collect()}
+    assert report["weighted avg"] == 600
     assert all(r.f1_weighted > 0.9 for r in scores.collect())
-    imp = ml.permutation_importance(rows, range(3), ["good", "noise"], ml.random_forest(trees=5, depth=3), ["symbol", "ts"]).toPandas().set_index("feature")["importance"]
+    imp = ml.permutation_importance(folds, ["good", "noise"], ml.random_forest(trees=5, depth=3), ["symbol", "ts"]).toPandas().set_index("feature")["importance"]
     assert imp["good"] > 0.1 > abs(imp["noise"])
-    f1 = ml.permutation_importance(rows, range(2), ["good", "noise"], ml.random_forest(trees=5, depth=3), ["symbol", "ts"], scoring="f1").toPandas().set_index("feature")["importance"]
+    f1 = ml.permutation_importance(folds, ["good", "noise"], ml.random_forest(trees=5, depth=3), ["symbol", "ts"], scoring="f1").toPandas().set_index("feature")["importance"]
     assert f1["good"] > 0.1
 
 
+def sides(folds):
+    return sorted((s, r.ts, role) for s in range(len(folds.plan)) for role, df in (("train", folds.train(s)), ("test", folds.test(s))) for r in df.collect())
+
+
+def test_splits_are_filters_on_rows_written_once(spark, table):
+    """Both kinds of split give the rows of the long tables, whatever their number, from one written table."""
+    folds = splits.fold_set(table, 4, "t1", 0.02)
+    long = splits.purged_folds(table, 4, "t1", 0.02).collect()
+    assert sides(folds) == sorted((r.fold, r.ts, r.role) for r in long)
+    tl = table.with_df(table.df.withColumn("t1", F.col("ts") + F.expr("interval 45 minutes")))
+    for n, k in ((4, 1), (5, 2)):
+        got = splits.combinatorial_set(tl.df, n, k, embargo=0.03)
+        want = splits.purged_splits(splits.time_groups(tl.df, n), splits.combinatorial_splits(spark, n, k), embargo=0.03).collect()
+        assert sides(got) == sorted((r.split, r.ts, r.role) for r in want)
+        assert got.rows.count() == 600
+        assert {tuple(r) for r in got.sizes().collect()} == {(s, got.train(s).count(), got.test(s).count()) for s in range(len(got.plan))}
+
+
 def test_components_and_filters(spark, table):
     df = ml.assemble(table.df.withColumn("copy", F.col("good") * 2), ["good", "copy", "noise"])
     out, shares = ml.principal_components(df, 3, 0.99)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidewheel.catalog import (
@@ -106,6 +108,33 @@ staged("return_stats", lambda: [I.return_stats()], ["returns_roll_sum", "returns
 EWM_ONE = recursion("e", "ticks", {"v": "b.close"}, {"v": ema("e.v", "b.close", 20)})
 
 
+_GAPPED = "gapped AS (SELECT *, CASE WHEN (rn - 1) % 5000 < 3000 THEN close END AS x FROM ticks)"
+
+
+def _gap_mean(name: str, base: str, x: str, span: int) -> str:
+    """An exponential mean whose old weight shrinks over every row without a value."""
+    a = 2.0 / (span + 1.0)
+    return recursion(
+        name, base, {"v": f"b.{x}", "w": "1"},
+        {"v": f"CASE WHEN b.{x} IS NULL THEN e.v WHEN e.v IS NULL THEN b.{x} ELSE (e.w * {1 - a!r} * e.v + {a!r} * b.{x}) / (e.w * {1 - a!r} + {a!r}) END",
+         "w": f"CASE WHEN b.{x} IS NULL THEN e.w * {1 - a!r} ELSE 1.0 END"})
+
+
+@query("ewm_long_gap", final(
+    "SELECT t.symbol, t.seq, m.v AS ewm_small, m.v AS ewm_large, l.x AS macd, g.v AS macd_signal FROM gapped t JOIN m USING (symbol, rn) JOIN l USING (symbol, rn) JOIN g USING (symbol, rn)",
+    (ONE, _GAPPED, _gap_mean("m", "gapped", "x", 20), _gap_mean("f", "gapped", "x", 12), _gap_mean("s", "gapped", "x", 26),
+     "l AS MATERIALIZED (SELECT symbol, rn, f.v - s.v AS x FROM f JOIN s USING (symbol, rn))", _gap_mean("g", "l", "x", 9)),
+    d=["ewm_small", "ewm_large", "macd", "macd_signal"]))
+def _gap(spark, sf):
+    """Runs of 2000 rows without a value, in chunks shorter and longer than the runs."""
+    tl = one(spark, sf)
+    tl = tl.extend(x=F.when((C("rn") - 1) % 5000 < 3000, C("Close"))).narrow("seq", "x")
+    small = E.ewm(replace(tl, chunk_rows=256), "x", {"ewm_small": 20}, keep=["seq", "x"])
+    large = E.ewm(tl, "x", {"ewm_large": 20}, keep=["seq"])
+    both = E.macd(small, "x", out=("macd", "macd_signal", "hist"), keep=["seq", "ewm_small"])
+    return shape(both.df.join(large.df.drop("seq"), ["symbol", "rn"]), d=["ewm_small", "ewm_large", "macd", "macd_signal"])
+
+
 @query("ewm", final("SELECT t.symbol, t.seq, e.v AS ewm FROM ticks t JOIN e USING (symbol, rn)", (ONE, EWM_ONE), d=["ewm"]))
 def _ewm(spark, sf):
     return shape(E.ewm(one(spark, sf), "Close", {"ewm": 20}), d=["ewm"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -217,24 +218,39 @@ def forest():
 
 @query("cross_validation")
 def _cv(spark, sf):
-    rows = splits.purged_folds(model_table(spark, sf), 3, "t1", 0.01)
-    pred, scores = ml.cross_validate(rows, range(3), forest, ["symbol", "ts"])
+    folds = splits.fold_set(model_table(spark, sf), 3, "t1", 0.01)
+    pred, scores = ml.cross_validate(folds, forest, ["symbol", "ts"])
     return shape(scores, (), ["f1_weighted"], ["fold"])
 
 
 @query("out_of_fold_predictions")
 def _oof(spark, sf):
-    rows = splits.purged_folds(model_table(spark, sf), 3, "t1", 0.01)
-    pred = ml.out_of_fold(rows, range(3), lambda: ml.scaled_pipeline(FEATS, ml.boosted_trees(rounds=3)), ["symbol", "ts", "label"])
+    folds = splits.fold_set(model_table(spark, sf), 3, "t1", 0.01)
+    pred = ml.out_of_fold(folds, lambda: ml.scaled_pipeline(FEATS, ml.boosted_trees(rounds=3)), ["symbol", "ts", "label"])
     return shape(pred.withColumn("p1", C("prob")[1]), DAY, ["p1"], ["fold", "label", "pred"])
 
 
+_G10 = GRP.replace("* 6 //", "* 10 //").replace(", 5) AS grp", ", 9) AS grp")
+_C10 = COMB.replace("range(0, 6)", "range(0, 10)")
+
+
+@query("combinatorial_sizes", final(
+    f"SELECT split, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test FROM ({CPCV.format(hit=_hit(True))}) AS z GROUP BY 1",
+    (TICKS, LAB, _G10, _C10, _rng, _span), (), i=["split", "n_train", "n_test"]))
+def _csz(spark, sf):
+    """Ten time groups, two of them tested: 45 splits over rows that are written once."""
+    return shape(splits.combinatorial_set(labelled(spark, sf).df, 10, 2, embargo=0.01).sizes(), (), i=["split", "n_train", "n_test"])
+
+
+@query("fold_sizes", final(f"SELECT fold, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test FROM ({PURGED}) AS z GROUP BY 1", (TICKS, LAB), (), i=["fold", "n_train", "n_test"]))
+def _fsz(spark, sf):
+    return shape(splits.fold_set(labelled(spark, sf), 4, "t1", 0.01).sizes(), (), i=["fold", "n_train", "n_test"])
+
+
 @query("combinatorial_cv")
 def _ccv(spark, sf):
-    tl = model_table(spark, sf)
-    g = splits.time_groups(tl.df, 4)
-    rows = splits.purged_splits(g, splits.combinatorial_splits(spark, 4, 2), embargo=0.01)
-    _j, scores, _s = ml.combinatorial_cv(rows, splits.backtest_paths(spark, 4, 2), range(6), forest, ["symbol", "ts"])
+    folds = splits.combinatorial_set(model_table(spark, sf).df, 10, 2, embargo=0.01)
+    _j, scores, _s = ml.combinatorial_cv(folds, splits.backtest_paths(spark, 10, 2), forest, ["symbol", "ts"])
     return shape(scores, (), ["f1_weighted"], ["path"])
 
 
@@ -249,9 +265,9 @@ def _wfm(spark, sf):
 
 @query("meta_labelling")
 def _meta(spark, sf):
-    rows = materialize(splits.purged_folds(model_table(spark, sf), 3, "t1", 0.01), "folds")
+    folds = splits.fold_set(model_table(spark, sf), 3, "t1", 0.01)
     second = lambda: ml.scaled_pipeline(FEATS, ml.random_forest("meta_label", trees=5, depth=3))
-    _d, rep = ml.meta_label_run(rows, range(3), forest, second, ["symbol", "ts"], FEATS)
+    _d, rep = ml.meta_label_run(folds, forest, second, ["symbol", "ts"], FEATS)
     return shape(rep, ("model", "row"), ["precision", "recall", "f1"], ["support"])
 
 
@@ -262,14 +278,14 @@ def _mdi(spark, sf):
 
 @query("permutation_importance")
 def _mda(spark, sf):
-    rows = splits.purged_folds(model_table(spark, sf), 3, "t1", 0.01)
-    return shape(ml.permutation_importance(rows, range(3), FEATS, ml.random_forest(trees=5, depth=3), ["symbol", "ts"]), ("feature",), ["importance"])
+    folds = splits.fold_set(model_table(spark, sf), 3, "t1", 0.01)
+    return shape(ml.permutation_importance(folds, FEATS, ml.random_forest(trees=5, depth=3), ["symbol", "ts"]), ("feature",), ["importance"])
 
 
 @query("single_feature_importance")
 def _sfi(spark, sf):
-    rows = splits.purged_folds(model_table(spark, sf), 2, "t1", 0.01)
-    return shape(ml.single_feature_importance(rows, range(2), FEATS, ml.random_forest(trees=3, depth=3), ["symbol", "ts"]), ("feature",), ["importance"])
+    folds = splits.fold_set(model_table(spark, sf), 3, "t1", 0.01)
+    return shape(ml.single_feature_importance(folds, FEATS, ml.random_forest(trees=3, depth=3), ["symbol", "ts"]), ("feature",), ["importance"])
 
 
 @query("orthogonal_importance")
@@ -308,24 +324,31 @@ def _flow2(spark, sf):
 
 
 # --------------------------------------------------------------------- streams
+_SLOTS = 5
+
+
 def tick_stream(spark, sf):
-    """The tick table as a file stream; ticks are watermarked candles."""
-    raw = spark.read.parquet(f"{sf}/events.parquet")
-    stream = spark.readStream.schema(raw.schema).parquet(f"{sf}/events.parquet*")
-    price = C("value") + 100
-    volume = F.get_json_object("props", "$.k").cast("double")
-    return live.candle_stream(
-        stream.select(
-            C("event_type").alias("symbol"), "ts", C("event_id").alias("seq"),
-            *(price.alias(c) for c in ("Open", "High", "Low", "Close")),
-            volume.alias("Volume"), (price * volume).alias("volume_usdt"), F.lit(1).cast("bigint").alias("trade_count"),
-        )
-    )
+    """The tick table as a stream of files in which a quarter of all ticks comes one file late; (stream, bucket width).
+
+    The files overlap by less than the watermark's delay; the last one is a heartbeat that closes the stream.
+    """
+    ticks = views.ticks(spark, sf)
+    first, last = ticks.agg(F.min(F.unix_seconds(C("ts").cast("timestamp"))), F.max(F.unix_seconds(C("ts").cast("timestamp")))).head()
+    width = (last - first) // _SLOTS + 1
+    slot = F.floor((F.unix_seconds(C("ts").cast("timestamp")) - first) / width)
+    dealt = materialize(ticks.withColumn("slot", slot + F.when(F.pmod(F.xxhash64("seq"), F.lit(4)) == 0, 1).otherwise(0)), "ticks")
+    folder = f"{shared_dir(spark)}/tick-files-{uuid.uuid4().hex}"
+    for k in range(_SLOTS + 1):  # a file source reads in order of writing
+        dealt.where(C("slot") == k).drop("slot").orderBy(F.xxhash64("seq")).coalesce(2).write.mode("append").parquet(folder)
+    ends = F.timestamp_seconds(F.lit(last + 3 * width)).cast("timestamp_ntz")
+    dealt.select(*(F.lit(None).cast(t).alias(n) for n, t in ticks.dtypes)).withColumn("ts", ends).limit(1).write.mode("append").parquet(folder)
+    raw = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 3).parquet(folder)
+    return live.candle_stream(raw, f"{width} seconds"), f"{width // 16 + 1} seconds"
 
 
 def drain(spark, stream, mode="append"):
     """Run a stream over the available files into a table and read it back."""
-    out = f"{shared_dir(spark)}/stream-{id(stream)}-{abs(hash(str(stream.schema)))}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -337,14 +360,23 @@ _SB = ["open", "high", "low", "close", "volume"]
 
 @query("stream_volume_bars", final(_vb[1], _vb[0], ("symbol", "bar_id", "ts"), _SB, ["trade_count"]))
 def _svb(spark, sf):
-    got = drain(spark, live.threshold_bars(tick_stream(spark, sf), "Volume", 500)).where(C("kind") == "bar")
+    stream, bucket = tick_stream(spark, sf)
+    got = drain(spark, live.threshold_bars(stream, "Volume", 500, bucket)).where(C("kind") == "bar")
     got = got.withColumn("ts", C("ts").cast("timestamp_ntz"))
     return shape(got, ("symbol", "bar_id", "ts"), ["Open", "High", "Low", "Close", "Volume"], ["trade_count"])
 
 
+@query("stream_dollar_bars", final(bar_sql((TICKS,), "ticks", "b.volume_usdt", 100_000)[1], bar_sql((TICKS,), "ticks", "b.volume_usdt", 100_000)[0], ("symbol", "bar_id", "ts"), _SB, ["trade_count"]))
+def _sdb(spark, sf):
+    stream, bucket = tick_stream(spark, sf)
+    got = drain(spark, live.threshold_bars(stream, "volume_usdt", 100_000, bucket)).withColumn("ts", C("ts").cast("timestamp_ntz"))
+    return shape(got, ("symbol", "bar_id", "ts"), ["Open", "High", "Low", "Close", "Volume"], ["trade_count"])
+
+
 @query("stream_cusum_events", final("SELECT b.symbol, b.seq, 1 AS one FROM dv b JOIN e USING (symbol, rn) WHERE e.c = 1", (TICKS, *CUSUM), i=["one"]))
 def _sce(spark, sf):
-    got = drain(spark, live.cusum_events(tick_stream(spark, sf), 60)).where(C("kind") == "event")
+    stream, bucket = tick_stream(spark, sf)
+    got = drain(spark, live.cusum_events(stream, 60, bucket)).where(C("kind") == "event")
     return shape(got.withColumn("one", F.lit(1)), i=["one"])
 
 
@@ -352,25 +384,25 @@ def _sce(spark, sf):
     f"SELECT symbol, seq, l AS macd, g AS macd_signal, {crossing('l', 'g', False)} AS action FROM (SELECT t.*, e.f - e.s AS l, e.g FROM ticks t JOIN e USING (symbol, rn)) AS q QUALIFY rn >= 35",
     (TICKS, MACD.replace("{0}", "ticks")), d=["macd", "macd_signal"], i=["action"]))
 def _sms(spark, sf):
-    got = drain(spark, live.macd_signals(tick_stream(spark, sf))).where(C("kind") == "signal")
+    stream, bucket = tick_stream(spark, sf)
+    got = drain(spark, live.macd_signals(stream, bucket=bucket)).where(C("kind") == "signal")
     code = F.when(C("action") == "BUY", 1).when(C("action") == "SELL", -1).otherwise(0)
     return shape(got.withColumn("action", code), d=["macd", "macd_signal"], i=["action"])
 
 
 @query("stream_imbalance_bars", dyn_sql((TICKS, SIGNS), "b.sg", "5", "1", closed_only=True))
 def _sib(spark, sf):
-    got = drain(spark, live.imbalance_bars(tick_stream(spark, sf), 5)).where(C("kind") == "bar")
+    stream, bucket = tick_stream(spark, sf)
+    got = drain(spark, live.imbalance_bars(stream, 5, bucket=bucket)).where(C("kind") == "bar")
     return shape(got, d=["threshold", "cum_imbalance"], i=["size"])
 
 
 _TB = """SELECT symbol, date_trunc('day', ts) AS bucket, arg_min(open, (ts, seq)) AS open, max(high) AS high, min(low) AS low, arg_max(close, (ts, seq)) AS close,
-  sum(volume) AS volume, sum(trade_count) AS trade_count FROM ticks GROUP BY 1, 2
-  HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)"""
+  sum(volume) AS volume, sum(trade_count) AS trade_count FROM ticks GROUP BY 1, 2"""
 
 
 @query("stream_time_bars", final(_TB, keys=("symbol", "bucket"), d=_SB, i=["trade_count"]))
 def _stb(spark, sf):
-    """Bars whose end the watermark has passed (the last one stays open)."""
-    got = drain(spark, live.time_bars(tick_stream(spark, sf)))
+    got = drain(spark, live.time_bars(tick_stream(spark, sf)[0]))
     got = got.withColumn("bucket", C("bucket").cast("timestamp_ntz"))
     return shape(got, ("symbol", "bucket"), ["Open", "High", "Low", "Close", "Volume"], ["trade_count"])

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tidewheel.functions import rolling as R
 from tidewheel.lookup import attach
 from tidewheel.operators.joins import asof_join
-from tidewheel.operators.recursive import reach
+from tidewheel.operators.recursive import reach, smooth
 from tidewheel.operators.scans import first_hit, reset_scan
 from tidewheel.storage import materialize
 from tidewheel.timeline import Recipe, Timeline
@@ -140,8 +140,7 @@ def daily_volatility(tl: Timeline, span: int = 100, price: str = "Close", out: s
     def fn(pdf):
         return {out: pdf["_dret"].ewm(span=span).std().to_numpy()}
 
-    done = day.map_chunks(fn, {out: "double"}, ["_dret"], back=reach(span), keep=keep)
-    return done.with_df(done.df.withColumn(out, F.nanvl(C(out), F.lit(None))))
+    return smooth(day, fn, [out], ["_dret"], reach(span), keep)
 
 
 def vertical_barrier(tl: Timeline, days: int, keep: Sequence[str] = ()) -> DataFrame:

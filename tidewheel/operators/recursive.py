@@ -2,14 +2,18 @@
 
 Exponential averages forget: after ``ceil(40 / -ln(1 - alpha))`` rows an earlier
 value weighs less than 1e-17 of the result, below double rounding.  A halo of
-that many rows therefore gives the same doubles as a scan from the first row,
-in one pass and without any carry.  Series that forget slowly or never (KAMA,
-running sums) use the exact carry kernels instead.
+that many *values* therefore gives the same doubles as a scan from the first row,
+in one pass and without any carry.  Where a series has few nulls, so many rows
+more hold them all; otherwise every chunk gets its last values from as far back as
+they lie (:meth:`Timeline.values_halo`), and a run of nulls in between counts as one
+of that length, after which older values weigh as little.  Series that forget slowly
+or never (KAMA, running sums) use the exact carry kernels instead.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,10 +40,31 @@ def _nz(x: pd.Series) -> pd.Series:
     return x.replace(0.0, R.EPS)
 
 
-def _smooth(tl: Timeline, fn, out, cols, back, keep=None) -> Timeline:
+def nulls_within(tl: Timeline, sources: Sequence[str]) -> int:
+    """Most values that any key lacks in these columns together (NaN counts as none)."""
+    known = [c for c in sources if tl.df.schema[c].nullable]
+    if not known:
+        return 0
+    lacking = sum((F.count_if(C(c).isNull() | F.isnan(C(c).cast("double"))) for c in known), F.lit(0))
+    return tl.df.groupBy(*tl.by).agg(lacking.alias("n")).agg(F.max("n")).head()[0] or 0
+
+
+def smooth(tl: Timeline, fn, out, cols, back, keep=None, sources: tuple[Timeline, Sequence[str]] | None = None, nonzero: Sequence[str] = ()) -> Timeline:
+    """``fn`` over chunks that see the last ``back`` values of ``cols``.
+
+    ``sources`` are the settled columns behind derived ``cols``, each made from a
+    row and the one before it, so a null there makes at most two here.
+    """
     keep = list(tl.df.columns) if keep is None else list(keep)
     types = {n: "double" for n in out}
-    done = tl.map_chunks(fn, types, cols, back=back, keep=keep)
+    behind, names = sources or (tl, cols)
+    if sources is None and not tl.settled:
+        tl = behind = tl.settle([*dict.fromkeys([*keep, *cols])])
+    lacking = 2 * nulls_within(behind, names) + 2
+    if lacking <= max(back, tl.chunk_rows):
+        done = tl.map_chunks(fn, types, cols, back=back + lacking, keep=keep)
+    else:
+        done = tl.map_chunks(fn, types, cols, back=back, keep=keep, remember=True, nonzero=nonzero)
     # pandas marks a missing value by NaN
     return done.with_df(done.df.withColumns({n: F.nanvl(C(n), F.lit(None)) for n in out}))
 
@@ -51,7 +76,7 @@ def ewm(tl: Timeline, x: str = "Close", spans: dict[str, float] | None = None, k
     def fn(pdf):
         return {o: ema(pdf[x], s).to_numpy() for o, s in spans.items()}
 
-    return _smooth(tl, fn, list(spans), [x], max(map(reach, spans.values())), keep)
+    return smooth(tl, fn, list(spans), [x], max(map(reach, spans.values())), keep)
 
 
 def macd(tl: Timeline, x="Close", fast=12, slow=26, signal=9, out=("macd", "macd_signal", "macd_hist"), keep=None) -> Timeline:
@@ -60,7 +85,7 @@ def macd(tl: Timeline, x="Close", fast=12, slow=26, signal=9, out=("macd", "macd
         sig = ema(line, signal)
         return dict(zip(out, (line.to_numpy(), sig.to_numpy(), (line - sig).to_numpy())))
 
-    return _smooth(tl, fn, out, [x], max(reach(fast), reach(slow)) + reach(signal), keep)
+    return smooth(tl, fn, out, [x], max(reach(fast), reach(slow)) + reach(signal), keep)
 
 
 def ewm_recipe_inputs(h="High", low="Low", c="Close") -> Recipe:
@@ -79,11 +104,22 @@ def ewm_recipe_inputs(h="High", low="Low", c="Close") -> Recipe:
     return Recipe(("_tr", "_pdm", "_mdm", "_pc"), (s,), (h, low, c), 1)
 
 
+HLC = ("High", "Low", "Close")
+#: only the ratio of their means counts, which zeros do not change: what makes it are the last other values
+MOVES = ("_pdm", "_mdm")
+
+
+def _inputs(tl: Timeline, keep, c: str = "Close") -> tuple[Timeline, Timeline]:
+    """The settled series and its row-level inputs."""
+    tl = tl.settle()
+    return tl, tl.apply(ewm_recipe_inputs(c=c), keep=keep)
+
+
 def atr(tl: Timeline, n: int = 14, out: str = "atr", keep=None) -> Timeline:
     """Exponential mean of the true range with span 2n - 1."""
     keep = list(tl.df.columns) if keep is None else list(keep)
-    pre = tl.apply(ewm_recipe_inputs(), keep=keep)
-    return _smooth(pre, lambda p: {out: ema(p["_tr"], 2 * n - 1).to_numpy()}, [out], ["_tr"], reach(2 * n - 1), keep)
+    tl, pre = _inputs(tl, keep)
+    return smooth(pre, lambda p: {out: ema(p["_tr"], 2 * n - 1).to_numpy()}, [out], ["_tr"], reach(2 * n - 1), keep, (tl, HLC))
 
 
 def _tsi(pc: pd.Series, fast: int, slow: int, signal: int):
@@ -95,30 +131,30 @@ def _tsi(pc: pd.Series, fast: int, slow: int, signal: int):
 
 def true_strength_index(tl: Timeline, fast=13, slow=25, signal=13, out=("tsi", "tsi_signal"), keep=None) -> Timeline:
     keep = list(tl.df.columns) if keep is None else list(keep)
-    pre = tl.apply(ewm_recipe_inputs(), keep=keep)
+    tl, pre = _inputs(tl, keep)
 
     def fn(p):
         return dict(zip(out, (s.to_numpy() for s in _tsi(p["_pc"], fast, slow, signal))))
 
-    return _smooth(pre, fn, out, ["_pc"], reach(fast) + reach(slow) + reach(signal), keep)
+    return smooth(pre, fn, out, ["_pc"], reach(fast) + reach(slow) + reach(signal), keep, (tl, HLC))
 
 
 def _adx(p: pd.DataFrame, n: int):
     span = 2 * n - 1
     base = _nz(ema(p["_tr"], span))
-    pdi, mdi = 100 * ema(p["_pdm"], span) / base, 100 * ema(p["_mdm"], span) / base
+    pdi, mdi = (100 * ema(p[c].fillna(0.0), span) / base for c in MOVES)  # a row always has moves
     dx = 100 * (pdi - mdi).abs() / _nz(pdi + mdi)
     return ema(dx, span), pdi, mdi
 
 
 def adx(tl: Timeline, n: int = 14, out=("adx", "dmp", "dmn"), keep=None) -> Timeline:
     keep = list(tl.df.columns) if keep is None else list(keep)
-    pre = tl.apply(ewm_recipe_inputs(), keep=keep)
+    tl, pre = _inputs(tl, keep)
 
     def fn(p):
         return dict(zip(out, (s.to_numpy() for s in _adx(p, n))))
 
-    return _smooth(pre, fn, out, ["_tr", "_pdm", "_mdm"], 2 * reach(2 * n - 1), keep)
+    return smooth(pre, fn, out, ["_tr", "_pdm", "_mdm"], 2 * reach(2 * n - 1), keep, (tl, HLC), MOVES)
 
 
 def _stoch(x: pd.Series, n: int) -> pd.Series:
@@ -140,18 +176,18 @@ def schaff_trend_cycle(tl: Timeline, x="Close", fast=23, slow=50, n=10, signal=3
     def fn(p):
         return dict(zip(out, (s.to_numpy() for s in _stc(p[x], fast, slow, n, signal))))
 
-    return _smooth(tl, fn, out, [x], _stc_reach(fast, slow, n, signal), keep)
+    return smooth(tl, fn, out, [x], _stc_reach(fast, slow, n, signal), keep)
 
 
 def keltner(tl: Timeline, n_ema=20, n_atr=20, mult=2.0, c="Close", out=("kc_upper", "kc_lower"), keep=None) -> Timeline:
     keep = list(tl.df.columns) if keep is None else list(keep)
-    pre = tl.apply(ewm_recipe_inputs(c=c), keep=list(dict.fromkeys([*keep, c])))
+    tl, pre = _inputs(tl, list(dict.fromkeys([*keep, c])), c)
 
     def fn(p):
         mid, width = ema(p[c], n_ema), mult * ema(p["_tr"], 2 * n_atr - 1)
         return {out[0]: (mid + width).to_numpy(), out[1]: (mid - width).to_numpy()}
 
-    return _smooth(pre, fn, out, [c, "_tr"], max(reach(n_ema), reach(2 * n_atr - 1)), keep)
+    return smooth(pre, fn, out, [c, "_tr"], max(reach(n_ema), reach(2 * n_atr - 1)), keep, (tl, ("High", "Low", c)))
 
 
 # ------------------------------------------------------------------ exact carries
@@ -224,6 +260,7 @@ def smoothed_features(tl: Timeline, keep) -> Timeline:
     def s(w):
         return {"_cpct": F.coalesce(R.pct(C("Close"), w), F.lit(0.0))}
 
+    tl = tl.settle()
     pre = tl.apply(ewm_recipe_inputs(), Recipe(("_cpct",), (s,), ("Close",), 1), keep=keep)
     emas = (10, 15, 20, 30, 40, 50, 60)
     out = [
@@ -253,4 +290,4 @@ def smoothed_features(tl: Timeline, keep) -> Timeline:
         reach(26) + reach(9), reach(13) + reach(25) + reach(13), 2 * reach(27),
         _stc_reach(23, 50, 10, 3), reach(60), reach(39),
     )
-    return _smooth(pre, fn, out, ["Close", "_cpct", "_tr", "_pdm", "_mdm", "_pc"], back, keep)
+    return smooth(pre, fn, out, ["Close", "_cpct", "_tr", "_pdm", "_mdm", "_pc"], back, keep, (tl, HLC), MOVES)

@@ -13,7 +13,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.lookup import attach
 from tidewheel.operators import stats, weights
+from tidewheel.plans.splits import SplitRows
 from tidewheel.storage import materialize
 from tidewheel.timeline import Timeline
 
@@ -104,41 +106,42 @@ def _score(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataFr
     return out.select(*keep, C("prediction").cast("int").alias("pred"), prob.alias("prob"))
 
 
-def out_of_fold(split_rows: DataFrame, splits: Sequence, make: Callable[[], Pipeline], keep: Sequence[str], split: str = "fold") -> DataFrame:
+def out_of_fold(folds: SplitRows, make: Callable[[], Pipeline], keep: Sequence[str]) -> DataFrame:
     """Predictions of every split's test rows by a model of its train rows.
 
-    ``split_rows`` is written once; each fit is a Spark job, a bounded pool
-    submits a few at a time, and the predictions form one long table.
+    The rows are written once; a split is a pair of filters on them.  Each fit is a
+    Spark job, a bounded pool submits a few at a time, and the predictions form one
+    long table.  A split that lacks a side is left out.
     """
-    rows = materialize(split_rows, "folds")
 
-    def one(s) -> DataFrame | None:
-        part = rows.where(C(split) == F.lit(s))
-        train = part.where(C("role") == "train")
-        if train.isEmpty() or part.where(C("role") == "test").isEmpty():
+    def one(s: int) -> DataFrame | None:
+        train, test = folds.train(s), folds.test(s)
+        if train.isEmpty() or test.isEmpty():
             return None
-        model = make().fit(train)
-        return _score(model, part.where(C("role") == "test"), [*keep, split])
+        return _score(make().fit(train), test, [*keep, folds.split])
 
     with ThreadPoolExecutor(POOL) as pool:
-        parts = [p for p in pool.map(one, splits) if p is not None]
+        parts = [p for p in pool.map(one, range(len(folds.plan))) if p is not None]
     if not parts:
         raise ValueError("no split has both train and test rows")
     return reduce(DataFrame.unionByName, parts)
 
 
-def cross_validate(split_rows: DataFrame, splits: Sequence, make: Callable[[], Pipeline], keep: Sequence[str], label: str = "label", split: str = "fold"):
+def cross_validate(folds: SplitRows, make: Callable[[], Pipeline], keep: Sequence[str], label: str = "label"):
     """Out-of-fold predictions and the weighted F1 of every split."""
-    pred = materialize(out_of_fold(split_rows, splits, make, [*dict.fromkeys([*keep, label])], split), "oof")
-    return pred, stats.weighted_f1(pred, [split], label, "pred")
+    pred = materialize(out_of_fold(folds, make, [*dict.fromkeys([*keep, label])]), "oof")
+    return pred, stats.weighted_f1(pred, [folds.split], label, "pred")
 
 
-def combinatorial_cv(split_rows: DataFrame, paths: DataFrame, splits: Sequence[int], make, keep: Sequence[str], label: str = "label", grp: str = "grp"):
+def pooled_report(pred: DataFrame, label: str = "label", guess: str = "pred") -> DataFrame:
+    """Class report over all rows that were predicted, whatever split predicted them."""
+    return stats.classification_report(pred.withColumn("_all", F.lit(0)), ["_all"], label, guess).drop("_all")
+
+
+def combinatorial_cv(folds: SplitRows, paths: DataFrame, make, keep: Sequence[str], label: str = "label"):
     """Predictions of every combinatorial split, stitched to paths; F1 per path, mean and deviation."""
-    pred = materialize(
-        out_of_fold(split_rows, splits, make, [*dict.fromkeys([*keep, label, grp])], "split"), "oof"
-    )
-    joined = pred.join(F.broadcast(paths), ["split", grp])
+    pred = materialize(out_of_fold(folds, make, [*dict.fromkeys([*keep, label, "grp"])]), "oof")
+    joined = attach(pred, paths, [folds.split, "grp"])
     scores = stats.weighted_f1(joined, ["path"], label, "pred")
     summary = scores.agg(F.avg("f1_weighted").alias("mean_f1"), F.stddev_samp("f1_weighted").alias("std_f1"))
     return joined, scores, summary
@@ -151,8 +154,8 @@ def walk_forward(tl: Timeline, blocks: DataFrame, n_blocks: int, make, keep: Seq
 
     def one(b: int) -> DataFrame:
         mine = test.where(C("block") == b)
-        span = F.broadcast(mine.groupBy(*by).agg(F.first("train_from").alias("_a"), F.first("train_to").alias("_b")))
-        train = rows.join(span, by).where(C("rn").between(C("_a"), C("_b"))).drop("_a", "_b")
+        span = mine.groupBy(*by).agg(F.first("train_from").alias("_a"), F.first("train_to").alias("_b"))
+        train = attach(rows, span, by).where(C("rn").between(C("_a"), C("_b"))).drop("_a", "_b")
         if balanced:
             train = weights.class_weights(train, label, "weight")
         return _score(make().fit(train), mine, [*keep, label, "block"])
@@ -167,19 +170,18 @@ def meta_decision(df: DataFrame, primary: str = "pred", meta: str = "meta_pred",
     return df.withColumn(out, F.when((C(primary) == 1) & (C(meta) == 1), 1).otherwise(0))
 
 
-def meta_label_run(split_rows: DataFrame, splits: Sequence, make_primary, make_meta, keep: Sequence[str], features: Sequence[str], label: str = "label", split: str = "fold") -> tuple[DataFrame, DataFrame]:
+def meta_label_run(folds: SplitRows, make_primary, make_meta, keep: Sequence[str], features: Sequence[str], label: str = "label") -> tuple[DataFrame, DataFrame]:
     """Two-stage model: out-of-fold primary, then a second model of its being right.
 
     Returns the decisions and weighted F1 / precision of primary and final.
     """
-    test_rows = split_rows.where(C("role") == "test").select(*keep, *features)
-    first = out_of_fold(split_rows, splits, make_primary, [*keep, label], split)
-    joined = materialize(first.drop("prob", split).join(test_rows, list(keep)), "meta")
-    meta = joined.withColumn("meta_label", F.when(C("pred") == C(label), 1).otherwise(0))
-    folds = split_rows.select(*keep, split, "role")
-    second = out_of_fold(meta.join(folds, list(keep)), splits, make_meta, [*keep], split)
+    first = out_of_fold(folds, make_primary, [*keep, label])
+    rows = folds.rows.select(*keep, *features, "grp", "purged_by")
+    meta = first.drop("prob", folds.split).join(rows, list(keep)).withColumn("meta_label", F.when(C("pred") == C(label), 1).otherwise(0))
+    meta = materialize(meta, "meta", ("grp",))
+    second = out_of_fold(folds.with_rows(meta), make_meta, [*keep])
     second = second.select(*keep, C("pred").alias("meta_pred"))
-    decided = materialize(meta_decision(meta.join(second, list(keep))), "meta")
+    decided = materialize(meta_decision(meta.drop("grp", "purged_by").join(second, list(keep))), "meta")
     both = decided.select(label, F.inline(F.array(
         F.struct(F.lit("primary").alias("model"), C("pred").alias("p")),
         F.struct(F.lit("final").alias("model"), C("final").alias("p")),
@@ -196,7 +198,7 @@ def impurity_importance(df: DataFrame, features: Sequence[str], label: str = "la
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"))
 
 
-def permutation_importance(split_rows: DataFrame, splits: Sequence, features: Sequence[str], estimator, keys: Sequence[str], label: str = "label", weight: str | None = None, split: str = "fold", scoring: str = "log_loss", seed: int = 0) -> DataFrame:
+def permutation_importance(folds: SplitRows, features: Sequence[str], estimator, keys: Sequence[str], label: str = "label", weight: str | None = None, scoring: str = "log_loss", seed: int = 0) -> DataFrame:
     """Mean loss of score when one feature of the test rows is shuffled.
 
     The shuffle is a join of two balanced numberings (row order and random
@@ -204,13 +206,11 @@ def permutation_importance(split_rows: DataFrame, splits: Sequence, features: Se
     one row per feature with that feature replaced.  Positive means useful for
     both scorings.  ``full_model`` is the mean score of the untouched rows.
     """
-    rows = materialize(split_rows, "folds")
     w = C(weight) if weight else F.lit(1.0)
 
-    def one(s) -> DataFrame:
-        part = rows.where(C(split) == F.lit(s))
-        model = estimator.fit(assemble(part.where(C("role") == "train"), features))
-        test = part.where(C("role") == "test").select(*keys, *features, label, w.alias("_w"), F.lit(0).alias("_g"))
+    def one(s: int) -> DataFrame:
+        model = estimator.fit(assemble(folds.train(s), features))
+        test = folds.test(s).select(*keys, *features, label, w.alias("_w"), F.lit(0).alias("_g"))
         plain = Timeline.build(test, ("_g",), tuple(keys))
         mixed = Timeline.build(
             test.select("_g", *keys, *(C(f).alias(f"_o_{f}") for f in features), F.xxhash64(F.lit(seed), *keys).alias("_h")),
@@ -236,7 +236,7 @@ def permutation_importance(split_rows: DataFrame, splits: Sequence, features: Se
         return scored.withColumn("fold", F.lit(s))
 
     with ThreadPoolExecutor(POOL) as pool:
-        scores = materialize(reduce(DataFrame.unionByName, pool.map(one, splits)), "scores")
+        scores = materialize(reduce(DataFrame.unionByName, pool.map(one, range(len(folds.plan)))), "scores")
     base = scores.where(C("feature") == "full_model").select("fold", C("score").alias("_base"))
     diff = scores.join(base, "fold").groupBy("feature").agg(
         F.avg(F.when(C("feature") == "full_model", C("score")).otherwise(C("_base") - C("score"))).alias("importance")
@@ -244,14 +244,13 @@ def permutation_importance(split_rows: DataFrame, splits: Sequence, features: Se
     return diff.orderBy(F.desc("importance"))
 
 
-def single_feature_importance(split_rows: DataFrame, splits: Sequence, features: Sequence[str], estimator, keys: Sequence[str], label: str = "label", split: str = "fold") -> DataFrame:
+def single_feature_importance(folds: SplitRows, features: Sequence[str], estimator, keys: Sequence[str], label: str = "label") -> DataFrame:
     """Mean weighted F1 over folds of a model with one feature at a time."""
-    rows = materialize(split_rows, "folds")
 
     def one(f: str) -> DataFrame:
         make = lambda: Pipeline(stages=[VectorAssembler(inputCols=[f], outputCol="features"), estimator.copy()])
-        pred = out_of_fold(rows.select(*keys, split, "role", label, f), splits, make, [*keys, label], split)
-        return stats.weighted_f1(pred, [split], label, "pred").withColumn("feature", F.lit(f))
+        pred = out_of_fold(folds.with_rows(folds.rows.select(*keys, label, f, "grp", "purged_by")), make, [*keys, label])
+        return stats.weighted_f1(pred, [folds.split], label, "pred").withColumn("feature", F.lit(f))
 
     scored = reduce(DataFrame.unionByName, [one(f) for f in features])
     return scored.groupBy("feature").agg(F.avg("f1_weighted").alias("importance")).orderBy(F.desc("importance"))

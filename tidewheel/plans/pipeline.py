@@ -90,24 +90,21 @@ def barrier_steps(dollar_threshold: float, profit: float, loss: float, days: int
 
 
 def run_cv(steps: Steps, raw: Timeline, make, n_splits: int = 3, embargo: float = 0.01):
-    """Steps, purged folds, a model per fold; returns (fold rows, predictions, scores)."""
+    """Steps, purged folds, a model per fold; returns (folds, predictions, scores)."""
     series, table = steps.table(raw)
     ready = Timeline.build(materialize(table.drop("rn"), "table"), series.by, series.order, raw.chunk_rows)
-    rows = splits.purged_folds(ready, n_splits, "t1", embargo)
-    pred, scores = ml.cross_validate(rows, range(n_splits), make, [*series.by, "rn"])
-    return rows, pred, scores
+    folds = splits.fold_set(ready, n_splits, "t1", embargo)
+    pred, scores = ml.cross_validate(folds, make, [*series.by, "rn"])
+    return folds, pred, scores
 
 
 def run_combinatorial(steps: Steps, raw: Timeline, make, n_groups: int = 10, k: int = 2, embargo: float = 0.01):
     """Steps, time groups, every purged combinatorial split, F1 per path."""
     series, table = steps.table(raw)
     spark = raw.df.sparkSession
-    groups = splits.time_groups(materialize(table, "table"), n_groups, series.by)
-    plan = splits.combinatorial_splits(spark, n_groups, k)
-    rows = splits.purged_splits(groups, plan, series.by, embargo=embargo)
+    folds = splits.combinatorial_set(materialize(table, "table"), n_groups, k, series.by, embargo=embargo)
     paths = splits.backtest_paths(spark, n_groups, k)
-    n = plan.count()
-    return ml.combinatorial_cv(rows, paths, range(n), make, [*series.by, "rn"])
+    return ml.combinatorial_cv(folds, paths, make, [*series.by, "rn"])
 
 
 def sweep(tl: Timeline, grid: DataFrame, metric: str, threshold: Column, min_bars: int = 10) -> DataFrame:

@@ -1,13 +1,17 @@
-"""Purged, combinatorial and walk-forward splits as tables.
+"""Purged, combinatorial and walk-forward splits.
 
-A split is never a list of positions: it is a small table of ranges joined to
-the rows by key, giving (split, role) per row.
+A split is never a list of positions.  Every row has a group (a fold or a time
+slice) and the groups that purge it: those whose interval, with its embargo, the
+row's own interval meets.  Whether a row trains follows from these two for any
+choice of test groups, so rows are written once (:class:`SplitRows`) and a split
+is a filter on them, of which the group prunes folders.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +65,103 @@ def purged_folds(tl: Timeline, n_splits: int, t1: str = "t1", embargo: float = 0
     return out.drop("_lo", "_hi", "_start", "_latest", "_n", "_after")
 
 
+@dataclass(frozen=True)
+class SplitRows:
+    """Rows written once with their group ``grp`` and the groups ``purged_by``; split ``s`` tests the groups ``plan[s]``."""
+
+    rows: DataFrame
+    plan: tuple[tuple[int, ...], ...]
+    split: str = "split"
+
+    @staticmethod
+    def write(rows: DataFrame, plan: Sequence[Sequence[int]], split: str = "split") -> "SplitRows":
+        return SplitRows(materialize(rows, "split-rows", ("grp",)), tuple(map(tuple, plan)), split)
+
+    def with_rows(self, rows: DataFrame) -> "SplitRows":
+        """Same splits over other columns (``rows`` keeps ``grp`` and ``purged_by``)."""
+        return replace(self, rows=rows)
+
+    def test(self, s: int) -> DataFrame:
+        return self.rows.where(C("grp").isin(*self.plan[s])).drop("purged_by").withColumn(self.split, F.lit(s))
+
+    def train(self, s: int) -> DataFrame:
+        tested = F.array(*map(F.lit, self.plan[s]))
+        return self.rows.where(~C("grp").isin(*self.plan[s]) & ~F.arrays_overlap("purged_by", tested)).drop("purged_by")
+
+    def sizes(self) -> DataFrame:
+        """(split, n_train, n_test) of every split from one pass over the written rows."""
+        plan = F.array(*(F.struct(F.lit(i).alias(self.split), F.array(*map(F.lit, t)).alias("_test")) for i, t in enumerate(self.plan)))
+        # rows of equal group and purging groups go the same way in every split
+        kinds = self.rows.groupBy("grp", "purged_by").agg(F.count(F.lit(1)).alias("_n"))
+        each = kinds.select("*", F.inline(plan))
+        tested, purged = F.array_contains("_test", C("grp")), F.arrays_overlap("purged_by", C("_test"))
+        return each.groupBy(self.split).agg(
+            F.sum(F.when(~tested & ~purged, C("_n")).otherwise(0)).alias("n_train"), F.sum(F.when(tested, C("_n")).otherwise(0)).alias("n_test")
+        )
+
+
+def _meets(ranges: Column, purges, own: Column) -> Column:
+    """Sorted groups of ``ranges`` other than ``own`` for which ``purges(range)`` holds."""
+    hit = F.filter(ranges, lambda r: (r["grp"] != own) & F.coalesce(purges(r), F.lit(True)))
+    return F.array_sort(F.transform(hit, lambda r: r["grp"]))
+
+
+def fold_set(tl: Timeline, n_splits: int, t1: str = "t1", embargo: float = 0.0, ts: str = "ts") -> SplitRows:
+    """The folds of :func:`purged_folds` as rows written once: a row is purged by the folds it neither ends before nor starts after."""
+    by = list(tl.by)
+    tl = tl.settle()
+    rows = attach(tl.df, tl.rows_per_key(), by).withColumn("grp", fold_number(n_splits))
+    per = rows.groupBy(*by, "grp").agg(F.min(ts).alias("start"), F.max(t1).alias("latest"), F.first("n_rows").alias("n"))
+    per = materialize(per.groupBy(*by).agg(F.first("n").alias("_n"), F.array_sort(F.collect_list(F.struct("grp", "start", "latest"))).alias("_f")), "folds")
+    # rows before each fold's latest end: one count per fold and key, no copies of rows
+    counts = attach(rows.select(*by, ts), per, by).groupBy(*by).agg(
+        F.array(*(F.count_if(C(ts) < F.get("_f", F.lit(i))["latest"]) for i in range(n_splits))).alias("_before")
+    )
+    table = per.join(counts, by)
+    skip = F.floor(C("_n") * F.lit(float(embargo)))
+    ranges = F.transform("_f", lambda f, i: F.struct(f["grp"].alias("grp"), f["start"].alias("start"), (F.get("_before", i) + 1 + skip).alias("resume")))
+    got = attach(rows.drop("n_rows"), table.select(*by, ranges.alias("_ranges")), by)
+    purged = _meets(C("_ranges"), lambda r: ~(F.coalesce(C(t1) < r["start"], F.lit(False)) | (C("rn") >= r["resume"])), C("grp"))
+    return SplitRows.write(got.withColumn("purged_by", purged).drop("_ranges"), [[f] for f in range(n_splits)], "fold")
+
+
+def combinatorial_set(
+    df: DataFrame, n_groups: int, k: int, by: Sequence[str] = ("symbol",), ts: str = "ts", t1: str = "t1", embargo: float = 0.0, strict: bool = True,
+) -> SplitRows:
+    """All choices of ``k`` of ``n_groups`` time groups over rows written once; the purge is that of :func:`purged_splits`."""
+    if k >= n_groups:
+        raise ValueError("k must be smaller than n_groups")
+    rows = purged_by(time_groups(df, n_groups, by, ts), by, ts, t1, "grp", embargo, strict)
+    return SplitRows.write(rows, list(combinations(range(n_groups), k)))
+
+
+def purged_by(df: DataFrame, by: Sequence[str], ts: str, t1: str, grp: str, embargo: float, strict: bool) -> DataFrame:
+    """Rows with the sorted groups whose time range purges them from training.
+
+    That is a group in whose range the row starts or ends (with ``strict`` also one
+    that it encloses), or after which it starts within the embargo.  The ranges of a
+    key are one small array, tested inside the row.
+    """
+    by = list(by)
+    # one row per key and group: bounded by the number of groups
+    ranges = df.groupBy(*by, grp).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
+    table = ranges.groupBy(*by).agg(
+        F.collect_list(F.struct(C(grp).alias("grp"), "lo", "hi")).alias("_ranges"),
+        (F.timestamp_diff("MICROSECOND", F.min("lo"), F.max("hi")) * F.lit(float(embargo))).alias("_pause"),
+    )
+    start, end = C(ts), C(t1)
+
+    def hit(r):
+        inside = lambda x: (x >= r["lo"]) & (x <= r["hi"])
+        out = inside(start) | F.coalesce(inside(end), F.lit(False))
+        if strict:
+            out = out | F.coalesce((start < r["lo"]) & (end > r["hi"]), F.lit(False))
+        late = F.timestamp_diff("MICROSECOND", r["hi"], start)
+        return out | ((C("_pause") > 0) & (late > 0) & (late <= C("_pause")))
+
+    return attach(df, table, by).withColumn("purged_by", _meets(C("_ranges"), hit, C(grp))).drop("_ranges", "_pause")
+
+
 def time_groups(df: DataFrame, n_groups: int, by: Sequence[str] = ("symbol",), ts: str = "ts", out: str = "grp") -> DataFrame:
     """Equal time slices per key; the last one is closed on the right; slices may be empty."""
     us = F.unix_micros(C(ts).cast("timestamp"))
@@ -87,40 +188,17 @@ def purged_splits(
     df: DataFrame, splits: DataFrame, by: Sequence[str] = ("symbol",), ts: str = "ts", t1: str = "t1",
     grp: str = "grp", embargo: float = 0.0, strict: bool = True,
 ) -> DataFrame:
-    """(split, role) for every row after purge and embargo.
+    """(split, role) for every row after purge and embargo, as a long table; models use :func:`combinatorial_set` instead.
 
-    A train row goes if its start or end lies in the time range of a test group
-    (with ``strict`` also if it encloses one), or if it starts within the embargo
-    after one.  The ranges of a split are one small array, tested inside the row.
-    Splits that lose a side keep no rows.
+    A row tests in the splits that test its group and trains in those of whose test
+    groups none purges it (:func:`purged_by`).
     """
-    by = list(by)
-    ranges = df.groupBy(*by, grp).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    whole = df.groupBy(*by).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
-    pause = F.timestamp_diff("MICROSECOND", C("_a"), C("_b")) * F.lit(float(embargo))
-    tests = splits.select("split", "test", F.explode("test").alias(grp))
-    table = (
-        tests.join(ranges, grp)
-        .groupBy(*by, "split", "test")
-        .agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
-        .join(whole, by)
-        .withColumn("_pause", pause)
-        .drop("_a", "_b")
-    )
-    got = attach(df, table, by)
-    start, end = C(ts), C(t1)
-
-    def hit(r):
-        inside = lambda x: (x >= r["lo"]) & (x <= r["hi"])
-        out = inside(start) | F.coalesce(inside(end), F.lit(False))
-        if strict:
-            out = out | F.coalesce((start < r["lo"]) & (end > r["hi"]), F.lit(False))
-        late = F.timestamp_diff("MICROSECOND", r["hi"], start)
-        return out | ((C("_pause") > 0) & (late > 0) & (late <= C("_pause")))
-
-    is_test = F.array_contains("test", C(grp))
-    role = F.when(is_test, "test").when(~F.exists("_ranges", hit), "train")
-    return got.withColumn("role", role).where(C("role").isNotNull()).drop("test", "_ranges", "_pause")
+    plan = splits.select("split", "test").collect()  # C(n, k) choices, a parameter
+    choices = F.array(*(F.struct(F.lit(p["split"]).alias("split"), F.array(*map(F.lit, p["test"])).alias("_test")) for p in plan))
+    got = purged_by(df, by, ts, t1, grp, embargo, strict).select("*", F.inline(choices))
+    is_test, purged = F.array_contains("_test", C(grp)), F.arrays_overlap("purged_by", C("_test"))
+    role = F.when(is_test, "test").when(~purged, "train")
+    return got.withColumn("role", role).where(C("role").isNotNull()).drop("_test", "purged_by")
 
 
 def backtest_paths(spark: SparkSession, n_groups: int, k: int, mode: str = "all", seed: int = 0) -> DataFrame:

@@ -32,13 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[session]
 
 
-def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return a scan of it."""
+def materialize(df: DataFrame, label: str = "cut", by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and return a scan of it; ``by`` columns become folders that filters skip."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").partitionBy(*by).parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def release(spark: SparkSession) -> int:

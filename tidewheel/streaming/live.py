@@ -1,25 +1,25 @@
 """Streaming twins of the batch operators.
 
-State per key is a handful of numbers; rows of a micro-batch are processed in
-(ts, seq) order.  A row that is not after the last processed one is late: it
-comes out with ``kind = 'late'`` instead of changing history.
+Each is an ordered fold (see :mod:`tidewheel.streaming.ordered`): rows count in (ts, seq) order once the watermark has
+passed them, whatever the order of their arrival inside the delay.  Rows behind the watermark are dropped and counted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+
+from tidewheel.streaming.ordered import keep_state_on_disk, ordered_fold
 
 C = F.col
 WARM_UP = 35
 
 
 def candle_stream(raw: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Watermarked candles without repeated (symbol, ts, seq)."""
+    """Watermarked candles without repeated (symbol, ts, seq); a row without a symbol is a heartbeat that only moves the watermark."""
+    keep_state_on_disk(raw.sparkSession)
     stream = raw.withColumn("ts", C("ts").cast("timestamp")).withWatermark("ts", delay)
     return stream.dropDuplicatesWithinWatermark(["symbol", "ts", "seq"])
 
@@ -34,42 +34,17 @@ def time_bars(stream: DataFrame, width: str = "1 day") -> DataFrame:
             F.max_by("Close", at).alias("Close"), F.sum("Volume").alias("Volume"),
             F.sum("volume_usdt").alias("volume_usdt"), F.sum("trade_count").alias("trade_count"),
         )
+        # naming the window keeps the filter above the watermark, which heartbeats must reach
+        .where(C("symbol").isNotNull() | C("w.start").isNull())
         .select("symbol", C("w.start").alias("bucket"), "Open", "High", "Low", "Close", "Volume", "volume_usdt", "trade_count")
     )
 
 
-def _scan(stream: DataFrame, start: tuple, state_schema: str, out_schema: str, step: Callable) -> DataFrame:
-    """Ordered fold per symbol: ``step(row, values) -> (values, out rows)``; state = last position + values."""
-
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"])
-        last_ts, last_seq, *values = state.get if state.exists else (0, -1, *start)
-        out = []
-        for row in rows.itertuples(index=False):
-            at = (row.ts.value // 1000, int(row.seq))
-            if at <= (last_ts, last_seq):
-                out.append({"ts": row.ts, "seq": row.seq, "kind": "late"})
-                continue
-            last_ts, last_seq = at
-            values, made = step(row, list(values))
-            out += made
-        state.update((last_ts, last_seq, *values))
-        if out:
-            frame = pd.DataFrame(out)
-            frame["symbol"] = key[0]
-            yield frame.reindex(columns=names)
-
-    names = [f.split()[0] for f in out_schema.split(", ")]
-    return stream.groupBy("symbol").applyInPandasWithState(
-        run, out_schema, f"last_ts bigint, last_seq bigint, {state_schema}", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def threshold_bars(stream: DataFrame, metric: str, threshold: float) -> DataFrame:
+def threshold_bars(stream: DataFrame, metric: str, threshold: float, bucket: str = "1 minute") -> DataFrame:
     """Volume (``Volume``), dollar (``volume_usdt``) or price-change (``change``) bars as they close."""
     if metric not in ("Volume", "volume_usdt", "change"):
         raise ValueError(f"unknown metric: {metric}")
-    out = "symbol string, ts timestamp, seq bigint, kind string, bar_id bigint, Open double, High double, Low double, Close double, Volume double, volume_usdt double, trade_count bigint"
+    out = "symbol string, us bigint, seq bigint, kind string, bar_id bigint, Open double, High double, Low double, Close double, Volume double, volume_usdt double, trade_count bigint"
     state = "bar_id bigint, n bigint, acc double, o double, h double, l double, v double, u double, t bigint, prev double"
 
     def step(r, s):
@@ -81,16 +56,16 @@ def threshold_bars(stream: DataFrame, metric: str, threshold: float) -> DataFram
         v, u, t = v + r.Volume, u + r.volume_usdt, t + int(r.trade_count)
         n, acc, prev, made = n + 1, acc + x, r.Close, []
         if acc >= threshold:
-            made = [dict(ts=r.ts, seq=r.seq, kind="bar", bar_id=bar, Open=o, High=h, Low=lo, Close=r.Close, Volume=v, volume_usdt=u, trade_count=t)]
+            made = [dict(us=r.us, seq=r.seq, kind="bar", bar_id=bar, Open=o, High=h, Low=lo, Close=r.Close, Volume=v, volume_usdt=u, trade_count=t)]
             bar, n, acc, o, h, lo, v, u, t = bar + 1, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0
         return [bar, n, acc, o, h, lo, v, u, t, prev], made
 
-    return _scan(stream, (0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0), state, out, step)
+    return ordered_fold(stream, (0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0), state, out, step, bucket)
 
 
-def imbalance_bars(stream: DataFrame, initial_bar_size: float, span_bar_size: int = 20, span_sign: int = 20) -> DataFrame:
+def imbalance_bars(stream: DataFrame, initial_bar_size: float, span_bar_size: int = 20, span_sign: int = 20, bucket: str = "1 minute") -> DataFrame:
     """Closing rows of tick imbalance bars with the moving bar-size threshold."""
-    out = "symbol string, ts timestamp, seq bigint, kind string, threshold double, cum_imbalance double, size bigint"
+    out = "symbol string, us bigint, seq bigint, kind string, threshold double, cum_imbalance double, size bigint"
     state = "n bigint, cum double, mean_size double, mean_sign double, sign double, prev double, seen bigint"
     a, b = 2 / (span_bar_size + 1), 2 / (span_sign + 1)
 
@@ -102,16 +77,16 @@ def imbalance_bars(stream: DataFrame, initial_bar_size: float, span_bar_size: in
         n, cum, made = n + 1, cum + sign, []
         theta = abs(size * mean)
         if theta > 0 and abs(cum) >= theta:
-            made = [dict(ts=r.ts, seq=r.seq, kind="bar", threshold=theta, cum_imbalance=cum, size=n)]
+            made = [dict(us=r.us, seq=r.seq, kind="bar", threshold=theta, cum_imbalance=cum, size=n)]
             size, n, cum = (1 - a) * size + a * n, 0, 0.0
         return [n, cum, size, mean, sign, r.Close, 1], made
 
-    return _scan(stream, (0, 0.0, float(initial_bar_size), 0.0, 1.0, 0.0, 0), state, out, step)
+    return ordered_fold(stream, (0, 0.0, float(initial_bar_size), 0.0, 1.0, 0.0, 0), state, out, step, bucket)
 
 
-def cusum_events(stream: DataFrame, h: float) -> DataFrame:
+def cusum_events(stream: DataFrame, h: float, bucket: str = "1 minute") -> DataFrame:
     """Rows where the two-sided sum around the running mean passes ``h``."""
-    out = "symbol string, ts timestamp, seq bigint, kind string"
+    out = "symbol string, us bigint, seq bigint, kind string"
     state = "n bigint, total double, up double, down double"
 
     def step(r, s):
@@ -120,15 +95,15 @@ def cusum_events(stream: DataFrame, h: float) -> DataFrame:
         x = r.Close - total / n
         up, down = max(0.0, up + x), min(0.0, down + x)
         if up >= h or down <= -h:
-            return [n, total, 0.0, 0.0], [dict(ts=r.ts, seq=r.seq, kind="event")]
+            return [n, total, 0.0, 0.0], [dict(us=r.us, seq=r.seq, kind="event")]
         return [n, total, up, down], []
 
-    return _scan(stream, (0, 0.0, 0.0, 0.0), state, out, step)
+    return ordered_fold(stream, (0, 0.0, 0.0, 0.0), state, out, step, bucket)
 
 
-def macd_signals(stream: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, warm_up: int = WARM_UP) -> DataFrame:
+def macd_signals(stream: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, warm_up: int = WARM_UP, bucket: str = "1 minute") -> DataFrame:
     """BUY / SELL / HOLD per candle after the warm-up rows."""
-    out = "symbol string, ts timestamp, seq bigint, kind string, macd double, macd_signal double, action string"
+    out = "symbol string, us bigint, seq bigint, kind string, macd double, macd_signal double, action string"
     state = "n bigint, f double, s double, sig double, line double"
     af, as_, ag = (2 / (k + 1) for k in (fast, slow, signal))
 
@@ -144,9 +119,9 @@ def macd_signals(stream: DataFrame, fast: int = 12, slow: int = 26, signal: int
             return [n, f, s, sig, line], []
         now = line - sig
         action = "BUY" if now > 0 >= before else "SELL" if now < 0 <= before else "HOLD"
-        return [n, f, s, sig, line], [dict(ts=r.ts, seq=r.seq, kind="signal", macd=line, macd_signal=sig, action=action)]
+        return [n, f, s, sig, line], [dict(us=r.us, seq=r.seq, kind="signal", macd=line, macd_signal=sig, action=action)]
 
-    return _scan(stream, (0, 0.0, 0.0, 0.0, 0.0), state, out, step)
+    return ordered_fold(stream, (0, 0.0, 0.0, 0.0, 0.0), state, out, step, bucket)
 
 
 def trade_log(stream: DataFrame, path: str, checkpoint: str):

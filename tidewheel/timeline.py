@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -212,20 +213,32 @@ class Timeline:
         back: int = 0,
         fwd: int = 0,
         keep: Iterable[str] = (),
+        remember: bool = False,
+        nonzero: Sequence[str] = (),
     ) -> "Timeline":
         """Arrow-batched helper per chunk: ``fn(pdf)`` gets rows in order and returns
-        a dict of arrays (names and Spark types in ``out``); halo rows are dropped."""
+        a dict of arrays (names and Spark types in ``out``); halo rows are dropped.
+
+        With ``remember`` the chunk sees the last ``back`` *values* of every column
+        before it (zeros do not count for ``nonzero`` columns), however far back they
+        lie; rows without values in between are put back as empty rows, at most ``back`` in a run.
+        """
         keep = [c for c in dict.fromkeys([*self.by, "rn", *keep])]
-        d = self.halo([*cols, *keep], back, fwd)
+        cols = list(cols)
+        d = self.values_halo(cols, keep, back, nonzero) if remember else self.halo([*cols, *keep], back, fwd)
         names = list(out)
 
         def run(pdf):
             pdf = pdf.sort_values("rn", kind="stable", ignore_index=True)
-            res = fn(pdf)
-            core = pdf["_core"].to_numpy()
+            core = pdf["_core"].to_numpy(bool)
             block = pdf.loc[core, keep].reset_index(drop=True)
+            if remember:
+                order = _with_gaps(pdf["rn"].to_numpy(), core, back)
+                core = (order >= 0) & core[order]
+                pdf = pdf[cols].reindex(order)
+            res = fn(pdf)
             for n in names:
-                block[n] = res[n][core]
+                block[n] = np.asarray(res[n])[core]
             return block
 
         fields = [d.schema[c] for c in keep]
@@ -234,6 +247,33 @@ class Timeline:
         )
         return self.with_df(d.groupBy(*self.by, "_t").applyInPandas(run, schema))
 
+    def values_halo(self, cols: Sequence[str], keep: Sequence[str], back: int, nonzero: Sequence[str] = ()) -> DataFrame:
+        """Rows keyed by ``_t`` where every chunk also gets the last ``back`` values of each column before it.
+
+        Chunks are summarised by their number of values; a range window over the
+        chunks that have any names, for each chunk, the ones that hold the last
+        ``back`` values.  At most ``back`` rows per column are copied to a chunk,
+        also where a run of nulls spans many chunks.
+        """
+        base = self.settle([*cols, *keep])
+        rows, key = base.chunked(), [*self.by, "_t"]
+        valued = {c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & ((F.col(c) != 0) | (F.col("rn") == 1) if c in nonzero else F.lit(True)) for c in cols}
+        chunks = materialize(rows.groupBy(*key).agg(*(F.count_if(v).alias(f"_n_{c}") for c, v in valued.items())), "values")
+        before = Window.partitionBy(*self.by).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+        copies = []
+        for c, v in valued.items():
+            so_far = chunks.select(*key, F.col(f"_n_{c}").alias("_n"), F.coalesce(F.sum(f"_n_{c}").over(before), F.lit(0)).alias("_v"))
+            near = Window.partitionBy(*self.by).orderBy("_end").rangeBetween(-(back - 1), 0)
+            full = so_far.where("_n > 0").withColumn("_end", F.col("_v") + F.col("_n"))
+            full = full.select(*key, F.collect_list(F.struct(F.col("_t").alias("src"), F.col("_end").alias("end"))).over(near).alias("_near"))
+            known = so_far.join(full, key, "left").select(*key, "_v", F.last("_near", ignorenulls=True).over(before).alias("_near"))
+            pairs = known.select(*self.by, F.col("_t").alias("_to"), "_v", F.explode("_near").alias("_s"))
+            pairs = pairs.select(*self.by, "_to", F.col("_s.src").alias("_t"), (back - F.col("_v") + F.col("_s.end")).alias("_most")).where("_most > 0")
+            last = rows.where(v).withColumn("_j", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("rn")))).where(F.col("_j") <= back)
+            copies.append(last.join(pairs, key).where("_j <= _most").drop("_t", "_j", "_most").withColumnRenamed("_to", "_t"))
+        halo = reduce(DataFrame.unionByName, copies).dropDuplicates([*key, "rn"]).withColumn("_core", F.lit(False))
+        return rows.withColumn("_core", F.lit(True)).unionByName(halo)
+
     # --------------------------------------------------------------- running
     def running(self, keep: Iterable[str] | None = None, **specs: tuple[str, str]) -> "Timeline":
         """Unbounded running aggregates that are exact across chunks.
@@ -272,6 +312,16 @@ class Timeline:
         return self.df.groupBy(*self.by).agg(F.max("rn").alias("n_rows"))
 
 
+def _with_gaps(rn: np.ndarray, core: np.ndarray, most: int) -> np.ndarray:
+    """Row indices with -1 for every missing row between halo rows and up to the first core row, at most ``most`` in a run."""
+    first = int(np.argmax(core)) if core.any() else len(rn)
+    missing = np.zeros(len(rn), np.int64)
+    missing[1 : first + 1] = np.minimum(np.diff(rn[: first + 1]) - 1, most)
+    order = np.full(len(rn) + int(missing.sum()), -1, np.int64)
+    order[np.arange(len(rn)) + np.cumsum(missing)] = np.arange(len(rn))
+    return order
+
+
 def _total(kind: str, c: str) -> Column:
     x = F.col(c)
     if kind == "last":
