@@ -14,6 +14,7 @@ from tidewheel.operators import bars as B
 from tidewheel.operators import fills as P
 from tidewheel.operators import indicators as I
 from tidewheel.operators import joins as J
+from tidewheel.operators import sweeps
 from tidewheel.operators import weights as W
 from tidewheel.functions import scalar as S
 from tidewheel.plans import pipeline
@@ -189,7 +190,7 @@ def _candles(spark, sf):
                  ["open", "high", "low", "close", "volume"], ["trade_count"])
 
 
-_grid = "g AS MATERIALIZED (SELECT q.symbol || '/' || k AS symbol, q.symbol AS sym, k AS step, m + (x - m) * k / 4.0 AS threshold FROM (SELECT symbol, avg(volume) AS m, 4 * max(volume) AS x FROM ticks GROUP BY 1) AS q, range(5) AS r(k))"
+_grid = "g AS MATERIALIZED (SELECT q.symbol || '/' || k AS symbol, q.symbol AS sym, k AS step, m + (x - m) * k / 49.0 AS threshold FROM (SELECT symbol, avg(volume) AS m, 4 * max(volume) AS x FROM ticks GROUP BY 1) AS q, range(50) AS r(k))"
 _gt = "gt AS MATERIALIZED (SELECT t.* EXCLUDE (symbol), g.symbol, g.sym, g.step, g.threshold FROM ticks t JOIN g ON t.symbol = g.sym)"
 _gctes, _gbody = bar_sql((TICKS, _grid, _gt), "gt", "b.volume", "b.threshold")
 
@@ -198,11 +199,26 @@ _gctes, _gbody = bar_sql((TICKS, _grid, _gt), "gt", "b.volume", "b.threshold")
     f"SELECT g.sym AS s, g.step AS step_no, g.threshold, count(*) AS n_bars, avg(q.volume) AS mean_volume FROM ({_gbody}) AS q JOIN g USING (symbol) GROUP BY 1, 2, 3",
     _gctes, ("s",), ["threshold", "mean_volume"], ["step_no", "n_bars"]))
 def _sweep(spark, sf):
-    got = B.threshold_sweep(ticks(spark, sf), "Volume", 5).groupBy(C("symbol").alias("s"), C("step").alias("step_no"), "threshold")
+    got = B.threshold_sweep(ticks(spark, sf), "Volume", 50).groupBy(C("symbol").alias("s"), C("step").alias("step_no"), "threshold")
     return shape(got.agg(F.count(F.lit(1)).alias("n_bars"), F.avg("Volume").alias("mean_volume")), ("s",), ["threshold", "mean_volume"], ["step_no", "n_bars"])
 
 
-_g2 = "g AS MATERIALIZED (SELECT q.symbol || '/' || k AS symbol, q.symbol AS sym, k AS param_id, 200.0 * k AS threshold FROM (SELECT DISTINCT symbol FROM ticks) AS q, range(1, 6) AS r(k))"
+_RETURNS = f"""SELECT sym AS s, step AS step_no, n_bars, CASE WHEN n >= 20 THEN g1 * sqrt(n * (n - 1)) / (n - 2) END AS skew,
+  CASE WHEN n >= 20 THEN (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) END AS kurtosis, CASE WHEN n >= 20 THEN exp(-n / 12 * (g1 * g1 + g2 * g2 / 4)) END AS jb_pvalue
+FROM (SELECT symbol, n_bars, CAST(n AS DOUBLE) AS n, m3 / pow(m2, 1.5) AS g1, m4 / (m2 * m2) - 3 AS g2
+  FROM (SELECT symbol, count(*) AS n_bars, count(r) AS n, avg(pow(r - a, 2)) AS m2, avg(pow(r - a, 3)) AS m3, avg(pow(r - a, 4)) AS m4
+    FROM (SELECT *, avg(r) OVER (PARTITION BY symbol) AS a FROM (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY bar_id) - 1 AS r FROM ({_gbody}) AS z) AS y) AS x GROUP BY 1) AS w) AS v
+JOIN g USING (symbol)"""
+
+
+@query("threshold_statistics", final(_RETURNS, _gctes, ("s",), ["skew", "kurtosis", "jb_pvalue"], ["step_no", "n_bars"]))
+def _sweep_stats(spark, sf):
+    tl = ticks(spark, sf)
+    got = sweeps.sweep_statistics(B.threshold_sweep(tl, "Volume", 50), tl.by, CHUNK_ROWS)
+    return shape(got.withColumnsRenamed({"symbol": "s", "step": "step_no"}), ("s",), ["skew", "kurtosis", "jb_pvalue"], ["step_no", "n_bars"])
+
+
+_g2 = "g AS MATERIALIZED (SELECT q.symbol || '/' || k AS symbol, q.symbol AS sym, k AS param_id, 100.0 * k AS threshold FROM (SELECT DISTINCT symbol FROM ticks) AS q, range(1, 31) AS r(k))"
 _s2ctes, _s2body = bar_sql((TICKS, _g2, _gt.replace("g.step", "g.param_id")), "gt", "b.volume", "b.threshold")
 
 
@@ -210,7 +226,7 @@ _s2ctes, _s2body = bar_sql((TICKS, _g2, _gt.replace("g.step", "g.param_id")), "g
     f"SELECT g.sym AS s, g.param_id, count(*) AS n_bars, sum(q.volume) AS total FROM ({_s2body}) AS q JOIN g USING (symbol) GROUP BY 1, 2 HAVING count(*) >= 10",
     _s2ctes, ("s",), ["total"], ["param_id", "n_bars"]))
 def _psweep(spark, sf):
-    grid = spark.range(1, 6).select(C("id").alias("param_id"), (C("id") * 200.0).alias("threshold"))
+    grid = spark.range(1, 31).select(C("id").alias("param_id"), (C("id") * 100.0).alias("threshold"))
     got = pipeline.sweep(ticks(spark, sf), grid, "Volume", C("threshold"), 10)
     return shape(got.groupBy(C("symbol").alias("s"), "param_id").agg(F.count(F.lit(1)).alias("n_bars"), F.sum("Volume").alias("total")), ("s",), ["total"], ["param_id", "n_bars"])
 

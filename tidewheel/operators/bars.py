@@ -13,6 +13,7 @@ from tidewheel.functions import rolling as R
 from tidewheel.lookup import attach
 from tidewheel.operators.recursive import reach
 from tidewheel.operators.scans import guess_and_verify, reset_scan
+from tidewheel.operators.sweeps import sweep_bars
 from tidewheel.timeline import Recipe, Timeline
 
 C = F.col
@@ -338,24 +339,13 @@ def linspace(low: Column, high: Column, steps: int) -> Column:
 
 
 def threshold_sweep(tl: Timeline, metric: str, steps: int, low_of_mean: float = 1.0, high_of_max: float = 4.0) -> DataFrame:
-    """Bars for a grid of thresholds between multiples of the mean and the maximum, in one job.
+    """Bars for a grid of thresholds between multiples of the mean and the maximum.
 
-    The grid is one small array per key; every (key, threshold) is its own
-    chunked series, so the sweep spreads over thresholds and chunks.
+    The grid is one small array per key; rows are read once for all thresholds (see :mod:`tidewheel.operators.sweeps`).
     """
     stats = tl.df.groupBy(*tl.by).agg(F.avg(metric).alias("_m"), F.max(metric).alias("_x"))
     grid = stats.select(
         *tl.by,
         F.posexplode(linspace(C("_m") * low_of_mean, C("_x") * high_of_max, steps)).alias("step", "threshold"),
     )
-    rows = attach(tl.df, grid, tl.by)
-    swept = Timeline(rows, (*tl.by, "step"), tl.order, tl.chunk_rows)
-    done = assign_bars(swept, C(metric), C("threshold"), [*OHLCV, "threshold"])
-    return (
-        done.df.groupBy(*tl.by, "step", "bar_id")
-        .agg(F.first("threshold").alias("threshold"), *bar_aggregates(), F.max("closes").alias("_closed"))
-        .where("_closed")
-        .drop("_closed")
-    )
-
-
+    return sweep_bars(tl, metric, grid)

@@ -14,7 +14,7 @@ from tidewheel.operators import features as X
 from tidewheel.operators import indicators as I
 from tidewheel.operators import labels as L
 from tidewheel.operators import weights as W
-from tidewheel.operators.joins import with_grid
+from tidewheel.operators.sweeps import sweep_bars
 from tidewheel.plans import ml, splits
 from tidewheel.storage import materialize
 from tidewheel.timeline import Timeline
@@ -108,10 +108,11 @@ def run_combinatorial(steps: Steps, raw: Timeline, make, n_groups: int = 10, k:
 
 
 def sweep(tl: Timeline, grid: DataFrame, metric: str, threshold: Column, min_bars: int = 10) -> DataFrame:
-    """Threshold bars for every grid row (``param_id`` first) with both-way guard on the bar count."""
-    rows = with_grid(tl.df, grid)
-    keyed = Timeline(rows, (*tl.by, "param_id"), tl.order, tl.chunk_rows)
-    done = B.assign_bars(keyed, C(metric), threshold)
-    bars = materialize(B.closed_bars(done.df, keyed.by), "bars")
-    enough = bars.groupBy(*keyed.by).agg(F.count(F.lit(1)).alias("n_bars")).where(C("n_bars") >= min_bars)
-    return attach(bars, enough, keyed.by)
+    """Threshold bars for every grid row (``param_id`` first) with a guard on the bar count; rows are read once for all."""
+    keys = [*tl.by, "param_id"]
+    # the grid is a parameter, the keys are as many as series
+    plan = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in r.asDict().items())) for r in grid.collect()))
+    each = tl.rows_per_key().select(*tl.by, F.inline(plan)).withColumn("threshold", threshold)
+    bars = materialize(sweep_bars(tl, metric, each, "param_id"), "bars")
+    enough = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bars")).where(C("n_bars") >= min_bars)
+    return attach(bars, enough, keys)
