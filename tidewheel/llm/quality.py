@@ -30,16 +30,20 @@ LANGUAGE_BANDS = {"en": "latin", "de": "latin", "fr": "latin", "es": "latin", "i
 class Fertility(dict):
     """word bytes -> (its number, …); token ids and counts lie in lists by number."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 240_000):
         import sentencepiece
 
         super().__init__()
         self.limit = limit
+        self.old: dict[bytes, bytes] = {}
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes = {i for i in range(self.library.vocab_size()) if self.library.is_byte(i)}
         self.low, self.high = (min(self.bytes), max(self.bytes)) if self.bytes else (1, 0)
 
     def __missing__(self, word: bytes) -> bytes:
+        if word in self.old:
+            ids = self[word] = self.old[word]
+            return ids
         ids = np.array(self.library.encode(word.decode("utf-8", "replace"), num_threads=1), "<i4").tobytes()
         if len(word) <= 64:
             self[word] = ids
@@ -47,7 +51,8 @@ class Fertility(dict):
 
     def measure(self, words: list[bytes]) -> tuple[int, int, float]:
         """(tokens, byte-fallback tokens, entropy in bits) of a text's words."""
-        if len(self) > self.limit:
+        if len(self) > self.limit // 2:
+            self.old = dict(self)  # words that come again move back
             self.clear()
         ids = np.frombuffer(b"".join(map(self.__getitem__, words)), "<i4")
         if not len(ids):

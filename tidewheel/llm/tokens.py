@@ -1,7 +1,8 @@
 """Token ids of whole texts with a public vocabulary, one word at a time.
 
 The vocabulary never joins across white space, so the ids of a text are those of its white-space separated words in
-turn.  Each worker keeps the ids of words it has met (at most ``limit``), and the library encodes only new ones.
+turn.  Each worker keeps the ids of words it has met (at most ``limit``), and the library encodes only new ones.  When
+half of them are new since the last time, the older half goes, but for words that come again.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ class WordIds(dict):
 
     LONGEST = 64
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.limit = limit
+        self.old: dict[bytes, bytes] = {}
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.marks = {m: self._ids(m) for m in (b",", b".")}
@@ -41,6 +43,9 @@ class WordIds(dict):
         return array(_UINT32, self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
+        if word in self.old:
+            ids = self[word] = self.old[word]
+            return ids
         if word.isalpha() and word.islower() and len(word) <= self.LONGEST:  # plain a-z: the vocabulary's own splitter leaves it whole
             ids = array(_UINT32, [t.id for t in self.model.tokenize(word.decode())]).tobytes()
         elif word[-1:] in self.marks and word[-2:-1].isalnum():  # a mark after a letter or digit is a token run of its own
@@ -55,7 +60,8 @@ class WordIds(dict):
         """Ids of a whole text; null counts as empty."""
         if not text:
             return b""
-        if len(self) > self.limit:
+        if len(self) > self.limit // 2:
+            self.old = dict(self)
             self.clear()
         data = text.encode("utf-8", "replace")
         if b"<|" not in data:  # names of special tokens are matched before letters are lower-cased
