@@ -131,55 +131,55 @@ GRID = [(i, s, l, p) for i, (s, l, p) in enumerate((s, l, p) for s in (10, 20) f
 
 def grid_returns(spark, sf):
     grid = spark.createDataFrame(GRID, "config int, short int, long int, stop double")
-    tl = daily(spark, sf)
-    return G.cross_grid(tl.with_df(tl.df.where(C("symbol") == "N")), grid)
+    return G.cross_grid(daily(spark, sf), grid)
 
 
 _gv = ", ".join(f"({i}, {s}, {l}, {p})" for i, s, l, p in GRID)
 GRIDQ = f"""cg(config, short, long, stop) AS (VALUES {_gv}),
-ma AS MATERIALIZED (SELECT *, {pct} AS r, {roll('avg', 'close', 10)} AS m10, {roll('avg', 'close', 20)} AS m20, {roll('avg', 'close', 50)} AS m50, {roll('avg', 'close', 100)} AS m100 FROM bars WHERE symbol = 'N'),
+ma AS MATERIALIZED (SELECT *, {pct} AS r, {roll('avg', 'close', 10)} AS m10, {roll('avg', 'close', 20)} AS m20, {roll('avg', 'close', 50)} AS m50, {roll('avg', 'close', 100)} AS m100 FROM bars),
 mx AS MATERIALIZED (SELECT ma.*, config, stop, CASE WHEN short = 10 THEN m10 ELSE m20 END AS a, CASE WHEN long = 50 THEN m50 ELSE m100 END AS b FROM ma CROSS JOIN cg),
-sd AS MATERIALIZED (SELECT *, CASE WHEN a > b AND lag(a) OVER p < lag(b) OVER p THEN 1 WHEN a < b AND lag(a) OVER p > lag(b) OVER p THEN -1 END AS x FROM mx WINDOW p AS (PARTITION BY config ORDER BY rn)),
-hd AS MATERIALIZED (SELECT *, last_value(x IGNORE NULLS) OVER p AS side, last_value(CASE WHEN x IS NOT NULL THEN close END IGNORE NULLS) OVER p AS entry, last_value(CASE WHEN x IS NOT NULL THEN rn END IGNORE NULLS) OVER p AS frm FROM sd WINDOW p AS (PARTITION BY config ORDER BY rn)),
-so AS MATERIALIZED (SELECT *, coalesce(last_value(CASE WHEN side * (close / entry - 1) <= -stop THEN rn END IGNORE NULLS) OVER p >= frm, false) AS out FROM hd WINDOW p AS (PARTITION BY config ORDER BY rn)),
-pm AS MATERIALIZED (SELECT config, ts, rn, coalesce(lag(CASE WHEN out THEN 0 ELSE coalesce(side, 0) END) OVER p * r, 0) AS ret FROM so WINDOW p AS (PARTITION BY config ORDER BY rn))"""
+sd AS MATERIALIZED (SELECT *, CASE WHEN a > b AND lag(a) OVER p < lag(b) OVER p THEN 1 WHEN a < b AND lag(a) OVER p > lag(b) OVER p THEN -1 END AS x FROM mx WINDOW p AS (PARTITION BY symbol, config ORDER BY rn)),
+hd AS MATERIALIZED (SELECT *, last_value(x IGNORE NULLS) OVER p AS side, last_value(CASE WHEN x IS NOT NULL THEN close END IGNORE NULLS) OVER p AS entry, last_value(CASE WHEN x IS NOT NULL THEN rn END IGNORE NULLS) OVER p AS frm FROM sd WINDOW p AS (PARTITION BY symbol, config ORDER BY rn)),
+so AS MATERIALIZED (SELECT *, coalesce(last_value(CASE WHEN side * (close / entry - 1) <= -stop THEN rn END IGNORE NULLS) OVER p >= frm, false) AS out FROM hd WINDOW p AS (PARTITION BY symbol, config ORDER BY rn)),
+pm AS MATERIALIZED (SELECT symbol, config, ts, rn, coalesce(lag(CASE WHEN out THEN 0 ELSE coalesce(side, 0) END) OVER p * r, 0) AS ret FROM so WINDOW p AS (PARTITION BY symbol, config ORDER BY rn))"""
 
 
-@query("performance_matrix", final("SELECT * FROM pm", (DAILY, GRIDQ), ("ts",), ["ret"], ["config"]))
+@query("performance_matrix", final("SELECT * FROM pm", (DAILY, GRIDQ), DAY, ["ret"], ["config"]))
 def _pm(spark, sf):
-    return shape(grid_returns(spark, sf), ("ts",), ["ret"], ["config"])
+    return shape(grid_returns(spark, sf), DAY, ["ret"], ["config"])
 
 
-@query("grid_sharpe", final("SELECT config, avg(ret) / stddev_samp(ret) * sqrt(365) AS sharpe FROM pm GROUP BY 1", (DAILY, GRIDQ), (), ["sharpe"], ["config"]))
+@query("grid_sharpe", final("SELECT symbol, config, avg(ret) / stddev_samp(ret) * sqrt(365) AS sharpe FROM pm GROUP BY 1, 2", (DAILY, GRIDQ), ("symbol",), ["sharpe"], ["config"]))
 def _gs(spark, sf):
-    return shape(S.path_sharpe(grid_returns(spark, sf), ["config"], periods=365), (), ["sharpe"], ["config"])
+    return shape(S.path_sharpe(grid_returns(spark, sf), ["symbol", "config"], periods=365), ("symbol",), ["sharpe"], ["config"])
 
 
-@query("best_config", final("SELECT arg_max(config, s) AS best FROM (SELECT config, round(avg(ret) / stddev_samp(ret), 12) AS s FROM pm GROUP BY 1) AS q", (DAILY, GRIDQ), (), i=["best"]))
+@query("best_config", final("SELECT symbol, arg_max(config, (s, -config)) AS best FROM (SELECT symbol, config, round(avg(ret) / stddev_samp(ret), 12) AS s FROM pm GROUP BY 1, 2) AS q GROUP BY 1", (DAILY, GRIDQ), ("symbol",), i=["best"]))
 def _bc(spark, sf):
-    score = S.path_sharpe(grid_returns(spark, sf), ["config"], periods=1)
-    return shape(overfit.best_config(score.withColumn("sharpe", F.round("sharpe", 12)), "sharpe"), (), i=["best"])
+    score = S.path_sharpe(grid_returns(spark, sf), ["symbol", "config"], periods=1)
+    return shape(overfit.best_config(score.withColumn("sharpe", F.round("sharpe", 12)), "sharpe", by=["symbol"]), ("symbol",), i=["best"])
 
 
 def perf(spark, sf) -> Timeline:
-    df = materialize(grid_returns(spark, sf).select("config", "ts", "ret", "rn"), "performance")
-    return Timeline(df, ("config",), ("ts",), CHUNK_ROWS, True)
+    df = materialize(grid_returns(spark, sf).select("symbol", "config", "ts", "ret", "rn"), "performance")
+    return Timeline(df, ("symbol", "config"), ("ts",), CHUNK_ROWS, True)
 
 
-PBO = """bk AS MATERIALIZED (SELECT config, (rn - 1) // (n // 8) AS blk, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM (SELECT *, count(*) OVER (PARTITION BY config) AS n FROM pm) AS z WHERE (rn - 1) // (n // 8) < 8 GROUP BY 1, 2),
-ch AS MATERIALIZED (SELECT m AS choice, (m >> b) & 1 AS ins, b AS blk FROM range(256) AS r(m), range(8) AS t(b) WHERE bit_count(CAST(m AS INT)) = 4),
-sc AS MATERIALIZED (SELECT choice, config, ins, round((sum(s) / sum(n)) / sqrt((sum(q) - sum(s) * sum(s) / sum(n)) / (sum(n) - 1)), 12) AS sharpe FROM ch JOIN bk USING (blk) GROUP BY 1, 2, 3),
-om AS MATERIALIZED (SELECT choice, best, (9 - rk) / 9.0 AS omega FROM (SELECT choice, config AS best, row_number() OVER (PARTITION BY choice ORDER BY o DESC, config) AS rk, row_number() OVER (PARTITION BY choice ORDER BY i DESC, config) AS ri FROM (SELECT choice, config, coalesce(max(sharpe) FILTER (ins = 1), 0) AS i, coalesce(max(sharpe) FILTER (ins = 0), 0) AS o FROM sc GROUP BY 1, 2) AS q) AS w WHERE ri = 1)"""
+PBO = """bk AS MATERIALIZED (SELECT symbol, config, (rn - 1) // (n // 16) AS blk, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM (SELECT *, count(*) OVER (PARTITION BY symbol, config) AS n FROM pm) AS z WHERE (rn - 1) // (n // 16) < 16 GROUP BY 1, 2, 3),
+ch AS MATERIALIZED (SELECT m AS choice, (m >> b) & 1 AS ins, b AS blk FROM range(65536) AS r(m), range(16) AS t(b) WHERE bit_count(CAST(m AS INT)) = 8),
+sc AS MATERIALIZED (SELECT symbol, choice, config, ins, round((sum(s) / sum(n)) / sqrt((sum(q) - sum(s) * sum(s) / sum(n)) / (sum(n) - 1)), 12) AS sharpe FROM ch JOIN bk USING (blk) GROUP BY 1, 2, 3, 4),
+om AS MATERIALIZED (SELECT symbol, choice, best, (9 - rk) / 9.0 AS omega FROM (SELECT symbol, choice, config AS best, row_number() OVER (PARTITION BY symbol, choice ORDER BY o DESC, config) AS rk, row_number() OVER (PARTITION BY symbol, choice ORDER BY i DESC, config) AS ri FROM (SELECT symbol, choice, config, coalesce(max(sharpe) FILTER (ins = 1), 0) AS i, coalesce(max(sharpe) FILTER (ins = 0), 0) AS o FROM sc GROUP BY 1, 2, 3) AS q) AS w WHERE ri = 1)"""
 
 
-@query("symmetric_cv", final("SELECT * FROM om", (DAILY, GRIDQ, PBO), (), ["omega"], ["choice", "best"]))
+@query("symmetric_cv", final("SELECT * FROM om", (DAILY, GRIDQ, PBO), ("symbol",), ["omega"], ["choice", "best"]))
 def _cscv(spark, sf):
-    return shape(overfit.symmetric_cv(perf(spark, sf), 8), (), ["omega"], ["choice", "best"])
+    """All 12 870 choices of 8 among 16 blocks, for every flag."""
+    return shape(overfit.symmetric_cv(perf(spark, sf), 16), ("symbol",), ["omega"], ["choice", "best"])
 
 
-@query("overfitting_probability", final("SELECT avg(CASE WHEN omega < 0.5 THEN 1.0 ELSE 0.0 END) AS pbo, count(*) AS choices FROM om", (DAILY, GRIDQ, PBO), (), ["pbo"], ["choices"]))
+@query("overfitting_probability", final("SELECT symbol, avg(CASE WHEN omega < 0.5 THEN 1.0 ELSE 0.0 END) AS pbo, count(*) AS choices FROM om GROUP BY 1", (DAILY, GRIDQ, PBO), ("symbol",), ["pbo"], ["choices"]))
 def _pbo(spark, sf):
-    return shape(overfit.overfitting_probability(overfit.symmetric_cv(perf(spark, sf), 8)), (), ["pbo"], ["choices"])
+    return shape(overfit.overfitting_probability(overfit.symmetric_cv(perf(spark, sf), 16), ["symbol"]), ("symbol",), ["pbo"], ["choices"])
 
 
 @query("forecast_direction", final(f"SELECT symbol, ts, CASE WHEN close > p THEN 1 ELSE 0 END AS true_dir, CASE WHEN f > p THEN 1 ELSE 0 END AS pred_dir FROM (SELECT *, {lag('close')} AS p, open AS f FROM bars) AS q WHERE p IS NOT NULL", (DAILY,), DAY, i=["true_dir", "pred_dir"]))

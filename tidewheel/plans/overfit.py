@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel.lookup import attach
 from tidewheel.timeline import Timeline
@@ -11,72 +16,94 @@ from tidewheel.timeline import Timeline
 C = F.col
 
 
-def _sharpe(n: Column, s: Column, q: Column) -> Column:
-    """Mean over deviation to 12 places: the order of summation must not decide ties."""
-    mean = s / n
-    var = F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))
-    sd = F.sqrt(var)
-    flat = F.when(mean == 0, F.lit(0.0)).otherwise(F.signum(mean) * float("inf"))
-    return F.coalesce(F.when(sd == 0, flat).otherwise(F.round(mean / sd, 12)), F.lit(0.0))
+SLICES = 64
 
 
 def block_moments(tl: Timeline, blocks: int, ret: str = "ret", config: str = "config") -> DataFrame:
-    """n, sum and sum of squares per (block, config); rows beyond equal blocks are cut off.
+    """n, sum and sum of squares per block of every series of ``tl``; rows beyond equal blocks are cut off.
 
-    ``tl`` is numbered per config.  After this no step touches the raw returns.
+    ``tl`` is numbered per config (and further keys).  After this no step touches the raw returns.
     """
     if blocks % 2:
         raise ValueError("the number of blocks must be even")
+    by = list(tl.by)
     tl = tl.settle()
-    n = tl.df.groupBy(config).agg(F.max("rn").alias("_n"))
+    n = tl.df.groupBy(*by).agg(F.max("rn").alias("_n"))
     shortest = n.agg(F.min("_n")).first()[0] or 0
     if shortest < blocks:
         raise ValueError(f"{shortest} periods are fewer than {blocks} blocks")
-    got = attach(tl.df, n, [config]).withColumn("block", F.expr(f"(rn - 1) div (_n div {blocks})").cast("int"))
-    return got.where(C("block") < blocks).groupBy("block", config).agg(
-        F.count(ret).alias("n"), F.sum(ret).alias("s"), F.sum(C(ret) * C(ret)).alias("q")
+    got = attach(tl.df, n, by).withColumn("block", F.expr(f"(rn - 1) div (_n div {blocks})").cast("int"))
+    return got.where(C("block") < blocks).groupBy(*by, "block").agg(
+        F.count(ret).cast("double").alias("n"), F.sum(ret).alias("s"), F.sum(C(ret) * C(ret)).alias("q")
     )
 
 
+def _sharpe(n: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Mean over deviation to 12 places: the order of summation must not decide ties."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = s / n
+        sd = np.sqrt(np.maximum((q - s * s / n) / (n - 1), 0.0))
+        ratio = np.round(mean / sd, 12)
+        flat = np.where(mean == 0, 0.0, np.sign(mean) * np.inf)
+    return np.nan_to_num(np.where(sd == 0, flat, ratio), nan=0.0, posinf=np.inf, neginf=-np.inf)
+
+
+def _choices(first: int, end: int, blocks: int) -> np.ndarray:
+    """Bit sets from ``first`` up to ``end`` that hold half of the blocks."""
+    ids = np.arange(first, end, dtype=np.int64)
+    return ids[np.bitwise_count(ids) == blocks // 2]
+
+
 def symmetric_cv(tl: Timeline, blocks: int = 16, ret: str = "ret", config: str = "config", convention: str = "paper") -> DataFrame:
     """Relative out-of-sample rank of the in-sample best config for every half/half choice of blocks.
 
-    Choices are bit masks made by ``range``, expanded to (choice, block, side)
-    and joined to the block moments: the work is choices x configs, whatever the
-    length of the return series.  ``paper`` ranks 1 = worst, ``reference`` ranks 1 = best.
+    Keys of ``tl`` other than ``config`` are judged each by itself.  Choices are bit sets; a task takes a slice of them,
+    and the sums of all its choices are one product of their 0/1 matrix with the block moments of a key (configs x blocks
+    numbers).  The work is choices x configs, whatever the length of the return series, and nothing is joined on a block.
+    ``paper`` ranks 1 = worst, ``reference`` ranks 1 = best.
     """
-    stats = block_moments(tl, blocks, ret, config)
-    spark = tl.df.sparkSession
-    masks = spark.range(1 << blocks).where(F.bit_count("id") == blocks // 2)
-    sides = masks.select(
-        C("id").alias("choice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    ).withColumn("inside", F.expr("(choice >> block) & 1") == 1)
-    both = sides.join(stats, "block").groupBy("choice", config)
-    pick = lambda c, inside: F.sum(F.when(C("inside") == inside, C(c)))
-    scored = both.agg(
-        *(pick(c, i).alias(f"{c}{int(i)}") for c in ("n", "s", "q") for i in (True, False))
-    ).select(
-        "choice", config,
-        _sharpe(C("n1"), C("s1"), C("q1")).alias("inner"),
-        _sharpe(C("n0"), C("s0"), C("q0")).alias("outer"),
-    )
-    # one row per config in each choice: the group is as large as the list of configs
-    first = Window.partitionBy("choice").orderBy(F.desc("outer"), config)
-    ranked = scored.withColumn("_rank", F.row_number().over(first))
-    best = ranked.groupBy("choice").agg(
-        F.min_by(F.struct(config, "_rank"), F.struct((-C("inner")).alias("k"), C(config))).alias("_b"),
-        F.count(F.lit(1)).alias("configs"),
-    )
-    rank = C("_b._rank") if convention == "reference" else C("configs") + 1 - C("_b._rank")
-    return best.select("choice", C(f"_b.{config}").alias("best"), (rank / (C("configs") + 1)).alias("omega"))
-
-
-def overfitting_probability(omega: DataFrame) -> DataFrame:
-    return omega.agg(
+    by = [k for k in tl.by if k != config]
+    moments = block_moments(tl, blocks, ret, config)
+    per = moments.groupBy(*by, config).agg(F.array_sort(F.collect_list(F.struct("block", "n", "s", "q"))).alias("m"))
+    per = per.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(C(config).alias("config"), C("m.n").alias("n"), C("m.s").alias("s"), C("m.q").alias("q")))).alias("m"))
+    slices = min(SLICES, 1 << blocks)
+    width = (1 << blocks) // slices
+    tasks = per.select(*by, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"), C("m.config").alias("c"), *(C(f"m.{x}").alias(x) for x in "nsq"))
+
+    def judge(batches):
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                configs = list(row["c"])
+                whole = [np.stack([np.asarray(x, float) for x in row[k]], axis=1) for k in "nsq"]  # blocks x configs
+                for first in range(row["_slice"] * width, (row["_slice"] + 1) * width, 1 << 14):
+                    ids = _choices(first, min(first + (1 << 14), (row["_slice"] + 1) * width), blocks)
+                    if not len(ids):
+                        continue
+                    inside = ((ids[:, None] >> np.arange(blocks)) & 1).astype(float)
+                    inner, outer = (_sharpe(*(side @ m for m in whole)) for side in (inside, 1.0 - inside))
+                    best = inner.argmax(axis=1)  # the first of equals
+                    mine = np.take_along_axis(outer, best[:, None], 1)
+                    rank = 1 + (outer > mine).sum(1) + ((outer == mine) & (np.arange(len(configs)) < best[:, None])).sum(1)
+                    if convention != "reference":
+                        rank = len(configs) + 1 - rank
+                    out = pd.DataFrame({"choice": ids, "best": [configs[b] for b in best], "omega": rank / (len(configs) + 1)})
+                    for k in by:
+                        out[k] = row[k]
+                    yield out[[*by, "choice", "best", "omega"]]
+
+    fields = [tl.df.schema[k] for k in by]
+    best = T.StructField("best", tl.df.schema[config].dataType)
+    schema = T.StructType([*fields, T.StructField("choice", T.LongType()), best, T.StructField("omega", T.DoubleType())])
+    return tasks.repartition("_slice", *by).mapInPandas(judge, schema)
+
+
+def overfitting_probability(omega: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Share of choices whose best config ranks in the lower half, per key."""
+    return omega.groupBy(*by).agg(
         F.avg((C("omega") < 0.5).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("choices")
     )
 
 
-def best_config(scores: DataFrame, score: str, config: str = "config") -> DataFrame:
-    """Highest score; the first config wins ties."""
-    return scores.agg(F.min_by(config, F.struct((-C(score)).alias("k"), C(config))).alias("best"))
+def best_config(scores: DataFrame, score: str, config: str = "config", by: Sequence[str] = ()) -> DataFrame:
+    """Highest score per key; the first config wins ties."""
+    return scores.groupBy(*by).agg(F.min_by(config, F.struct((-C(score)).alias("k"), C(config))).alias("best"))
