@@ -367,3 +367,45 @@ def test_exponential_means_remember_through_long_gaps(spark, chunk_rows):
     plain = pd.concat(frames).groupby("symbol")["Close"].transform(lambda x: x.ewm(span=60, adjust=False).mean())
     got = recursive.ewm(tl, "Close", {"b": 60}, keep=["seq"]).df.orderBy("symbol", "rn").toPandas()
     np.testing.assert_allclose(got["b"].astype(float), plain.to_numpy(), rtol=1e-12)
+
+
+def slow_tau(x, y):
+    def one(a, b):
+        rank = np.empty(len(x))
+        rank[np.lexsort((b, a))[::-1]] = np.arange(len(x))
+        w = 1 / (rank + 1)
+        s, n, m = 0.0, 0.0, 0.0
+        for i, j in itertools.combinations(range(len(x)), 2):
+            sx, sy, p = np.sign(x[i] - x[j]), np.sign(y[i] - y[j]), w[i] + w[j]
+            s, n, m = s + sx * sy * p, n + abs(sx) * p, m + abs(sy) * p
+        return s / math.sqrt(n * m) if n * m else math.nan
+
+    return (one(x, y) + one(y, x)) / 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_weighted_tau_counts_partners_without_pairs(seed):
+    r = np.random.default_rng(seed)
+    n = int(r.integers(2, 60))
+    x, y = (r.integers(0, [3, 10, 1000][seed % 3], n).astype(float) for _ in range(2))
+    assert stats._weighted_tau(x, y) == pytest.approx(slow_tau(x, y), nan_ok=True)
+
+
+def test_pairwise_tau_and_long_rankings(spark):
+    r = np.random.default_rng(5)
+    cols = [f"c{i}" for i in range(12)]
+    f = pd.DataFrame(r.integers(0, 40, (80, 12)).astype(float), columns=cols)
+    got = {(t["first"], t["second"]): t["weighted_tau"] for t in stats.pairwise_tau(spark.createDataFrame(f), cols).collect()}
+    assert len(got) == 66
+    for (a, b), v in list(got.items())[::13]:
+        assert v == pytest.approx(slow_tau(f[a].to_numpy(), f[b].to_numpy()))
+    x = r.random(300_000)
+    assert stats._weighted_tau(x, x) == pytest.approx(1.0) and stats._weighted_tau(x, -x) < -0.9
+
+
+def test_percent_ranks_with_ties_and_nulls(spark):
+    values = [3.0, 1.0, None, 1.0, 2.0, None, 3.0, 3.0, 9.0]
+    df = spark.createDataFrame(list(enumerate(values)), "feature int, v double")
+    got = stats.percent_ranks(df, "v", "r", 2).orderBy("feature").toPandas()["r"].tolist()
+    smaller = lambda a, b: a is None and b is not None or a is not None and b is not None and a < b
+    assert got == [sum(smaller(b, a) for b in values) / 8 for a in values]

@@ -1,6 +1,6 @@
 """Named queries over the test tables, each next to the SQL it must agree with.
 
-The as-of queries join one event type with another and the grid queries take one flag; all others read whole tables.  Doubles are rounded to six places on both sides.
+All read whole tables.  Doubles are rounded to six places on both sides.
 """
 
 from __future__ import annotations

@@ -418,19 +418,21 @@ def _ex(spark, sf):
     return a.subtract(b)
 
 
-TRADES = "tr AS MATERIALIZED (SELECT 'x' AS k, ts, event_id AS trade_id, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 100 + value AS price FROM events WHERE event_type = 'purchase')"
-VIEW = "vw AS MATERIALIZED (SELECT * FROM ticks WHERE symbol = 'view')"
+TRADES = "tr AS MATERIALIZED (SELECT user_id AS k, ts, event_id AS trade_id FROM events)"
+VIEW = "vw AS MATERIALIZED (SELECT e.user_id AS k, t.* FROM ticks t JOIN events e ON e.event_id = t.seq)"
 
 
 def asof_pair(spark, sf):
-    left = views.trades(spark, sf).withColumn("k", F.lit("x"))
-    right = views.ticks(spark, sf).where(C("symbol") == "view").select(F.lit("x").alias("k"), "ts", "seq", C("Close").alias("last_close"), C("seq").alias("tick"))
+    """Every trade beside the ticks of its user."""
+    left = views.trades(spark, sf).withColumnRenamed("user", "k")
+    users = views.table(spark, sf, "events").select(C("event_id").alias("seq"), C("user_id").cast("string").alias("k"))
+    right = views.ticks(spark, sf).join(users, "seq").select("k", "ts", "seq", C("Close").alias("last_close"), C("seq").alias("tick"))
     return left, right
 
 
 def _asof(name, sql_op, **kw):
     order = "ASC" if kw.get("direction") == "forward" else "DESC"
-    sql = final(f"SELECT trade_id, last_close, tick FROM (SELECT t.trade_id, (SELECT v.close FROM vw v WHERE v.ts {sql_op} t.ts ORDER BY v.ts {order}, v.seq {order} LIMIT 1) AS last_close, (SELECT v.seq FROM vw v WHERE v.ts {sql_op} t.ts ORDER BY v.ts {order}, v.seq {order} LIMIT 1) AS tick FROM tr t) AS q",
+    sql = final(f"SELECT trade_id, last_close, tick FROM (SELECT t.trade_id, (SELECT v.close FROM vw v WHERE v.k = t.k AND v.ts {sql_op} t.ts ORDER BY v.ts {order}, v.seq {order} LIMIT 1) AS last_close, (SELECT v.seq FROM vw v WHERE v.k = t.k AND v.ts {sql_op} t.ts ORDER BY v.ts {order}, v.seq {order} LIMIT 1) AS tick FROM tr t) AS q",
                 (TICKS, VIEW, TRADES), ("trade_id",), ["last_close"], ["tick"])
 
     @query(name, sql)
@@ -454,7 +456,7 @@ _asof("asof_forward", ">=", direction="forward")
 _asof("asof_forward_strict", ">", direction="forward", strict=True)
 
 
-@query("transaction_log", "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 100 + value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS quantity, floor((100 + value) * CAST(json_extract_string(props, '$.k') AS DOUBLE) * 1e6 + 0.50037) / 1e6 AS value, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS strategy FROM events WHERE event_type = 'purchase'")
+@query("transaction_log", "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, 100 + value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS quantity, floor((100 + value) * CAST(json_extract_string(props, '$.k') AS DOUBLE) * 1e6 + 0.50037) / 1e6 AS value, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS strategy FROM events")
 def _tlog(spark, sf):
     from tidewheel.catalog import six_places
 

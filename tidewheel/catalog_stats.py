@@ -340,7 +340,7 @@ def _wt(spark, sf):
     keys=(), d=["score"], i=["feature"]))
 def _es(spark, sf):
     df = views.ticks(spark, sf).groupBy(C("Volume").cast("bigint").alias("feature")).agg(F.avg("Close").alias("y"), F.count(F.lit(1)).alias("z"))
-    return shape(S.ensemble_score(df, {"y": 0.5, "z": 0.5}), (), ["score"], ["feature"])
+    return shape(S.ensemble_score(df, {"y": 0.5, "z": 0.5}, chunk_rows=64), (), ["score"], ["feature"])
 
 
 # ----------------------------------------------------------------- volatility

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tidewheel.functions import rolling as R
 from tidewheel.functions import tails
 from tidewheel.lookup import attach
-from tidewheel.timeline import Recipe, Timeline
+from tidewheel.storage import materialize
+from tidewheel.timeline import DEFAULT_CHUNK_ROWS, Recipe, Timeline
 
 C = F.col
 
@@ -592,43 +593,103 @@ def weighted_f1(df: DataFrame, by: Sequence[str], truth: str, pred: str) -> Data
 
 
 # ---------------------------------------------------------------- rank measures
-def weighted_tau(df: DataFrame, by: Sequence[str], x: str, y: str, limit: int = 10_000) -> DataFrame:
+def weighted_tau(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Additive hyperbolic weighted rank correlation, averaged over both rankings.
 
-    Meant for rankings of features.  Each key becomes one array of bounded length
-    (longer ones raise) and the sums over positions are taken inside the row.
+    Meant for rankings: each key's two columns become one array, in which agreeing and
+    disagreeing partners are counted by merging sorted runs (n log² n, no pairs).
     """
     @F.pandas_udf("double")
     def tau(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([_weighted_tau(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(xs, ys)])
 
     known = df.where(C(x).isNotNull() & C(y).isNotNull()).select(*by, C(x).alias("x"), C(y).alias("y"))
-    longest = known.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if longest > limit:
-        raise ValueError(f"a ranking of {longest} features is longer than {limit}")
     got = known.groupBy(*by).agg(F.collect_list(F.struct("x", "y")).alias("_l"))
     return got.select(*by, tau("_l.x", "_l.y").alias("weighted_tau"))
 
 
+def pairwise_tau(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(first, second, weighted_tau) of all pairs of columns, one task per pair and key."""
+    pairs = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), C(a).cast("double").alias("x"), C(b).cast("double").alias("y"))
+             for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    return weighted_tau(df.select(*by, F.inline(F.array(*pairs))), [*by, "first", "second"], "x", "y")
+
+
+def _smaller_before(y: np.ndarray) -> np.ndarray:
+    """For every place how many places before it hold a smaller value."""
+    n = len(y)
+    rank = np.unique(y, return_inverse=True)[1]
+    out = np.zeros(n, np.int64)
+    size = 1
+    while size < n:  # runs of ``size`` places are sorted; the right one of two counts against the left one
+        base = np.arange(n) // (2 * size) * (int(rank.max()) + 1)
+        right = np.arange(n) // size % 2 == 1
+        keys = np.sort((base + rank)[~right])
+        before = np.searchsorted(keys, base[right])
+        out[right] += np.searchsorted(keys, (base + rank)[right]) - before
+        size *= 2
+    return out
+
+
+def _balance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For every row the partners that agree in the order of x and y, less those that disagree."""
+    n = len(x)
+    xr, yr = (np.unique(v, return_inverse=True)[1] for v in (x, y))
+    order = np.lexsort((-yr, xr))  # within equal x the larger y first: they never count as smaller before
+    below = np.empty(n, np.int64)
+    below[order] = _smaller_before(yr[order])
+    order = np.lexsort((yr, xr))
+    above = np.empty(n, np.int64)  # larger y at smaller x
+    above[order] = _smaller_before(-yr[order])
+
+    def sides(v):
+        """Rows smaller less rows larger in ``v``."""
+        count = np.bincount(v)
+        upto = np.cumsum(count)
+        return (upto - count)[v] - (n - upto)[v]
+
+    both = np.unique(xr * (int(yr.max()) + 1) + yr, return_inverse=True)[1]  # (x, y) in order
+    size, first = np.bincount(both), np.searchsorted(np.sort(xr), xr)
+    upto = np.cumsum(size)
+    equal = (upto - size)[both] - first - (np.searchsorted(np.sort(xr), xr, "right") - upto[both])
+    return 2 * (below - above) - sides(yr) + equal
+
+
 def _weighted_tau(x: np.ndarray, y: np.ndarray) -> float:
-    if len(x) < 2:
+    n = len(x)
+    if n < 2:
         return math.nan
-    sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    balance = _balance(x, y)
+    unequal = [n - np.bincount(c)[c] for c in (np.unique(v, return_inverse=True)[1] for v in (x, y))]
 
     def one(first, second):
-        rank = np.empty(len(x))
-        rank[np.lexsort((second, first))[::-1]] = np.arange(len(x))
+        rank = np.empty(n)
+        rank[np.lexsort((second, first))[::-1]] = np.arange(n)
         w = 1 / (rank + 1)
-        pair = w[:, None] + w
-        den = math.sqrt((np.abs(sx) * pair).sum() * (np.abs(sy) * pair).sum())
-        return (sx * sy * pair).sum() / den if den else math.nan
+        den = math.sqrt((w * unequal[0]).sum() * (w * unequal[1]).sum())
+        return (w * balance).sum() / den if den else math.nan
 
     return (one(x, y) + one(y, x)) / 2
 
 
-def ensemble_score(df: DataFrame, parts: dict[str, float], key: str = "feature") -> DataFrame:
-    """Weighted sum of percentile ranks of importance columns (a table of features)."""
-    from pyspark.sql import Window
+def percent_ranks(df: DataFrame, x: str, out: str, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """``df`` with the share of other rows that are smaller in ``x``; equal values share a rank, nulls come first.
 
-    ranks = sum((F.percent_rank().over(Window.orderBy(c)) * w for c, w in parts.items()), F.lit(0.0))
-    return df.select(key, *parts, ranks.alias("score"))
+    Rows are counted per distinct value, the values are laid out by range, and a running sum over chunks gives the
+    rows before each value: no task sees all rows, and a value that most rows share is one row of the ranking.
+    """
+    counts = df.groupBy(C(x).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0))
+    tl = Timeline.build(counts, ("_g",), ("_v",), chunk_rows).running(keep=["_v", "_n"], _upto=("sum", "_n"))
+    total = tl.df.agg(F.coalesce(F.sum("_n"), F.lit(0))).head()[0]
+    share = (C("_upto") - C("_n")) / F.lit(float(max(total - 1, 1)))
+    ranked = materialize(tl.df.select("_v", share.alias(out)), "ranks")
+    return df.join(ranked, C(x).eqNullSafe(C("_v")), "left").drop("_v")
+
+
+def ensemble_score(df: DataFrame, parts: dict[str, float], key: str = "feature", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Weighted sum of percentile ranks of importance columns."""
+    got = df.select(key, *parts)
+    for i, c in enumerate(parts):
+        got = percent_ranks(got, c, f"_r{i}", chunk_rows)
+    score = sum((C(f"_r{i}") * w for i, w in enumerate(parts.values())), F.lit(0.0))
+    return got.select(key, *parts, score.alias("score"))

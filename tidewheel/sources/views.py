@@ -53,11 +53,11 @@ def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases as trades."""
+    """Every event as a trade of its user."""
     return (
         table(spark, sf_dir, "events")
-        .where(F.col("event_type") == "purchase")
         .select(
+            F.col("user_id").cast("string").alias("user"),
             "ts",
             F.col("event_id").alias("trade_id"),
             F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"),
