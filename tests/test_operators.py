@@ -409,3 +409,17 @@ def test_percent_ranks_with_ties_and_nulls(spark):
     got = stats.percent_ranks(df, "v", "r", 2).orderBy("feature").toPandas()["r"].tolist()
     smaller = lambda a, b: a is None and b is not None or a is not None and b is not None and a < b
     assert got == [sum(smaller(b, a) for b in values) / 8 for a in values]
+
+
+@pytest.mark.parametrize("chunk_rows", [16, 4096])
+def test_rising_peaks_are_thinned_in_few_rounds(spark, chunk_rows, monkeypatch):
+    """Two hundred peaks, each higher than the one before: every second one goes, settled by chunks."""
+    n = 400
+    x = np.where(np.arange(n) % 2 == 1, np.arange(n) * 1.0, 0.0)
+    f = walk(n, "A", 1).assign(Close=x)
+    rounds = []
+    kept = labels.materialize
+    monkeypatch.setattr(labels, "materialize", lambda df, *a: rounds.append(1) or kept(df, *a))
+    got = labels.peaks(Timeline.build(candles(spark, f), chunk_rows=chunk_rows), "Close", 0.0, 10).toPandas()["rn"]
+    assert sorted(got) == greedy_peaks(x, 0.0, 10)
+    assert len(rounds) <= (3 if chunk_rows > n else n // chunk_rows + 3)

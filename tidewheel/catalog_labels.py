@@ -174,7 +174,20 @@ def _l11b(spark, sf):
     return shape(L.oscillator_target(daily(spark, sf)), DAY, i=["target"])
 
 
-@query("oscillator_target_spaced")
+_SPACED = (
+    DAILY,
+    f"xs AS MATERIALIZED (SELECT symbol, ts, rn, x, {lag('x')} AS l, {lead('x')} AS r FROM (SELECT *, {_ao} AS x FROM (SELECT *, (high + low) / 2 AS m FROM bars) AS q) AS q2)",
+    """pk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol, sg ORDER BY v DESC, rn DESC) AS i FROM (
+  SELECT symbol, 1 AS sg, rn, x AS v FROM xs WHERE x > l AND x > r AND x - greatest(l, r) >= 5
+  UNION ALL SELECT symbol, -1, rn, -x FROM xs WHERE x < l AND x < r AND least(l, r) - x >= 5) AS p)""",
+    """kp AS (SELECT DISTINCT symbol, sg, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept FROM pk
+  UNION ALL SELECT p.symbol, p.sg, p.i, CASE WHEN len(list_filter(kept, lambda k: abs(k - p.rn) < 10)) = 0 THEN list_append(kept, p.rn) ELSE kept END
+  FROM kp JOIN pk p ON p.symbol = kp.symbol AND p.sg = kp.sg AND p.i = kp.i + 1)""",
+    "st AS MATERIALIZED (SELECT symbol, sg, unnest(kept) AS rn FROM (SELECT symbol, sg, arg_max(kept, i) AS kept FROM kp GROUP BY 1, 2) AS z)",
+)
+
+
+@query("oscillator_target_spaced", final("SELECT x.symbol, x.ts, coalesce(min(st.sg), 0) AS target FROM xs x LEFT JOIN st USING (symbol, rn) GROUP BY 1, 2", _SPACED, DAY, i=["target"]))
 def _l12(spark, sf):
     return shape(L.oscillator_target(daily(spark, sf), "ao_on_price", peak_distance=10, peak_threshold=5.0), DAY, i=["target"])
 

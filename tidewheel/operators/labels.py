@@ -353,20 +353,32 @@ def peaks(tl: Timeline, x: str, threshold: float = 0.0, distance: int = 1) -> Da
 
 
 def _thin(found: DataFrame, tl: Timeline, distance: int) -> DataFrame:
-    """Keep-highest thinning: a peak that tops every open peak nearer than ``distance`` stays,
-    its neighbours go, until all are decided.  Each round is a chunked window, and
-    the result is that of taking peaks from the highest down."""
-    todo = materialize(found.withColumn("_state", F.lit(0)), "peaks")
+    """Keep-highest thinning: peaks are taken from the highest down, each drops those nearer than ``distance``.
+
+    A chunk settles its peaks in order of height in one go.  A peak waits only if a higher one within ``distance`` waits
+    behind a chunk border; settled states travel over borders, so a round per border that a rising run of peaks crosses is
+    the most that is needed, and what is settled never changes.
+    """
+    keys = (*tl.by, "_t")
+    todo = materialize(found.select(*tl.by, "rn", "v", F.lit(0).alias("_state")), "peaks")
+    schema = todo.schema
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn", ignore_index=True)
+        rn, state, core = (pdf[c].to_numpy().copy() for c in ("rn", "_state", "_core"))
+        order = np.lexsort((-rn, -pdf["v"].to_numpy()))
+        place = np.empty(len(rn), np.int64)
+        place[order] = np.arange(len(rn))
+        low, high = np.searchsorted(rn, rn - distance, "right"), np.searchsorted(rn, rn + distance)
+        for i in order[(core & (state == 0))[order]].tolist():
+            near = slice(low[i], high[i])
+            higher = state[near][place[near] < place[i]]
+            state[i] = -1 if (higher == 1).any() else 0 if (higher == 0).any() else 1
+        return pdf.assign(_state=state).loc[core, schema.names]
+
     while not todo.where(C("_state") == 0).isEmpty():
-        d = Timeline(todo, tl.by, ("rn",), tl.chunk_rows).halo(back=2 * distance, fwd=2 * distance)
-        near = tl.window().rangeBetween(-(distance - 1), distance - 1)
-        best = F.max(F.when(C("_state") == 0, F.struct("v", "rn"))).over(near)
-        d = d.withColumn("_top", (C("_state") == 0) & (best["rn"] == C("rn")))
-        d = d.withColumn("_near", F.max(F.when(C("_top"), C("rn"))).over(near))
-        state = (
-            F.when(C("_state") != 0, C("_state")).when(C("_top"), 1).when(C("_near").isNotNull(), -1).otherwise(0)
-        )
-        todo = materialize(d.where("_core").select(*tl.by, "rn", "v", state.alias("_state")), "peaks")
+        near = Timeline(todo, tl.by, ("rn",), tl.chunk_rows).halo(back=distance, fwd=distance)
+        todo = materialize(near.groupBy(*keys).applyInPandas(settle, schema), "peaks")
     return todo.where(C("_state") == 1).drop("_state")
 
 
