@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from tidewheel.operators import weights as W
 from tidewheel.functions import scalar as S
 from tidewheel.plans import pipeline
 from tidewheel.sources import klines, views
+from tidewheel.storage import shared_dir
 from tidewheel.timeline import Timeline
 
 OUT = ["open", "high", "low", "close", "volume", "volume_usdt"]
@@ -462,3 +464,42 @@ def _tlog(spark, sf):
 
     t = views.trades(spark, sf).withColumn("timestamp", F.unix_millis(C("ts").cast("timestamp"))).withColumn("value", six_places(C("price") * C("quantity")))
     return klines.transaction_rows(t)
+
+
+# ------------------------------------------------------------------ files
+def kline_files(spark, sf) -> str:
+    """Ticks as compressed candle archives without a header: times in milliseconds or microseconds, one line in a hundred broken."""
+    us = F.unix_micros(C("ts").cast("timestamp"))
+    unix = F.when(C("seq") % 2 == 1, us).otherwise(F.call_function("div", us, F.lit(1000)))
+    good = F.concat_ws(",", unix, "Open", "High", "Low", "Close", "Volume", unix, "volume_usdt", "trade_count", F.lit(0), F.lit(0), F.lit(0))
+    folder = f"{shared_dir(spark)}/klines-{uuid.uuid4().hex}"
+    lines = views.ticks(spark, sf).select(F.when(C("seq") % 100 == 7, "broken,line").otherwise(good).alias("value"))
+    lines.repartition(8).write.option("compression", "gzip").text(folder)
+    return folder
+
+
+_KLINES = """kl AS MATERIALIZED (SELECT 'ALL' AS symbol, CASE WHEN seq % 2 = 1 THEN ts ELSE date_trunc('millisecond', ts) END AS ts, CASE WHEN seq % 2 = 1 THEN epoch_us(ts) ELSE epoch_us(ts) // 1000 END AS unix,
+  open, high, low, close, volume, volume_usdt, trade_count FROM ticks WHERE seq % 100 <> 7)"""
+_KD, _KI = ["open", "high", "low", "close", "volume", "volume_usdt"], ["unix", "trade_count"]
+
+
+@query("klines_read", final("SELECT * FROM kl", (TICKS, _KLINES), ("symbol", "ts"), _KD, _KI))
+def _kread(spark, sf):
+    got = klines.read_klines(spark, kline_files(spark, sf), "ALL").withColumnRenamed("seq", "unix")
+    return shape(got, ("symbol", "ts"), ["Open", "High", "Low", "Close", "Volume", "volume_usdt"], _KI)
+
+
+@query("kline_quality", f"WITH {TICKS} SELECT CAST(count(*) FILTER (seq % 100 <> 7) AS BIGINT) AS n_good, CAST(count(*) FILTER (seq % 100 = 7) AS BIGINT) AS n_bad FROM ticks")
+def _kq(spark, sf):
+    return klines.kline_quality(spark, kline_files(spark, sf)).agg(*(F.sum(c).alias(c) for c in ("n_good", "n_bad")))
+
+
+@query("klines_consolidated", final("SELECT symbol, date_trunc('day', ts) AS day, count(*) AS n_rows, count(DISTINCT ts) AS n_times, sum(volume) AS volume FROM kl WHERE ts >= (SELECT date_trunc('day', min(ts)) + INTERVAL 1 DAY FROM kl) GROUP BY 1, 2", (TICKS, _KLINES), ("symbol", "day"), ["volume"], ["n_rows", "n_times"]))
+def _kcons(spark, sf):
+    """Archives to one table partitioned by day, read back from its second day on."""
+    out = f"{shared_dir(spark)}/candles-{uuid.uuid4().hex}"
+    klines.consolidate(spark, kline_files(spark, sf), out, "ALL")
+    first = spark.read.parquet(out).agg(F.date_trunc("day", F.min("ts")) + F.expr("interval 1 day")).head()[0]
+    rows = klines.read_candles(spark, out, start=str(first), fmt="parquet")
+    by_day = rows.groupBy("symbol", F.date_trunc("day", C("ts")).cast("timestamp_ntz").alias("day"))
+    return shape(by_day.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("ts").alias("n_times"), F.sum("Volume").alias("volume")), ("symbol", "day"), ["volume"], ["n_rows", "n_times"])

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tidewheel.catalog import (
     CHUNK_ROWS, DAILY, ONE, PART, TICKS, C, daily, ema, final, lag, lead, nz, one, over, query, recursion, roll, shape, ticks,
 )
-from tidewheel.functions import sequences
+from tidewheel.functions import scalar, sequences
 from tidewheel.operators import features as X
+from tidewheel.operators import fills as P
 from tidewheel.operators import indicators as I
 from tidewheel.operators import recursive as E
 from tidewheel.operators import signals as G
@@ -423,3 +424,23 @@ def _g11(spark, sf):
 def _g14(spark, sf):
     tl = ticks(spark, sf).apply(G.band_breach())
     return shape(tl.apply(G.path_returns("signal"), G.path_returns("signal", 0, "ret_same_row")), d=["ret", "ret_same_row"])
+
+
+@query("signal_on_bar_close", final(
+    "SELECT symbol, seq, CASE WHEN rn % 10 = 0 THEN sign(close - 150) ELSE 0 END AS signal, CAST((rn - 1) % 24 AS BIGINT) AS age FROM ticks", i=["signal", "age"]))
+def _onclose(spark, sf):
+    """A bar of ten ticks signals on its last tick; rows also tell how old their model is."""
+    rows = ticks(spark, sf).df
+    bars = rows.where(C("rn") % 10 == 0).select("symbol", "seq", F.signum(C("Close") - 150).cast("int").alias("signal"))
+    got = G.on_bar_close(rows, bars, ["symbol", "seq"], "signal").withColumn("age", scalar.rows_since_refit(C("rn"), 24))
+    return shape(got, i=["signal", "age"])
+
+
+@query("drop_levels", "SELECT event_type AS symbol, event_id AS seq FROM events")
+def _dl(spark, sf):
+    return P.drop_levels(views.ticks(spark, sf), ["ts", "Open", "High", "Low", "Close", "Volume", "volume_usdt", "trade_count"])
+
+
+@query("result_json", "SELECT event_id AS seq, '{\"symbol\":\"' || event_type || '\",\"odd\":' || CAST(event_id % 2 AS VARCHAR) || '}' AS text FROM events")
+def _rj(spark, sf):
+    return views.ticks(spark, sf).select("seq", scalar.as_json(symbol=C("symbol"), odd=C("seq") % 2).alias("text"))

@@ -90,7 +90,8 @@ def read_candles(spark: SparkSession, path: str, start=None, end=None, fmt: str
         df = spark.read.option("header", "true").schema(fields).csv(path)
     else:
         df = spark.read.format(fmt).load(path)
-    df = df.withColumnsRenamed({k: v for k, v in COLUMN_MAP.items() if k in df.columns})
+    # a consolidated table has its times and, beside them, the day as a folder
+    df = df.withColumnsRenamed({k: v for k, v in COLUMN_MAP.items() if k in df.columns and v not in df.columns})
     if "ts" not in df.columns:
         raise ValueError(f"no time column among {df.columns}")
     if "symbol" not in df.columns:
