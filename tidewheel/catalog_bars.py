@@ -136,14 +136,18 @@ def _tib2(spark, sf):
     return _imb(spark, sf, B.tick_imbalance(ticks(spark, sf), "dynamic_runs", window_run_length=12))
 
 
-def dyn_sql(ctes, x, size0, inside, closed_only=False):
+def dyn_rec(x, size0, inside):
     """State: mean sign m, bar mean z, sum cum, closed flag c, size so far k."""
     m = f"CASE WHEN b.rn = 1 THEN b.sg ELSE {ema('e.m', 'b.sg', 20)} END"
     z = f"CASE WHEN e.c = 1 THEN {1 - 2 / 21!r} * e.z + {2 / 21!r} * e.k ELSE e.z END"
     cum, k = f"(CASE WHEN e.c = 1 THEN 0 ELSE e.cum END + {x})", f"(CASE WHEN e.c = 1 THEN 0 ELSE e.k END + {inside})"
     hit = lambda z, m, cum: f"CASE WHEN abs({z} * {m}) > 0 AND abs({cum}) >= abs({z} * {m}) THEN 1 ELSE 0 END"
-    rec = recursion("e", "si", {"m": "b.sg", "z": size0, "cum": x, "k": inside, "c": hit(size0, "b.sg", x)},
+    return recursion("e", "si", {"m": "b.sg", "z": size0, "cum": x, "k": inside, "c": hit(size0, "b.sg", x)},
                     {"m": m, "z": z, "cum": cum, "k": k, "c": hit(f"({z})", f"({m})", cum)})
+
+
+def dyn_sql(ctes, x, size0, inside, closed_only=False):
+    rec = dyn_rec(x, size0, inside)
     if closed_only:
         return final("SELECT symbol, seq, abs(z * m) AS threshold, cum AS cum_imbalance, k AS size FROM si b JOIN e USING (symbol, rn) WHERE c = 1", (*ctes, rec), d=ROW_D, i=["size"])
     return final("SELECT symbol, seq, abs(z * m) AS threshold, cum AS cum_imbalance, c AS closes FROM si b JOIN e USING (symbol, rn)", (*ctes, rec), d=ROW_D, i=["closes"])
@@ -159,12 +163,26 @@ def _vib(spark, sf):
     return _imb(spark, sf, B.volume_imbalance(ticks(spark, sf)))
 
 
-@query("tick_imbalance_bars")
-def _tibb(spark, sf):
-    rows = B.tick_imbalance(ticks(spark, sf), initial_bar_size=5)
+_V0 = SIGNS.replace("SELECT *, coalesce", "SELECT *, sum(volume) OVER (PARTITION BY symbol) / 100 AS v0, coalesce")
+_DYN_BARS = """SELECT symbol, max(ts) AS ts, arg_min(open, rn) AS open, max(high) AS high, min(low) AS low, arg_max(close, rn) AS close, sum(volume) AS volume, sum(volume_usdt) AS volume_usdt, min(rn) AS bar_open, sum(trade_count) AS trade_count
+FROM (SELECT b.*, e.c, coalesce(sum(e.c) OVER (PARTITION BY b.symbol ORDER BY b.rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bar FROM si b JOIN e USING (symbol, rn)) AS q GROUP BY symbol, bar HAVING max(c) = 1"""
+_DB = ["open", "high", "low", "close", "volume", "volume_usdt"]
+
+
+def _dyn_bars(rows):
     return shape(B.imbalance_bars(rows, ("symbol",)), ("symbol", "ts"), ["Open", "High", "Low", "Close", "Volume", "volume_usdt"], ["bar_open", "trade_count"])
 
 
+@query("tick_imbalance_bars", final(_DYN_BARS, (TICKS, SIGNS, dyn_rec("b.sg", "5", "1")), ("symbol", "ts"), _DB, ["bar_open", "trade_count"]))
+def _tibb(spark, sf):
+    return _dyn_bars(B.tick_imbalance(ticks(spark, sf), initial_bar_size=5))
+
+
+@query("volume_imbalance_bars", final(_DYN_BARS, (TICKS, _V0, dyn_rec("b.sg * b.volume", "b.v0", "b.volume")), ("symbol", "ts"), _DB, ["bar_open", "trade_count"]))
+def _vibb(spark, sf):
+    return _dyn_bars(B.volume_imbalance(ticks(spark, sf)))
+
+
 # --------------------------------------------------------------- calendar bars
 @query("daily_last", final(
     "SELECT d.symbol, d.bucket, t.close FROM (SELECT symbol, unnest(generate_series(min(date_trunc('day', ts)), max(date_trunc('day', ts)), INTERVAL 1 DAY)) AS bucket FROM ticks GROUP BY 1) AS d LEFT JOIN (SELECT symbol, date_trunc('day', ts) AS bucket, arg_max(close, rn) AS close FROM ticks GROUP BY 1, 2) AS t USING (symbol, bucket)",

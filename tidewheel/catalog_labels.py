@@ -174,6 +174,11 @@ def _l11b(spark, sf):
     return shape(L.oscillator_target(daily(spark, sf)), DAY, i=["target"])
 
 
+@query("oscillator_target_ratio", final(f"SELECT symbol, ts, {_peak} AS target FROM (SELECT *, coalesce(o / {lag('o')} - 1, 0) AS x FROM (SELECT *, {_ao} AS o FROM (SELECT *, (high + low) / 2 AS m FROM bars) AS q) AS q2) AS q3", (DAILY,), DAY, i=["target"]))
+def _l11d(spark, sf):
+    return shape(L.oscillator_target(daily(spark, sf), "pct_change_on_ao"), DAY, i=["target"])
+
+
 _SPACED = (
     DAILY,
     f"xs AS MATERIALIZED (SELECT symbol, ts, rn, x, {lag('x')} AS l, {lead('x')} AS r FROM (SELECT *, {_ao} AS x FROM (SELECT *, (high + low) / 2 AS m FROM bars) AS q) AS q2)",
