@@ -322,10 +322,10 @@ def _sliding(spark, sf):
 
 
 @query("context_windows", final(
-    f"SELECT symbol, seq, n AS context_rows, c0, f1 AS next_1, coalesce(f2, f1) AS next_2 FROM (SELECT symbol, seq, count(*) OVER ({PART} ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING) AS n, first_value(close) OVER ({PART} ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING) AS c0, close AS f1, {lead('close')} AS f2 FROM ticks) AS s WHERE n > 0",
+    f"SELECT symbol, seq, n AS context_rows, c0, f1 AS next_1, coalesce(f2, f1) AS next_2 FROM (SELECT symbol, seq, count(*) OVER ({PART} ROWS BETWEEN 512 PRECEDING AND 1 PRECEDING) AS n, first_value(close) OVER ({PART} ROWS BETWEEN 512 PRECEDING AND 1 PRECEDING) AS c0, close AS f1, {lead('close')} AS f2 FROM ticks) AS s WHERE n > 0",
     d=["c0", "next_1", "next_2"], i=["context_rows"]))
 def _context(spark, sf):
-    df = sequences.context_and_horizon(ticks(spark, sf), ["ts", "Close"], 64, 2)
+    df = sequences.context_and_horizon(ticks(spark, sf), ["ts", "Close"], 512, 2)
     return shape(df.withColumns({"context_rows": F.size("context"), "c0": C("context")[0]["Close"], "next_1": C("future")[0]["Close"], "next_2": C("future")[1]["Close"]}),
                  d=["c0", "next_1", "next_2"], i=["context_rows"])
 

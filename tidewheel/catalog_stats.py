@@ -374,16 +374,16 @@ def _harb(spark, sf):
 
 
 # --------------------------------------------------- fractional differencing
-_w = D.ffd_weights(0.5, 1e-3)
+_w = D.ffd_weights(0.5, 1e-5)
 FFD = f"SELECT symbol, seq, CASE WHEN len(l) = {len(_w)} THEN list_sum(list_transform(list_zip(l, [{', '.join(repr(float(x)) for x in _w[::-1])}]), lambda z: z[1] * z[2])) ELSE 0 END AS close FROM (SELECT *, list(close) {over(len(_w))} AS l FROM ticks) AS q"
 
 
 @query("frac_diff", final(FFD, d=["close"]))
 def _ffd(spark, sf):
-    return shape(D.frac_diff(ticks(spark, sf), ["Close"], 0.5, 1e-3), d=["Close"])
+    return shape(D.frac_diff(ticks(spark, sf), ["Close"], 0.5, 1e-5), d=["Close"])
 
 
 @query("minimum_order")
 def _mind(spark, sf):
-    choice, _tests = D.minimum_order(daily(spark, sf), ["Close", "Volume"], steps=3, thres=1e-3)
+    choice, _tests = D.minimum_order(daily(spark, sf), ["Close", "Volume"], steps=11, thres=1e-5)
     return shape(choice, SYM, ["d"])
