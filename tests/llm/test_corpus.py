@@ -250,6 +250,40 @@ def test_near_dups_that_repeat_a_passage(spark):
     assert [c for _, c in sorted((x.doc_id, x.class_id) for x in got)] == [i - i % 2 for i in range(80)]
 
 
+def test_near_dups_of_frames_that_multiply_rows(spark):
+    base = [prose(60) for _ in range(5)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(base)], "doc_id long, text string, tag string, block string")
+    more = df.withColumn("node", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert near_dups.classes(more).where("kept").count() == 5
+    kept = near_dups.keep_one(more)
+    assert kept.columns == more.columns and sorted(r.doc_id for r in kept.collect()) == list(range(5))
+
+
+@pytest.mark.parametrize("columns", [16, 4096])
+def test_similarities_of_a_cell_are_those_of_its_pairs(monkeypatch, columns):
+    g = np.random.default_rng(4)
+    monkeypatch.setattr(near_dups, "COLUMNS", columns)
+    pool = np.unique(g.integers(0, 2**48, 300, dtype=np.uint64))
+    levels = g.integers(0, 80, len(pool)).astype(np.uint8)
+    for _ in range(20):
+        texts = []
+        for _ in range(int(g.integers(2, 14))):
+            held = g.random(len(pool)) < g.choice([0.01, 0.5, 0.95])
+            held[g.integers(len(pool))] = True
+            texts.append((near_dups.blocks.planes(pool[held]), g.integers(1, 5, held.sum()).astype("<u2").tobytes() + levels[held].tobytes()))
+        for split in (0, len(texts) // 2):
+            got = near_dups.similarities(texts, split, 1000)
+            want = np.array([[near_dups.similarity(*x, *y, 1000) for y in texts[split:]] for x in texts[: split or len(texts)]])
+            off = ~np.eye(*want.shape, dtype=bool) if not split else np.ones(want.shape, bool)
+            assert np.allclose(got[off], want[off], atol=1e-12)
+
+
+def test_forest_joins_what_all_pairs_join():
+    labels = list("aabbcdde")
+    left, right = np.array([0, 1, 2, 3, 4, 5, 0]), np.array([2, 3, 4, 4, 0, 6, 3])
+    assert near_dups.forest(labels, left, right) == [0, 2]
+
+
 def test_prefixes_of_similar_texts_meet():
     r, g = random.Random(3), np.random.default_rng(3)
     for _ in range(300):

@@ -24,9 +24,14 @@ GROUP_BYTES = 2 << 20
 
 
 def addressed(df: DataFrame, columns: list[Column], block_rows: int = BLOCK_ROWS, more: list[Column] | None = None) -> DataFrame:
-    """``columns``, the row's ``block`` and ``more`` columns of ``_metadata``; a table that is no plain file scan is written first."""
+    """``columns``, the row's ``block`` and ``more`` columns of ``_metadata``; a table that is no plain file scan is written first.
+
+    Joins, unions and generators give several rows of one file row: only selections and filters over one scan are plain.
+    """
     address = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / block_rows)).alias("block")
     try:
+        if not _one_scan(df):
+            df = storage.materialize(df, "rows")
         out = df.select(*columns, address, *(more or []))
         out.schema  # noqa: B018  analysed now
         return out
@@ -34,6 +39,14 @@ def addressed(df: DataFrame, columns: list[Column], block_rows: int = BLOCK_ROWS
         return storage.materialize(df.select(*columns), "rows").select("*", address, *(more or []))
 
 
+def _one_scan(df: DataFrame) -> bool:
+    """Whether every row of ``df`` is a row of one scan of its own."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.children().size() == 1 and node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.children().size() == 0
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -10,8 +10,9 @@
 3. Equal texts become one node.  Every node is paired with a hub of each band bucket; pairs are verified by weighted
    Jaccard similarity of the whole shingle sets, or the plain one, so that weights never lose a near copy.  Further rounds
    take other hubs in buckets that still hold more than one class.  Then every pair of one bucket and of different classes
-   is settled: small buckets emit their pairs; the members of large ones meet by the rare shingles of which similar texts
-   must share one (prefix filter, exact), and where these are frequent too, by an exact comparison in cells.
+   is settled in cells: a task compares the texts of a cell as matrices and gives a spanning forest of what is similar.
+   Members of large buckets take part if another class has one of their rare shingles, of which similar texts must share
+   one (prefix filter, exact).
 4. Classes are the connected components, found by label passing over written tables.
 """
 
@@ -32,10 +33,13 @@ from tidewheel.llm.hashing import mix, namer
 
 SALTS = 8
 BROADCAST_ROWS = 100_000
-#: members of a bucket that emits all its pairs
+#: members of a bucket that are compared without a look at their rare shingles
 FEW = 16
-#: members of one side of a compared cell
-CELL = 64
+#: members, and bytes of shingles, of one side of a compared cell
+CELL = 256
+CELL_BYTES = 8 << 20
+#: shingles that a cell compares at once
+COLUMNS = 2048
 #: shingle hashes keep 48 bits
 SHORT = np.uint64(16)
 #: share of the weight that the inverse document frequency decides
@@ -269,15 +273,16 @@ def _light(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def components(links: DataFrame, most: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes in ``links`` (a, b); the label is the least node of the component.
 
-    Each pass takes the least label of the neighbours and then the label's own label, so long chains halve.
+    Each pass takes the least label of the neighbours and then the label's own label, so long chains halve.  Labels only
+    fall, so the passes end.
     """
     edges = storage.materialize(links.select("a", "b").union(links.select("b", "a")), "edges")
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
     labels = storage.materialize(labels, "labels")
-    for _ in range(most):
+    while True:
         known = _light(labels)
         seen = edges.join(known.select(F.col("node").alias("b"), F.col("label").alias("near")), "b")
         near = seen.groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
@@ -288,7 +293,6 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
         labels = step.select("node", "label")
         if not step.where("moved").limit(1).count():
             return labels
-    raise RuntimeError("labels did not settle")
 
 
 def _meet(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -300,8 +304,12 @@ def _meet(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _hubs(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of every node with the hub of each bucket that holds more than one class."""
-    pick = F.min(F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("order"), "node", "label"))
+    """Pairs of every node with the hub of each bucket that holds more than one class.
+
+    The order of hubs is the same in all bands, so texts that share many buckets are paired once; whom a hub misses, later
+    rounds and the cells settle.
+    """
+    pick = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label"))
     hubs = members.groupBy("band", "value").agg(pick.alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     hubs = storage.materialize(hubs.select("band", "value", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")), "hubs")
     met = _meet(members, hubs, ["band", "value"])
@@ -309,17 +317,20 @@ def _hubs(members: DataFrame, turn: int) -> DataFrame:
     return met.distinct()
 
 
-def _mixed(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Groups that hold more than one class, with their size."""
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    return storage.materialize(sizes.where("low <> high").drop("low", "high"), "mixed")
-
+def _mixed(members: DataFrame) -> DataFrame:
+    """Buckets of three or more members and more than one class; of buckets with the same members only one.
 
-def _all_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Every pair of different classes within small groups."""
-    held = members.groupBy(*keys).agg(F.collect_list(F.struct("node", "label")).alias("held"))
-    held = held.select("held", F.explode("held").alias("x")).select("x", F.explode(F.expr("filter(held, y -> y.node > x.node and y.label <> x.label)")).alias("y"))
-    return held.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    The two members of a bucket of two have met through its hub.
+    """
+    sizes = members.groupBy("band", "value").agg(
+        F.count("*").alias("n"),
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
+        F.bit_xor(F.xxhash64("node")).alias("mark1"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mark2"),
+    )
+    one = sizes.where("low <> high AND n > 2").groupBy("n", "mark1", "mark2").agg(F.min(F.struct("band", "value")).alias("is"))
+    return storage.materialize(one.select("is.band", "is.value", "n"), "mixed")
 
 
 def prefix(names: np.ndarray, weight: np.ndarray, levels: np.ndarray, threshold: float) -> np.ndarray:
@@ -354,58 +365,114 @@ def _rare(members: DataFrame, features: DataFrame, threshold: float, documents:
     return storage.materialize(both.select("node", "label", "names", "extra").mapInPandas(emit, "token long, node string, label string"), "prefixes")
 
 
+def _shared(owner: np.ndarray, names: np.ndarray, worth: np.ndarray, n: int, split: int) -> np.ndarray:
+    """What each of the first ``split`` texts shares with each of the others (with ``split`` 0: all with all)."""
+    out = np.zeros((split or n, n - split))
+    _, column, held = np.unique(names, return_inverse=True, return_counts=True)
+    more = held[column] > 1
+    owner, worth = owner[more], worth[more]
+    _, column = np.unique(column[more], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column, worth = owner[order], column[order], worth[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [low, low + COLUMNS])
+        holds, value = np.zeros((n, COLUMNS)), np.zeros(COLUMNS)
+        holds[owner[i:j], column[i:j] - low] = 1
+        value[column[i:j] - low] = worth[i:j]
+        out += (holds[: split or n] * value) @ holds[split:].T
+    return out
+
+
+def similarities(texts: list[tuple[bytes, bytes]], split: int, documents: int) -> np.ndarray:
+    """``similarity`` of the first ``split`` texts with the others (with ``split`` 0: all with all, but for the diagonal), as a matrix."""
+    names = [blocks.from_planes(x, np.uint64) for x, _ in texts]
+    counts = [len(x) for x in names]
+    owner, names = np.repeat(np.arange(len(texts)), counts), np.concatenate(names)
+    times = np.concatenate([np.frombuffer(e[: 2 * k], "<u2") for (_, e), k in zip(texts, counts, strict=True)]).astype(np.int64)
+    levels = np.concatenate([np.frombuffer(e[2 * k :], np.uint8) for (_, e), k in zip(texts, counts, strict=True)])
+    rare = weights(np.ones(len(names)), levels, documents)
+    result = []
+    for each, count in ((np.ones(len(names)), np.ones(len(names), np.int64)), (rare, times)):
+        common, before = 0.0, 0
+        for most in np.unique(count).tolist():  # the lesser of two counts, as a sum over the counts that both reach
+            here = count >= most
+            common = common + _shared(owner[here], names[here], each[here] * (most - before), len(texts), split)
+            before = most
+        total = np.bincount(owner, each * count, len(texts))
+        result.append(common / (total[: split or len(texts), None] + total[None, split:] - common))
+    return np.maximum(*result)
+
+
+def forest(labels: list[str], left: np.ndarray, right: np.ndarray) -> list[int]:
+    """Which of the pairs (left, right) join classes that the pairs before them have not joined yet."""
+    parent = {x: x for x in labels}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for k, (i, j) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        a, b = root(labels[i]), root(labels[j])
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+    return kept
+
+
 def _cells(members: DataFrame, features: DataFrame, threshold: float, documents: int) -> DataFrame:
-    """Links among all pairs of different classes in large buckets, compared block by block.
+    """Links that join the classes of each bucket, from all its pairs of different classes, compared block by block.
 
-    The most common class of a bucket is dealt over blocks of its own, which are never compared with each other.
+    A bucket of few members and bytes is one cell.  The most common class of a larger one is dealt over blocks of its own,
+    which are never compared with each other.  A cell gives links that connect what is similar in it, fewer than members.
     """
-    sizes = members.groupBy("band", "value", "label").agg(F.count("*").alias("n"))
-    parts = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).where("n > main.n")
-    parts = storage.materialize(parts.select("band", "value", F.col("main.label").alias("main"), F.expr(f"int(ceil(main.n / {CELL}))").alias("g"), F.expr(f"int(ceil((n - main.n) / {CELL}))").alias("h")), "parts")
+    sizes = members.groupBy("band", "value", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    parts = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "label", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    whole = (F.col("n") <= CELL) & (F.col("size") <= CELL_BYTES)
+    of = lambda n, size: F.greatest(F.ceil(n / CELL), F.ceil(size / CELL_BYTES), F.lit(1)).cast("int")
+    g = F.when(whole, 0).otherwise(of(F.col("main.n"), F.col("main.size")))
+    h = F.when(whole, 1).otherwise(of(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")))
+    parts = storage.materialize(parts.where("n > main.n").select("band", "value", F.when(~whole, F.col("main.label")).alias("main"), g.alias("g"), h.alias("h")), "parts")
     met = _meet(members, parts, ["band", "value"])
     block = F.when(F.col("label") == F.col("main"), F.pmod(F.xxhash64("node"), F.col("g"))).otherwise(F.col("g") + F.pmod(F.xxhash64("node"), F.col("h"))).cast("int")
     met = met.withColumn("block", block)
     other = F.when(F.col("block") < F.col("g"), F.sequence("g", F.expr("g + h - 1"))).otherwise(F.sequence(F.lit(0), F.expr("g + h - 1")))
-    met = met.withColumn("other", F.explode(other)).select("node", "label", "block", F.xxhash64("band", "value", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") == F.col("other")).alias("own"))
+    met = met.withColumn("other", F.explode(other)).select("node", "label", "block", F.xxhash64("band", "value", F.least("block", "other"), F.greatest("block", "other")).alias("cell"))
 
     def check(p):
-        rows = list(zip(p["node"], p["label"], p["block"], p["names"], p["extra"], strict=True))
-        own, found = bool(p["own"].iloc[0]), []
-        for i, x in enumerate(rows):
-            for y in rows[:i]:
-                if x[1] != y[1] and (own or x[2] != y[2]) and similarity(x[3], x[4], y[3], y[4], documents) >= threshold - 1e-9:
-                    found.append((min(x[0], y[0]), max(x[0], y[0])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype=object)
+        p = p.sort_values(["block", "node"], kind="stable")
+        node, label, block = p["node"].tolist(), p["label"].tolist(), p["block"].to_numpy()
+        split = int(np.searchsorted(block, block[0], side="right")) % len(block)
+        texts = list(zip(p["names"], p["extra"], strict=True))
+        code = np.unique(p["label"].to_numpy(dtype=object), return_inverse=True)[1]
+        near = (similarities(texts, split, documents) >= threshold - 1e-9) & (code[: split or len(code), None] != code[None, split:])
+        left, right = np.nonzero(near)
+        right = right + split
+        kept = forest(label, left, right)
+        pairs = [sorted((node[left[k]], node[right[k]])) for k in kept]
+        return pd.DataFrame(pairs, columns=["a", "b"], dtype=object)
 
     body = features.select(F.col("tag").alias("node"), "names", "extra")
     return storage.materialize(met.join(body, "node").groupBy("cell").applyInPandas(check, "a string, b string"), "links")
 
 
-def _rest(members: DataFrame, features: DataFrame, tried: DataFrame | None, threshold: float, documents: int) -> list[DataFrame]:
+def _rest(members: DataFrame, features: DataFrame, threshold: float, documents: int) -> DataFrame:
     """Links among all pairs that share a bucket, are of different classes and have not met through a hub."""
-    keys = ["band", "value"]
     members = storage.materialize(members, "members")
-    mixed = _mixed(members, keys)
-    pairs = _all_pairs(_meet(members, mixed.where(F.col("n") <= FEW), keys), keys)
-    large = mixed.where(F.col("n") > FEW)
-    links = []
-    if large.limit(1).count():
-        inside = storage.materialize(_meet(members, large, keys).drop("n"), "inside")
-        rare = _rare(inside.select("node", "label").distinct(), features, threshold, documents)
-        shared = _mixed(rare, ["token"])
-        pairs = pairs.union(_all_pairs(_meet(rare, shared.where(F.col("n") <= FEW), ["token"]), ["token"]))
-        # a pair that only frequent shingles bring together: both texts hold one
-        frequent = shared.where(F.col("n") > FEW)
-        if frequent.limit(1).count():
-            hard = storage.materialize(_meet(rare, frequent, ["token"]).select("node").distinct(), "hard")
-            links.append(_cells(storage.materialize(inside.join(_light(hard), "node"), "inside"), features, threshold, documents))
-    pairs = pairs.distinct()
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    return [*links, _verify(storage.materialize(pairs, "pairs"), features, threshold, documents)]
-
-
-def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    mixed = _mixed(members)
+    inside = _meet(members, mixed, ["band", "value"])
+    if mixed.where(F.col("n") > FEW).limit(1).count():
+        inside = storage.materialize(inside, "inside")
+        # members of large buckets stay if another class has one of their rare shingles, as every similar text would
+        rare = _rare(inside.where(F.col("n") > FEW).select("node", "label").distinct(), features, threshold, documents)
+        shared = rare.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+        hopeful = storage.materialize(rare.join(_light(storage.materialize(shared, "shared")), "token").select("node").distinct(), "hopeful")
+        inside = inside.where(F.col("n") <= FEW).unionByName(inside.where(F.col("n") > FEW).join(_light(hopeful), "node", "left_semi").select(*inside.columns))
+    return _cells(storage.materialize(inside.drop("n"), "inside"), features, threshold, documents)
+
+
+def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, class_id (the class's least id) and kept (true for one row of each class).
 
     Null texts and texts without words are in a class of their own and kept.  A text of fewer than ``size`` words is one
@@ -433,9 +500,9 @@ def _classes(spark: SparkSession, addressed: DataFrame, size, threshold, bands,
     features = storage.materialize(made, "features")
     likely = features.where("key is not null")
     # one node per distinct text
-    nodes = likely.groupBy("key").agg(F.min("tag").alias("node"), F.min(F.struct("id", "tag")).alias("first"), F.first("bands").alias("bands"))
+    nodes = likely.groupBy("key").agg(F.min("tag").alias("node"), F.min(F.struct("id", "tag")).alias("first"), F.first("bands").alias("bands"), F.first(F.octet_length("names")).alias("size"))
     nodes = storage.materialize(nodes, "nodes")
-    members = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    members = nodes.select("node", "size", F.posexplode("bands").alias("band", "value"))
     labels, links, tried = None, None, None
 
     def labelled():
@@ -455,7 +522,7 @@ def _classes(spark: SparkSession, addressed: DataFrame, size, threshold, bands,
         links = found if links is None else links.union(found)
         labels = components(links)
     if tried is not None:
-        found = functools.reduce(DataFrame.union, _rest(labelled(), likely, tried, threshold, documents))
+        found = _rest(labelled(), likely, threshold, documents)
         if found.limit(1).count():
             links = found if links is None else links.union(found)
             labels = components(links)
@@ -473,7 +540,7 @@ def _classes(spark: SparkSession, addressed: DataFrame, size, threshold, bands,
     return joined.select("tag", "id", F.when(F.col("stays").isNull(), F.col("id")).otherwise(F.col("stays.id")).alias("class_id"), F.coalesce(F.col("stays.tag") == F.col("tag"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
     """The rows of ``docs`` without all but one of each class, columns unchanged."""
     addressed = _addressed(docs, [F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")])
     gone = storage.materialize(_classes(docs.sparkSession, addressed.drop("row"), size, threshold, bands, rows, rounds).where("not kept").select("tag"), "copies")
