@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -284,6 +285,25 @@ def test_forest_joins_what_all_pairs_join():
     assert near_dups.forest(labels, left, right) == [0, 2]
 
 
+def test_components_of_chains_and_repeated_links(spark):
+    names = [f"n{i:03d}" for i in range(120)]
+    order = random.Random(5).sample(names, 120)
+    links = [(order[i], order[i + 1]) for i in range(119) if i % 40 != 39]
+    df = spark.createDataFrame([*links, links[0], (links[3][1], links[3][0])], "a string, b string").repartition(7)
+    got = {r.node: r.label for r in near_dups.components(df).collect()}
+    assert got == {x: min(order[k : k + 40]) for k in (0, 40, 80) for x in order[k : k + 40]}
+    assert near_dups.components(df.limit(0)).count() == 0
+    early = {r.node: r.label for r in near_dups.components(df, 1).collect()}
+    assert all(got[early[x]] == got[x] for x in early)
+
+
+def test_stars_go_to_the_least_node():
+    held = [np.array([["d", "c"], ["b", "c"]]), np.array([["f", "e"], ["a", "b"], ["a", "d"]])]
+    whole = pd.concat(near_dups.stars(pd.DataFrame(x, columns=["a", "b"]) for x in held))
+    assert sorted(zip(whole["b"], whole["a"], strict=True)) == [("b", "a"), ("c", "a"), ("d", "a"), ("f", "e")]
+    assert not list(near_dups.stars(iter([])))
+
+
 def test_prefixes_of_similar_texts_meet():
     r, g = random.Random(3), np.random.default_rng(3)
     for _ in range(300):

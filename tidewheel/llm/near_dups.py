@@ -273,16 +273,48 @@ def _light(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def components(links: DataFrame) -> DataFrame:
+def stars(batches, most: int = 200_000):
+    """Links of a task, some at a time, as links (a, b) of every node to the least node of its component among them."""
+
+    def settle(held):
+        names, code = np.unique(np.concatenate(held), return_inverse=True)
+        parent = list(range(len(names)))
+        for x, y in code.reshape(-1, 2).tolist():
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            while parent[y] != y:
+                parent[y] = y = parent[parent[y]]
+            parent[max(x, y)] = min(x, y)
+        for x in range(len(parent)):  # a parent is never larger than its node
+            parent[x] = parent[parent[x]]
+        root = np.array(parent)
+        inner = root != np.arange(len(root))
+        return pd.DataFrame({"a": names[root[inner]], "b": names[inner]}, dtype=object)
+
+    held, n = [], 0
+    for p in batches:
+        held.append(p[["a", "b"]].to_numpy(dtype=object).reshape(-1))
+        n += len(p)
+        if n >= most:
+            yield settle(held)
+            held, n = [], 0
+    if n:
+        yield settle(held)
+
+
+def components(links: DataFrame, passes: int | None = None) -> DataFrame:
     """(node, label) of all nodes in ``links`` (a, b); the label is the least node of the component.
 
-    Each pass takes the least label of the neighbours and then the label's own label, so long chains halve.  Labels only
-    fall, so the passes end.
+    Tasks shorten their own links to stars.  Each pass then takes the least label of the neighbours and the label's own
+    label, so long chains halve.  Labels only fall, so the passes end.  After a given number of ``passes`` equal labels
+    still mean one component, but a component may have several.
     """
-    edges = storage.materialize(links.select("a", "b").union(links.select("b", "a")), "edges")
+    short = storage.materialize(links.select("a", "b").mapInPandas(stars, "a string, b string"), "stars")
+    edges = short.union(short.select("b", "a"))
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
     labels = storage.materialize(labels, "labels")
-    while True:
+    done = 0
+    while passes is None or done < passes:
         known = _light(labels)
         seen = edges.join(known.select(F.col("node").alias("b"), F.col("label").alias("near")), "b")
         near = seen.groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
@@ -291,8 +323,10 @@ def components(links: DataFrame) -> DataFrame:
         step = step.select("node", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("moved"))
         step = storage.materialize(step, "labels")
         labels = step.select("node", "label")
+        done += 1
         if not step.where("moved").limit(1).count():
-            return labels
+            break
+    return labels
 
 
 def _meet(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -472,7 +506,7 @@ def _rest(members: DataFrame, features: DataFrame, threshold: float, documents:
     return _cells(storage.materialize(inside.drop("n"), "inside"), features, threshold, documents)
 
 
-def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, class_id (the class's least id) and kept (true for one row of each class).
 
     Null texts and texts without words are in a class of their own and kept.  A text of fewer than ``size`` words is one
@@ -503,7 +537,7 @@ def _classes(spark: SparkSession, addressed: DataFrame, size, threshold, bands,
     nodes = likely.groupBy("key").agg(F.min("tag").alias("node"), F.min(F.struct("id", "tag")).alias("first"), F.first("bands").alias("bands"), F.first(F.octet_length("names")).alias("size"))
     nodes = storage.materialize(nodes, "nodes")
     members = nodes.select("node", "size", F.posexplode("bands").alias("band", "value"))
-    labels, links, tried = None, None, None
+    labels, links, tried, settled = None, None, None, True
 
     def labelled():
         return members.withColumn("label", F.col("node")) if labels is None else members.join(_light(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -520,6 +554,8 @@ def _classes(spark: SparkSession, addressed: DataFrame, size, threshold, bands,
         if not found.limit(1).count():
             continue
         links = found if links is None else links.union(found)
+        labels, settled = components(links, None if turn == rounds - 1 else 2), turn == rounds - 1
+    if links is not None and not settled:
         labels = components(links)
     if tried is not None:
         found = _rest(labelled(), likely, threshold, documents)
@@ -540,7 +576,7 @@ def _classes(spark: SparkSession, addressed: DataFrame, size, threshold, bands,
     return joined.select("tag", "id", F.when(F.col("stays").isNull(), F.col("id")).otherwise(F.col("stays.id")).alias("class_id"), F.coalesce(F.col("stays.tag") == F.col("tag"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 3, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
     """The rows of ``docs`` without all but one of each class, columns unchanged."""
     addressed = _addressed(docs, [F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")])
     gone = storage.materialize(_classes(docs.sparkSession, addressed.drop("row"), size, threshold, bands, rows, rounds).where("not kept").select("tag"), "copies")
