@@ -423,3 +423,11 @@ def test_rising_peaks_are_thinned_in_few_rounds(spark, chunk_rows, monkeypatch):
     got = labels.peaks(Timeline.build(candles(spark, f), chunk_rows=chunk_rows), "Close", 0.0, 10).toPandas()["rn"]
     assert sorted(got) == greedy_peaks(x, 0.0, 10)
     assert len(rounds) <= (3 if chunk_rows > n else n // chunk_rows + 3)
+
+
+def test_concurrency_keeps_rows_of_equal_time(spark):
+    at = "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, {})".format
+    events = spark.createDataFrame([(0, 2), (0, 2), (1, 2)], "a int, b int").selectExpr("'A' symbol", f"{at('a')} ts", f"{at('b')} event_end_time")
+    index = spark.createDataFrame([(s,) for s in (0, 0, 1, 1, 1, 2)], "a int").selectExpr("'A' symbol", f"{at('a')} ts")
+    got = weights.concurrent_labels(events, index, chunk_rows=2).select(F.second("ts").alias("s"), "concurrency").collect()
+    assert sorted(map(tuple, got)) == [(0, 2), (0, 2), (1, 3), (1, 3), (1, 3), (2, 0)]

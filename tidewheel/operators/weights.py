@@ -22,7 +22,8 @@ def concurrent_labels(
     """Open labels at each index time, the end exclusive.
 
     Counts are made at event times; an index row shows the count of the last
-    event time that is itself on the index.
+    event time that is itself on the index.  Index rows of equal time are counted
+    per time and come back as so many rows.
     """
     ok = events.where(C(end).isNotNull())
     marks = (
@@ -31,13 +32,14 @@ def concurrent_labels(
         .withColumn("g", F.lit(0))
     )
     grid = index.select(*by, "ts", F.lit(None).cast("int").alias("d"), F.lit(1).alias("g"))
-    merged = marks.unionByName(grid).groupBy(*by, "ts").agg(F.sum("d").alias("d"), F.max("g").alias("g"))
+    merged = marks.unionByName(grid).groupBy(*by, "ts").agg(F.sum("d").alias("d"), F.sum("g").alias("g"))
     kw = {} if chunk_rows is None else {"chunk_rows": chunk_rows}
     tl = Timeline.build(merged, by, ("ts",), **kw)
     summed = tl.running(keep=["ts", "d", "g"], _cum=("sum", "d"))
-    seen = summed.extend(_at=F.when(C("d").isNotNull() & (C("g") == 1), C("_cum")))
-    done = seen.running(keep=["ts", "g"], _n=("last", "_at")).df.where(C("g") == 1)
-    return done.select(*by, "ts", F.coalesce("_n", F.lit(0)).cast("bigint").alias("concurrency"))
+    seen = summed.extend(_at=F.when(C("d").isNotNull() & (C("g") > 0), C("_cum")))
+    done = seen.running(keep=["ts", "g"], _n=("last", "_at")).df.where(C("g") > 0)
+    found = done.select(*by, "ts", "g", F.coalesce("_n", F.lit(0)).cast("bigint").alias("concurrency"))
+    return found.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), C("g")))).drop("g", "_i")
 
 
 def co_events(tl: Timeline, events: DataFrame, out: str = "n_co") -> Timeline:
