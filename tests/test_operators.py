@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -431,3 +432,10 @@ def test_concurrency_keeps_rows_of_equal_time(spark):
     index = spark.createDataFrame([(s,) for s in (0, 0, 1, 1, 1, 2)], "a int").selectExpr("'A' symbol", f"{at('a')} ts")
     got = weights.concurrent_labels(events, index, chunk_rows=2).select(F.second("ts").alias("s"), "concurrency").collect()
     assert sorted(map(tuple, got)) == [(0, 2), (0, 2), (1, 3), (1, 3), (1, 3), (2, 0)]
+
+
+def test_percent_ranks_of_values_made_anew(spark):
+    """Two runs of an average may differ in the last digit; here every run gives other values."""
+    df = spark.range(200).select(F.col("id").alias("feature"), F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()().alias("y"))
+    got = stats.ensemble_score(df, {"y": 1.0}).toPandas()
+    assert sorted(got["score"] * 199) == pytest.approx(range(200))

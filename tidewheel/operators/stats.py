@@ -677,7 +677,9 @@ def percent_ranks(df: DataFrame, x: str, out: str, chunk_rows: int = DEFAULT_CHU
 
     Rows are counted per distinct value, the values are laid out by range, and a running sum over chunks gives the
     rows before each value: no task sees all rows, and a value that most rows share is one row of the ranking.
+    ``df`` is written first: ranks are joined back by value, and an average made twice may differ in its last digit.
     """
+    df = materialize(df, "values")
     counts = df.groupBy(C(x).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0))
     tl = Timeline.build(counts, ("_g",), ("_v",), chunk_rows).running(keep=["_v", "_n"], _upto=("sum", "_n"))
     total = tl.df.agg(F.coalesce(F.sum("_n"), F.lit(0))).head()[0]
