@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import candles, walk
 from tidewheel import Timeline
-from tidewheel.operators import bars
+from tidewheel.operators import bars, scans
 from tidewheel.operators.scans import first_hit, reset_scan
 
 
@@ -196,3 +196,21 @@ def test_null_keys_raise_and_equal_times_are_stable(spark):
     even = spark.createDataFrame(df[df.symbol.notna()])
     runs = [sorted((r.x, r.rn) for r in Timeline.build(d).df.collect()) for d in (even, even.orderBy("x"), even.orderBy("x", ascending=False))]
     assert runs[0] == runs[1] == runs[2] and [r for _, r in sorted(runs[0])] in ([1, 2], [2, 1])
+
+
+@pytest.mark.parametrize("task_rows", [1, 64, 500, 65_536])
+def test_chunks_of_a_task_do_not_change_bars(spark, monkeypatch, task_rows):
+    """Threshold scans take many small chunks at once; borders between tasks, wherever they are, change nothing."""
+    monkeypatch.setattr(scans, "TASK_ROWS", task_rows)
+    pdf = walk(1500, seed=3)
+    pdf["Volume"] = pdf["Volume"] * 0.01
+    tl = Timeline.build(candles(spark, pdf), chunk_rows=50)
+    got = bars.volume_bars(tl, 2.5).orderBy("bar_id").toPandas()
+    total, want = 0.0, []
+    for ts, x in zip(pdf["ts"], pdf["Volume"]):
+        total += x
+        if total >= 2.5:
+            want.append(ts)
+            total = 0.0
+    assert got["ts"].tolist() == want and got["bar_id"].tolist() == list(range(len(want)))
+    assert scans.task_chunks(tl).chunk_rows == {1: 50, 64: 50, 500: 500, 65_536: 65_500}[task_rows]

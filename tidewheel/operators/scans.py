@@ -21,6 +21,7 @@ Three kernels, all keyed by (key, chunk) so that no task ever holds a key:
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ from tidewheel.storage import materialize
 from tidewheel.timeline import Timeline
 
 FAN_IN = 16
+TASK_ROWS = 65_536  # a threshold scan takes as many whole chunks into one task as fit
 
 
 def _key_fields(df: DataFrame, by: Sequence[str]) -> list[T.StructField]:
@@ -111,6 +113,12 @@ def chunk_count(tl: Timeline, least: str | None = None) -> tuple[int, float]:
     return -(-int(row["n"] or 0) // tl.chunk_rows), float(row["low"] or 0.0)
 
 
+def task_chunks(tl: Timeline) -> Timeline:
+    """The series in tasks of whole chunks of about ``TASK_ROWS`` rows: small chunks would cost a Python call each and a
+    round of border checks per run of chunks that differ."""
+    return replace(tl, chunk_rows=tl.chunk_rows * max(1, TASK_ROWS // tl.chunk_rows))
+
+
 # ----------------------------------------------------------------- affine scan
 def affine(tl: Timeline, m: str, b: str, out: str, keep: Sequence[str] | None = None) -> Timeline:
     """y[t] = m[t] * y[t-1] + b[t], started at 0; ``m`` and ``b`` must not be null."""
@@ -320,14 +328,16 @@ def _chunk_function(step: np.ndarray, limit: np.ndarray, rn: np.ndarray, two_sid
         through = [-np.inf, cum[-1], np.inf, cum[-1]]
         end_u = end_v = cum[-1] - before
     # chain of restarts from every row, last row first: state at the chunk end
-    ex_u, ex_v = np.zeros(n + 1), np.zeros(n + 1)
-    ex_o, ex_n = np.full(n + 1, rn[-1] + 1.0), np.zeros(n + 1)
+    ex_u, ex_v = [0.0] * (n + 1), [0.0] * (n + 1)
+    ex_o, ex_n = [rn[-1] + 1.0] * (n + 1), [0.0] * (n + 1)
+    ends_u, ends_v, opens, nxt = end_u.tolist(), end_v.tolist(), rn.tolist(), nxt.tolist()
     for i in range(n - 1, -1, -1):
-        j = nxt[i]
-        if j < n:
-            ex_u[i], ex_v[i], ex_o[i], ex_n[i] = ex_u[j + 1], ex_v[j + 1], ex_o[j + 1], ex_n[j + 1] + 1
+        j = nxt[i] + 1
+        if j <= n:
+            ex_u[i], ex_v[i], ex_o[i], ex_n[i] = ex_u[j], ex_v[j], ex_o[j], ex_n[j] + 1
         else:
-            ex_u[i], ex_v[i], ex_o[i] = end_u[i], end_v[i], rn[i]
+            ex_u[i], ex_v[i], ex_o[i] = ends_u[i], ends_v[i], opens[i]
+    ex_u, ex_v, ex_o, ex_n = (np.asarray(x, float) for x in (ex_u, ex_v, ex_o, ex_n))
     whole = {
         "theta_u": tu,
         "theta_v": tv,
@@ -349,8 +359,7 @@ def _drift_end(cum: np.ndarray, before: np.ndarray, extreme) -> np.ndarray:
 def _replay(step, limit, rn, entry, two_sided: bool, clamp: bool):
     """Sequential pass of one chunk from an entry state: arrays per row and the state (u, v, opened, count) at the end.
 
-    Sums are added row by row in order, as a plain loop would, so a chunk border changes no digit.  Without ``clamp``
-    the pass jumps from close to close over blocks about as long as the bar before.
+    Sums are added row by row in order, so a chunk border changes no digit.
     """
     u, v, opened, count = entry
     n = len(step)
@@ -365,23 +374,17 @@ def _replay(step, limit, rn, entry, two_sided: bool, clamp: bool):
                 count += 1
                 opened = rn[i] + 1
         return bar, first, level, fired, (u, v, opened, count)
-    i, begin, width = 0, 0, 64
-    while i < n:
-        end = min(n, i + width)
-        sums = np.cumsum(np.concatenate(([u], step[i:end])))[1:]
-        lim = limit[i:end]
-        hit = (lim > 0) & (np.abs(sums) >= lim) if two_sided else sums >= lim
-        k = int(hit.argmax())
-        closed = bool(hit[k])
-        stop = i + k + 1 if closed else end
-        bar[i:stop], first[i:stop], level[i:stop] = count, opened, sums[: stop - i]
-        if closed:
-            fired[stop - 1] = True
-            u, count, opened = 0.0, count + 1, rn[stop - 1] + 1
-            width, begin = max(16, 2 * (stop - begin)), stop
-        else:
-            u, width = float(sums[-1]), min(2 * width, 1 << 16)
-        i = stop
+    levels, closes = [], []
+    for i, (x, lim) in enumerate(zip(step.tolist(), limit.tolist())):
+        u += x
+        levels.append(u)
+        if (abs(u) >= lim > 0) if two_sided else u >= lim:
+            closes.append(i)
+            u = 0.0
+    fired[closes], level[:] = True, levels
+    closed = np.cumsum(fired) - fired
+    opens = np.concatenate(([opened], rn[closes] + 1.0))
+    bar, first, opened, count = count + closed.astype(float), opens[closed], opens[-1], count + len(closes)
     return bar, first, level, fired, (u, u, opened, count)
 
 
@@ -421,8 +424,8 @@ def reset_scan(
     upper sum above and a lower sum below zero (CUSUM).  A null step counts as 0,
     a null limit never fires.
     """
-    by = tl.by
-    tl = tl.settle([*keep, step, limit])
+    by, given = tl.by, tl.chunk_rows
+    tl = task_chunks(tl.settle([*keep, step, limit]))
     n_chunks, low = chunk_count(tl, step)
     # a sum of non-negative steps, or one clamped at zero, never enters a chunk below zero
     floor = 0.0 if clamp or (low >= 0 and not two_sided) else -np.inf
@@ -509,7 +512,8 @@ def reset_scan(
         res["level"], res["closes"] = level, fired
         return res
 
-    return tl.with_df(rows.groupBy(*by, "_t").applyInPandas(finish, final))
+    done = rows.groupBy(*by, "_t").applyInPandas(finish, final)
+    return replace(tl, df=done, chunk_rows=given, settled=False)
 
 
 # ------------------------------------------------------------ guess and verify
