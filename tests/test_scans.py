@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import candles, walk
 from tidewheel import Timeline
-from tidewheel.operators import bars, scans
+from tidewheel.operators import bars, scans, sweeps
 from tidewheel.operators.scans import first_hit, reset_scan
 
 
@@ -214,3 +214,20 @@ def test_chunks_of_a_task_do_not_change_bars(spark, monkeypatch, task_rows):
             total = 0.0
     assert got["ts"].tolist() == want and got["bar_id"].tolist() == list(range(len(want)))
     assert scans.task_chunks(tl).chunk_rows == {1: 50, 64: 50, 500: 500, 65_536: 65_500}[task_rows]
+
+
+@pytest.mark.parametrize("floor", [0.0, -np.inf])
+def test_lanes_give_the_functions_of_the_descent(floor):
+    """Step functions of all thresholds at once equal those of one threshold after the other, and closes the plain loop."""
+    rng = np.random.default_rng(5)
+    step, rn = rng.integers(0, 9, 300).astype(float), np.arange(300) + 41
+    limits = np.array([1.0, 4.0, 5.0, 17.0, 200.0, 700.0, 1e6])
+    for t, got in zip(limits, sweeps._functions(step, limits, rn, floor), strict=True):
+        want = scans._chunk_function(step, np.full(300, t), rn, False, False, floor)
+        for entry in np.arange(0, t, max(1.0, t // 40)):
+            state = [[entry], [entry], [7.0], [3.0]]
+            assert [x[0] for x in scans._evaluate(got, *state)] == [x[0] for x in scans._evaluate(want, *state)]
+    fired, u = sweeps._closes(step, limits, np.zeros(7))
+    for j, t in enumerate(limits):
+        *_, closes, end = scans._replay(step, np.full(300, t), rn, [0.0, 0.0, 41.0, 0], False, False)
+        assert fired[:, j].tolist() == closes.tolist() and u[j] == end[0]
