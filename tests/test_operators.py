@@ -439,3 +439,25 @@ def test_percent_ranks_of_values_made_anew(spark):
     df = spark.range(200).select(F.col("id").alias("feature"), F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()().alias("y"))
     got = stats.ensemble_score(df, {"y": 1.0}).toPandas()
     assert sorted(got["score"] * 199) == pytest.approx(range(200))
+
+
+@pytest.mark.parametrize("chunk_rows", [7, 64, 4096])
+def test_open_events_are_not_copied_to_every_chunk(spark, monkeypatch, chunk_rows):
+    """Events to the end of the series touch where a plain loop does, and meet two chunks a level, not all they cross."""
+    pdf = walk(900, seed=8, nulls=0.02)
+    tl = Timeline.build(candles(spark, pdf), chunk_rows=chunk_rows)
+    sent, search = [], labels._search
+    monkeypatch.setattr(labels, "_search", lambda rows, asked, *a: sent.append(asked.count()) or search(rows, asked, *a))
+    ends = [min(900, i + 1 + 37 * (i % 30)) for i in range(900)]
+    asked = pd.DataFrame({"symbol": "A", "start_rn": range(1, 901), "end_rn": ends, "upper": pdf["Close"] + 6, "lower": pdf["Close"] - 9}).fillna({"upper": 1e9, "lower": -1.0})
+    got = labels.first_touch(tl, spark.createDataFrame(asked)).toPandas().set_index("start_rn")
+    assert len(got) == 900 and max(sent) <= 900
+    close = pdf["Close"].to_numpy()
+    for e in asked.itertuples():
+        part = close[e.start_rn : e.end_rn]
+        hits = np.flatnonzero((part >= e.upper) | (part <= e.lower))
+        if len(hits):
+            assert got.loc[e.start_rn, "touch_rn"] == e.start_rn + 1 + hits[0]
+            assert got.loc[e.start_rn, "touch_side"] == (1 if part[hits[0]] >= e.upper else -1)
+        else:
+            assert pd.isna(got.loc[e.start_rn, "touch_rn"])

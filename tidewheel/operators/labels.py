@@ -18,7 +18,7 @@ from tidewheel.functions import rolling as R
 from tidewheel.lookup import attach
 from tidewheel.operators.joins import asof_join
 from tidewheel.operators.recursive import reach, smooth
-from tidewheel.operators.scans import first_hit, reset_scan
+from tidewheel.operators.scans import TASK_ROWS, first_hit, reset_scan
 from tidewheel.storage import materialize
 from tidewheel.timeline import Recipe, Timeline
 
@@ -158,21 +158,50 @@ def vertical_barrier(tl: Timeline, days: int, keep: Sequence[str] = ()) -> DataF
 def first_touch(tl: Timeline, events: DataFrame, price: str = "Close") -> DataFrame:
     """First row in (start_rn, end_rn] with price >= upper or <= lower, as ``touch_*`` columns.
 
-    Events are cut into the chunks they cross and meet the prices there, so no
-    task holds more than one chunk and the events over it; the earliest piece wins.
+    An event searches the chunk it starts in.  If it stays open, the series of chunk maxima and minima is searched the
+    same way for the first later chunk that touches, and then that chunk: however many chunks an event crosses, it is
+    copied twice per level.  ``start_rn`` tells the events of a key apart.
     """
-    by, c = tl.by, tl.chunk_rows
-    pieces = events.select(
-        *by, "start_rn", "end_rn", "upper", "lower",
-        F.explode(
-            F.when(C("end_rn") > C("start_rn"), F.sequence(F.expr(f"start_rn div {c}"), F.expr(f"(end_rn - 1) div {c}")))
-        ).alias("_t"),
+    by = list(tl.by)
+    seen = F.nanvl(C(price).cast("double"), F.lit(None))
+    rows = tl.df.select(*by, "rn", seen.alias("_hi"), seen.alias("_lo"), "ts")
+    asked = events.where("end_rn > start_rn").select(
+        *by, C("start_rn").alias("_id"), C("start_rn").alias("_from"), C("end_rn").alias("_to"), "upper", "lower"
     )
-    prices = tl.chunked([price, "ts"])
+    n = tl.df.agg(F.max("rn")).first()[0] or 0
+    first = _first_rows(rows, asked, by, tl.chunk_rows, n).select(
+        *by, C("_id").alias("start_rn"), F.struct("touch_rn", "touch_ts", "touch_side").alias("_x")
+    )
+    return events.join(first, [*by, "start_rn"], "left").select(*events.columns, "_x.*")
+
+
+def _first_rows(rows: DataFrame, asked: DataFrame, by: Sequence[str], c: int, n: int) -> DataFrame:
+    """First touching row per asked interval, level by level over chunks of ``c`` of at most ``n`` rows a key."""
+    key = [*by, "_id"]
+    here = _search(rows, asked.withColumn("_t", F.expr(f"_from div {c}")), by, c)
+    if n <= c:
+        return here
+    here = materialize(here, "touches")
+    wider = asked.where(f"(_to - 1) div {c} > _from div {c}").join(here.select(*key), key, "left_anti")
+    wider = materialize(wider, "open")
+    chunks = rows.groupBy(*by, F.expr(f"(rn - 1) div {c} + 1").alias("rn")).agg(
+        F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"), F.min("ts").alias("ts")
+    )
+    over = wider.withColumns({"_from": F.expr(f"_from div {c} + 1"), "_to": F.expr(f"(_to - 1) div {c} + 1")})
+    found = _first_rows(materialize(chunks, "peaks"), over, by, max(c, 64), -(-n // c))
+    later = wider.join(found.select(*key, (C("touch_rn") - 1).alias("_t")), key)
+    return here.unionByName(_search(rows, later, by, c))
+
+
+def _search(rows: DataFrame, asked: DataFrame, by: Sequence[str], c: int) -> DataFrame:
+    """Asked intervals against the rows of the one chunk ``_t`` named with each; many intervals on a chunk are many tasks."""
+    keys = [*by, "_t", "_part"]
+    asked = asked.withColumn("_part", F.expr(f"_id div {TASK_ROWS}"))
+    # a chunk goes once to every part that asks for it
+    chunks = rows.withColumn("_t", F.expr(f"(rn - 1) div {c}")).join(asked.select(*(C(k).alias(k) for k in keys)).distinct(), [*by, "_t"])
     schema = T.StructType(
-        [*(events.schema[k] for k in by)]
+        [*(asked.schema[k] for k in [*by, "_id"])]
         + [
-            T.StructField("start_rn", T.LongType()),
             T.StructField("touch_rn", T.LongType()),
             T.StructField("touch_ts", T.TimestampNTZType()),
             T.StructField("touch_side", T.IntegerType()),
@@ -183,24 +212,20 @@ def first_touch(tl: Timeline, events: DataFrame, price: str = "Close") -> DataFr
         if ev.empty or px.empty:
             return pd.DataFrame(columns=schema.names)
         px = px.sort_values("rn", ignore_index=True)
-        p, rn = px[price].to_numpy(dtype=float), px["rn"].to_numpy()
-        begin = np.maximum(ev["start_rn"].to_numpy() + 1, rn[0]) - rn[0]
-        stop = np.minimum(ev["end_rn"].to_numpy(), rn[-1]) - rn[0]
+        hi, lo, rn = px["_hi"].to_numpy(dtype=float), px["_lo"].to_numpy(dtype=float), px["rn"].to_numpy()
+        begin = np.maximum(ev["_from"].to_numpy() + 1, rn[0]) - rn[0]
+        stop = np.minimum(ev["_to"].to_numpy(), rn[-1]) - rn[0]
         up, down = ev["upper"].to_numpy(dtype=float), ev["lower"].to_numpy(dtype=float)
-        pos = first_hit(np.nan_to_num(p, nan=-np.inf), np.nan_to_num(p, nan=np.inf), up, down, begin)
+        pos = first_hit(np.nan_to_num(hi, nan=-np.inf), np.nan_to_num(lo, nan=np.inf), up, down, begin)
         ok = pos <= stop
         at = pos[ok]
-        out = ev.loc[ok, [*by, "start_rn"]].reset_index(drop=True)
+        out = ev.loc[ok, [*by, "_id"]].reset_index(drop=True)
         out["touch_rn"] = rn[at]
         out["touch_ts"] = px["ts"].to_numpy()[at]
-        out["touch_side"] = np.where(p[at] >= up[ok], 1, -1).astype("int32")
+        out["touch_side"] = np.where(hi[at] >= up[ok], 1, -1).astype("int32")
         return out
 
-    hits = pieces.groupBy(*by, "_t").cogroup(prices.groupBy(*by, "_t")).applyInPandas(search, schema)
-    first = hits.groupBy(*by, "start_rn").agg(
-        F.min_by(F.struct("touch_rn", "touch_ts", "touch_side"), "touch_rn").alias("_x")
-    )
-    return events.join(first, [*by, "start_rn"], "left").select(*events.columns, "_x.*")
+    return asked.groupBy(*keys).cogroup(chunks.groupBy(*keys)).applyInPandas(search, schema)
 
 
 def barrier_events(
