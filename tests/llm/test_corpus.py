@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from tidewheel.llm import decontaminate, licenses, near_dups, packing, quality, repeats, secrets_scan, shared_files, token_files, url_filter, warc  # noqa: E402
+from tidewheel.llm import decontaminate, licenses, near_dups, packing, quality, repeats, secrets_scan, shared_files, token_files, tokens, url_filter, warc  # noqa: E402
 from tidewheel.llm import queries  # noqa: E402
 
 rng = random.Random(7)
@@ -121,6 +121,19 @@ def test_token_files(spark, docs, none):
     assert len(got) == 13 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:], strict=False))
 
 
+def test_words_of_letters_and_marks_take_the_short_way():
+    ids = tokens.WordIds(tokens.vocabulary_path(tokens.WORD_VOCABULARY))
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abXäÄßéİıǅſªµ²½٣中\u0301\u00ad'’s.,!?<|>-_09ẞǰ", k=rng.randint(1, 7))).encode() for _ in range(5000)]
+    words += [x.encode() for x in ("straße", "ÄRGER", "thea,!!", "it's", "don't,", "x<|endoftext|>", "x<|endoftext|>.", "wörter?!", "5,", "''s", "a'")]
+    plain = ids._ids
+    assert [w for w in words if ids[w] != plain(w)] == []
+    fresh, asked = tokens.WordIds(tokens.vocabulary_path(tokens.WORD_VOCABULARY)), []
+    fresh._ids = lambda word: asked.append(word) or plain(word)
+    assert fresh.encode("straße ÄRGER thea,!! wörter?!") == b"".join(map(plain, ("straße".encode(), "ärger".encode(), b"thea,!!", "wörter?!".encode())))
+    assert asked == [b",!!", b"?!"]
+
+
 def test_perfect_hash_refuses_unknown_keys(spark, docs):
     folder = shared_files.folder(spark, "tokens")
     catalog = token_files.write(docs, folder)

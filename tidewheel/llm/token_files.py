@@ -21,6 +21,8 @@ from tidewheel.llm import shared_files, tokens
 
 BUCKET_KEYS = 50_000
 READ_IDS = 1 << 20
+#: of at most 64 bytes each; only one encoding step runs in a worker, so it may keep more than the pipeline
+CACHED_WORDS = 800_000
 
 
 # ------------------------------------------------------------------ minimal perfect hash
@@ -84,7 +86,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
     path = vocabulary or tokens.vocabulary_path(tokens.WORD_VOCABULARY)
 
     def shards(batches):
-        ids, shard, out, at, last, copy = tokens.word_ids(path), TaskContext.get().partitionId(), None, 0, object(), 0
+        ids, shard, out, at, last, copy = tokens.word_ids(path, CACHED_WORDS), TaskContext.get().partitionId(), None, 0, object(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             names, ns, ats, copies = [], [], [], []
