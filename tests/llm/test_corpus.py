@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from tidewheel.llm import decontaminate, licenses, near_dups, packing, quality, repeats, secrets_scan, shared_files, token_files, tokens, url_filter, warc  # noqa: E402
+from tidewheel.llm import decontaminate, licenses, near_dups, packing, quality, repeats, secrets_scan, shared_files, token_files, tokens, url_filter, warc, worker  # noqa: E402
 from tidewheel.llm import queries  # noqa: E402
 
 rng = random.Random(7)
@@ -134,6 +134,14 @@ def test_words_of_letters_and_marks_take_the_short_way():
     assert asked == [b",!!", b"?!"]
 
 
+def test_tidy_tasks_let_go_of_caches_when_they_start_and_trim_when_they_end(monkeypatch):
+    said = []
+    monkeypatch.setattr(worker, "give_back", lambda: said.append("given"))
+    worker.keep("cache of another operator", list)
+    assert list(worker.tidy(lambda batches: (b + len(worker._KEPT) for b in batches))([1, 2])) == [1, 2]
+    assert said == ["given"]
+
+
 def test_perfect_hash_refuses_unknown_keys(spark, docs):
     folder = shared_files.folder(spark, "tokens")
     catalog = token_files.write(docs, folder)

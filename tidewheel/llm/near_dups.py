@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel import storage
-from tidewheel.llm import blocks, shared_files
+from tidewheel.llm import blocks, shared_files, worker
 from tidewheel.llm.hashing import mix, namer
 
 SALTS = 8
@@ -139,7 +139,7 @@ def frequencies(bare: DataFrame, size: int, buckets: int) -> str:
 
     spark = bare.sparkSession
     folder = shared_files.folder(spark, "frequencies")
-    counted = bare.mapInArrow(_count_task(size, buckets), _COUNTS).repartition(buckets, "bucket").mapInArrow(add, "block long, found binary, levels binary")
+    counted = bare.mapInArrow(worker.tidy(_count_task(size, buckets)), _COUNTS).repartition(buckets, "bucket").mapInArrow(worker.tidy(add), "block long, found binary, levels binary")
     with blocks.forgetting(spark):
         counted.repartition("block").write.partitionBy("block").parquet(folder)
     return folder
@@ -265,7 +265,7 @@ def _verify(pairs: DataFrame, features: DataFrame, threshold: float, documents:
 
     left = pairs.join(body.toDF("a", "n1", "e1"), "a")
     both = left.join(body.toDF("b", "n2", "e2"), "b")
-    return storage.materialize(both.select("a", "b", "n1", "e1", "n2", "e2").mapInPandas(check, "a string, b string"), "links")
+    return storage.materialize(both.select("a", "b", "n1", "e1", "n2", "e2").mapInPandas(worker.tidy(check), "a string, b string"), "links")
 
 
 def _light(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -309,7 +309,7 @@ def components(links: DataFrame, passes: int | None = None) -> DataFrame:
     label, so long chains halve.  Labels only fall, so the passes end.  After a given number of ``passes`` equal labels
     still mean one component, but a component may have several.
     """
-    short = storage.materialize(links.select("a", "b").mapInPandas(stars, "a string, b string"), "stars")
+    short = storage.materialize(links.select("a", "b").mapInPandas(worker.tidy(stars), "a string, b string"), "stars")
     edges = short.union(short.select("b", "a"))
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
     labels = storage.materialize(labels, "labels")
@@ -396,7 +396,7 @@ def _rare(members: DataFrame, features: DataFrame, threshold: float, documents:
             yield pd.DataFrame({"token": np.concatenate(out), "node": np.repeat(p["node"].to_numpy(), counts), "label": np.repeat(p["label"].to_numpy(), counts)})
 
     both = members.join(features.select(F.col("tag").alias("node"), "names", "extra"), "node")
-    return storage.materialize(both.select("node", "label", "names", "extra").mapInPandas(emit, "token long, node string, label string"), "prefixes")
+    return storage.materialize(both.select("node", "label", "names", "extra").mapInPandas(worker.tidy(emit), "token long, node string, label string"), "prefixes")
 
 
 def _shared(owner: np.ndarray, names: np.ndarray, worth: np.ndarray, n: int, split: int) -> np.ndarray:
@@ -530,7 +530,7 @@ def _classes(spark: SparkSession, addressed: DataFrame, size, threshold, bands,
     documents = total["n"]
     buckets = max(24, (total["bytes"] or 0) // (6 << 20))
     folder = frequencies(addressed.select("block", "text"), size, buckets)
-    made = addressed.select("block", "text", "tag", "id").mapInArrow(_feature_task(folder, size, bands, rows, threshold, documents), f"tag string, id {kind}, key binary, bands array<long>, names binary, extra binary")
+    made = addressed.select("block", "text", "tag", "id").mapInArrow(worker.tidy(_feature_task(folder, size, bands, rows, threshold, documents)), f"tag string, id {kind}, key binary, bands array<long>, names binary, extra binary")
     features = storage.materialize(made, "features")
     likely = features.where("key is not null")
     # one node per distinct text

@@ -1,10 +1,12 @@
 """What a Python worker keeps between tasks: the vocabulary and cache of one operator at a time.
 
-Workers outlive stages, so without this every operator's cache would stay in each of them until the end of the job.
+Workers outlive stages, so without this every operator's cache would stay in each of them until the end of the job, as
+would free memory that the allocators hold on to: later stages that run in the JVM alone would share the executor with it.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Hashable
 from typing import TypeVar
 
@@ -18,3 +20,24 @@ def keep(key: Hashable, make: Callable[[], T]) -> T:
         _KEPT.clear()
         _KEPT[key] = make()
     return _KEPT[key]
+
+
+def give_back() -> None:
+    """Hand the free memory of Arrow's and the C library's allocators back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(task: Callable) -> Callable:
+    """A task over batches that needs no cache: it lets go of other operators' caches and leaves no free memory behind."""
+
+    def run(batches):
+        _KEPT.clear()
+        yield from task(batches)
+        give_back()
+
+    return run
