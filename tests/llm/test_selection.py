@@ -129,3 +129,19 @@ def test_alignment_with_small_caches_and_stretches(spark, monkeypatch):
     monkeypatch.setattr(align, "stretches", lambda t: stretches(t, 50))
     again = align.text_links(text, known)
     assert whole[:5] == again[:5] and (whole[5] == again[5]).all() and (whole[6] == again[6]).all()
+
+
+def test_alignment_needs_no_offsets_of_the_libraries():
+    known = align.Aligner(align.tokens.vocabulary_path(align.BYTE_LEVEL), align.tokens.vocabulary_path(align.PIECES))
+    library, asked = known.b, []
+
+    class Plain:
+        def encode(self, text, **options):
+            asked.append(options.get("return_type"))
+            return library.encode(text, **options)
+
+    known.b = Plain()
+    text = "naïve 日本語 🙂🙂 x🙂y 3.14"
+    want = brute.alignment([text])[0]
+    assert align.text_links(text, known)[:5] == (*want[:4], want[6])
+    assert asked == [None]

@@ -1,9 +1,9 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies stand for the same bytes.
 
 A text is cut before single spaces between words, where neither vocabulary ever joins tokens, so the parts are encoded
-once per worker (a cache bounded by bytes), new ones together.  The character offsets of either library give coarse cuts
-(the installed library has replaced the immutable proto by a mapping of the same spans); where a character is split over
-tokens or a byte stands for itself, the decoded bytes of the tokens refine them.  Byte offsets where both have a cut close a group; all tokens of a group are linked.
+once per worker (a cache bounded by bytes), new ones together.  The decoded bytes of the tokens, put together, must be the
+text; their lengths then add up to the byte offsets where tokens end, inside characters too.  Byte offsets where both have
+a cut close a group; all tokens of a group are linked.
 
 Links per document are written once, as sorted id pairs with multiplicity.  Documents per pair are counted over
 blocks of rows: a block tells each distinct pair once, the totals come back to the block's own folder, and
@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,28 +34,6 @@ MOST_LINKS = 64
 CUT = re.compile(r" (?<=\S )(?=\S)")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Characters that byte-level vocabularies write for bytes: printable Latin-1 for itself, all others from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
-
-
-def ends(first: np.ndarray, end: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Byte end of every token from character spans and decoded lengths.
-
-    A token whose span is not empty and ends where the next one starts ends at that character (``place`` gives its byte).
-    Others share a character with a neighbour: their decoded bytes count on from the last such cut.
-    """
-    n = len(first)
-    coarse = end > first
-    coarse[:-1] &= end[:-1] == first[1:]
-    total = np.cumsum(lengths)
-    at = np.maximum.accumulate(np.where(coarse, np.arange(n), -1))
-    known = at >= 0
-    return np.where(known, place[end[at]] + total - total[at], total)
-
-
 class Aligner:
     """``now``: part -> (n_a, groups as text, linked pairs, multiplicities), None where the bytes of a vocabulary's tokens
     are not those of the text.  A group's text ends in ";".  Multiplicities are None where every pair stands for one link."""
@@ -70,7 +47,7 @@ class Aligner:
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True  # names of special tokens inside texts are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        alphabet, special = byte_alphabet(), {i: t.content for i, t in self.a.get_added_tokens_decoder().items()}
+        alphabet, special = tokens.byte_alphabet(), {i: t.content for i, t in self.a.get_added_tokens_decoder().items()}
         names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
         self.a_bytes = [n.encode() if i in special else bytes(alphabet[c] for c in n) for i, n in enumerate(names)]
         self.width = self.b.vocab_size()
@@ -81,6 +58,7 @@ class Aligner:
         self.a_lengths, self.b_lengths = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         a_names, b_names = ([b"%d" % i for i in range(n)] for n in (len(self.a_bytes), self.width))
         self.marked = [n + mark for names, mark in ((a_names, b","), (a_names, b"|"), (b_names, b","), (b_names, b";")) for n in names]
+        self.marked_lengths = np.array(list(map(len, self.marked)), np.int64)
         self.counted = False  # whether any part has multiplicities
         self.kind = "<u4" if self.width * len(self.a_bytes) < 1 << 32 else "<u8"
         self.held = 0
@@ -88,24 +66,18 @@ class Aligner:
     def _encode(self, text: str):
         """(ids, byte ends) of either vocabulary over a space and the text, None if a decoded byte differs."""
         data = b" " + text.encode()
-        a = self.a.encode(" " + text, add_special_tokens=False)
-        b = self.b.encode(text, return_type="offset_mapping")
-        a_ids, b_ids, b_offsets = a.ids, b["ids"], b["offsets"]
-        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != data or b"".join(map(self.b_bytes.__getitem__, b_ids)) != data:
+        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        b = self.b.encode(text, num_threads=1)
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return None
-        codes = np.frombuffer((" " + text).encode("utf-32-le"), "<u4")
-        place = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
-        a_ids, b_ids = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
-        a_spans = np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(a_ids)).reshape(-1, 2)
-        b_spans = np.fromiter(chain.from_iterable(b_offsets), np.int64, 2 * len(b_ids)).reshape(-1, 2) + 1  # they leave out the space in front
-        return (a_ids, ends(a_spans[:, 0], a_spans[:, 1], place, self.a_lengths[a_ids]),
-                b_ids, ends(b_spans[:, 0], b_spans[:, 1], place, self.b_lengths[b_ids]))
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return a, np.cumsum(self.a_lengths[a]), b, np.cumsum(self.b_lengths[b])
 
     def _align(self, parts: list[str]) -> None:
         """Align parts as one text; a part whose bytes differ is found by halving."""
         data = " ".join(parts)
         made = self._encode(data)
-        stops = np.cumsum([len(p.encode()) + 1 for p in parts])
+        stops = np.cumsum(np.fromiter(map(len, map(str.encode, parts)), np.int64, len(parts)) + 1)
         if made is None:
             if len(parts) == 1:
                 self._hold(parts[0], None)
@@ -128,7 +100,8 @@ class Aligner:
         a_mark[a_to - 1], b_mark[b_to - 1] = n, m
         codes[np.arange(len(a)) + np.repeat(b_to - b_n, a_n)] = a + a_mark
         codes[np.arange(len(b)) + np.repeat(a_to, b_n)] = b + b_mark + 2 * n
-        names = list(map(self.marked.__getitem__, codes.tolist()))
+        names = b"".join(map(self.marked.__getitem__, codes.tolist()))
+        names_to = np.cumsum(self.marked_lengths[codes])
         # pairs of a group: each first id beside all second ids; groups that would multiply out are counted by distinct ids
         n_links = a_n * b_n
         plain = np.where(n_links <= MOST_LINKS, b_n, 0)
@@ -143,19 +116,22 @@ class Aligner:
         for g in np.flatnonzero(plain < b_n).tolist():
             large.setdefault(int(np.searchsorted(last, g)), []).append(g)
             self.counted = True
-        t, p = 0, 0
-        for k, (part, n_a, t_to, p_to) in enumerate(zip(parts, np.diff(a_at, prepend=0).tolist(), (a_at + b_to[last]).tolist(), p_at.tolist(), strict=True)):
-            here, times = pairs[p:p_to], None
-            if k in large:
-                counted: dict[int, int] = dict(Counter(np.frombuffer(here, self.kind).tolist()))
-                for q in large[k]:
-                    often = Counter(b[b_to[q] - b_n[q] : b_to[q]].tolist())
-                    for x, m in Counter(a[a_to[q] - a_n[q] : a_to[q]].tolist()).items():
-                        for y, o in often.items():
-                            counted[x * self.width + y] = counted.get(x * self.width + y, 0) + m * o
-                here, times = np.array(list(counted), self.kind).tobytes(), np.array(list(counted.values()), "<i8").tobytes()
-            self.now[part] = (n_a, b"".join(names[t:t_to]), here, times)
-            t, p = t_to, p_to
+
+        def cut(whole: bytes, to: np.ndarray):
+            return map(whole.__getitem__, map(slice, [0, *to[:-1].tolist()], to.tolist()))
+
+        linked = list(cut(pairs, p_at))
+        times: list[bytes | None] = [None] * len(parts)
+        for k, groups in large.items():
+            counted: dict[int, int] = dict(Counter(np.frombuffer(linked[k], self.kind).tolist()))
+            for q in groups:
+                often = Counter(b[b_to[q] - b_n[q] : b_to[q]].tolist())
+                for x, m in Counter(a[a_to[q] - a_n[q] : a_to[q]].tolist()).items():
+                    for y, o in often.items():
+                        counted[x * self.width + y] = counted.get(x * self.width + y, 0) + m * o
+            linked[k], times[k] = np.array(list(counted), self.kind).tobytes(), np.array(list(counted.values()), "<i8").tobytes()
+        n_as = np.diff(a_at, prepend=0).tolist()
+        self.now.update(zip(parts, zip(n_as, cut(names, names_to[a_at + b_to[last] - 1]), linked, times, strict=True), strict=True))
         self.held += 300 * len(parts) + len(data) + 6 * len(codes) + len(pairs)
 
     def _hold(self, part: str, made: tuple | None) -> None:
@@ -169,20 +145,18 @@ class Aligner:
         """
         if self.held > CACHE_BYTES // 2:
             self.now, self.old, self.held = {}, self.now, 0
-        now, old, new = self.now, self.old, []
-        for p in parts:
-            if p not in now:
-                if p in old:
-                    self._hold(p, old[p])
-                else:
-                    new.append(p)
-        joined = [p for p in new if not (p[0].isspace() or p[-1].isspace())]  # a space beside white space is no cut
+        now, old = self.now, self.old
+        new = {p for p in parts if p not in now}
+        again = [p for p in new if p in old]
+        for p in again:
+            self._hold(p, old[p])
+        new.difference_update(again)
+        joined = [p for p in new if p.strip() == p]  # a space beside white space is no cut
         if joined:
             self._align(joined)
         if len(joined) < len(new):
-            for p in new:
-                if p[0].isspace() or p[-1].isspace():
-                    self._align([p])
+            for p in new.difference(joined):
+                self._align([p])
 
 
 def aligner(byte_level: str, pieces: str) -> Aligner:
@@ -220,23 +194,24 @@ def links(runs, known: Aligner) -> tuple | None:
     n_a = n_groups = n_commas = 0
     digest, before = hashlib.sha256(), b""
     pairs, times = np.empty(0, "<u8"), np.empty(0, "<i8")
-    size, now = np.dtype(known.kind).itemsize, None
+    size = np.dtype(known.kind).itemsize
     for words in runs:
-        often, now = Counter(words), known.now
-        parts = list(map(now.__getitem__, often))
+        often = Counter(words)
+        parts = list(map(known.now.__getitem__, often))
         if None in parts:
             return None
         n = np.fromiter(often.values(), np.int64, len(often))
-        n_a += int(n @ np.fromiter([p[0] for p in parts], np.int64, len(parts)))
-        text = b"".join([now[w][1] for w in words])
+        each_a, texts, linked, multiple = zip(*parts, strict=True)
+        n_a += int(n @ np.array(each_a, np.int64))
+        text = b"".join(map(dict(zip(often, texts, strict=True)).__getitem__, words))
         n_groups, n_commas = n_groups + text.count(b"|"), n_commas + text.count(b",")
         digest.update(before)
         digest.update(memoryview(text)[:-1])
         before = b";"
-        here = np.frombuffer(b"".join([p[2] for p in parts]), known.kind).astype("<u8")
-        each = np.repeat(n, [len(p[2]) // size for p in parts])
-        if known.counted and any(p[3] for p in parts):
-            each = each * np.concatenate([np.frombuffer(p[3], "<i8") if p[3] else np.ones(len(p[2]) // size, np.int64) for p in parts])
+        here = np.frombuffer(b"".join(linked), known.kind).astype("<u8")
+        each = np.repeat(n, np.fromiter(map(len, linked), np.int64, len(linked)) // size)
+        if known.counted and any(multiple):
+            each = each * np.concatenate([np.frombuffer(m, "<i8") if m else np.ones(len(p) // size, np.int64) for p, m in zip(linked, multiple, strict=True)])
         if len(pairs):
             here, each = np.concatenate([pairs, here]), np.concatenate([times, each])
         pairs, times = merged(here, each)
