@@ -46,7 +46,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequence and offset."""
-    return packing.pack(docs)
+    return packing.pack(docs, keep_words=False)
 
 
 STAGES = [

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -142,6 +143,38 @@ def test_tidy_tasks_let_go_of_caches_when_they_start_and_trim_when_they_end(monk
     assert said == ["given"]
 
 
+def test_tidy_tasks_let_go_of_their_own_cache_if_told(monkeypatch):
+    monkeypatch.setattr(worker, "give_back", lambda: None)
+    keeping = lambda batches: (worker.keep("its own cache", list) or b for b in batches)
+    assert list(worker.tidy(keeping)([1])) == [1] and len(worker._KEPT) == 1
+    assert list(worker.tidy(keeping, last=True)([1])) == [1] and not worker._KEPT
+
+
+def test_packing_without_kept_words_is_the_same(docs):
+    assert sorted(packing.pack(docs, keep_words=False).collect()) == sorted(packing.pack(docs).collect())
+
+
+def test_tidy_tasks_trim_what_other_caches_leave(monkeypatch):
+    said = []
+    monkeypatch.setattr(worker, "_trim", lambda: said.append("trimmed"))
+    worker.keep("cache of another operator", list)
+    assert list(worker.tidy(lambda batches: (len(said) for _ in batches))([1])) == [1]
+
+
+def test_redaction_holds_a_slice_of_a_batch_as_strings():
+    import tracemalloc
+
+    texts = [None, "", "password: hunter2hunter2", *("x" * 5000 + str(i) for i in range(3000))]
+    want = [secrets_scan.redact_text(t) for t in texts]
+    given, clean = pa.array(texts, pa.string()), pa.array(texts[3:], pa.string())
+    assert secrets_scan._redacted(given, "[secret]").to_pylist() == want
+    tracemalloc.start()
+    assert secrets_scan._redacted(clean, "[secret]") is clean
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < clean.nbytes // 3
+
+
 def test_perfect_hash_refuses_unknown_keys(spark, docs):
     folder = shared_files.folder(spark, "tokens")
     catalog = token_files.write(docs, folder)

@@ -40,6 +40,8 @@ CELL = 256
 CELL_BYTES = 8 << 20
 #: shingles that a cell compares at once
 COLUMNS = 2048
+#: bytes of text that a task cuts into shingles at once
+GROUP_BYTES = 1 << 19
 #: shingle hashes keep 48 bits
 SHORT = np.uint64(16)
 #: share of the weight that the inverse document frequency decides
@@ -93,7 +95,7 @@ def _count_task(size: int, buckets: int):
 
     def task(batches):
         held, n, last = [], 0, None
-        for block, _, data, at in blocks.text_groups(batches):
+        for block, _, data, at in blocks.text_groups(batches, GROUP_BYTES):
             if held and (block != last or n > 1 << 20):
                 yield from emit(last, held)
                 held, n = [], 0
@@ -204,7 +206,7 @@ def plain_samples(owner_start: np.ndarray, names: np.ndarray, hashes: int, skip:
 def _feature_task(folder: str, size: int, bands: int, rows: int, threshold: float, documents: int):
     def task(batches):
         block_known, last = None, None
-        for block, (batch, row, end), data, at in blocks.text_groups(batches):
+        for block, (batch, row, end), data, at in blocks.text_groups(batches, GROUP_BYTES):
             if block != last:
                 block_known, last = _known(folder, block), block
             owner, names, times = shingles(data, at, size)

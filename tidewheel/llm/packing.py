@@ -14,12 +14,13 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel import storage
-from tidewheel.llm import tokens
+from tidewheel.llm import tokens, worker
 
 Bin = tuple[tuple[int, ...], int]  # lengths in one sequence, number of such sequences
 
@@ -161,7 +162,7 @@ class Places:
 
 
 # ------------------------------------------------------------------ pieces
-def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_words: bool = True) -> DataFrame:
     """Pieces of every text: id, piece, start, length, ids_crc32, and their rank among equal lengths of the same task."""
     path = vocabulary or tokens.vocabulary_path(tokens.WORD_VOCABULARY)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -170,27 +171,33 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None,
         ids, seen, part = tokens.word_ids(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["id"].astype(object).where(batch["id"].notna(), None), batch["text"], strict=True):
-                data = ids.encode(text) + end
-                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                    chunk = data[at : at + 4 * capacity]
-                    n = len(chunk) // 4
-                    rows.append((key, piece, at // 4, n, zlib.crc32(chunk), part, seen[n]))
-                    seen[n] += 1
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+            for low in range(0, len(batch), worker.SLICE):
+                keys, texts = (c.slice(low, worker.SLICE) for c in batch.columns)
+                rows = []
+                for i, text in enumerate(texts.to_pylist()):
+                    data = ids.encode(text) + end
+                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                        chunk = data[at : at + 4 * capacity]
+                        n = len(chunk) // 4
+                        rows.append((i, piece, at // 4, n, zlib.crc32(chunk), part, int(seen[n])))
+                        seen[n] += 1
+                owner, *made = zip(*rows, strict=True)
+                kinds = pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()
+                columns = [pa.array(c, k) for c, k in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), *columns], ["id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return rows.mapInArrow(cut if keep_words else worker.tidy(cut, last=True), f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
-def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_words: bool = True) -> DataFrame:
     """Every piece with its sequence and offset: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece that holds only the end id.  Repeated rows are packed one by one.  An empty
-    table has no pieces.
+    table has no pieces.  Workers keep the ids of words for their next task; without ``keep_words`` they let go of them
+    after each, for jobs whose earlier stages have left more workers than tasks run at a time.
     """
-    cut = storage.materialize(pieces(docs, capacity, vocabulary, end_id, id_col, text_col), "pieces")
+    cut = storage.materialize(pieces(docs, capacity, vocabulary, end_id, id_col, text_col, keep_words), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     places = Places(plan(histogram, capacity))

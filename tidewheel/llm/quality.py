@@ -7,8 +7,11 @@ on the script of the text where no language is named.  Words are encoded once pe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,9 +164,11 @@ def keep(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text",
     path = _path(vocabulary)
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
 
-    @F.pandas_udf("boolean")
-    def passes(text: pd.Series, lang: pd.Series) -> pd.Series:
+    def passes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         ids = fertility(path)
-        return pd.Series([measure(t, x, ids)[-1] for t, x in zip(text, lang, strict=True)], dtype=bool)
+        for texts, langs in batches:
+            rows = zip(worker.strings(texts), worker.strings(langs), strict=True)
+            yield pa.array([measure(t, x, ids)[-1] for t, x in rows], pa.bool_())
+        worker.give_back()
 
-    return docs.where(passes(F.col(text_col), lang))
+    return docs.where(F.arrow_udf(passes, "boolean")(F.col(text_col), lang))

@@ -13,11 +13,15 @@ import hashlib
 import json
 import re
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.llm import worker
+
 #: fixed: base kinds in their order, then the method's
 KINDS = ["assign", "access", "hex", "checked", "webtoken", "keyblock"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -148,11 +152,22 @@ def redact_text(text: str | None, mark: str = "[secret]") -> str | None:
     return "".join([*out, text[done:]])
 
 
+def _redacted(texts: pa.Array, mark: str) -> pa.Array:
+    """Few texts are Python strings at a time, and an array without a secret comes back as it is."""
+    parts, same = [], True
+    for at in range(0, len(texts), worker.SLICE):
+        part = texts.slice(at, worker.SLICE)
+        before = part.to_pylist()
+        after = [redact_text(t, mark) for t in before]
+        same &= after == before
+        parts.append(part if after == before else pa.array(after, texts.type))
+    return texts if same else pa.concat_arrays(parts)
+
+
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """All rows with secrets replaced; texts without one, and nulls, stay as they are."""
 
-    @F.pandas_udf("string")
-    def cleaned(text: pd.Series) -> pd.Series:
-        return pd.Series([redact_text(t, mark) for t in text], dtype=object)
+    def cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return worker.tidy(lambda given: (_redacted(texts, mark) for texts in given))(batches)
 
-    return docs.withColumn(text_col, cleaned(F.col(text_col)))
+    return docs.withColumn(text_col, F.arrow_udf(cleaned, "string")(F.col(text_col)))

@@ -12,6 +12,7 @@ from typing import TypeVar
 
 T = TypeVar("T")
 _KEPT: dict[Hashable, object] = {}
+SLICE = 256
 
 
 def keep(key: Hashable, make: Callable[[], T]) -> T:
@@ -22,8 +23,7 @@ def keep(key: Hashable, make: Callable[[], T]) -> T:
     return _KEPT[key]
 
 
-def give_back() -> None:
-    """Hand the free memory of Arrow's and the C library's allocators back to the system."""
+def _trim() -> None:
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
@@ -32,12 +32,32 @@ def give_back() -> None:
         trim(0)
 
 
-def tidy(task: Callable) -> Callable:
-    """A task over batches that needs no cache: it lets go of other operators' caches and leaves no free memory behind."""
+def give_back() -> None:
+    """Hand the free memory of Arrow's and the C library's allocators back to the system."""
+    _trim()
+
 
-    def run(batches):
+def let_go() -> None:
+    """Drop the cache that is kept, if any, and hand back what it took."""
+    if _KEPT:
         _KEPT.clear()
+        _trim()
+
+
+def strings(column, most: int = SLICE):
+    """The values of an Arrow column, of which ``most`` are Python objects at a time."""
+    for at in range(0, len(column), most):
+        yield from column.slice(at, most).to_pylist()
+
+
+def tidy(task: Callable, last: bool = False) -> Callable:
+    """A task over batches that starts without other operators' caches and leaves no free memory behind; ``last``: nor its own cache."""
+
+    def run(batches):
+        let_go()
         yield from task(batches)
+        if last:
+            _KEPT.clear()
         give_back()
 
     return run
