@@ -7,6 +7,7 @@ from conftest import candles, walk
 from tidewheel import Timeline
 from tidewheel.operators import bars, scans, sweeps
 from tidewheel.operators.scans import first_hit, reset_scan
+from tidewheel.sources import views
 
 
 def frames():
@@ -231,3 +232,32 @@ def test_lanes_give_the_functions_of_the_descent(floor):
     for j, t in enumerate(limits):
         *_, closes, end = scans._replay(step, np.full(300, t), rn, [0.0, 0.0, 41.0, 0], False, False)
         assert fired[:, j].tolist() == closes.tolist() and u[j] == end[0]
+
+
+def test_border_passes_read_packed_steps_only(spark, data, monkeypatch):
+    """Rows are shuffled for the step functions and for the bars, not again for every round of border checks."""
+    read, write = [], scans.materialize
+
+    def spy(df, label="cut", by=()):
+        if label == "states":
+            read.extend(f.split("/")[-2].split("-")[0] for f in df.inputFiles())
+        return write(df, label, by)
+
+    monkeypatch.setattr(scans, "TASK_ROWS", 50)
+    monkeypatch.setattr(scans, "materialize", spy)
+    tl = Timeline.build(data, chunk_rows=50).extend(move=F.col("Volume") * 0.01, h=F.lit(2.5))
+    got = reset_scan(tl, "move", "h", []).df.where("closes").toPandas()
+    for f in frames():
+        mine = got[got.symbol == f.symbol[0]].sort_values("rn")
+        assert mine["rn"].tolist() == seq_bars(f["Volume"] * 0.01, 2.5)
+    assert "steps" in read and not {"timeline", "series"} & set(read)
+
+
+def test_ticks_are_parsed_behind_the_range_shuffle(spark):
+    props = ['{"k": 7}', '{"k":70}', '{"k": 007}', '{"k": -3}', '{"k": 1.5}', '{"k": 7, "j": 1}', '{"k": "8"}', '{"k": null}', None, "x"]
+    rows = [("a", i, i, float(i), p) for i, p in enumerate(props)]
+    raw = spark.createDataFrame(rows, "symbol string, ts int, seq int, value double, props string")
+    want = raw.select("seq", F.get_json_object("props", "$.k").cast("double").alias("Volume")).orderBy("seq").collect()
+    done = Timeline.build(raw, derive=views.priced).df.orderBy("rn")
+    assert done.select("seq", "Volume").collect() == want
+    assert done.columns == [*views.priced(raw).columns, "rn"]

@@ -32,11 +32,12 @@ def query(name: str, sql: str | None = None):
 
 # ------------------------------------------------------------------ Spark side
 def ticks(spark, sf) -> Timeline:
-    return Timeline.build(views.ticks(spark, sf), chunk_rows=CHUNK_ROWS)
+    return Timeline.build(views.raw_ticks(spark, sf), chunk_rows=CHUNK_ROWS, derive=views.priced)
 
 
 def one(spark, sf) -> Timeline:
-    return Timeline.build(views.ticks_one(spark, sf), chunk_rows=CHUNK_ROWS)
+    raw = views.raw_ticks(spark, sf).withColumn("symbol", F.lit("ALL"))
+    return Timeline.build(raw, chunk_rows=CHUNK_ROWS, derive=views.priced)
 
 
 def daily(spark, sf) -> Timeline:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewheel.lookup import attach
 from tidewheel.storage import materialize
 from tidewheel.timeline import Timeline
 
@@ -388,26 +389,45 @@ def _replay(step, limit, rn, entry, two_sided: bool, clamp: bool):
     return bar, first, level, fired, (u, u, opened, count)
 
 
-def _until_borders_agree(states: DataFrame, rows: DataFrame, again: Callable, schema: T.StructType, by: Sequence[str]) -> DataFrame:
+def _until_borders_agree(states: DataFrame, again: Callable[[DataFrame], DataFrame], by: Sequence[str]) -> DataFrame:
     """Run chunks again from the end of the chunk before until no entry differs from it.
 
-    ``states`` has ``entry`` and ``exit`` per chunk and may have more columns of ``schema``; ``again`` gets the rows of a
-    chunk with ``_want``, the entry to use.  At least one more chunk per key is right after every round.
+    ``states`` has ``entry`` and ``exit`` per chunk and may have more columns; ``again`` gets the chunks that differ
+    with ``_want``, the entry to use, and returns their states.  At least one more chunk per key is right after every
+    round.
     """
     keys = [*by, "_t"]
     order = Window.partitionBy(*by).orderBy("_t")
-    values = [c for c in schema.names if c not in keys]
+    values = [c for c in states.columns if c not in keys]
     while True:
         want = states.select(*keys, "entry", F.lag("exit").over(order).alias("_want")).where(
             F.col("_want").isNotNull() & ~F.col("_want").eqNullSafe(F.col("entry"))
         )
         if want.isEmpty():
             return states
-        fixed = rows.join(want.select(*keys, "_want"), keys).groupBy(*keys).applyInPandas(again, schema)
+        fixed = again(want.select(*keys, "_want"))
         merged = states.join(fixed.select(*keys, F.struct(*values).alias("_new")), keys, "left")
         states = materialize(merged.select(*keys, *(F.coalesce(f"_new.{c}", c).alias(c) for c in values)), "states")
 
 
+PACKED = {"_steps": "array<double>", "_limits": "array<double>", "_rns": "array<bigint>"}
+
+
+def _pack(step: np.ndarray, limit: np.ndarray, rn: np.ndarray) -> dict:
+    """A chunk as arrays; equal limits are one number, gapless row numbers the first one."""
+    return {
+        "_steps": step,
+        "_limits": limit[:1] if (limit == limit[0]).all() else limit,
+        "_rns": rn[:1] if rn[-1] - rn[0] == len(rn) - 1 else rn,
+    }
+
+
+def _unpack(steps, limits, rns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    step, limit, rn = np.asarray(steps, float), np.asarray(limits, float), np.asarray(rns, np.int64)
+    n = len(step)
+    return step, np.broadcast_to(limit, n), rn if len(rn) == n else rn[0] + np.arange(n)
+
+
 def reset_scan(
     tl: Timeline,
     step: str,
@@ -423,20 +443,20 @@ def reset_scan(
     at sum >= limit; ``two_sided`` at abs(sum) >= limit > 0; ``clamp`` keeps an
     upper sum above and a lower sum below zero (CUSUM).  A null step counts as 0,
     a null limit never fires.
+
+    Steps are shuffled once and written as arrays, a row per chunk; the passes that settle the borders read these, and
+    only the last pass shuffles rows again.
     """
-    by, given = tl.by, tl.chunk_rows
+    by, given, keys = tl.by, tl.chunk_rows, [*tl.by, "_t"]
     tl = task_chunks(tl.settle([*keep, step, limit]))
     n_chunks, low = chunk_count(tl, step)
     # a sum of non-negative steps, or one clamped at zero, never enters a chunk below zero
     floor = 0.0 if clamp or (low >= 0 and not two_sided) else -np.inf
     base = tl.chunked([step, limit])
-    schema = T.StructType(
-        [
-            *_key_fields(base, by),
-            T.StructField("_t", T.LongType()),
-            *(T.StructField(c, T._parse_datatype_string(t)) for c, t in FN_COLS.items()),
-        ]
-    )
+    head = [*_key_fields(base, by), T.StructField("_t", T.LongType())]
+
+    def schema(cols: dict[str, str]) -> T.StructType:
+        return T.StructType([*head, *(T.StructField(c, T._parse_datatype_string(t)) for c, t in cols.items())])
 
     def arrays(pdf):
         lim = pdf[limit].to_numpy(dtype=float)
@@ -449,7 +469,7 @@ def reset_scan(
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn", ignore_index=True)
         fn = _chunk_function(*arrays(pdf), two_sided, clamp, floor)
-        return pd.DataFrame([{**_key_values(pdf, by), "_t": int(pdf["_t"].iloc[0]), **fn}])
+        return pd.DataFrame([{**_key_values(pdf, by), "_t": int(pdf["_t"].iloc[0]), **fn, **_pack(*arrays(pdf))}])
 
     def compose(fs: list[dict]) -> dict:
         whole = fs[0]
@@ -464,35 +484,34 @@ def reset_scan(
             state = [x[0] for x in _evaluate(f, *([s] for s in state))]
         return states
 
-    summaries = materialize(base.groupBy(*by, "_t").applyInPandas(summarise, schema), "steps")
+    made = materialize(base.groupBy(*keys).applyInPandas(summarise, schema(FN_COLS | PACKED)), "steps")
     entries = tree_prefix(
-        summaries, by, n_chunks, FN_COLS, compose, walk, [0.0, 0.0, 1.0, 0.0]
+        made.select(*keys, *FN_COLS), by, n_chunks, FN_COLS, compose, walk, [0.0, 0.0, 1.0, 0.0]
     )
     # the tree adds in another order than a row-by-row sum, so its entries may be off by a last digit: the real
     # end of every chunk is compared with the entry of the next, and bar numbers are counted, not carried as sums
-    states = T.StructType(
-        [
-            *_key_fields(base, by),
-            T.StructField("_t", T.LongType()),
-            T.StructField("entry", T.ArrayType(T.DoubleType())),
-            T.StructField("exit", T.ArrayType(T.DoubleType())),
-            T.StructField("fires", T.LongType()),
-        ]
-    )
-
-    def run(pdf: pd.DataFrame, entry: Sequence[float]) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn", ignore_index=True)
-        entry = [float(x) for x in entry[:3]]
-        *_, (u, v, opened, count) = _replay(*arrays(pdf), [*entry, 0], two_sided, clamp)
-        state = {"entry": entry, "exit": [float(u), float(v), float(opened)], "fires": int(count)}
-        return pd.DataFrame([{**_key_values(pdf, by), "_t": int(pdf["_t"].iloc[0]), **state}])
-
-    chunks = tl.chunked([step, limit])
-    first = chunks.join(entries, [*by, "_t"]).groupBy(*by, "_t").applyInPandas(lambda pdf: run(pdf, pdf["entry"].iloc[0]), states)
-    exact = _until_borders_agree(materialize(first, "states"), chunks, lambda pdf: run(pdf, pdf["_want"].iloc[0]), states, by)
+    chunks = made.select(*keys, *PACKED)
+
+    def run(batches):
+        for pdf in batches:
+            out = pdf[keys].copy()
+            out["entry"] = [[float(x) for x in e[:3]] for e in pdf["_want"]]
+            ends = [
+                _replay(*_unpack(*packed), [*entry, 0], two_sided, clamp)[-1]
+                for entry, *packed in zip(out["entry"], *(pdf[c] for c in PACKED))
+            ]
+            out["exit"] = [[float(u), float(v), float(opened)] for u, v, opened, _ in ends]
+            out["fires"] = [int(count) for *_, count in ends]
+            yield out
+
+    def again(want: DataFrame) -> DataFrame:
+        # arrays stay in the tasks that read them: equal steps compress to nothing, a shuffle would put all into one task
+        return attach(chunks, want, keys).mapInPandas(run, schema({"entry": "array<double>", "exit": "array<double>", "fires": "bigint"}))
+
+    exact = _until_borders_agree(materialize(again(entries.withColumnRenamed("entry", "_want")), "states"), again, by)
     earlier = Window.partitionBy(*by).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-    exact = exact.select(*by, "_t", "entry", F.coalesce(F.sum("fires").over(earlier), F.lit(0)).alias("_bars"))
-    rows = tl.chunked([*keep, step, limit]).join(exact, [*by, "_t"])
+    exact = exact.select(*keys, "entry", F.coalesce(F.sum("fires").over(earlier), F.lit(0)).alias("_bars"))
+    rows = tl.chunked([*keep, step, limit]).join(exact, keys)
     cols = list(dict.fromkeys([*by, "rn", *keep]))
     final = T.StructType(
         [
@@ -512,7 +531,7 @@ def reset_scan(
         res["level"], res["closes"] = level, fired
         return res
 
-    done = rows.groupBy(*by, "_t").applyInPandas(finish, final)
+    done = rows.groupBy(*keys).applyInPandas(finish, final)
     return replace(tl, df=done, chunk_rows=given, settled=False)
 
 
@@ -572,7 +591,8 @@ def guess_and_verify(
         )
 
     states = materialize(halo.groupBy(*keys).applyInPandas(guess, schema), "states")
-    states = _until_borders_agree(states, tl.chunked(cols), again, schema, by)
+    chunks = tl.chunked(cols)
+    states = _until_borders_agree(states, lambda want: chunks.join(want, keys).groupBy(*keys).applyInPandas(again, schema), by)
     full = tl.chunked([*cols, *keep]).join(states.select(*keys, "entry"), keys)
     names = list(dict.fromkeys([*by, "rn", *keep]))
     final = T.StructType(

@@ -66,9 +66,14 @@ class Timeline:
         by: Sequence[str] = ("symbol",),
         order: Sequence[str] = ("ts", "seq"),
         chunk_rows: int = DEFAULT_CHUNK_ROWS,
+        derive: Callable[[DataFrame], DataFrame] | None = None,
     ) -> "Timeline":
         """Number the rows of every key in order without a one-task window.
 
+        The range shuffle evaluates ``df`` twice, first for the sample that sets its borders.
+        ``derive`` gets the rows behind it and adds or replaces row-wise columns (not the keys), so
+        that costly ones are evaluated once.
+
         A null key raises.  Rows of a key that are equal in ``order`` are numbered
         by a hash of the whole row, so repeated runs agree.
 
@@ -80,10 +85,9 @@ class Timeline:
         """
         by, order = tuple(by), tuple(order)
         tie = F.xxhash64(*(c for c, t in df.dtypes if "map<" not in t))
+        ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order, tie)
         placed = materialize(
-            df.repartitionByRange(*by, *order)
-            .sortWithinPartitions(*by, *order, tie)
-            .withColumn("_mid", F.monotonically_increasing_id()),
+            (derive(ranged) if derive else ranged).withColumn("_mid", F.monotonically_increasing_id()),
             "timeline",
         ).withColumn("_pid", F.shiftright("_mid", 33))
         counts = placed.groupBy("_pid", *by).agg(
