@@ -275,6 +275,22 @@ def test_overfitting(spark):
         overfit.symmetric_cv(tl, 64)
 
 
+def test_equal_configs_tie_in_any_layout(spark):
+    """Configs with the same returns have the same sums, however their rows lie in partitions; the first of them is best."""
+    x = np.random.default_rng(7).normal(0, 0.01, 800)
+    df = spark.createDataFrame([(k, t, t + 1, float(v)) for k in range(5) for t, v in enumerate(x)], "config int, ts int, rn bigint, ret double")
+    seen = []
+    for parts in (3, 7, 12):
+        tl = Timeline(df.repartition(parts, F.xxhash64("rn", "config", F.lit(parts))), ("config",), ("ts",), 50, True)
+        m = overfit.block_moments(tl, 4).toPandas()
+        assert (m.groupby("block")[["n", "s", "q"]].nunique() == 1).all(axis=None)
+        seen.append(m.groupby("block")[["n", "s", "q"]].first())
+        got = overfit.symmetric_cv(tl, 4).toPandas()
+        assert (got["best"] == 0).all() and np.allclose(got["omega"], 5 / 6)
+    assert all(f.equals(seen[0]) for f in seen)
+    np.testing.assert_allclose(seen[0]["s"], x.reshape(4, 200).sum(1), rtol=1e-12)
+
+
 def test_paths_cover_groups(spark):
     for mode in ("all", "partition"):
         p = splits.backtest_paths(spark, 6, 2, mode).toPandas()

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,10 +19,19 @@ C = F.col
 SLICES = 64
 
 
+def _in_order(position: str, *cols: str) -> list[Column]:
+    """Sums of a small group, added in the order of ``position``; nulls count as nothing."""
+    rows = F.array_sort(F.collect_list(F.struct(position, *cols)))
+    total = lambda c: F.aggregate(rows, F.lit(0.0), lambda t, row: t + F.coalesce(row[c], F.lit(0.0)))
+    return [total(c).alias(c) for c in cols]
+
+
 def block_moments(tl: Timeline, blocks: int, ret: str = "ret", config: str = "config") -> DataFrame:
     """n, sum and sum of squares per block of every series of ``tl``; rows beyond equal blocks are cut off.
 
     ``tl`` is numbered per config (and further keys).  After this no step touches the raw returns.
+    Rows are added in order within a chunk, then chunks in order: configs with the same returns get the same bits
+    however the rows lie in partitions, so that they tie.
     """
     if blocks % 2:
         raise ValueError("the number of blocks must be even")
@@ -33,9 +42,10 @@ def block_moments(tl: Timeline, blocks: int, ret: str = "ret", config: str = "co
     if shortest < blocks:
         raise ValueError(f"{shortest} periods are fewer than {blocks} blocks")
     got = attach(tl.df, n, by).withColumn("block", F.expr(f"(rn - 1) div (_n div {blocks})").cast("int"))
-    return got.where(C("block") < blocks).groupBy(*by, "block").agg(
-        F.count(ret).cast("double").alias("n"), F.sum(ret).alias("s"), F.sum(C(ret) * C(ret)).alias("q")
-    )
+    got = got.where(C("block") < blocks).select(*by, "block", "rn", tl.chunk.alias("_t"), C(ret).cast("double").alias("s"))
+    got = got.withColumn("q", C("s") * C("s"))
+    per = got.groupBy(*by, "block", "_t").agg(F.count("s").alias("n"), *_in_order("rn", "s", "q"))
+    return per.groupBy(*by, "block").agg(F.sum("n").cast("double").alias("n"), *_in_order("_t", "s", "q"))
 
 
 def _sharpe(n: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -48,6 +58,14 @@ def _sharpe(n: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.nan_to_num(np.where(sd == 0, flat, ratio), nan=0.0, posinf=np.inf, neginf=-np.inf)
 
 
+def _chosen(inside: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Sum of the chosen blocks (choices x configs), block by block: a matrix product may add equal columns in unequal ways."""
+    total = np.zeros((len(inside), m.shape[1]))
+    for b, row in enumerate(m):
+        total += np.where(inside[:, b, None], row, 0.0)
+    return total
+
+
 def _choices(first: int, end: int, blocks: int) -> np.ndarray:
     """Bit sets from ``first`` up to ``end`` that hold half of the blocks."""
     ids = np.arange(first, end, dtype=np.int64)
@@ -57,9 +75,8 @@ def _choices(first: int, end: int, blocks: int) -> np.ndarray:
 def symmetric_cv(tl: Timeline, blocks: int = 16, ret: str = "ret", config: str = "config", convention: str = "paper") -> DataFrame:
     """Relative out-of-sample rank of the in-sample best config for every half/half choice of blocks.
 
-    Keys of ``tl`` other than ``config`` are judged each by itself.  Choices are bit sets; a task takes a slice of them,
-    and the sums of all its choices are one product of their 0/1 matrix with the block moments of a key (configs x blocks
-    numbers).  The work is choices x configs, whatever the length of the return series, and nothing is joined on a block.
+    Keys of ``tl`` other than ``config`` are judged each by itself.  Choices are bit sets; a task takes a slice of them
+    and adds the block moments of a key (configs x blocks numbers) for all its choices at once.  The work is choices x configs, whatever the length of the return series, and nothing is joined on a block.
     ``paper`` ranks 1 = worst, ``reference`` ranks 1 = best.
     """
     by = [k for k in tl.by if k != config]
@@ -79,8 +96,8 @@ def symmetric_cv(tl: Timeline, blocks: int = 16, ret: str = "ret", config: str =
                     ids = _choices(first, min(first + (1 << 14), (row["_slice"] + 1) * width), blocks)
                     if not len(ids):
                         continue
-                    inside = ((ids[:, None] >> np.arange(blocks)) & 1).astype(float)
-                    inner, outer = (_sharpe(*(side @ m for m in whole)) for side in (inside, 1.0 - inside))
+                    inside = ((ids[:, None] >> np.arange(blocks)) & 1).astype(bool)
+                    inner, outer = (_sharpe(*(_chosen(side, m) for m in whole)) for side in (inside, ~inside))
                     best = inner.argmax(axis=1)  # the first of equals
                     mine = np.take_along_axis(outer, best[:, None], 1)
                     rank = 1 + (outer > mine).sum(1) + ((outer == mine) & (np.arange(len(configs)) < best[:, None])).sum(1)
