@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 
 from conftest import SCHEMA, candles, walk
 from tidewheel import Timeline
+from tidewheel.catalog import roll
+from tidewheel.functions import rolling as R
 from tidewheel.functions import tails
 from tidewheel.operators import features, fills, fracdiff, indicators, labels, recursive, signals, stats, volatility, weights
 from tidewheel.plans import overfit, splits
+from tidewheel.timeline import Recipe
 
 N = 700
 
@@ -291,6 +295,64 @@ def test_equal_configs_tie_in_any_layout(spark):
     np.testing.assert_allclose(seen[0]["s"], x.reshape(4, 200).sum(1), rtol=1e-12)
 
 
+def runs_of_prices(runs: int = 20):
+    """Every price stands 60 or 300 times in a row, so that many means of prices are exact ties."""
+    prices = 100 + np.round(np.random.default_rng(3).gamma(1, 50, runs), 2)
+    close = np.repeat(prices, np.resize([60, 300], runs))
+    f = walk(len(close), "A", 1)
+    f[["Open", "High", "Low", "Close"]] = np.column_stack([close] * 4)
+    return f
+
+
+def sql_signals(f, body):
+    con = duckdb.connect()
+    con.register("f", f)
+    con.execute("CREATE TABLE ticks AS SELECT symbol, seq, Close AS close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM f")
+    return con.execute(f"SELECT rn, signal FROM (SELECT symbol, rn, {body} AS signal FROM ({TIES}) AS q) AS q2 ORDER BY symbol, rn").df()["signal"].to_numpy()
+
+
+MEANS = ", ".join(f"{roll('avg', 'close', n)} AS m{n}" for n in (10, 16, 17, 20, 31, 50, 200))
+TIES = f"SELECT *, {MEANS}, m20 + 2 * {roll('stddev_samp', 'close', 20)} AS u, m20 - 2 * {roll('stddev_samp', 'close', 20)} AS l FROM ticks"
+
+
+def exact_ties(f, fast, slow):
+    cents = pd.Series(np.rint(f["Close"].to_numpy() * 100).astype(np.int64))
+    return (cents.rolling(fast).sum() * slow == cents.rolling(slow).sum() * fast).sum()
+
+
+@pytest.mark.parametrize("fast,slow", [(10, 20), (16, 17), (31, 50), (50, 200)])
+def test_level_signal_ties_as_in_sql(spark, fast, slow):
+    f = runs_of_prices()
+    assert exact_ties(f, fast, slow) > 100
+    want = sql_signals(f, f"CASE WHEN m{fast} > m{slow} THEN 1 ELSE 0 END")
+    for chunk in (1_000_000, 250):
+        got = rows(Timeline.build(candles(spark, f), chunk_rows=chunk).apply(signals.level_signal(fast, slow)), "signal")
+        assert (got["signal"].to_numpy() == want).all()
+
+
+def test_trend_side_ties_as_in_sql(spark):
+    f = runs_of_prices()
+    want = sql_signals(f, "CASE WHEN close > m50 THEN 1 WHEN close < m50 THEN -1 ELSE 0 END")
+    got = rows(Timeline.build(candles(spark, f), chunk_rows=250).apply(signals.trend_side()), "signal")
+    assert (got["signal"].to_numpy() == want).all()
+
+
+def test_means_by_blocks_keep_nulls(spark):
+    f = walk(400, "A", 6, nulls=0.03)
+    tl = Timeline.build(candles(spark, f).withColumn("Close", F.nanvl("Close", F.lit(None).cast("double"))), chunk_rows=150)
+    x = F.col("Close")
+    stages = (
+        lambda w: {"_k": R.block_sums(x, w), "a": R.mean_by_blocks(x, 20, w), "c": R.mean_by_blocks(x, 40, w)},
+        lambda w: {"b": R.mean_by_blocks(x, 20, w, F.col("_k")), "d": R.mean_by_blocks(x, 40, w, F.col("_k"))},
+    )
+    got = rows(tl.apply(Recipe(("a", "b", "c", "d"), stages, ("Close",), 40)), "a", "b", "c", "d")
+    for names, n in (("ab", 20), ("cd", 40)):
+        want = f["Close"].rolling(n).mean().to_numpy()
+        assert 0 < np.isnan(want).sum() < 400
+        np.testing.assert_array_equal(got[names[0]], got[names[1]])
+        np.testing.assert_allclose(got[names[0]], want, rtol=1e-12)
+
+
 def test_paths_cover_groups(spark):
     for mode in ("all", "partition"):
         p = splits.backtest_paths(spark, 6, 2, mode).toPandas()

@@ -97,20 +97,27 @@ def trend_breakout(n: int = 20, k: float = 2.0, fast: int = 50, slow: int = 200,
     return Recipe((out,), (*bb.stages, s), ("Close",), slow)
 
 
+def _blocks(w):
+    return {"_blocks": R.block_sums(C("Close"), w)}
+
+
+def _close_mean(n: int, w) -> Column:
+    return R.mean_by_blocks(C("Close"), n, w, C("_blocks"))
+
+
 def level_signal(fast: int = 10, slow: int = 20, out: str = "signal") -> Recipe:
     def s(w):
-        up = R.mean(C("Close"), fast, w) > R.mean(C("Close"), slow, w)
-        return {out: F.when(up, 1).otherwise(0)}
+        return {out: F.when(_close_mean(fast, w) > _close_mean(slow, w), 1).otherwise(0)}
 
-    return Recipe((out,), (s,), ("Close",), slow)
+    return Recipe((out,), (_blocks, s), ("Close",), slow)
 
 
 def trend_side(n: int = 50, out: str = "signal") -> Recipe:
     def s(w):
-        m = R.mean(C("Close"), n, w)
+        m = _close_mean(n, w)
         return {out: F.when(C("Close") > m, 1).when(C("Close") < m, -1).otherwise(0)}
 
-    return Recipe((out,), (s,), ("Close",), n)
+    return Recipe((out,), (_blocks, s), ("Close",), n)
 
 
 def forecast_signal(rows: DataFrame, predictions: DataFrame, keys: Sequence[str], column: str, threshold: float, target: str = "nominal", out: str = "signal") -> DataFrame:
