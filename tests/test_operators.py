@@ -337,6 +337,18 @@ def test_trend_side_ties_as_in_sql(spark):
     assert (got["signal"].to_numpy() == want).all()
 
 
+def test_band_signals_tie_as_in_sql(spark):
+    f = runs_of_prices()
+    tl = Timeline.build(candles(spark, f), chunk_rows=250)
+    both = {
+        "trend": (signals.trend_breakout(), "CASE WHEN close > u AND m50 > m200 THEN 1 WHEN close < l AND m50 < m200 THEN -1 ELSE 0 END"),
+        "band": (signals.band_breach(), "CASE WHEN close < l THEN 1 WHEN close > u THEN -1 ELSE 0 END"),
+    }
+    for name, (recipe, body) in both.items():
+        got = rows(tl.apply(recipe.named(name)), name)[name].to_numpy()
+        assert (got == sql_signals(f, body)).all(), name
+
+
 def test_means_by_blocks_keep_nulls(spark):
     f = walk(400, "A", 6, nulls=0.03)
     tl = Timeline.build(candles(spark, f).withColumn("Close", F.nanvl("Close", F.lit(None).cast("double"))), chunk_rows=150)

@@ -69,7 +69,7 @@ def rolling_z_score(x: str = "Close", n: int = 20, out: str = "zscore") -> Recip
 
     def s(w):
         sd = R.rolling(F.stddev_pop, C(x), n, w)
-        return {out: (C(x) - R.mean(C(x), n, w)) / R.nonzero(sd)}
+        return {out: (C(x) - R.mean_by_blocks(C(x), n, w)) / R.nonzero(sd)}
 
     return _one(out, (x,), n, s)
 
@@ -239,7 +239,7 @@ def bollinger(
     p, u, lo = out
 
     def s1(w):
-        m, sd = R.mean(C(x), n, w), R.std(C(x), n, w)
+        m, sd = R.mean_by_blocks(C(x), n, w), R.std(C(x), n, w)
         return {u: m + k * sd, lo: m - k * sd}
 
     return Recipe(

@@ -32,6 +32,14 @@ def cross_recipe(a: str, b: str, out: str = "signal", strict_prev: bool = True)
     return Recipe((out,), (lambda w: {out: cross(C(a), C(b), w, strict_prev)},), (a, b), 1)
 
 
+def _blocks(w):
+    return {"_blocks": R.block_sums(C("Close"), w)}
+
+
+def _close_mean(n: int, w) -> Column:
+    return R.mean_by_blocks(C("Close"), n, w, C("_blocks"))
+
+
 def ma_cross_on_changes(fast: int = 50, slow: int = 200, out: str = "signal") -> Recipe:
     """Crossing of rolling means of the fractional change."""
 
@@ -87,22 +95,15 @@ def rsi_divergence(n: int = 14, period: int = 30, out: str = "signal") -> Recipe
 def trend_breakout(n: int = 20, k: float = 2.0, fast: int = 50, slow: int = 200, out: str = "signal") -> Recipe:
     """Band breach in the direction of the averages."""
     bb = I.bollinger("Close", n, k, ("_bp", "_bu", "_bl"))
+    first, *others = bb.stages
 
     def s(w):
-        a, b = R.mean(C("Close"), fast, w), R.mean(C("Close"), slow, w)
+        a, b = _close_mean(fast, w), _close_mean(slow, w)
         up = (C("Close") > C("_bu")) & (a > b)
         down = (C("Close") < C("_bl")) & (a < b)
         return {out: F.when(up, 1).when(down, -1).otherwise(0)}
 
-    return Recipe((out,), (*bb.stages, s), ("Close",), slow)
-
-
-def _blocks(w):
-    return {"_blocks": R.block_sums(C("Close"), w)}
-
-
-def _close_mean(n: int, w) -> Column:
-    return R.mean_by_blocks(C("Close"), n, w, C("_blocks"))
+    return Recipe((out,), (lambda w: _blocks(w) | first(w), *others, s), ("Close",), slow)
 
 
 def level_signal(fast: int = 10, slow: int = 20, out: str = "signal") -> Recipe:
